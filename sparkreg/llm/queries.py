@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, substring, tokenfile
+from . import mixing, packing, quality, simhash, substring, tokenfile, toxicity
 from .common import documents
 
 QUERIES = {
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_token_file": lambda spark, sf_dir: tokenfile.op3_token_file(documents(spark, sf_dir)),
     "op4_source_mixing": lambda spark, sf_dir: mixing.op4_source_mixing(documents(spark, sf_dir)),
     "op7_quality_rules": lambda spark, sf_dir: quality.op7_quality_rules(documents(spark, sf_dir)),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.op8_toxicity(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ),
     "op9_substring_dedup": lambda spark, sf_dir: substring.op9_substring_dedup(documents(spark, sf_dir)),
     "op10_simhash_neardup": lambda spark, sf_dir: simhash.op10_simhash_neardup(documents(spark, sf_dir)),
 }
