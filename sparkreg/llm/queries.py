@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, substring, tokenfile, toxicity
+from . import licenses, mixing, packing, quality, simhash, substring, tokenfile, toxicity
 from .common import documents
 
 QUERIES = {
     "op2_bestfit_packing": lambda spark, sf_dir: packing.op2_bestfit_packing(documents(spark, sf_dir)),
     "op3_token_file": lambda spark, sf_dir: tokenfile.op3_token_file(documents(spark, sf_dir)),
     "op4_source_mixing": lambda spark, sf_dir: mixing.op4_source_mixing(documents(spark, sf_dir)),
+    "op6_license_scan": lambda spark, sf_dir: licenses.op6_license_scan(documents(spark, sf_dir)),
     "op7_quality_rules": lambda spark, sf_dir: quality.op7_quality_rules(documents(spark, sf_dir)),
     "op8_toxicity": lambda spark, sf_dir: toxicity.op8_toxicity(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
