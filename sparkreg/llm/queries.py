@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality, simhash, substring, tokenfile, toxicity
+from . import chat, embeddings, licenses, mixing, packing, quality, simhash, substring, tokenfile, toxicity
 from .common import documents
 
 QUERIES = {
+    "op1_chat_formatting": lambda spark, sf_dir: chat.op1_chat_formatting(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "op2_bestfit_packing": lambda spark, sf_dir: packing.op2_bestfit_packing(documents(spark, sf_dir)),
     "op3_token_file": lambda spark, sf_dir: tokenfile.op3_token_file(documents(spark, sf_dir)),
     "op4_source_mixing": lambda spark, sf_dir: mixing.op4_source_mixing(documents(spark, sf_dir)),
+    "op5_embedding_neardup": lambda spark, sf_dir: embeddings.op5_embedding_neardup(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op6_license_scan": lambda spark, sf_dir: licenses.op6_license_scan(documents(spark, sf_dir)),
     "op7_quality_rules": lambda spark, sf_dir: quality.op7_quality_rules(documents(spark, sf_dir)),
     "op8_toxicity": lambda spark, sf_dir: toxicity.op8_toxicity(
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_simhash_neardup": lambda spark, sf_dir: simhash.op10_simhash_neardup(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL = {"op4_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op4_source_mixing": mixing.ORACLE}
