@@ -41,7 +41,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     t = t.join(sizes, ["conv_id", "block"]).withColumn("place", F.col("first") + F.row_number().over(order))
     t = t.withColumn("g1", F.xxhash64("place", "role", "text")).withColumn("g2", F.xxhash64("text", "role", F.lit(1), "place"))
-  XX
+    # decimal sums of hashes modulo 2^61: nothing overflows under ANSI rules
     g = lambda c: F.pmod(F.col(c), F.lit(1 << 61)).cast("decimal(38,0)")
     sums = t.groupBy("conv_id", "block").agg(F.sum(g("g1")).alias("s1"), F.sum(g("g2")).alias("s2"))
     sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"b{s}") for s in ("s1", "s2")])
