@@ -1,54 +1,93 @@
-"""Token ids of whole texts with the tokenizers library, chunk by chunk and remembered.
+"""Token ids of whole texts with the tokenizers library, piece by piece and remembered.
 
-A text is cut where the pre-tokenizer cuts too: between runs of non-space (with one leading space)
-and runs of white space. Encoding the chunks one by one then equals encoding the text, and most
-chunks have been met before. A text with a control character that the two libraries' ideas of white
-space disagree on is encoded whole.
+A text is cut before each single space or newline between two signs that are not white space. No
+pre-token spans such a place and none looks across it, so that encoding the pieces one by one equals
+encoding the text, and most pieces have been met before. New pieces of a text are encoded together,
+parted by a sign of one known id. A text with other runs of white space, or with a separator that
+only Python takes for white space, is encoded whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
 
 import numpy as np
 
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
-#: Chunks remembered by a Python worker.
+#: Pieces that a Python worker remembers: as many newer ones, and those of before that are met again.
 REMEMBER = 300_000
 
 
-class Encoder(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        #: Whether the tokenizer drops white space; then any run of it parts two pieces.
+        self.drops = self.direct("a b").tobytes() == self.direct("a \n b").tobytes()
+        self.mark, between = ("0", " 0 ") if self.drops else ("\n", "\n")
+        self.between = between
+        (self.mark_id,) = self.direct(self.mark).tolist()
+        self.newline = b"" if self.drops else self.direct("\n").tobytes()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def direct(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        out = self.direct(chunk)
-        if len(chunk) <= 40:
-            self[chunk] = out
-        return out
+    def learn(self, pieces: list[str]) -> bool:
+        """Encodes new pieces; False where one of them shows that the text can't be cut this way."""
+        bodies = []
+        for p in pieces:
+            if self.drops:
+                bodies.append(p)
+                continue
+            body = p[1:] if p[:1] == "\n" else p
+            if not body or body.split() != [body]:
+                return False
+            bodies.append(body if body is not p else " " + p)
+        ids = self.direct(self.between.join(bodies))
+        cuts = np.flatnonzero(ids == self.mark_id)
+        data = ids.tobytes()
+        if len(cuts) == len(bodies) - 1:
+            found = [data[4 * s : 4 * e] for s, e in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        else:  # a piece holds the mark itself
+            found = [self.direct(b).tobytes() for b in bodies]
+        self.known.update(
+            (p, x if self.drops or p[:1] != "\n" else self.newline + x) for p, x in zip(pieces, found, strict=True)
+        )
+        return True
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if ODD.search(text):
-            return self.direct(text)
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+            return self.direct(text).tobytes()
+        if self.drops:
+            pieces, head = text.split(), b""
+        else:
+            first, *pieces = text.replace("\n", " \n").split(" ")
+            if not first or first.split() != [first]:
+                return self.direct(text).tobytes()
+            head = self.direct(first).tobytes()
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            if len(self.known) >= REMEMBER:
+                self.older, self.known = self.known, {}
+            new = {p for p, x in zip(pieces, out, strict=True) if x is None}
+            again = {p: x for p in new if (x := self.older.get(p)) is not None}
+            self.known.update(again)
+            if len(again) < len(new) and not self.learn([p for p in new if p not in again]):
+                return self.direct(text).tobytes()
+            known = self.known
+            out = [known[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
+        return head + b"".join(out)
 
 
 @cache
