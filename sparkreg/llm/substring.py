@@ -43,7 +43,7 @@ HOT = 50_000
 LOCAL_HOT = 8
 #: Words, and runs of windows, that a task holds before it sends what it has.
 CHUNK = 4_000_000
-RUNS = 200_000
+RUNS = 60_000
 #: Anchors and suffixes are dealt by hash to so many buckets for each shuffle partition.
 BUCKETS = 4
 
