@@ -32,6 +32,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ CHUNK = 1 << 14
 DISCOUNT = 0.75
 #: Weight of the shared counts, in counts: within a beginning, and of beginnings.
 BACK, ROOT = 2.0, 1000.0
-FIT_ROWS = 24_000
+FIT_ROWS = 16_000
 #: The strongest expressions are the TOP first ones, and those over STRONG, each up to CLIP more.
 TOP, STRONG, CLIP = 2, 3.0, 4.0
 FEATURES = 4
@@ -57,35 +58,58 @@ THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose places a Python worker remembers.
 REMEMBER = 400_000
-PAIR = np.dtype([("slot", "<i4"), ("toxic", "<i4"), ("with", "<u8")])
+#: A word after another: the hash of both, the class, and the word's places in the tables.
+PAIR = np.dtype([("with", "<u8"), ("toxic", "i1"), ("slots", "<i4", (LEVELS,))])
+BUCKETS = 64
 
 
-class Places(dict):
-    """word -> row of `slots`, its places in the tables, and of `hashes`."""
+class Places:
+    """Words met so far: their places in the tables, hashes, and ratios under the last model asked."""
 
     def __init__(self):
-        super().__init__()
-        self.slots = np.zeros((REMEMBER, LEVELS), dtype=np.int32)
-        self.hashes = np.zeros(REMEMBER, dtype=np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        at, h = len(self), xxhash.xxh3_64_intdigest
-        if at >= len(self.hashes):
-            self.slots = np.r_[self.slots, np.zeros_like(self.slots)]
-            self.hashes = np.r_[self.hashes, np.zeros_like(self.hashes)]
-        whole = h(word)
-        self.hashes[at] = whole
-        self.slots[at] = [whole % SIZES[0], *[h(f"{k}{word[:k]}") % SIZES[j] + BASE[j] for j, k in enumerate(STEMS, 1)]]
-        self[word] = at
-        return at
-
-    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Table places (a row for each word) and hashes of a text's words."""
-        words = TOKEN.findall(text.decode("utf-8", "replace").lower()) if text else []
-        if len(self) > REMEMBER:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.slots[at], self.hashes[at]
+        self.row: dict[str, int] = {}
+        self.slots = np.zeros((0, LEVELS), dtype=np.int32)
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.ratios = np.zeros(0, dtype=np.float32)
+        self.model = None
+
+    def learn(self, words: list[str]) -> None:
+        h, at = xxhash.xxh3_64_intdigest, len(self.row)
+        self.row.update(zip(words, range(at, at + len(words)), strict=True))
+        whole = np.fromiter(map(h, words), np.uint64, len(words))
+        slots = np.zeros((len(words), LEVELS), dtype=np.int32)
+        slots[:, 0] = whole % np.uint64(SIZES[0])
+        for j, k in enumerate(STEMS, 1):
+            stem = np.fromiter((h(w[:k]) for w in words), np.uint64, len(words))
+            slots[:, j] = (stem + np.uint64(k)) % np.uint64(SIZES[j]) + np.uint64(BASE[j])
+        self.slots, self.hashes = np.concatenate([self.slots, slots]), np.concatenate([self.hashes, whole])
+
+    def rows(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The words of each text, as rows of slots and hashes; good until the next call."""
+        words = [TOKEN.findall(t.decode("utf-8", "replace").lower()) if t else [] for t in texts]
+        flat = list(chain.from_iterable(words))
+        new = set(flat).difference(self.row)
+        if len(self.row) + len(new) > REMEMBER and self.row:
+            self.__init__()
+            new = set(flat)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
+        return np.split(at, np.cumsum([len(w) for w in words])[:-1]) if words else []
+
+    def ratio(self, model: Model) -> np.ndarray:
+        """Ratios of all words met."""
+        if self.model is not model:
+            self.model, self.ratios = model, np.zeros(0, dtype=np.float32)
+        n = len(self.ratios)
+        if n < len(self.hashes):
+            self.ratios = np.concatenate([self.ratios, model.ratio(self.slots[n:], self.hashes[n:]).astype(np.float32)])
+        return self.ratios
+
+
+def groups(items: list, size: int = 200) -> Iterator[list]:
+    for k in range(0, len(items), size):
+        yield items[k : k + size]
 
 
 @cache
@@ -94,12 +118,18 @@ def places() -> Places:
 
 
 def pairs(slots: np.ndarray, hashes: np.ndarray, toxic: int) -> np.ndarray:
-    """What a document adds to continuation counts: words and their beginnings with the word before."""
-    n = len(hashes)
-    out = np.zeros((n, LEVELS), dtype=PAIR)
-    before = np.r_[np.zeros(1, np.uint64), hashes[:-1]] if n else hashes
-    out["slot"], out["toxic"], out["with"] = slots, toxic, (before * np.uint64(0x9E3779B97F4A7C15) ^ hashes)[:, None]
-    return np.unique(out.ravel())
+    """What a document adds to continuation counts: its different words with the word before."""
+    before = np.r_[np.zeros(1, np.uint64), hashes[:-1]] if len(hashes) else hashes
+    both, first = np.unique(before * np.uint64(0x9E3779B97F4A7C15) ^ hashes, return_index=True)
+    out = np.zeros(len(both), dtype=PAIR)
+    out["with"], out["toxic"], out["slots"] = both, toxic, slots[first]
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    order = np.lexsort((x["toxic"], x["with"]))
+    x = x[order]
+    return x[np.r_[True, (x["with"][1:] != x["with"][:-1]) | (x["toxic"][1:] != x["toxic"][:-1])]] if len(x) else x
 
 
 def _label_of(ids: np.ndarray, toxic: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -121,7 +151,7 @@ def _row(chunk: int, kind: int, data: bytes) -> pa.RecordBatch:
 
 
 def _count(known):
-    """Rows by table chunk. Kind 0: counts over all documents; kind 1: the pairs of labelled ones."""
+    """Kind 0: counts over all documents, by table chunk; kind 1: the pairs of labelled ones, by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALL, dtype=np.int64)
@@ -129,29 +159,28 @@ def _count(known):
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            x = np.unique(np.concatenate(learnt))
-            chunk = x["slot"] // CHUNK
-            cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-            for s, e in zip(cut, np.r_[cut[1:], len(x)], strict=True):
-                yield _row(int(chunk[s]), 1, x[s:e].tobytes())
+            x = distinct(np.concatenate(learnt))
+            bucket = (x["with"] % np.uint64(BUCKETS)).astype(np.int64)
+            for k in range(BUCKETS):
+                part = x[bucket == k]
+                if len(part):
+                    yield _row(-1 - k, 1, part.tobytes())
 
         for doc, texts in _docs(batches):
             label = _label_of(*known.value, doc)
-            held: list[np.ndarray] = []
-            for y, text in zip(label.tolist(), texts, strict=True):
-                slots, hashes = places().of(text)
-                held.append(slots.ravel())
-                if y >= 0 and len(hashes):
-                    learnt.append(pairs(slots, hashes, y))
-                    size += len(learnt[-1])
-                    if size > 2_000_000:
-                        yield from send()
-                        learnt, size = [], 0
-                if len(held) == 1000:
-                    total += np.bincount(np.concatenate(held), minlength=ALL)
-                    held = []
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=ALL)
+            for part in groups(list(zip(label.tolist(), texts, strict=True))):
+                p = places()
+                rows = p.rows([t for _, t in part])
+                word, count = np.unique(np.concatenate(rows), return_counts=True)
+                for j in range(LEVELS):
+                    np.add.at(total, p.slots[word, j], count)
+                for (y, _), at in zip(part, rows, strict=True):
+                    if y >= 0 and len(at):
+                        learnt.append(pairs(p.slots[at], p.hashes[at], y))
+                        size += len(learnt[-1])
+                if size > 500_000:
+                    yield from send()
+                    learnt, size = [], 0
         if learnt:
             yield from send()
         for k in range(ALL // CHUNK):
@@ -163,7 +192,8 @@ def _count(known):
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a partition's chunks as they stream in; pairs that several tasks have count once."""
+    """Sums a partition's chunks as they stream in; pairs that several tasks have count once, and
+    leave as counts by place."""
     sums: dict[int, np.ndarray] = {}
     met: dict[int, list[np.ndarray]] = {}
     for b in batches:
@@ -172,17 +202,16 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind:
                 met.setdefault(k, []).append(np.frombuffer(data, dtype=PAIR))
                 if len(met[k]) > 64:
-                    met[k] = [np.unique(np.concatenate(met[k]))]
+                    met[k] = [distinct(np.concatenate(met[k]))]
             else:
                 sums[k] = sums.get(k, 0) + np.frombuffer(data, dtype=np.int64)
-    for k in sorted({*sums, *met}):
-        out = np.zeros((3, CHUNK), dtype=np.int64)
-        out[0] = sums.get(k, 0)
-        if k in met:
-            x = np.unique(np.concatenate(met[k]))
-            for y in (0, 1):
-                out[1 + y] = np.bincount(x["slot"][x["toxic"] == y] - k * CHUNK, minlength=CHUNK)
-        yield _row(k, 2, out.tobytes())
+    for k, x in sums.items():
+        yield _row(k, 0, x.tobytes())
+    for k, x in met.items():
+        x = distinct(np.concatenate(x))
+        for y in (0, 1):
+            slot, count = np.unique(x["slots"][x["toxic"] == y], return_counts=True)
+            yield _row(k, 1 + y, np.stack([slot, count]).astype("<i4").tobytes())
 
 
 class Model:
@@ -201,7 +230,7 @@ class Model:
         counts of it are to be left out."""
         mine = None
         if own >= 0:
-            x = pairs(slots, hashes, own)["slot"]
+            x = pairs(slots, hashes, own)["slots"]
             at, count = np.unique(x, return_counts=True)
             mine = count[np.searchsorted(at, slots)]
         n = self.n_all[slots] + 0.1
@@ -218,15 +247,21 @@ class Model:
             log.append(p)
         return log[1] - log[0]
 
-    def features(self, text: bytes | None, own: int = -1) -> np.ndarray:
-        slots, hashes = places().of(text)
-        if not len(hashes):
-            return np.zeros(FEATURES)
-        r = self.ratio(slots, hashes, own)
-        _, first = np.unique(slots[:, 0], return_index=True)
-        top, n = np.sort(r[first])[-TOP:], len(hashes)
-        excess = np.clip(r[first] - STRONG, 0, CLIP).sum() / np.sqrt(n)
-        return np.array([r.mean(), top.sum() / TOP, excess, np.log(n)])
+    def features(self, texts: list[bytes | None], own: list[int] | None = None) -> np.ndarray:
+        """Mean ratio, mean of the strongest, their excess, log length: a row for each text. own: the
+        class of each, whose counts are to be left out."""
+        out = np.zeros((len(texts), FEATURES))
+        p = places()
+        for k, at in enumerate(p.rows(texts)):
+            n = len(at)
+            if not n:
+                continue
+            r = p.ratio(self)[at] if own is None else self.ratio(p.slots[at], p.hashes[at], own[k])
+            _, first = np.unique(at, return_index=True)
+            different = r[first]
+            top = np.partition(different, -TOP)[-TOP:] if len(different) > TOP else different
+            out[k] = r.mean(), top.sum() / TOP, np.clip(different - STRONG, 0, CLIP).sum() / np.sqrt(n), np.log(n)
+        return out
 
     def score(self, f: np.ndarray) -> np.ndarray:
         if not self.curve.any():
@@ -256,12 +291,10 @@ def _feature(model, known):
         m = model.value
         for doc, texts in _docs(batches):
             label = _label_of(*known.value, doc)
-            rows = [(y, m.features(t, y)) for y, t in zip(label.tolist(), texts, strict=True) if y >= 0]
-            if rows:
-                f = np.array([r[1] for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *map(pa.array, f.T)], ["y", *[f"f{k}" for k in range(FEATURES)]]
-                )
+            for part in groups([(y, t) for y, t in zip(label.tolist(), texts, strict=True) if y >= 0]):
+                own = [y for y, _ in part]
+                f = m.features([t for _, t in part], own)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *map(pa.array, f.T)], ["y", *[f"f{k}" for k in range(FEATURES)]])
 
     return feature
 
@@ -271,7 +304,7 @@ def _score(model):
         m = model.value
         for b in batches:
             texts = pc.cast(b.column(1), pa.binary()).to_pylist()
-            f = np.array([m.features(t) for t in texts]).reshape(-1, FEATURES)
+            f = np.concatenate([m.features(part) for part in groups(texts)]) if texts else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(f), pa.float64())], ["doc_id", "score"])
 
     return score
@@ -295,10 +328,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     known_to = sc.broadcast((sample["doc_id"].to_numpy(np.int64), sample["toxic"].to_numpy(np.int64)))
     texts = docs.select("doc_id", "text")
     schema = "chunk long, kind int, data binary"
-    tables = texts.mapInArrow(_count(known_to), schema).repartition(ALL // CHUNK, "chunk").mapInArrow(_add, schema)
+    tables = texts.mapInArrow(_count(known_to), schema).repartition(ALL // CHUNK + BUCKETS, "chunk").mapInArrow(_add, schema)
     total = np.zeros((3, ALL), dtype=np.int64)
-    for k, _, data in tables.collect():  # of a fixed size, whatever the corpus
-        total[:, k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(zlib.decompress(data), dtype=np.int64).reshape(3, CHUNK)
+    for k, kind, data in tables.toLocalIterator():  # tables of a fixed size, whatever the corpus
+        data = zlib.decompress(data)
+        if kind:
+            slot, count = np.frombuffer(data, dtype="<i4").reshape(2, -1)
+            total[kind, slot] += count
+        else:
+            total[0, k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(data, dtype=np.int64)
     model = Model(total)
     model.share = n.get(1, 0) / max(sum(n.values()), 1)
     if n.get(1) and n.get(0):
