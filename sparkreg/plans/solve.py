@@ -160,7 +160,7 @@ def lars(gram: np.ndarray, rhs: np.ndarray, lasso: bool = False, alpha: float =
         a = gram[:, active] @ d
         step = big
         for j in range(p):
-            if j in active or j in shut or j == dropped:
+            if j in active or j in shut:
                 continue
             for num, den in ((big - c[j], 1 - a[j]), (big + c[j], 1 + a[j])):
                 if den > 1e-14 and eps < num / den < step:
