@@ -298,6 +298,10 @@ class GLM:
             m, more = base.sums(z, w, {"_dev": family.deviance(y, mu), "_chi": (y - mu) ** 2 / family.variance(mu)})
             return m, more["_dev"], more["_chi"]
 
+        def penalised(b: np.ndarray | None, dev: float) -> float:
+            """What a step is to lower: the deviance, and the ridge on the slopes."""
+            return dev if b is None or not self.lam else dev + self.lam * float((b[1:] if self.intercept else b) @ (b[1:] if self.intercept else b))
+
         b, (m, dev, chi) = start, step(start)
         done = False
         for k in range(1, self.max_iter + 1):
@@ -307,12 +311,13 @@ class GLM:
                 raise NumericalError("a step left the finite numbers")
             m2, dev2, chi2 = step(new)
             for _ in range(10):
-                if b is None or (dev2 is not None and math.isfinite(dev2) and dev2 <= dev + 1e-7 * abs(dev)):
+                old = penalised(b, dev)
+                if b is None or (dev2 is not None and math.isfinite(dev2) and penalised(new, dev2) <= old + 1e-7 * abs(old)):
                     break
                 new = (new + b) / 2
                 m2, dev2, chi2 = step(new)
             moved = np.inf if b is None else abs(new - b).max()
-            change = abs(dev2 - dev) / (0.1 + abs(dev2)) if b is not None else np.inf
+            change = abs(penalised(new, dev2) - penalised(b, dev)) / (0.1 + abs(dev2)) if b is not None else np.inf
             b, m, dev, chi = new, m2, dev2, chi2
             if change < self.tol or moved < self.tol:
                 done = True
