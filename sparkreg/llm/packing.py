@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .tokens import encoder
+from .tokens import REMEMBER, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -91,9 +91,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, remember: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        enc, tail = encoder(path, remember), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, row, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -110,10 +110,10 @@ def _pieces(path: str, end_id: int, capacity: int):
     return pieces
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
     """One row per piece of every row of docs (doc_id, text); row tells rows of equal doc_id apart."""
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
-        _pieces(tokenizer, end_id, capacity), PIECE
+        _pieces(tokenizer, end_id, capacity, remember), PIECE
     )
 
 
@@ -170,18 +170,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     return whole
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, group: int = GROUP, remember: int = REMEMBER) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document."""
-    cuts = materialize(pieces(docs, tokenizer, end_id, capacity))
+    cuts = materialize(pieces(docs, tokenizer, end_id, capacity, remember))
     placed = pack(cuts, capacity, group)
     return cuts.join(placed, ["row", "piece"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
-def op2_bestfit_packing(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def op2_bestfit_packing(docs: DataFrame, tokenizer: str | None = None, remember: int = REMEMBER) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return packed_documents(docs, tokenizer)
+    return packed_documents(docs, tokenizer, remember=remember)

@@ -16,14 +16,17 @@ from functools import cache
 import numpy as np
 
 ODD = re.compile("[\x1c-\x1f]")
-#: Pieces that a Python worker remembers: as many newer ones, and those of before that are met again.
-REMEMBER = 300_000
+#: Pieces that a Python worker remembers: as many newer ones, and those of before that are met again;
+#: about 160 bytes each. The pipeline, whose workers do other work too, remembers FEWER.
+REMEMBER = 1_000_000
+FEWER = 300_000
+HEADS = 20_000
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,7 +38,9 @@ class Encoder:
         self.between = between
         (self.mark_id,) = self.direct(self.mark).tolist()
         self.newline = b"" if self.drops else self.direct("\n").tobytes()
+        self.remember = remember
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def direct(self, text: str) -> np.ndarray:
@@ -75,10 +80,14 @@ class Encoder:
             first, *pieces = text.replace("\n", " \n").split(" ")
             if not first or first.split() != [first]:
                 return self.direct(text).tobytes()
-            head = self.direct(first).tobytes()
+            head = self.heads.get(first)
+            if head is None:
+                head = self.direct(first).tobytes()
+                if len(self.heads) < HEADS:
+                    self.heads[first] = head
         out = list(map(self.known.get, pieces))
         if None in out:
-            if len(self.known) >= REMEMBER:
+            if len(self.known) >= self.remember:
                 self.older, self.known = self.known, {}
             new = {p for p, x in zip(pieces, out, strict=True) if x is None}
             again = {p: x for p in new if (x := self.older.get(p)) is not None}
@@ -91,5 +100,5 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remember: int = REMEMBER) -> Encoder:
+    return Encoder(path, remember)
