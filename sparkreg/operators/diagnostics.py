@@ -5,16 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import na
 from ..errors import InsufficientObservations
 from ..functions.special import t_ppf, t_sf2
 from ..plans.moments import moments
 from ..plans.solve import spd_inverse
-from .base import Model, number, total
+from .base import Model, number
 
 
 def influence(model: Model, df: DataFrame) -> DataFrame:
@@ -193,10 +192,6 @@ def check_count_sparsity(df: DataFrame, features: list[str], label: str) -> dict
     return {f: bool(r[f"z{i}"] is not None and r[f"z{i}"] > 0.9 and r[f"d{i}"] <= 3 and r[f"m{i}"] == 0) for i, f in enumerate(features)}
 
 
-def quantile_rank(column: Column, keys: list[str]) -> Column:
-    return F.percent_rank().over(Window.partitionBy(*keys).orderBy(column))
-
-
 def glm_dispersion(x: DataFrame, kind: str, k: int) -> float:
     """Pearson or deviance dispersion from an augmented GLM frame; 1 where n <= k."""
     col = {"pearson": "pearson_residual", "deviance": "deviance_residual"}[kind]
@@ -207,5 +202,3 @@ def glm_dispersion(x: DataFrame, kind: str, k: int) -> float:
 def pearson_chi_squared(x: DataFrame) -> float:
     return x.agg(F.sum(F.col("pearson_residual") ** 2)).first()[0]
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("math", "np", "total")]
