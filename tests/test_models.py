@@ -197,13 +197,29 @@ def test_lowess_equals_nearest_neighbours(spark):
 
 
 def test_lm_dynamic(spark):
-    x = RNG.normal(size=(40, 2))
-    y = 1 + x @ [2, 0.5] + RNG.normal(size=40) * 0.3
+    rng = np.random.default_rng(8)
+    n = 40
+    x = rng.normal(size=(n, 2))
+    y = 1 + x @ [2, 0.5] + rng.normal(size=n) * 0.3
     df = from_matrix(spark, x, y)
     m = LmDynamic(["x1", "x2"], "y", ["row_id"], span=None).fit(df)
-    a = m.augment(df).toPandas()
-    assert np.allclose(a[["w0", "w1", "w2"]].sum(axis=1), 1)
-    assert len(m.model_specs) == 3 and abs(m.average[1] - 2) < 0.5
+    betas, ics = [], []
+    for cols in ([0], [1], [0, 1]):
+        a = np.c_[np.ones(n), x[:, cols]]
+        b = np.linalg.lstsq(a, y, rcond=None)[0]
+        k = a.shape[1]
+        var = ((y - a @ b) ** 2).sum() / (n - k)
+        ll = -0.5 * np.log(2 * np.pi * var) - (y - a @ b) ** 2 / (2 * var)
+        ics.append(2 * k - 2 * ll + 2 * k * (k + 1) / (n - k - 1))
+        full = np.zeros(3)
+        full[[0, *[c + 1 for c in cols]]] = b
+        betas.append(full)
+    w = np.exp(-0.5 * (np.array(ics) - np.min(ics, axis=0)))
+    w = (w / w.sum(axis=0)).T
+    got = m.augment(df).toPandas().sort_values("row_id")
+    assert m.model_specs == [[0], [1], [0, 1]]
+    assert np.allclose(got[["w0", "w1", "w2"]], w, atol=1e-8)
+    assert np.allclose(m.average, (w @ np.array(betas)).mean(axis=0), atol=1e-8)
 
 
 def test_demand_classes(spark):
