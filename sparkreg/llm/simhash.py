@@ -7,6 +7,14 @@ a key has at least as many bits as the logarithm of their number. Within a block
 stored vertically (one 64-lane word per bit plane), distances of 64 fingerprints are counted at
 once by carry-save adders, and a word is abandoned once all its lanes exceed the radius.
 
+keep_one() also takes a shingle length and a similarity. At a shingle Jaccard of 0.8 fingerprints
+differ by about 10 of 64 bits, and often by 16, too many for tables of whole parts; candidates then
+come from BANDS bands of ROWS minima of hashed shingles, and every link is confirmed by the Jaccard of
+its shingles (64-bit hashes). A pair at 0.8 exactly meets in no band with probability 5e-6, a closer
+one with less. First a block's members are compared with its least, then, in blocks that this leaves
+in several components, all pairs between those; a large block of texts that are alike below the
+similarity is compared pair by pair.
+
 Nulls and edges: a null or blank text has fingerprint zero, which links like any other; rows with
 a null doc_id keep a fingerprint but never give a component its id; repeated rows share one
 component; other columns are ignored.
@@ -26,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import numbered
 from .common import materialize, parts
 from .graph import components, local_components
 
@@ -38,36 +47,51 @@ BLOCK = 4096
 FLUSH = 200_000
 #: Words (64 lanes each) compared at once.
 SLICE = 1 << 19
+#: Minima of hashed shingles: bands, and minima a band.
+BANDS, ROWS = 40, 6
+MULTIPLY, SHIFT = (
+    np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of A-Z-lowered word shingles, each counted as often as it occurs."""
+def shingles(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """64-bit hashes of A-Z-lowered word shingles, each as often as it occurs."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, dtype="<u8")
     buf, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
         hashes = [digest(buf, seed)]
     else:
         ends = list(accumulate(len(w) + 1 for w in words))
         hashes = [digest(buf[s : e - 1], seed) for s, e in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of A-Z-lowered word shingles, each counted as often as it occurs."""
+    h = shingles(text, shingle, seed)
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = pc.cast(b.column(1), pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([fingerprint(t or b"") for t in texts], pa.int64())], ["doc_id", "fp"]
-        )
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pc.cast(b.column(1), pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([fingerprint(t or b"", shingle) for t in texts], pa.int64())], ["doc_id", "fp"]
+            )
 
+    return run
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) for every row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def within(fp: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,11 +211,11 @@ def _tables(n: int, radius: int) -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in masks]
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long, component_id): one row per row of docs. Every pair of fingerprints within
     radius bits is linked; copies meet once, as one fingerprint."""
     spark = docs.sparkSession
-    fps = materialize(fingerprints(docs))
+    fps = materialize(fingerprints(docs, shingle))
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
     n = nodes.count()
     masks = _tables(n, radius)
@@ -226,16 +250,93 @@ def op10_simhash_neardup(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: the smallest doc_id stays.
-    Rows with a null doc_id stay as well. Of several rows with that doc_id, the least by text stays."""
+def bands(h: np.ndarray) -> np.ndarray:
+    """Keys of the bands of minima of distinct shingle hashes h."""
+    x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, len(x), 512):
+        part = x[None, k : k + 512] * MULTIPLY[:, None]
+        part ^= SHIFT[:, None]
+        np.minimum(low, part.min(axis=1), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+
+
+def _bands(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for t in pc.cast(b.column(1), pa.binary()).to_pylist():
+                h = np.unique(shingles(t or b"", shingle))
+                keys.append(bands(h) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["_k", "keys"])
+
+    return run
+
+
+def _confirmed(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, None
+        for b in batches:
+            left, right = (pc.cast(b.column(k), pa.binary()).to_pylist() for k in (2, 3))
+            ok = []
+            for x, y in zip(left, right, strict=True):
+                if x != last:
+                    last, a = x, np.unique(shingles(x, shingle))
+                c = np.unique(shingles(y, shingle))
+                both = len(np.intersect1d(a, c, assume_unique=True))
+                ok.append(both >= similarity * (len(a) + len(c) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """nodes (_k, text), ids (_k, n) -> (node, component) as of components(), over links of a shingle
+    Jaccard of at least similarity."""
+    met = nodes.select("_k", "text").mapInArrow(_bands(shingle), "_k binary, keys array<long>")
+    met = materialize(met.filter("keys is not null"))
+    entries = met.join(ids, "_k").select("n", F.explode("keys").alias("b"))
+    blocks = entries.groupBy("b").agg(F.count("*").alias("c"), F.min("n").alias("u")).filter("c > 1")
+    entries = materialize(entries.join(blocks, "b").select("b", "n", "u"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        text = ids.join(nodes.select("_k", "text"), "_k").select("n", "text")
+        x = pairs.join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v")
+        x = x.join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
+        return materialize(x.select("u", "v", "x", "y").mapInArrow(_confirmed(shingle, similarity), "u long, v long"))
+
+    stars = materialize(entries.filter("n <> u").select("u", F.col("n").alias("v")).distinct())
+    links = confirmed(stars)
+    comp = components(links)
+    placed = entries.join(comp, entries.n == comp.node, "left").select("b", "n", F.coalesce("component", "n").alias("c"))
+    mixed = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("b")
+    placed = materialize(placed.join(mixed, "b"))
+    other = placed.select("b", F.col("n").alias("v"), F.col("c").alias("d"))
+    rest = placed.join(other, "b").filter("n < v and c <> d").select(F.col("n").alias("u"), "v").distinct()
+    rest = materialize(rest.join(stars, ["u", "v"], "left_anti"))
+    return components(links.unionByName(confirmed(rest)))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """docs without all but one row of each near-duplicate group: the one with the smallest doc_id
+    stays, null being larger than any. Rows are near duplicates by their texts, whatever their doc_id:
+    where their fingerprints are within radius bits or, if a similarity is given, where their shingle
+    Jaccard reaches it. Texts of the same words are copies."""
     cols = docs.columns
     if "doc_id" not in cols or "text" not in cols:
         raise ValueError("docs needs doc_id and text")
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi")
-    rest = [c for c in cols if c != "doc_id"]
-    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("_row"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in cols]).unionByName(
-        docs.filter("doc_id is null")
-    )
+    text = F.coalesce("text", F.lit(""))
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.trim(F.regexp_replace(lower, r"[ \t\n\x0B\f\r]+", " "))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), text)
+    rows = docs.withColumn("_k", F.unhex(F.md5(words))).groupBy("_k").agg(F.min_by(F.struct(*cols), order).alias("_row"))
+    one = materialize(rows.select("_k", *[F.col("_row")[c].alias(c) for c in cols]))
+    ids = one.select("_k", F.col("doc_id").isNull().alias("_none"), "doc_id")
+    ids = materialize(numbered(ids, ["_none", "doc_id", "_k"], "n").select("_k", "n"))
+    if similarity is None:
+        found = near_duplicates(one.join(ids, "_k").select(F.col("n").alias("doc_id"), "text"), radius, shingle=shingle)
+        gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("n"))
+    else:
+        gone = similar(one, ids, shingle, similarity).filter("node <> component").select(F.col("node").alias("n"))
+    return one.join(ids.join(gone, "n", "left_semi"), "_k", "left_anti").select(*cols)

@@ -326,6 +326,29 @@ def test_simhash(docs, empty):
     assert (small["component_id"] == got["component_id"]).all()
 
 
+def test_near_dedup_stage_reaches_similarity(spark):
+    rng = np.random.default_rng(7)
+    vocab = [f"w{k}" for k in range(4000)]
+    sets = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    texts = []
+    for _ in range(40):
+        base = list(rng.choice(vocab, 200))
+        texts.append(base)
+        for changes in (1, 3, 4, 6, 12):
+            x = list(base)
+            for k in range(changes):
+                x[int(k * 200 / changes) + 7] = f"new{rng.integers(1 << 30)}"
+            texts.append(x)
+    docs = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    s = [sets(t) for t in texts]
+    links = [(a, b) for a in range(len(s)) for b in range(a + 1, len(s)) if 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b])]
+    want = components(len(s), links)
+    assert 40 < len(set(want)) < len(s) - 100
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
+    assert simhash.keep_one(docs).count() > len(set(want)) + 40
+
+
 def test_pipeline(spark, docs, empty):
     x = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
