@@ -40,8 +40,11 @@ BINS = 96
 MIN_ROWS = 60
 #: Probability that a document of a normal population is rejected.
 ALPHA = 1e-6
-#: Least standard deviations of the transformed statistics: what differs by less is not told apart.
-FLOOR = (0.7, 0.035, 0.03, 0.2, 0.3, 0.06)
+#: Least standard deviations of the transformed statistics, where the estimate is smaller: about what
+#: one or two more of a count make in a text of MIN_WORDS words, as most groups have no spread in counts.
+FLOOR = (0.3, 0.03, 0.03, 0.05, 0.1, 0.03)
+#: Least eigenvalue of a correlation matrix.
+RIDGE = 1e-3
 P = len(FLOOR)
 V = [f"v{k}" for k in range(P)]
 
@@ -139,7 +142,10 @@ MODEL = ["g string", *[f"c{k} double" for k in range(P)], *[f"q{i}_{j} double" f
 
 
 def _row(g: str, centre: np.ndarray, cov: np.ndarray) -> list:
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
+    variance = np.maximum(np.diag(cov), np.square(FLOOR))
+    scale = np.sqrt(variance)
+    values, vectors = np.linalg.eigh((cov - np.diag(np.diag(cov)) + np.diag(variance)) / np.outer(scale, scale))
+    inverse = (vectors / np.maximum(values, RIDGE)) @ vectors.T / np.outer(scale, scale)
     return [g, *centre, *[inverse[i, j] for i, j in PAIRS]]
 
 

@@ -255,6 +255,21 @@ def test_quality(docs, empty, spark):
     assert not k[k["doc_id"] >= 200]["kept"].any() and k[k["doc_id"] < 200]["kept"].all()
 
 
+def clean_lines(rng, lines):
+    return "\n".join(" ".join(rng.choice([f"w{k}" for k in range(3000)], 10)) for _ in range(lines))
+
+
+def test_quality_rejects_repeated_lines(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, clean_lines(rng, int(n)), "en", "s") for i, n in enumerate(rng.integers(8, 40, 200))]
+    for i in range(200, 205):
+        text = clean_lines(rng, 12)
+        rows.append((i, "\n".join([text] + [text.split("\n")[0]] * 8), "en", "s"))  # 8 of 20 lines are copies
+    got = frame(quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert not got["base_failed"].any()
+    assert got[got["doc_id"] < 200]["kept"].all() and not got[got["doc_id"] >= 200]["kept"].any()
+
+
 def test_toxicity(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
