@@ -6,8 +6,8 @@ medians and spreads, each step measures every document's Mahalanobis distance, t
 and estimates mean and covariance from them alone. A step is one aggregation: moments are summed by
 group and distance bin, task by task, so that a step ships one row for each group and bin and task,
 whatever the size of a group; the h nearest are the bins up to the one where their number is reached.
-Groups with under MIN_ROWS documents use their language's estimate, languages with fewer use that of
-all documents. A document is rejected where its squared distance exceeds the cutoff.
+Groups with under MIN_ROWS documents use the estimate of all documents of their language, languages
+with fewer that of all documents. A document is rejected where its squared distance exceeds the cutoff.
 
 Nulls and edges: a null or blank text has no words and fails the base rule; null lang or source form
 groups of their own; a statistic without spread in a group gets a floor; rows with equal doc_id are
@@ -174,18 +174,21 @@ def _concentrate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def grouped(x: DataFrame) -> DataFrame:
-    """x with g: the language and source where they have MIN_ROWS rows, else what such groups of the
-    language have together, else what is left of all."""
+    """x with g, whose model judges the row: its language and source where they have MIN_ROWS rows, else
+    its language where that has, else all; and with feeds, the models that rest on the row. A model of
+    a language or of all rests on all of its rows, and is made where some group needs it."""
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     x = x.withColumn("_l", lang).withColumn("_s", source)
     sizes = x.groupBy("_l", "_s").agg(F.count("*").alias("_n"))
-    small = sizes.filter(F.col("_n") < MIN_ROWS).groupBy("_l").agg(F.sum("_n").alias("_m"))
-    g = (
-        F.when(F.col("_n") >= MIN_ROWS, F.concat_ws("\x01", F.lit("s"), "_l", "_s"))
-        .when(F.col("_m") >= MIN_ROWS, F.concat_ws("\x01", F.lit("l"), "_l"))
-        .otherwise(F.lit("all"))
-    )
-    names = sizes.join(small, "_l", "left").select("_l", "_s", g.alias("g"))
+    langs = sizes.groupBy("_l").agg(F.sum("_n").alias("_m"), F.min("_n").alias("_least"))
+    every = langs.agg(F.min("_m").alias("_fewest"))
+    own, ofl, all_ = F.concat_ws("\x01", F.lit("s"), "_l", "_s"), F.concat_ws("\x01", F.lit("l"), "_l"), F.lit("all")
+    large = F.col("_n") >= MIN_ROWS
+    g = F.when(large, own).when(F.col("_m") >= MIN_ROWS, ofl).otherwise(all_)
+    feeds = F.array_compact(F.array(
+        F.when(large, own), F.when((F.col("_m") >= MIN_ROWS) & (F.col("_least") < MIN_ROWS), ofl), F.when(F.col("_fewest") < MIN_ROWS, all_)
+    ))
+    names = sizes.join(langs, "_l").crossJoin(every).select("_l", "_s", g.alias("g"), feeds.alias("feeds"))
     return x.join(names, ["_l", "_s"]).drop("_l", "_s")
 
 
@@ -213,7 +216,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance, kept: one row per row of docs."""
     x = materialize(measured(docs))
     x = materialize(grouped(x).drop("lang", "source"))
-    model = estimates(x)
+    model = estimates(x.select(F.explode("feeds").alias("g"), *V))
     far = F.col("dist") > chi2_quantile(1 - ALPHA, P)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)
     return x.join(model, "g").select("doc_id", *BASE, failed.alias("base_failed"), _distance().alias("dist")).select(

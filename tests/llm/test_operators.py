@@ -270,6 +270,18 @@ def test_quality_rejects_repeated_lines(spark):
     assert got[got["doc_id"] < 200]["kept"].all() and not got[got["doc_id"] >= 200]["kept"].any()
 
 
+def test_quality_judges_small_groups_by_all_rows(spark):
+    rng = np.random.default_rng(9)
+    junk = lambda: " ".join(w + "###$$$" for w in rng.choice([f"w{k}" for k in range(3000)], 80))
+    rows = [(i, clean_lines(rng, int(n)), "en", "large") for i, n in enumerate(rng.integers(8, 40, 150))]
+    rows += [(200 + i, junk(), "en", "tail") for i in range(5)]
+    rows += [(210, junk(), "fi", "one"), (211, clean_lines(rng, 20), "fi", "two"), (212, clean_lines(rng, 20), "en", "clean tail")]
+    got = frame(quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    junk_ids = [*range(200, 205), 210]
+    assert not got["base_failed"].any()
+    assert not got[got["doc_id"].isin(junk_ids)]["kept"].any() and got[~got["doc_id"].isin(junk_ids)]["kept"].all()
+
+
 def test_toxicity(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
