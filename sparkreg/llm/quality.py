@@ -110,9 +110,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base statistics and the transformed vector v0, v1, ..."""
-    schema = "doc_id long, lang string, source string, " + ", ".join([f"{c} long" for c in BASE] + [f"{c} double" for c in V])
+def measured(docs: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id of that kind, lang, source, the base statistics and the transformed vector v0, v1, ..."""
+    schema = f"doc_id {kind}, lang string, source string, " + ", ".join([f"{c} long" for c in BASE] + [f"{c} double" for c in V])
     return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(_measure, schema)
 
 
@@ -212,9 +212,9 @@ def estimates(x: DataFrame, steps: int = STEPS) -> DataFrame:
     return model
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, distance, kept: one row per row of docs."""
-    x = materialize(measured(docs))
+def judged(docs: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id (of that kind), the base statistics, base_failed, distance, kept: one row per row of docs."""
+    x = materialize(measured(docs, kind))
     x = materialize(grouped(x).drop("lang", "source"))
     model = estimates(x.select(F.explode("feeds").alias("g"), *V))
     far = F.col("dist") > chi2_quantile(1 - ALPHA, P)
@@ -229,7 +229,10 @@ def op7_quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs without the documents that the rules reject. A doc_id goes where any of its rows is
-    rejected; rows with a null doc_id go."""
-    good = judged(docs).groupBy("doc_id").agg(F.every("kept").alias("_kept")).filter("_kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi")
+    """docs without the rows that the rules reject. Rows are judged one by one, whatever their doc_id;
+    a verdict depends on text, language and source, by whose hash rows meet theirs."""
+    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source"))
+    text = F.coalesce("text", F.lit(""))
+    row = F.unhex(F.md5(F.concat_ws("\x01", F.length(lang), F.length(source), lang, source, text)))
+    good = judged(docs.withColumn("doc_id", row), "binary").filter("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(good, "_row", "left_semi").select(*docs.columns)

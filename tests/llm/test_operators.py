@@ -376,6 +376,20 @@ def test_near_dedup_stage_reaches_similarity(spark):
     assert simhash.keep_one(docs).count() > len(set(want)) + 40
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, clean_lines(rng, 20), "en", "s") for i in range(100)]
+    bad = "short text"
+    more = [(None, clean_lines(rng, 20), "en", "s"), (None, clean_lines(rng, 20), None, "s"), (3, clean_lines(rng, 20), "en", None), (4, bad, "en", "s"), (None, bad, "en", "s")]
+    more += [(None, rows[7][1], "en", "s"), (9, rows[8][1], "en", "s"), (200, more[0][1], "en", "s")]
+    x = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string").repartition(3)
+    by = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in df.collect())
+    key = lambda rs: sorted((-1 if r[0] is None else r[0], r[1]) for r in rs)
+    good = quality.accepted(x)
+    assert good.columns == x.columns and by(good) == key([r for r in rows + more if r[1] != bad])
+    assert by(corpus_pipeline.simhash_near_dedup(spark, good, "")) == key(rows + [more[1], more[2], more[7]])
+
+
 def test_pipeline(spark, docs, empty):
     x = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
