@@ -132,7 +132,8 @@ _WRITTEN = [
     ("bsd-3-clause", NOTICE, " redistribut", " redistribution and use in source and binary forms.{0,600}? neither the name"),
     ("bsd-2-clause", VERSION, " redistribut", " redistribution and use in source and binary forms"),
     ("bsd-3-clause", VERSION, " bsd ", " (?:3|three) clause bsd|(?: new| modified| revised) bsd license| bsd 3 clause"),
-    ("bsd-2-clause", VERSION, " bsd ", " (?:2|two) clause bsd| simplified bsd license| freebsd license| bsd 2 clause"),
+    ("bsd-2-clause", VERSION, " bsd ", " (?:2|two) clause bsd| simplified bsd license| bsd 2 clause"),
+    ("bsd-2-clause", VERSION, " licen", " freebsd license"),
     ("bsd-4-clause", VERSION, " bsd ", " (?:4|four) clause bsd| original bsd license| bsd 4 clause"),
     ("bsd", NAME, " bsd ", " bsd(?: style)? license"),
     ("unlicense", NOTICE, " public domain", " free and unencumbered software released into the public domain"),

@@ -229,6 +229,18 @@ def test_licenses(docs, empty):
     assert licenses.op6_license_scan(empty).count() == 0
 
 
+def test_license_keywords_lose_nothing(spark):
+    rows = [(0, "FreeBSD License"), (1, "under the FreeBSD license, as it is"), (2, "the new BSD license"), (3, "three clause bsd"), (4, "GPLv3 or later")]
+    got = frame(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for r in got.itertuples():
+        norm = " " + re.sub(licenses.NOT_WORD, " ", rows[r.doc_id][1].lower()).strip() + " "
+        det = [(m.start(), m.end(), a, b, k) for k, (a, b, _, d) in enumerate(licenses.rules()) for m in re.finditer(d, norm)]
+        strong = lambda d: (d[3], d[1] - d[0], -d[4])
+        keep = [d for d in det if not any(o[0] <= d[0] and o[1] >= d[1] and strong(o) > strong(d) for o in det)]
+        assert r.labels == ",".join(sorted({d[2] for d in keep}))
+    assert got["labels"][0] == got["labels"][1] == "bsd-2-clause"
+
+
 def test_quality(docs, empty, spark):
     got = frame(quality.op7_quality_rules(docs))
     by = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
