@@ -50,7 +50,7 @@ CHUNK = 1 << 14
 DISCOUNT = 0.75
 #: Weight of the shared counts, in counts: within a beginning, and of beginnings.
 BACK, ROOT = 2.0, 1000.0
-FIT_ROWS = 16_000
+FIT_ROWS = 24_000
 #: The strongest expressions are the TOP first ones, and those over STRONG, each up to CLIP more.
 TOP, STRONG, CLIP = 2, 3.0, 4.0
 FEATURES = 4

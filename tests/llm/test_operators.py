@@ -310,6 +310,11 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.op8_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_learns_from_24000_labels():
+    assert toxicity.FIT_ROWS >= 24_000
+    assert toxicity.fit.__defaults__ == toxicity.scored.__defaults__ == (toxicity.FIT_ROWS,)
+
+
 @pytest.mark.parametrize("hot", [(50_000, 8), (1, 1)])
 def test_substring(docs, empty, hot):
     pdf = docs.select("doc_id", "text").toPandas()
