@@ -3,8 +3,9 @@
 A text is cut before each single space or newline between two signs that are not white space. No
 pre-token spans such a place and none looks across it, so that encoding the pieces one by one equals
 encoding the text, and most pieces have been met before. New pieces of a text are encoded together,
-parted by a sign of one known id. A text with other runs of white space, or with a separator that
-only Python takes for white space, is encoded whole.
+parted by a sign of one known id. A text with other runs of white space, with a separator that only
+Python takes for white space, or with the string of one of the tokenizer's added tokens (such as
+<|endoftext|>, which the library gives the id of the token) is encoded whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        #: Strings that the tokenizer looks for in a text before it cuts it: in the text as it is, and
+        #: those that it looks for in the normalised text.
+        self.added = [t.content for t in added if not t.normalized]
+        self.added_normal = [t.content.casefold() for t in added if t.normalized]
         #: Whether the tokenizer drops white space; then any run of it parts two pieces.
         self.drops = self.direct("a b").tobytes() == self.direct("a \n b").tobytes()
         self.mark, between = ("0", " 0 ") if self.drops else ("\n", "\n")
@@ -46,6 +51,11 @@ class Encoder:
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def holds_added(self, text: str) -> bool:
+        if any(a in text for a in self.added):
+            return True
+        return bool(self.added_normal) and any(a in text.casefold() for a in self.added_normal)
+
     def learn(self, pieces: list[str]) -> bool:
         """Encodes new pieces; False where one of them shows that the text can't be cut this way."""
         bodies = []
@@ -72,7 +82,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD.search(text):
+        if ODD.search(text) or self.holds_added(text):
             return self.direct(text).tobytes()
         if self.drops:
             pieces, head = text.split(), b""
