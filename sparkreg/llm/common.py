@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     (tests in local mode) one of our own is made and set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sparkreg-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -29,16 +33,34 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkreg_path = path
+    remember(spark, path)
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes a table of materialize() that nothing reads any more."""
-    path = getattr(df, "_sparkreg_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+_LEFT: dict[str, SparkSession] = {}
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Has a folder that a lazy result still reads deleted when the driver ends, if not before."""
+    if not _LEFT:
+        atexit.register(lambda: [delete(s, p) for p, s in list(_LEFT.items())])
+    _LEFT[path] = spark
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system; at the driver's end, if its JVM still answers."""
+    _LEFT.pop(path, None)
+    with contextlib.suppress(Py4JError, OSError, AttributeError):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_sparkreg_path", None)
+        if path:
+            delete(df.sparkSession, path)
 
 
 def parts(df: DataFrame, rows: int, rows_each: int) -> int:

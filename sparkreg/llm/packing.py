@@ -162,7 +162,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
         if again.select("bin").distinct().count() >= bins:
             discard(again)
             break
-        settled.append(current.filter("gap = 0 or full = 1"))
+        settled.append(materialize(current.filter("gap = 0 or full = 1")))
+        discard(current)
         current = again
         open_bins = current.filter("gap > 0 and full = 0")
     for x in (*settled, current):

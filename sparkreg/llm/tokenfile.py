@@ -3,7 +3,7 @@
 A shard is one Arrow IPC stream of at most SHARD tokens (more only for a single longer document):
 
     input_ids  fixed_size_list<uint16 or uint32>[length]   ids, in document order
-    mask       fixed_size_list<bool>[length]                false where the last sequence is filled up
+    mask       fixed_size_list<uint8>[length]               0 where the last sequence is filled up, else 1
     docs       list<struct<doc_id, n>>                      documents that begin in this sequence, with their ids
 
 All batches but the last have BATCH sequences and no nulls, so sequence i of a memory-mapped file is
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, shared_dir
+from .common import delete, materialize, shared_dir
 from .tokens import encoder
 
 LENGTH = 1024
@@ -45,7 +45,7 @@ def schema_of(length: int, width: int, meta: dict) -> pa.Schema:
     return pa.schema(
         [
             pa.field("input_ids", pa.list_(ids, length), nullable=False),
-            pa.field("mask", pa.list_(pa.bool_(), length), nullable=False),
+            pa.field("mask", pa.list_(pa.uint8(), length), nullable=False),
             pa.field("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64())]))),
         ],
         metadata={k: str(v) for k, v in meta.items()},
@@ -70,7 +70,7 @@ def to_stream(docs: list[tuple[int | None, np.ndarray]], length: int, width: int
         for lo in range(0, rows, BATCH):
             hi = min(lo + BATCH, rows)
             ids = pa.FixedSizeListArray.from_arrays(pa.array(values[lo * length : hi * length]), length)
-            mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(lo * length, hi * length) < n), length)
+            mask = pa.FixedSizeListArray.from_arrays(pa.array((np.arange(lo * length, hi * length) < n).view(np.uint8)), length)
             first, last = int(begins[lo]), int(begins[hi])
             lists = pa.ListArray.from_arrays(pa.array((begins[lo : hi + 1] - first).astype(np.int32)), entries.slice(first, last - first))
             out.write_batch(pa.RecordBatch.from_arrays([ids, mask, lists.cast(schema.field(2).type)], schema=schema))
@@ -87,11 +87,11 @@ def open_shard(source) -> tuple[dict, list[pa.RecordBatch]]:
 
 
 def sequence(batches: list[pa.RecordBatch], i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence i of a shard and its mask; the ids are a view of the file's bytes."""
+    """Sequence i of a shard and its mask, both as views of the file's bytes."""
     b = batches[i // BATCH]
-    ids, mask = b.column(0), b.column(1)
-    n, k = ids.type.list_size, i % BATCH + ids.offset
-    return ids.values.to_numpy()[k * n : (k + 1) * n], mask.values.slice(k * n, n).to_numpy(zero_copy_only=False)
+    n = b.column(0).type.list_size
+    view = lambda x: x.values.to_numpy(zero_copy_only=True)[(i % BATCH + x.offset) * n :][:n]
+    return view(b.column(0)), view(b.column(1)).view(np.bool_)
 
 
 def shard_documents(source) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -145,6 +145,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         .mapInArrow(_shards(tokenizer, end_id, length, width, shard), "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", "\u0000")
+        .option("compression", "none")
         .option("maxRecordsPerFile", 1)
         .text(folder)
     )
@@ -175,6 +176,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
     files = spark.read.format("binaryFile").load(folder).select("content")
+    # read twice: for the totals and for the rows
     found = materialize(files.mapInArrow(_digest, "part long, shard long, doc_id long, at long, n_tokens long, ids_crc32 long"))
     totals = found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -197,4 +199,6 @@ def op3_token_file(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, folder, tokenizer)
-    return read_tokens(docs.sparkSession, folder)
+    out = read_tokens(docs.sparkSession, folder)
+    delete(docs.sparkSession, folder)  # the query wants the digest alone, and that is written
+    return out
