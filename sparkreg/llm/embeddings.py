@@ -15,7 +15,8 @@ never pairs: rows grow with nodes, not with the square of a group.
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components, and those
 with a null label or a null vec_id, link with nothing (no links, component_id = vec_id); vectors of
 different lengths do not link; repeated rows are vectors of their own that link with each other;
-other columns are ignored.
+rows of equal vec_id and other vectors are vectors of their own too, each with its own links (a node is
+known by a number of its own, a component by the smallest vec_id in it); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import discard, materialize, parts
 from .graph import components, local_components
 
 THRESHOLD = 0.98
@@ -81,20 +82,20 @@ def _by_dim(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray
 def _hash(k: int, tables: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rep, label = b.column(0).to_numpy(), b.column(1).to_pylist()
+            node, label = b.column(0).to_numpy(), b.column(1).to_pylist()
             for rows, x in _by_dim(b, 2):
                 group = np.array([xxhash.xxh3_64_intdigest(f"{label[r]}/{x.shape[1]}") >> 1 for r in rows], dtype=np.int64)
                 with np.errstate(over="ignore"):
                     key = (keys(x, k, tables) * 31 + np.arange(tables)) * 0x9E3779B1 + group[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(rep[rows], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(key.ravel())],
-                    ["rep", "t", "key"],
+                    [pa.array(np.repeat(node[rows], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(key.ravel())],
+                    ["node", "t", "key"],
                 )
 
     return hashed
 
 
-def _block(rep, mult, chunk, x, sig, table, threshold):
+def _block(node, mult, chunk, x, sig, table, threshold):
     """Links within a block: how many vectors each node links to, and a spanning forest."""
     s = x @ x.T
     a, b = np.nonzero(np.triu(s >= threshold, 1))
@@ -104,14 +105,14 @@ def _block(rep, mult, chunk, x, sig, table, threshold):
     if table:
         new = ~(sig[a, :table] == sig[b, :table]).any(axis=1)
         a, b = a[new], b[new]
-    n = len(rep)
+    n = len(node)
     links = np.bincount(a, mult[b], n) + np.bincount(b, mult[a], n)
     lab = local_components(n, a, b)
     hit, joined = np.flatnonzero(links), np.flatnonzero(lab != np.arange(n))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.r_[rep[hit], rep[joined]]),
-            pa.array(np.r_[np.zeros(len(hit), np.int64), rep[lab[joined]]], mask=np.r_[np.ones(len(hit), bool), np.zeros(len(joined), bool)]),
+            pa.array(np.r_[node[hit], node[joined]]),
+            pa.array(np.r_[np.zeros(len(hit), np.int64), node[lab[joined]]], mask=np.r_[np.ones(len(hit), bool), np.zeros(len(joined), bool)]),
             pa.array(np.r_[links[hit].astype(np.int64), np.zeros(len(joined), np.int64)]),
         ],
         ["u", "v", "n"],
@@ -151,35 +152,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
         "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0"
         " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     )
-    nodes = materialize(
-        rows.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
-    )
+    nodes = rows.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()
     k, tables = plan(n, threshold, miss)
-    hashed = materialize(nodes.select("rep", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(_hash(k, tables), "rep long, t int, key long"))
+    hashed = materialize(nodes.select("node", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(_hash(k, tables), "node long, t int, key long"))
     counts = hashed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     chunks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-    met = hashed.join(counts, "key").withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), chunks.cast("long")).cast("int"))
-    met = met.select("rep", "t", "key", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")).select(
-        F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("b"), "rep", "t", "chunk"
+    met = hashed.join(counts, "key").withColumn("chunk", F.pmod(F.xxhash64("node", "key"), chunks.cast("long")).cast("int"))
+    met = met.select("node", "t", "key", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")).select(
+        F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("b"), "node", "t", "chunk"
     )
-    full = met.join(nodes.select("rep", "mult", "embedding"), "rep").select("b", "rep", "mult", "chunk", "t", "embedding")
+    full = met.join(nodes.select("node", "mult", "embedding"), "node").select("b", "node", "mult", "chunk", "t", "embedding")
     found = materialize(
         full.repartition(parts(full, n, 20_000), "b").sortWithinPartitions("b", "chunk")
         .mapInArrow(_compare(k, tables, threshold), "u long, v long, n long")
     )
+    discard(hashed)
+    # a component is named by its least (vec_id, node): nodes of equal vec_id stay apart
+    name = nodes.select(F.struct("rep", "node").alias("name"), "node")
+    ends = found.filter("v is not null").select("u", "v")
+    ends = ends.join(name.select(F.col("node").alias("u"), F.col("name").alias("nu")), "u").join(name.select(F.col("node").alias("v"), F.col("name").alias("nv")), "v")
+    comp = components(ends.select(F.col("nu").alias("u"), F.col("nv").alias("v")))
+    comp = comp.select(F.col("node.node").alias("_k"), F.col("component.rep").alias("component"))
     links = found.groupBy("u").agg(F.sum("n").alias("links"))
-    comp = components(found.filter("v is not null").select("u", "v"))
     node = (
-        nodes.join(links, nodes.rep == links.u, "left").join(comp, nodes.rep == comp.node, "left")
+        nodes.join(links, nodes.node == links.u, "left").join(comp, nodes.node == comp._k, "left")
         .select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
     )
-    out = rows.withColumn("_key", F.when(sound, F.col("embedding")))
-    out = out.join(node, (out["label"] == node["_l"]) & (out["_key"] == node["_e"]), "left")
-    component = F.coalesce("_c", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("_n", F.lit(0)).alias("n_links"), component.alias("component_id"),
-        F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"),
+    good = rows.filter(sound)
+    good = good.join(node, (good["label"] == node["_l"]) & (good["embedding"] == node["_e"])).select("vec_id", "_n", F.col("_c"))
+    bad = rows.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("_n"), F.col("vec_id").alias("_c"))
+    return good.unionByName(bad).select(
+        "vec_id", F.col("_n").alias("n_links"), F.col("_c").alias("component_id"), F.coalesce(F.col("_c") == F.col("vec_id"), F.lit(False)).alias("kept")
     )
 
 

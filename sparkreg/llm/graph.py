@@ -33,8 +33,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u long, v long) -> (node, component): component is the smallest id reachable; nodes
-    without an edge to another node do not appear.
+    """edges (u, v), of longs or of structs that can be ordered -> (node, component): component is the
+    smallest id reachable; nodes without an edge to another node do not appear.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is one min per node
     and one join back, so a hub is a skewed join, which adaptive execution splits. The number of
