@@ -16,8 +16,9 @@ in several components, all pairs between those; a large block of texts that are
 similarity is compared pair by pair.
 
 Nulls and edges: a null or blank text has fingerprint zero, which links like any other; rows with
-a null doc_id keep a fingerprint but never give a component its id; repeated rows share one
-component; other columns are ignored.
+a null doc_id link like others but give a component its id only where it has no other (null then);
+repeated rows share one component; rows of equal doc_id and unlike texts are nodes of their own, each
+in the component of its own text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def _compare(fp, planes, q, w, end, radius, width) -> Iterator[tuple[np.ndarray,
 
 def _links(radius: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(block: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        def flush(block: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             size = np.diff(np.r_[cut, len(block)])
             start, end = np.repeat(cut, size), np.repeat(cut + size, size)
@@ -180,20 +181,20 @@ def _links(radius: int):
                     b = lab[a]
             lab = local_components(len(fp), a, b)
             a = np.flatnonzero(lab != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[lab[a]])], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[lab[a]])], ["u", "v"])
 
         held, rows = [], 0
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(3)]
+            cols = [batch.column(k).to_numpy() for k in range(2)]
             held.append(cols)
             rows += len(cols[0])
             if rows < FLUSH:
                 continue
-            block, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
+            block, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             keep = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
             if keep:
-                yield flush(block[:keep], fp[:keep], rep[:keep])
-            held, rows = [[block[keep:], fp[keep:], rep[keep:]]], len(block) - keep
+                yield flush(block[:keep], fp[:keep])
+            held, rows = [[block[keep:], fp[keep:]]], len(block) - keep
         if rows:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -216,29 +217,32 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK, s
     radius bits is linked; copies meet once, as one fingerprint."""
     spark = docs.sparkSession
     fps = materialize(fingerprints(docs, shingle))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = nodes.count()
     masks = _tables(n, radius)
     entries = nodes.select(
         "fp",
-        "rep",
         F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("e"),
-    ).select("fp", "rep", "e.t", "e.k")
+    ).select("fp", "e.t", "e.k")
     counts = entries.groupBy("t", "k").agg(F.count("*").alias("c")).filter("c > 1")
     met = entries.join(counts, ["t", "k"])
     chunks = F.ceil(F.col("c") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("fp", "t"), chunks.cast("long")).cast("int")
     met = met.select(
-        "fp", "rep", "t", "k", mine.alias("r"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("s")
-    ).select("fp", "rep", F.xxhash64("t", "k", F.least("r", "s"), F.greatest("r", "s")).alias("b"))
+        "fp", "t", "k", mine.alias("r"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("s")
+    ).select("fp", F.xxhash64("t", "k", F.least("r", "s"), F.greatest("r", "s")).alias("b"))
     edges = (
         met.repartition(parts(met, n * len(masks), FLUSH), "b")
         .sortWithinPartitions("b", "fp")
-        .select("b", "fp", "rep")
+        .select("b", "fp")
         .mapInArrow(_links(radius), "u long, v long")
     )
-    comp = components(edges)
-    found = nodes.join(comp, nodes.rep == comp.node, "left").select(
+    # a component is named by its least (doc_id, fingerprint), null doc_ids last: nodes of equal doc_id stay apart
+    name = nodes.select("fp", F.struct(F.col("rep").isNull().alias("none"), "rep", "fp").alias("name"))
+    edges = edges.join(name.select(F.col("fp").alias("u"), F.col("name").alias("nu")), "u").join(name.select(F.col("fp").alias("v"), F.col("name").alias("nv")), "v")
+    comp = components(edges.select(F.col("nu").alias("u"), F.col("nv").alias("v")))
+    comp = comp.select(F.col("node.fp").alias("_fp"), F.col("component.rep").alias("component"))
+    found = nodes.join(comp, nodes.fp == comp._fp, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return fps.join(found, "fp", "left").select("doc_id", "fp", "component_id")
