@@ -2,18 +2,22 @@
 
 A text is lower-cased (A-Z), and what is not a word becomes one space. Rules are regular expressions
 over that, each with a keyword, a priority and a weight. Keywords gate: a text without any anchor
-word meets no rule, and a rule runs only where its keyword stands. Of the detections, one is
+word meets no rule, and a family of rules runs only where its keyword and the words that its
+expressions begin with stand. A detection's interval is its words' numbers: matches are marked in
+place, so that the interval is where the rule matched and nowhere else. Of the detections, one is
 suppressed where another covers its whole interval with a higher priority, or with the same priority
-and a longer interval, or the same interval and an earlier rule. The score is one minus the product
-of (1 - weight) over the labels left, each with its best rule.
+and a longer interval, or the same interval and an earlier rule: in order of start, longest first,
+each is held against the farthest ends so far of its own and higher priorities, in one pass. The
+score is one minus the product of (1 - weight) over the labels left, each with its best rule.
 
 Nulls and edges: a null text is empty; texts of any length are scanned whole; rows with equal or
-null doc_id are scanned one by one; other columns are ignored. Suppression compares the detections
-of one text with each other.
+null doc_id are scanned one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,37 +185,80 @@ def _place(norm: Column, phrase: str, last: bool) -> Column:
     return F.when(at > 0, _spaces(F.substring(norm, F.lit(1), F.length(norm) - at - len(found) + 1)))
 
 
+#: start, minus the end, minus the priority, rule: the order in which suppression goes through them.
+DETECTION = "struct<s:int,ne:int,np:int,rule:int,label:string,weight:double>"
+#: Detections that one inner fold of suppression takes.
+FOLD = 256
+
+
+def _literal(regex: str) -> str:
+    """What every match of a rule's expression begins with, as far as that is plain text."""
+    depth = 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return ""
+    plain = re.match("[a-z0-9 ]*", regex).group()
+    return plain[:-1] if regex[len(plain) : len(plain) + 1] in ("?", "*", "{") else plain
+
+
+def families() -> dict[tuple[str, str], list[int]]:
+    """Numbers of the rules of each keyword and beginning."""
+    out: dict[tuple[str, str], list[int]] = {}
+    for k, (_, _, keyword, regex) in enumerate(rules()):
+        out.setdefault((keyword, _literal(regex[3:-5])), []).append(k)
+    return out
+
+
 def _detections(norm: str, table: str) -> Column:
-    """Detections of one text as an array of structs (s, e, label, pri, rule, weight)."""
-    kind = "array<struct<s:int,e:int,label:string,pri:int,rule:int,weight:double>>"
+    """Detections of one text as an array of structs. A match begins with a space, so that marks put
+    around it stand at the ends of the word before it and of its last word."""
+    marked = lambda mark: f"filter(transform(ws, (w, i) -> if(contains(w, chr({mark})), i, null)), i -> i is not null)"
     return F.expr(f"""
-      flatten(transform(filter({table}, r -> contains({norm}, r.keyword)), r ->
-        aggregate(
-          regexp_extract_all({norm}, r.regex, 0),
-          named_struct('at', 1, 'found', cast(array() as {kind})),
-          (acc, m) -> named_struct(
-            'at', cast(locate(m, {norm}, acc.at) + length(m) as int),
-            'found', concat(acc.found, array(named_struct(
-              's', cast(locate(m, {norm}, acc.at) as int), 'e', cast(locate(m, {norm}, acc.at) + length(m) as int),
-              'label', r.label, 'pri', r.pri, 'rule', r.rule, 'weight', r.weight)))),
-          acc -> acc.found)))
+      array_sort(flatten(transform(
+        flatten(transform(
+          filter({table}, f -> contains({norm}, f.keyword) and contains({norm}, f.literal)),
+          f -> filter(f.rules, r -> {norm} rlike r.regex))),
+        r -> flatten(transform(
+          array(split(regexp_replace({norm}, r.regex, concat(chr(1), '$0', chr(2))), ' ')),
+          ws -> zip_with({marked(1)}, {marked(2)}, (s, e) -> named_struct(
+            's', s, 'ne', -e, 'np', -r.pri, 'rule', r.rule, 'label', r.label, 'weight', r.weight)))))))
     """)
 
 
-def _stronger(o: str, d: str) -> str:
-    return (
-        f"{o}.s <= {d}.s AND {o}.e >= {d}.e AND ({o}.pri > {d}.pri OR ({o}.pri = {d}.pri AND"
-        f" ({o}.e - {o}.s > {d}.e - {d}.s OR ({o}.e - {o}.s = {d}.e - {d}.s AND {o}.rule < {d}.rule))))"
-    )
+def _kept(found: str) -> Column:
+    """Sorted detections without the suppressed ones. m<p> is the farthest end of those before with a
+    priority of p or more: such a one that reaches d's end covers d and is stronger. Folds in two
+    levels, as an array that grows by one element is copied each time."""
+    levels = (HINT, NAME, VERSION, NOTICE)
+    state = lambda f: ", ".join(f"'m{p}', {f(p)}" for p in levels)
+    reach = "case -d.np " + " ".join(f"when {p} then st.m{p}" for p in levels) + " end"
+    return F.expr(f"""
+      flatten(aggregate(
+        sequence(0, int((size({found}) - 1) / {FOLD})),
+        named_struct({state(lambda p: "-1")}, 'parts', cast(array() as array<array<{DETECTION}>>)),
+        (acc, k) -> aggregate(
+          slice({found}, k * {FOLD} + 1, {FOLD}),
+          named_struct({state(lambda p: f"acc.m{p}")}, 'kept', cast(array() as array<{DETECTION}>)),
+          (st, d) -> named_struct(
+            {state(lambda p: f"if(-d.np >= {p}, greatest(st.m{p}, -d.ne), st.m{p})")},
+            'kept', if({reach} >= -d.ne, st.kept, concat(st.kept, array(d)))),
+          st -> named_struct({state(lambda p: f"st.m{p}")}, 'parts', concat(acc.parts, array(st.kept)))),
+        acc -> acc.parts))
+    """)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and detections: the
-    kept ones with their intervals in the normalised text."""
+    kept ones with their first word and the word after their last, counted from 0."""
+    every_rule = [
+        F.struct(F.lit(a).alias("label"), F.lit(b).alias("pri"), F.lit(d).alias("regex"), F.lit(k).alias("rule"), F.lit(WEIGHT[b]).alias("weight"))
+        for k, (a, b, _, d) in enumerate(rules())
+    ]
     table = F.array(
         *[
-            F.struct(F.lit(a).alias("label"), F.lit(b).alias("pri"), F.lit(c).alias("keyword"), F.lit(d).alias("regex"), F.lit(k).alias("rule"), F.lit(WEIGHT[b]).alias("weight"))
-            for k, (a, b, c, d) in enumerate(rules())
+            F.struct(F.lit(keyword).alias("keyword"), F.lit(literal).alias("literal"), F.array(*[every_rule[k] for k in numbers]).alias("rules"))
+            for (keyword, literal), numbers in families().items()
         ]
     )
     norm = F.col("_norm")
@@ -222,14 +269,13 @@ def scan(docs: DataFrame) -> DataFrame:
     x = x.select("doc_id", "_norm", F.greatest(_spaces(norm) - 1, F.lit(0)).alias("n_words"), gate.alias("_gate"))
     phrases = list(BASE)
     count = [F.regexp_count(norm, F.lit(f"(?<= ){p}(?= )")).cast("long") for p in phrases]
-    kind = "array<struct<s:int,e:int,label:string,pri:int,rule:int,weight:double>>"
     shut = lambda on, off: F.when(F.col("_gate"), on).otherwise(off)
     x = x.withColumn("_rules", F.when(F.col("_gate"), table)).select(
         "doc_id", "n_words",
         *[shut(c, F.lit(0).cast("long")).alias(f"_n{k}") for k, c in enumerate(count)],
         *[shut(_place(norm, p, False), F.lit(None)).alias(f"_f{k}") for k, p in enumerate(phrases)],
         *[shut(_place(norm, p, True), F.lit(None)).alias(f"_l{k}") for k, p in enumerate(phrases)],
-        F.coalesce(_detections("_norm", "_rules"), F.array().cast(kind)).alias("_all"),
+        F.coalesce(_detections("_norm", "_rules"), F.array().cast(f"array<{DETECTION}>")).alias("_all"),
     )
     every = range(len(phrases))
     base = F.filter(F.array(*[F.when(F.col(f"_n{k}") > 0, F.lit(BASE[p])) for k, p in enumerate(phrases)]), lambda v: v.isNotNull())
@@ -237,7 +283,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", sum((F.col(f"_n{k}") for k in every), F.lit(0).cast("long")).alias("n_base"),
         F.least(*[F.col(f"_f{k}") for k in every]).alias("first_word"), F.greatest(*[F.col(f"_l{k}") for k in every]).alias("last_word"),
         F.array_sort(F.array_distinct(base)).alias("_base"),
-        F.expr(f"filter(_all, d -> NOT exists(_all, o -> {_stronger('o', 'd')}))").alias("detections"),
+        _kept("_all").alias("detections"),
     )
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.transform("detections", lambda d: d["label"]))))
     x = x.withColumn("_labels", labels)
@@ -248,7 +294,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """)
     return x.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
-        F.array_join("_labels", ",").alias("labels"), weight.alias("score"), "detections",
+        F.array_join("_labels", ",").alias("labels"), weight.alias("score"),
+        F.expr("transform(detections, d -> named_struct('first', d.s, 'end', -d.ne, 'label', d.label, 'priority', -d.np, 'rule', d.rule))").alias("detections"),
     )
 
 
