@@ -1,25 +1,32 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 A window of 13 words goes where an equal window starts in a document with a smaller doc_id. Equal
-windows are the suffixes below one deep node (13 words or more) of the suffix tree of all texts.
+windows are the suffixes below one deep node (13 words or more) of the suffix tree of all texts, and
+the places that the deep nodes of a text's suffixes cover in a row are its maximal repeats.
 
 1. Prune. Every window has an anchor, the least of its 5-word hashes, so that equal windows have
    equal anchors and neighbours mostly share theirs. Anchors that occur in one document only lie in
    no repeat across documents; their suffixes are leaves and are never sent.
-2. Partition. Suffixes of the remaining windows go by their anchor's words, about a fifth of all
-   positions, each with the words around it. Where many documents share an anchor, the prefix
-   that parts them is longer: all 13 words of the window.
-3. Build. A group's suffixes are split top-down, two words at a time; a part with one suffix is
-   dropped, what is left together at 13 words is a deep node. The same is done first within each
-   task, before anything is sent: there all but the first document of a node are settled at once,
-   and only that first one goes on. So a passage that a third of all documents share costs one
-   record a task.
-4. Cut. Positions of settled windows come back by document and their words are removed.
+2. Partition. A suffix is sent as its first 13 words, 64 bits each in the order of their bytes. The
+   suffixes are counted and cut into ranges of their words of GROUP suffixes or so: a range is a set
+   of prefixes, each as long as is needed to part it from the next range. Suffixes with the same 13
+   words are never parted.
+3. Build. Sorted, a range is the leaves of its subtree from left to right, and the lengths of the
+   prefixes that neighbours share are the depths of its internal nodes: those of 13 words and more
+   are found by one walk that remembers no more than the leaf before. The same is done first within
+   each task, before anything is sent: there all but the first document of a node are settled at
+   once, and only that first one goes on, with all its places in one record. So a passage that a
+   third of all documents share costs one record a task.
+4. Cut. Places of settled windows come back by row and their words are removed.
+
+Memory: a worker holds CHUNK words of texts (or one longer text) and the records that they give, a
+bucket of anchors (the number of buckets follows the size of all texts), or one Arrow batch of sorted
+suffixes; none grows with the input.
 
 Nulls and edges: a null text has no words; texts under 13 words lose nothing; rows with a null doc_id
-lose nothing and take nothing from others; rows of equal doc_id are one document
-and take nothing from one another; if their texts differ, each loses the places found in any of them; very long texts are one row and one list of positions; other
-columns are ignored.
+lose nothing and take nothing from others; rows of equal doc_id take nothing from one another, and
+each loses only what its own text repeats; very long texts are one row and one list of places; other
+columns are ignored. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,18 +41,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, parts
 
 WINDOW = 13
 ANCHOR = 5
-#: Documents of all, and of one task's chunk, that may share an anchor before its prefix lengthens.
-HOT = 50_000
+#: Suffixes that a group is to have.
+GROUP = 500_000
+#: Documents of one task's chunk that may share an anchor before one of them stands for all.
 LOCAL_HOT = 8
-#: Words, and runs of windows, that a task holds before it sends what it has.
-CHUNK = 4_000_000
-RUNS = 60_000
-#: Anchors and suffixes are dealt by hash to so many buckets for each shuffle partition.
+#: Words that a task holds before it sends what it has.
+CHUNK = 2_000_000
+#: Records in a batch that a task sends.
+SEND = 1 << 14
+#: Anchors are dealt by hash to so many buckets for each partition, and a partition is for so many bytes of text.
 BUCKETS = 4
+PART_BYTES = 64 << 20
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -85,46 +95,6 @@ def anchors(ids: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.
     return at, h
 
 
-def deep_nodes(words: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Node of each suffix (rows of at least depth word ids) of a group of suffix trees: suffixes
-    with the same depth words have the same number, others -1. Top-down, two words at a time; a
-    suffix alone in its part is a leaf and goes no deeper."""
-    node = np.full(len(words), -1, dtype=np.int64)
-    live = np.arange(len(words))
-    part = np.zeros(len(words), dtype=np.uint64)
-    for d in range(0, depth, 2):
-        key = part * M1 + words[live, d] * M2
-        if d + 1 < depth:
-            key = mix(key) + words[live, d + 1]
-        key = mix(key)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        number = np.cumsum(new) - 1
-        many = np.bincount(number)[number] > 1
-        live, part = live[order][many], number[many].astype(np.uint64)
-        if not len(live):
-            return node
-    node[live] = part.astype(np.int64)
-    return node
-
-
-def settle(node: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which suffixes are settled (their node has a smaller document), and which are of the node's
-    first document. Suffixes without a node are the first of their own."""
-    first = doc.copy()
-    hit = node >= 0
-    if hit.any():
-        low = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, node[hit], doc[hit])
-        first[hit] = low[node[hit]]
-    return doc > first, doc == first
-
-
-#: A run of windows as sent: its document, the place of its first window, which of its windows are
-#: open, and the words they span.
-SPAN = 2 * WINDOW - ANCHOR
-SENT = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("first", "i1"), ("last", "i1"), ("words", "<u4", (SPAN,))])
 SEEN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("hot", "?")])
 
 
@@ -143,12 +113,13 @@ def _batch(rows: list[tuple[int, bytes]], name: str = "bucket") -> pa.RecordBatc
     )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes | None]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text, ...) of rows with both; texts as bytes."""
     for b in batches:
-        extra = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-        for doc, text, x in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary()).to_pylist(), extra, strict=True):
+        extra = [b.column(k).to_pylist() for k in range(2, b.num_columns)]
+        for doc, text, *x in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary()).to_pylist(), *extra, strict=True):
             if doc is not None and text:
-                yield doc, text, x
+                yield doc, text, *x
 
 
 def _seen(buckets: int, local_hot: int):
@@ -173,7 +144,7 @@ def _seen(buckets: int, local_hot: int):
             if len(told):
                 yield _batch([(k + buckets, x) for k, x in _deal(told, told["doc"].astype(np.uint64), buckets)])
 
-        for doc, text, _ in _texts(batches):
+        for doc, text in _texts(batches):
             ids = word_ids(text)
             at, h = anchors(ids)
             if not len(at):
@@ -205,8 +176,8 @@ def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]
         yield last, b"".join(held)
 
 
-def _shared(hot: int, buckets: int):
-    """Anchors that two documents or more have, by document: doc_id and packed hashes and hot flags."""
+def _shared(buckets: int):
+    """Anchors that two documents or more have, by document: doc_id and packed hashes."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, data in _buckets_of(batches):
@@ -217,131 +188,128 @@ def _shared(hot: int, buckets: int):
                 size = np.diff(np.r_[cut, len(x)])
                 any_hot = np.logical_or.reduceat(x["hot"], cut)
                 more = any_hot | (np.maximum.reduceat(x["doc"], cut) != x["doc"][cut])
-                answer = np.repeat(more, size) & ~x["hot"]
-                is_hot = np.repeat(any_hot | (size > hot), size)[answer]
-                x = x[answer].copy()
-                x["hot"] = is_hot
+                x = x[np.repeat(more, size) & ~x["hot"]]
             if len(x):
                 x = x[np.argsort(x["doc"], kind="stable")]
                 cut = np.flatnonzero(np.r_[True, x["doc"][1:] != x["doc"][:-1]])
-                flags = [x["h"][s:e].tobytes() + x["hot"][s:e].tobytes() for s, e in zip(cut, np.r_[cut[1:], len(x)], strict=True)]
+                flags = [x["h"][s:e].tobytes() for s, e in zip(cut, np.r_[cut[1:], len(x)], strict=True)]
                 yield _batch(list(zip(x["doc"][cut].tolist(), flags, strict=True)), "doc_id")
 
     return shared
 
 
-def _flags(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, hot = [], []
-    for p in pieces:
-        n = len(p) // 9
-        h.append(np.frombuffer(p[: 8 * n], np.uint64))
-        hot.append(np.frombuffer(p[8 * n :], bool))
-    h, hot = np.concatenate(h), np.concatenate(hot)
-    order = np.argsort(h)
-    return h[order], hot[order]
-
-
-def expand(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of records: document, place, 13 words."""
-    width = (rec["last"] - rec["first"] + 1).astype(np.int64)
-    at = np.repeat(np.arange(len(rec)), width)
-    off = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width) + rec["first"][at]
-    words = rec["words"][at[:, None], off[:, None] + np.arange(WINDOW)]
-    return rec["doc"][at], rec["pos"][at] + off, words, at
-
-
-def _settled_batch(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
-    if not len(doc):
-        return None
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order].astype("<i4")
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    rows = [(int(doc[s]), pos[s:e].tobytes()) for s, e in zip(cut, np.r_[cut[1:], len(doc)], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([-1] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-        ["bucket", "doc_id", "data"],
-    )
-
-
-def _suffixes(buckets: int):
-    """Windows with a shared anchor, settled within the task as far as that goes. Rows with bucket -1
-    are settled positions of a document; the others are suffixes on their way to their group."""
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recs: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        n = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            rec, key = np.concatenate(recs), np.concatenate(keys)
-            doc, pos, words, at = expand(rec)
-            gone, first = settle(deep_nodes(words.astype(np.uint64)), doc)
-            out = _settled_batch(doc[gone], pos[gone])
-            if out is not None:
-                yield out
-            # a record goes on with the windows that are still open
-            low, high = np.full(len(rec), 127), np.full(len(rec), -1)
-            off = pos - rec["pos"][at]
-            np.minimum.at(low, at[first], off[first])
-            np.maximum.at(high, at[first], off[first])
-            rec, live = rec.copy(), high >= 0
-            rec["first"], rec["last"] = np.where(live, low, 0), np.where(live, high, -1)
-            rec, key = rec[live], key[live]
-            if len(rec):
-                rows = list(_deal(rec, key, buckets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    ["bucket", "doc_id", "data"],
-                )
-
-        for doc, text, flags in _texts(batches):
-            ids = word_ids(text)
-            at, h = anchors(ids)
-            if flags is None or not len(at):
-                continue
-            want, hot = _flags(flags)
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            ends = np.r_[starts[1:], len(at)]
-            mine = h[at[starts]]
-            place = np.minimum(np.searchsorted(want, mine), len(want) - 1)
-            found = want[place] == mine
-            starts, ends, mine, hot = starts[found], ends[found], mine[found], hot[place[found]]
-            if not len(starts):
-                continue
-            if hot.any():  # a record for each window, which its 13 words part from the others
-                width = np.where(hot, ends - starts, 1)
-                again = np.repeat(np.arange(len(starts)), width)
-                step = np.arange(len(again)) - np.repeat(np.cumsum(width) - width, width)
-                is_hot = hot[again]
-                s = np.where(is_hot, starts[again] + step, starts[again])
-                e = np.where(is_hot, s + 1, ends[again])
-                mine = np.where(is_hot, gram(ids, WINDOW)[s], mine[again])
-                starts, ends = s, e
-            rec = np.zeros(len(starts), dtype=SENT)
-            rec["doc"], rec["pos"], rec["last"] = doc, starts, ends - starts - 1
-            padded = np.r_[ids, np.zeros(SPAN, np.uint64)].astype(np.uint32)
-            rec["words"] = padded[starts[:, None] + np.arange(SPAN)]
-            recs.append(rec)
-            keys.append(mine)
-            n += len(rec)
-            if n >= RUNS:
-                yield from send()
-                recs, keys, n = [], [], 0
-        if recs:
-            yield from send()
-
-    return suffixes
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary array of the bytes of values[cuts[k] : cuts[k + 1]]."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+NAMES = ["words", "doc_id", "t", "places"]
+SUFFIX = "words binary, doc_id long, t long, places binary"
+
+
+class Chunk:
+    """Texts of a task whose suffixes are settled among themselves before the rest is sent."""
+
+    def __init__(self):
+        self.held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, doc: int, t: int, ids: np.ndarray, starts: np.ndarray) -> None:
+        self.held.append((doc, t, ids, starts))
+        self.n += len(ids)
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        """Records without words: settled places of a row; records with words: an open suffix, all
+        its places in a row."""
+        self.held.sort(key=lambda x: x[:2])
+        size = np.array([len(x[2]) for x in self.held])
+        base = np.cumsum(size) - size
+        count = np.array([len(x[3]) for x in self.held])
+        doc, t = np.array([x[0] for x in self.held]), np.array([x[1] for x in self.held])
+        ids = np.concatenate([x[2] for x in self.held])
+        row = np.repeat(np.arange(len(count)), count)
+        pos = np.concatenate([x[3] for x in self.held]).astype(np.int64)
+        self.held, self.n = [], 0
+        # leaves in the order of their words' hash, then of row and place; neighbours are held against each other
+        at = base[row] + pos
+        h = gram(ids, WINDOW)[at]
+        order = np.argsort(h, kind="stable")
+        at, row, pos, h = at[order], row[order], pos[order], h[order]
+        same = np.flatnonzero(h[1:] == h[:-1])
+        for k in range(WINDOW):
+            same = same[ids[at[same] + k] == ids[at[same + 1] + k]]
+        new = np.ones(len(at), dtype=bool)
+        new[same + 1] = False
+        first = doc[row][np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone = doc[row] > first
+        if gone.any():
+            back = np.flatnonzero(gone)
+            back = back[np.argsort(row[back], kind="stable")]
+            cut = np.flatnonzero(np.r_[True, row[back[1:]] != row[back[:-1]]])
+            who = row[back[cut]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(cut), pa.binary()), pa.array(doc[who]), pa.array(t[who]), _packed(pos[back].astype("<i4"), np.r_[cut, len(back)])], NAMES
+            )
+        new[1:] |= row[1:] != row[:-1]
+        at, row, pos, new = at[~gone], row[~gone], pos[~gone], new[~gone]
+        cut = np.r_[np.flatnonzero(new), len(at)]
+        for s in range(0, len(cut) - 1, SEND):
+            part = cut[s : s + SEND + 1]
+            who, n = row[part[:-1]], len(part) - 1
+            words = ids[at[part[:-1], None] + np.arange(WINDOW)].astype(">u8")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    _packed(words.reshape(-1), np.arange(n + 1) * WINDOW), pa.array(doc[who]), pa.array(t[who]),
+                    _packed(pos[part[0] : part[-1]].astype("<i4"), part - part[0]),
+                ],
+                NAMES,
+            )
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settles the suffixes of each group."""
-    for _, data in _buckets_of(batches):
-        rec = np.frombuffer(data, dtype=SENT)
-        doc, pos, words, _ = expand(rec)
-        gone, _ = settle(deep_nodes(words.astype(np.uint64)), doc)
-        out = _settled_batch(doc[gone], pos[gone])
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([out.column(1), out.column(2)], ["doc_id", "data"])
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes whose window has a shared anchor, settled within the task as far as that goes."""
+    chunk = Chunk()
+    for doc, text, t, flags in _texts(batches):
+        ids = word_ids(text)
+        at, h = anchors(ids)
+        want = np.sort(np.frombuffer(b"".join(flags), np.uint64)) if flags else np.zeros(0, np.uint64)
+        if not len(at) or not len(want):
+            continue
+        mine = h[at]
+        starts = np.flatnonzero(want[np.minimum(np.searchsorted(want, mine), len(want) - 1)] == mine)
+        if len(starts):
+            chunk.add(doc, t, ids, starts)
+        if chunk.n >= CHUNK:
+            yield from chunk.send()
+    if chunk.held:
+        yield from chunk.send()
+
+
+def shared_words(words: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """How many first words each row of sorted suffixes shares with the row before it."""
+    last = np.concatenate([words[:1] if before is None else before, words[:-1]])
+    depth = (words == last).cumprod(axis=1).sum(axis=1)
+    if before is None and len(depth):
+        depth[0] = 0
+    return depth
+
+
+def _subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the leaves of a group's subtree (words, doc_id, t, places; sorted): a leaf that shares 13
+    words with the one before is below the same deep node, whose first leaf has the least doc_id."""
+    before, first = None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        words = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").reshape(-1, WINDOW)
+        doc = b.column(1).to_numpy()
+        node = shared_words(words, before) < WINDOW
+        lead = np.where(node, np.arange(len(doc)), -1)
+        lead = np.maximum.accumulate(lead)
+        low = np.where(lead < 0, first, doc[np.maximum(lead, 0)])
+        before, first = words[-1:], int(low[-1])
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3)], NAMES[1:]).filter(pa.array(doc > low))
 
 
 def removal(n: int, data: bytes | None) -> np.ndarray:
@@ -355,22 +323,42 @@ def removal(n: int, data: bytes | None) -> np.ndarray:
     return np.cumsum(hit)[:n] > 0
 
 
-def repeats(docs: DataFrame, hot: int = HOT, local_hot: int = LOCAL_HOT) -> DataFrame:
-    """(doc_id, data): places of each document's windows that a smaller doc_id has, as packed 32-bit
-    integers; documents without any do not appear."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def repeats(docs: DataFrame, group: int = GROUP, local_hot: int = LOCAL_HOT) -> DataFrame:
+    """(doc_id, t, data): places of the windows of a row (doc_id, text of hash t) that a smaller doc_id
+    has, as packed 32-bit integers; rows without any do not appear."""
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parts(texts, size, PART_BYTES)
     buckets = n * BUCKETS
     seen = texts.mapInArrow(_seen(buckets, local_hot), "bucket long, data binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    flags = seen.mapInArrow(_shared(hot, buckets), "doc_id long, data binary")
+    flags = seen.mapInArrow(_shared(buckets), "doc_id long, data binary")
     flags = materialize(flags.groupBy("doc_id").agg(F.collect_list("data").alias("flags")))
-    both = texts.join(flags, "doc_id").select("doc_id", "text", "flags")
-    out = materialize(both.mapInArrow(_suffixes(buckets), "bucket long, doc_id long, data binary"))
-    groups = out.filter("bucket >= 0").select("bucket", "data").repartition(n, "bucket").sortWithinPartitions("bucket")
-    trees = groups.mapInArrow(_trees, "doc_id long, data binary")
-    found = out.filter("bucket < 0").select("doc_id", "data").unionByName(trees)
-    return materialize(found.groupBy("doc_id").agg(F.collect_list("data").alias("data")))
+    both = texts.join(flags, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("t"), "flags")
+    out = materialize(both.mapInArrow(_suffixes, SUFFIX))
+    discard(flags)
+    leaves = out.filter("words is not null")
+    leaves = leaves.repartitionByRange(parts(leaves, leaves.count(), group), "words").sortWithinPartitions("words", "doc_id")
+    found = leaves.mapInArrow(_subtree, "doc_id long, t long, places binary")
+    found = out.filter("words is null").select("doc_id", "t", "places").unionByName(found)
+    found = materialize(found.groupBy("doc_id", "t").agg(F.collect_list("places").alias("data")))
+    discard(out)
+    return found
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, start, length): the maximal repeats that a smaller doc_id has too, as runs of words of
+    the row (doc_id, text of hash t)."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, t, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                pos = np.unique(np.frombuffer(b"".join(data), "<i4")).astype(np.int64)
+                cut = np.flatnonzero(np.r_[True, np.diff(pos) > WINDOW])
+                end = pos[np.r_[cut[1:] - 1, len(pos) - 1]] + WINDOW
+                k = len(cut)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * k), pa.array([t] * k), pa.array(pos[cut]), pa.array(end - pos[cut])], ["doc_id", "t", "start", "length"])
+
+    return repeats(docs).mapInArrow(runs, "doc_id long, t long, start long, length long")
 
 
 def _cut(full: bool):
@@ -395,20 +383,21 @@ def _cut(full: bool):
 
 
 def op9_substring_dedup(docs: DataFrame) -> DataFrame:
-    both = docs.select("doc_id", "text").join(repeats(docs), "doc_id", "left").select("doc_id", "text", "data")
+    texts = docs.select("doc_id", "text").withColumn("t", F.xxhash64("text"))
+    both = texts.join(repeats(docs), ["doc_id", "t"], "left").select("doc_id", "text", "data")
     return both.mapInArrow(_cut(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of their texts: what is left of such a text is joined by
-    single spaces, untouched texts stay as they are, and texts of which nothing is left go."""
-    cols = docs.columns
-    found = repeats(docs).select(F.col("doc_id").alias("_id"), F.col("data").alias("_data"))
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left")
-    cut = F.pandas_udf(_cut_text, "string")("text", "_data")
-    both = both.withColumn("_left", F.when(F.col("_data").isNull(), F.col("text")).otherwise(cut))
-    both = both.filter("_data is null or _left <> ''")
-    return both.select(*[F.col("_left").alias(c) if c == "text" else F.col(f"`{c}`") for c in cols])
+    single spaces, untouched texts stay as they are, and texts of which nothing is left go. A column of
+    any name passes through."""
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    both = rows.join(repeats(docs), ["doc_id", "t"], "left")
+    text = F.col("row")["text"]
+    left = F.when(F.col("data").isNull(), text).otherwise(F.pandas_udf(_cut_text, "string")(text, F.col("data")))
+    both = both.select("row", "data", left.alias("left")).filter("data is null or left <> ''")
+    return both.select(*[F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _cut_text(texts, datas):

@@ -4,9 +4,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparkreg.llm import embeddings, licenses, packing, simhash, tokenfile, tokens
+from sparkreg.llm import embeddings, licenses, packing, simhash, substring, tokenfile, tokens
 
 public = pytest.importorskip("public_tokenizers")
 SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|>", "x <|endoftext", "|endoftext|> y"]
@@ -113,3 +114,44 @@ def test_detections_stand_where_rules_match(spark, fold, monkeypatch):
         strong = lambda d: (d[2], d[1] - d[0], -d[3])
         keep = [d for d in det if not any(o[0] <= d[0] and o[1] >= d[1] and strong(o) > strong(d) for o in det)]
         assert sorted((d["first"], d["end"], d["priority"], d["rule"], d["label"]) for d in r["detections"]) == sorted(keep), texts[r["doc_id"]][:90]
+
+
+def test_substring_rows_of_equal_id_lose_only_their_own(spark):
+    run = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    shared = run("s", 30)
+    rows = [
+        (1, f"x y {run('a', 20)} z", 0, 0, 0), (2, f"x y z {run('a', 20)}", 0, 0, 0), (2, run("q", 40), 0, 0, 0), (2, run("q", 40), 0, 0, 0),
+        (None, run("q", 40), 0, 0, 0), (3, f"{shared} b {shared}", 0, 0, 0), (0, shared, 0, 0, 0), (4, "word " * 200, 0, 0, 0), (5, "word " * 50 + shared, 0, 0, 0), (6, None, 0, 0, 0), (7, "", 0, 0, 0),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _data int, left int, row int").repartition(3)
+    want = [(None, 40, 0), (0, 30, 0), (1, 23, 0), (2, 23, 20), (2, 40, 0), (2, 40, 0), (3, 61, 60), (4, 200, 0), (5, 80, 80), (6, 0, 0), (7, 0, 0)]
+    by = lambda rs: sorted(rs, key=lambda r: tuple(-1 if x is None else x for x in r))
+    for group, hot in ((substring.GROUP, substring.LOCAL_HOT), (3, 1)):
+        old = substring.GROUP, substring.LOCAL_HOT, substring.repeats.__defaults__
+        substring.repeats.__defaults__ = (group, hot)
+        try:
+            got = substring.op9_substring_dedup(df).collect()
+            left = substring.without_repeats(df)
+            kept = left.collect()
+        finally:
+            substring.repeats.__defaults__ = old[2]
+        assert by((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == by(want)
+        assert left.columns == df.columns and len(kept) == len(rows) - 1
+    spans = {(r["doc_id"], r["start"], r["length"]) for r in substring.passages(df).collect()}
+    assert spans == {(2, 3, 20), (3, 0, 30), (3, 31, 30), (5, 0, 50), (5, 50, 30)} or spans == {(2, 3, 20), (3, 0, 30), (3, 31, 30), (5, 0, 80)}
+
+
+def test_subtree_walk_equals_counting():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2, (400, 13)).astype(">u8")
+    words[:, :9] = 1
+    doc = rng.integers(0, 30, 400)
+    order = sorted(range(400), key=lambda k: (words[k].tobytes(), doc[k]))
+    words, doc = words[order], doc[order]
+    least = {}
+    for w, d in zip(words, doc, strict=True):
+        least[w.tobytes()] = min(d, least.get(w.tobytes(), d))
+    table = pa.table({"words": [w.tobytes() for w in words], "doc_id": doc, "t": np.arange(400), "places": [b""] * 400})
+    for size in (400, 7, 1):
+        got = [t for b in substring._subtree(iter(table.to_batches(size))) for t in b.column(1).to_pylist()]
+        assert got == [k for k in range(400) if doc[k] > least[words[k].tobytes()]]
