@@ -1,38 +1,42 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of a text's expressions (words), one of toxic and one of ordinary documents. Counts are
-continuation counts: after how many different words an expression stands in its class, so that
-copies of a document count once. A word is spelled along its beginnings of 3, 4, 5, 6 and 7 letters;
-at each step the class's discounted count of the longer beginning competes with how the whole corpus
-continues the shorter one, counts that both classes share:
-
-    P_c(x | y) = (max(d_c(x) - D, 0) + (A + D) * n_all(x) / n_all(y)) / (d_c(y) + A)
-
-Where a class has not seen y, both classes say the same of x: a rare expression speaks only as far
-as its beginning does.
-
-A document's log-likelihood ratio is divided by its length. A logistic curve over it, over the mean
-of its strongest expressions and over the length turns it into a score; it is fitted on the training
-documents, each scored without its own counts.
-
-Bounds: counts are kept in tables of fixed size (2^20 words, 2^18 beginnings of each length, by
-hash), whatever the corpus holds; shared counts cover all documents; class counts and the curve rest
-on at most FIT_ROWS labelled documents, half of them toxic at most, chosen by a hash of doc_id.
-Labels, language, source and doc_id are no input of a score.
-
-Nulls and edges: a null or blank text has the score of a text without expressions; labels that are
-null are ignored, of several labels of a doc_id the largest counts, of several rows of a doc_id all
-are used; without both classes among the labels every score is the share of toxic labels (0 without
-any). Very long texts are scored whole. Other columns are ignored.
+Two models of a text's words, one of toxic and one of ordinary documents. As Kneser and Ney do for
+what a model backs off to, a word is counted by its contexts: c(w) is the number of different words
+that it follows, so that copies of a passage count once. A class's counts are discounted by DISCOUNT,
+and what that frees goes to the shared distribution, the continuation counts of the whole corpus:
+
+    P_c(w) = (max(c_c(w) - D, 0) + b_c * c_all(w) / C_all) / C_c,   b_c = sum over w of min(c_c(w), D)
+
+A word that no labelled document has is backed off in both classes alike; a rare one speaks only as
+far as its discounted counts outweigh the shared ones. A document's score compares its two
+likelihoods, normalised by length: the power mean of order POWER of P_toxic(w) / P_ordinary(w) over
+its words, whose logarithm one logistic curve turns into a score. (The plain mean of logarithms is the
+limit of order 0; there a few insults vanish among a hundred ordinary words.)
+
+All counts are keyed aggregates by the word's 64-bit hash, without tables of fixed size:
+- class counts, from at most FIT_ROWS labelled documents with at most FIT_CHARS characters together,
+  chosen by a hash of doc_id, half of them toxic at most;
+- shared counts, from all documents: every different pair (word before, word) whose word is in the
+  labelled documents is dealt by its own hash, counted once, and summed by word, so that a word that
+  follows all others is no one's burden. C_all, the number of all different pairs, is estimated from
+  the SKETCH least of their hashes.
+The curve is fitted to a fifth of the labelled documents, scored by counts of the others alone; the
+counts that score are those of all of them.
+
+What is broadcast is a ratio for each word of the chosen labelled documents: 12 bytes for each of at
+most FIT_CHARS / 2 words. Labels, language, source and doc_id are no input of a score.
+
+Nulls and edges: a null or blank text has the score of a text without words; labels that are null are
+ignored, of several labels of a doc_id the largest counts, of several rows of a doc_id all are used;
+without both classes among the labels every score is the share of toxic labels (0 without any). Very
+long texts are scored whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,272 +44,209 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import discard, materialize, parts
 
-STEMS = (7, 6, 5, 4, 3)
-LEVELS = 1 + len(STEMS)
-SIZES = (1 << 20, *[1 << 18] * len(STEMS))
-BASE = tuple(sum(SIZES[:k]) for k in range(LEVELS))
-ALL = sum(SIZES)
-CHUNK = 1 << 14
 DISCOUNT = 0.75
-#: Weight of the shared counts, in counts: within a beginning, and of beginnings.
-BACK, ROOT = 2.0, 1000.0
+POWER = 2
 FIT_ROWS = 24_000
-#: The strongest expressions are the TOP first ones, and those over STRONG, each up to CLIP more.
-TOP, STRONG, CLIP = 2, 3.0, 4.0
-FEATURES = 4
+FIT_CHARS = 200_000_000
 THRESHOLD = 0.3
+#: Least hashes from which the number of different pairs is estimated (standard error 1.6 %).
+SKETCH = 4096
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Words whose places a Python worker remembers.
+#: Words whose hashes a Python worker remembers.
 REMEMBER = 400_000
-#: A word after another: the hash of both, the class, and the word's places in the tables.
-PAIR = np.dtype([("with", "<u8"), ("toxic", "i1"), ("slots", "<i4", (LEVELS,))])
-BUCKETS = 64
+#: Pairs that a task holds before it sends them; a partition of pairs is for so many characters of text.
+CHUNK = 2_000_000
+PART_CHARS = 32 << 20
+BUCKETS = 4
+#: The word before the first.
+START = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Places:
-    """Words met so far: their places in the tables, hashes, and ratios under the last model asked."""
+class Words:
+    """Hashes of the words of texts; those met before are remembered."""
 
     def __init__(self):
-        self.row: dict[str, int] = {}
-        self.slots = np.zeros((0, LEVELS), dtype=np.int32)
-        self.hashes = np.zeros(0, dtype=np.uint64)
-        self.ratios = np.zeros(0, dtype=np.float32)
-        self.model = None
-
-    def learn(self, words: list[str]) -> None:
-        h, at = xxhash.xxh3_64_intdigest, len(self.row)
-        self.row.update(zip(words, range(at, at + len(words)), strict=True))
-        whole = np.fromiter(map(h, words), np.uint64, len(words))
-        slots = np.zeros((len(words), LEVELS), dtype=np.int32)
-        slots[:, 0] = whole % np.uint64(SIZES[0])
-        for j, k in enumerate(STEMS, 1):
-            stem = np.fromiter((h(w[:k]) for w in words), np.uint64, len(words))
-            slots[:, j] = (stem + np.uint64(k)) % np.uint64(SIZES[j]) + np.uint64(BASE[j])
-        self.slots, self.hashes = np.concatenate([self.slots, slots]), np.concatenate([self.hashes, whole])
-
-    def rows(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The words of each text, as rows of slots and hashes; good until the next call."""
-        words = [TOKEN.findall(t.decode("utf-8", "replace").lower()) if t else [] for t in texts]
-        flat = list(chain.from_iterable(words))
-        new = set(flat).difference(self.row)
-        if len(self.row) + len(new) > REMEMBER and self.row:
-            self.__init__()
-            new = set(flat)
+        self.known: dict[str, int] = {}
+
+    def hashes(self, text: bytes | None) -> np.ndarray:
+        words = TOKEN.findall(text.decode("utf-8", "replace").lower()) if text else []
+        if not words:
+            return np.zeros(0, np.uint64)
+        known = self.known
+        new = set(words).difference(known)
         if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
-        return np.split(at, np.cumsum([len(w) for w in words])[:-1]) if words else []
-
-    def ratio(self, model: Model) -> np.ndarray:
-        """Ratios of all words met."""
-        if self.model is not model:
-            self.model, self.ratios = model, np.zeros(0, dtype=np.float32)
-        n = len(self.ratios)
-        if n < len(self.hashes):
-            self.ratios = np.concatenate([self.ratios, model.ratio(self.slots[n:], self.hashes[n:]).astype(np.float32)])
-        return self.ratios
-
-
-def groups(items: list, size: int = 200) -> Iterator[list]:
-    for k in range(0, len(items), size):
-        yield items[k : k + size]
+            if len(known) + len(new) > REMEMBER:
+                known.clear()
+                new = set(words)
+            known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 @cache
-def places() -> Places:
-    return Places()
+def words() -> Words:
+    return Words()
 
 
-def pairs(slots: np.ndarray, hashes: np.ndarray, toxic: int) -> np.ndarray:
-    """What a document adds to continuation counts: its different words with the word before."""
-    before = np.r_[np.zeros(1, np.uint64), hashes[:-1]] if len(hashes) else hashes
-    both, first = np.unique(before * np.uint64(0x9E3779B97F4A7C15) ^ hashes, return_index=True)
-    out = np.zeros(len(both), dtype=PAIR)
-    out["with"], out["toxic"], out["slots"] = both, toxic, slots[first]
-    return out
+def pairs(h: np.ndarray) -> np.ndarray:
+    """Hash of each word with the word before it."""
+    x = (np.r_[START, h[:-1]] if len(h) else h) * MIX + h
+    x = (x ^ (x >> np.uint64(32))) * START
+    return x ^ (x >> np.uint64(29))
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    order = np.lexsort((x["toxic"], x["with"]))
-    x = x[order]
-    return x[np.r_[True, (x["with"][1:] != x["with"][:-1]) | (x["toxic"][1:] != x["toxic"][:-1])]] if len(x) else x
+def _texts(b: pa.RecordBatch, at: int) -> list[bytes | None]:
+    return pc.cast(b.column(at), pa.binary()).to_pylist()
 
 
-def _label_of(ids: np.ndarray, toxic: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Label of each doc, -1 for those not to learn from."""
-    if not len(ids):
-        return np.full(len(doc), -1)
-    at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
-    return np.where(ids[at] == doc, toxic[at], -1)
-
-
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different pairs of labelled documents: class (plus 2 where the curve rests on the document), pair, word."""
     for b in batches:
-        doc = pc.fill_null(b.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
-        yield doc, pc.cast(b.column(1), pa.binary()).to_pylist()
-
+        for toxic, text, curve in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist(), strict=True):
+            h = words().hashes(text)
+            pair, at = np.unique(pairs(h), return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(pair), toxic + 2 * curve, np.int32)), pa.array(pair.view(np.int64)), pa.array(h[at].view(np.int64))], ["kind", "pair", "word"]
+            )
 
-def _row(chunk: int, kind: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([kind], pa.int32()), pa.array([zlib.compress(data, 1)], pa.binary())], ["chunk", "kind", "data"])
 
+def _dealt(vocabulary, buckets: int):
+    """Different pairs of a task whose word is in the vocabulary, as its place there and the pair, by
+    bucket of the pair; bucket -1: the least pairs of all."""
 
-def _count(known):
-    """Kind 0: counts over all documents, by table chunk; kind 1: the pairs of labelled ones, by bucket."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALL, dtype=np.int64)
-        learnt: list[np.ndarray] = []
-        size = 0
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary.value
+        held: list[np.ndarray] = []
+        follow: list[np.ndarray] = []
+        n = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            x = distinct(np.concatenate(learnt))
-            bucket = (x["with"] % np.uint64(BUCKETS)).astype(np.int64)
-            for k in range(BUCKETS):
-                part = x[bucket == k]
-                if len(part):
-                    yield _row(-1 - k, 1, part.tobytes())
-
-        for doc, texts in _docs(batches):
-            label = _label_of(*known.value, doc)
-            for part in groups(list(zip(label.tolist(), texts, strict=True))):
-                p = places()
-                rows = p.rows([t for _, t in part])
-                word, count = np.unique(np.concatenate(rows), return_counts=True)
-                for j in range(LEVELS):
-                    np.add.at(total, p.slots[word, j], count)
-                for (y, _), at in zip(part, rows, strict=True):
-                    if y >= 0 and len(at):
-                        learnt.append(pairs(p.slots[at], p.hashes[at], y))
-                        size += len(learnt[-1])
-                if size > 500_000:
+            pair, at = np.unique(np.concatenate(held), return_index=True)
+            yield _packed([(-1, b"", pair[:SKETCH].tobytes())])
+            h = np.concatenate(follow)[at]
+            place = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
+            hit = vocab[place] == h if len(vocab) else np.zeros(len(h), bool)
+            place, pair = place[hit].astype("<i4"), pair[hit]
+            bucket = (pair % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place, pair, bucket = place[order], pair[order], bucket[order]
+            cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
+            yield _packed([(int(bucket[s]), place[s:e].tobytes(), pair[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)])
+
+        for b in batches:
+            for text in _texts(b, 0):
+                h = words().hashes(text)
+                if not len(h):
+                    continue
+                held.append(pairs(h))
+                follow.append(h)
+                n += len(h)
+                if n >= CHUNK:
                     yield from send()
-                    learnt, size = [], 0
-        if learnt:
+                    held, follow, n = [], [], 0
+        if held:
             yield from send()
-        for k in range(ALL // CHUNK):
-            part = total[k * CHUNK : (k + 1) * CHUNK]
-            if part.any():
-                yield _row(k, 0, part.tobytes())
 
-    return count
+    return dealt
+
+
+def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "place", "pair"])
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket -> how many different pairs of the bucket each word has."""
+    last, held = None, []
+
+    def count() -> pa.RecordBatch:
+        pair, at = np.unique(np.frombuffer(b"".join(p for _, p in held), np.uint64), return_index=True)
+        place = np.frombuffer(b"".join(w for w, _ in held), "<i4")[at]
+        word, n = np.unique(place, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["place", "n"])
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a partition's chunks as they stream in; pairs that several tasks have count once, and
-    leave as counts by place."""
-    sums: dict[int, np.ndarray] = {}
-    met: dict[int, list[np.ndarray]] = {}
     for b in batches:
-        for k, kind, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            data = zlib.decompress(data)
-            if kind:
-                met.setdefault(k, []).append(np.frombuffer(data, dtype=PAIR))
-                if len(met[k]) > 64:
-                    met[k] = [distinct(np.concatenate(met[k]))]
-            else:
-                sums[k] = sums.get(k, 0) + np.frombuffer(data, dtype=np.int64)
-    for k, x in sums.items():
-        yield _row(k, 0, x.tobytes())
-    for k, x in met.items():
-        x = distinct(np.concatenate(x))
-        for y in (0, 1):
-            slot, count = np.unique(x["slots"][x["toxic"] == y], return_counts=True)
-            yield _row(k, 1 + y, np.stack([slot, count]).astype("<i4").tobytes())
+        for bucket, place, pair in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if bucket != last and held:
+                yield count()
+                held = []
+            last = bucket
+            held.append((place, pair))
+    if held:
+        yield count()
 
 
 class Model:
-    """Shared counts and both classes' continuation counts; ratios with or without a document's own."""
-
-    def __init__(self, total: np.ndarray):
-        self.n_all = total[0].astype(np.float32)
-        self.d = total[1:3].astype(np.float32)
-        self.total = [max(float(d[: SIZES[0]].sum()), 1.0) for d in self.d]
-        self.words = max(float(self.n_all[: SIZES[0]].sum()), 1.0)
-        self.curve = np.zeros(1 + FEATURES)
-        self.share = 0.0
-
-    def ratio(self, slots: np.ndarray, hashes: np.ndarray, own: int = -1) -> np.ndarray:
-        """log P_toxic(w) - log P_ordinary(w) of the words; own: a class the document is in, whose
-        counts of it are to be left out."""
-        mine = None
-        if own >= 0:
-            x = pairs(slots, hashes, own)["slots"]
-            at, count = np.unique(x, return_counts=True)
-            mine = count[np.searchsorted(at, slots)]
-        n = self.n_all[slots] + 0.1
-        log = []
-        for c in (0, 1):
-            d = self.d[c][slots]
-            if c == own:
-                d = np.maximum(d - mine, 0)
-            seen = np.maximum(d - DISCOUNT, 0)
-            p = np.log((seen[:, -1] + ROOT * n[:, -1] / self.words) / (self.total[c] + ROOT))
-            for k in range(LEVELS - 1):
-                split = np.minimum(n[:, k] / n[:, k + 1], 1)
-                p += np.log((seen[:, k] + (BACK + DISCOUNT) * split) / (d[:, k + 1] + BACK))
-            log.append(p)
-        return log[1] - log[0]
-
-    def features(self, texts: list[bytes | None], own: list[int] | None = None) -> np.ndarray:
-        """Mean ratio, mean of the strongest, their excess, log length: a row for each text. own: the
-        class of each, whose counts are to be left out."""
-        out = np.zeros((len(texts), FEATURES))
-        p = places()
-        for k, at in enumerate(p.rows(texts)):
-            n = len(at)
-            if not n:
-                continue
-            r = p.ratio(self)[at] if own is None else self.ratio(p.slots[at], p.hashes[at], own[k])
-            _, first = np.unique(at, return_index=True)
-            different = r[first]
-            top = np.partition(different, -TOP)[-TOP:] if len(different) > TOP else different
-            out[k] = r.mean(), top.sum() / TOP, np.clip(different - STRONG, 0, CLIP).sum() / np.sqrt(n), np.log(n)
-        return out
-
-    def score(self, f: np.ndarray) -> np.ndarray:
-        if not self.curve.any():
-            return np.full(len(f), self.share)
-        z = self.curve[0] + (f * self.curve[1:]).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def fit_curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps, over scaled features; returned for plain ones."""
-    mean, sd = f.mean(axis=0), f.std(axis=0) + 1e-6
-    x = np.c_[np.ones(len(f)), (f - mean) / sd]
-    b, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * f.shape[1]) * len(f)
+    """log(P_toxic / P_ordinary) by word hash (sorted), of words not among them, and the curve."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, rest: float, share: float):
+        self.keys, self.ratios, self.rest, self.share = keys, ratios.astype(np.float32), rest, share
+        self.curve: tuple[float, float] | None = None
+
+    def ratio(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(h), self.rest)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.ratios[at], np.float32(self.rest)).astype(np.float64)
+
+    def evidence(self, text: bytes | None) -> float:
+        """Logarithm of the power mean of the ratios of a text's words; 0 without words."""
+        h = words().hashes(text)
+        if not len(h):
+            return 0.0
+        r = POWER * self.ratio(h)
+        top = r.max()
+        return float((top + np.log(np.exp(r - top).mean())) / POWER)
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        if self.curve is None:
+            return np.full(len(evidence), self.share)
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * evidence, -30, 30)))
+
+
+def ratios(toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray, total: float, discount: float = DISCOUNT) -> tuple[np.ndarray, float]:
+    """log(P_toxic / P_ordinary) of words with these continuation counts, and of any other word."""
+    p, back = [], []
+    for c in (toxic, ordinary):
+        n = max(float(c.sum()), 1.0)
+        back.append(max(float(np.minimum(c, discount).sum()), 1e-9) / n)
+        p.append(np.maximum(c - discount, 0) / n + back[-1] * np.maximum(shared, 1) / max(total, 1.0))
+    return np.log(p[0] / p[1]), float(np.log(back[0] / back[1]))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Logistic regression on one variable by Newton steps."""
+    mean, sd = x.mean(), x.std() + 1e-6
+    z = np.c_[np.ones(len(x)), (x - mean) / sd]
+    b, penalty = np.zeros(2), np.diag([1e-6, ridge]) * len(x)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty @ b)
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + penalty
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - penalty @ b)
         b += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    slope = b[1:] / sd
-    return np.r_[b[0] - slope @ mean, slope]
+    return float(b[0] - b[1] * mean / sd), float(b[1] / sd)
 
 
-def _feature(model, known):
-    def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for doc, texts in _docs(batches):
-            label = _label_of(*known.value, doc)
-            for part in groups([(y, t) for y, t in zip(label.tolist(), texts, strict=True) if y >= 0]):
-                own = [y for y, _ in part]
-                f = m.features([t for _, t in part], own)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *map(pa.array, f.T)], ["y", *[f"f{k}" for k in range(FEATURES)]])
+def _evidence(model):
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [model.value.evidence(t) for t in _texts(b, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.float64())], ["toxic", "curve", "x"])
 
-    return feature
+    return evidence
 
 
 def _score(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for b in batches:
-            texts = pc.cast(b.column(1), pa.binary()).to_pylist()
-            f = np.concatenate([m.features(part) for part in groups(texts)]) if texts else np.zeros((0, FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(f), pa.float64())], ["doc_id", "score"])
+            x = np.array([model.value.evidence(t) for t in _texts(b, 1)], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(x), pa.float64())], ["doc_id", "score"])
 
     return score
 
@@ -314,41 +255,74 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Learns from labels (doc_id, toxic) of rows whose fold is not 2."""
-    spark = docs.sparkSession
+def chosen(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> tuple[DataFrame, dict]:
+    """(toxic, text, curve) of the labelled documents to learn from, and how many of each class there are."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 2)
-    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = materialize(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     n = dict(known.groupBy("toxic").count().collect())
     half = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(rows // 2).unionByName(
         known.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(rows - rows // 2)
     )
-    sample = half.toPandas().sort_values("doc_id")
-    sc = spark.sparkContext
-    known_to = sc.broadcast((sample["doc_id"].to_numpy(np.int64), sample["toxic"].to_numpy(np.int64)))
-    texts = docs.select("doc_id", "text")
-    schema = "chunk long, kind int, data binary"
-    tables = texts.mapInArrow(_count(known_to), schema).repartition(ALL // CHUNK + BUCKETS, "chunk").mapInArrow(_add, schema)
-    total = np.zeros((3, ALL), dtype=np.int64)
-    for k, kind, data in tables.toLocalIterator():  # tables of a fixed size, whatever the corpus
-        data = zlib.decompress(data)
-        if kind:
-            slot, count = np.frombuffer(data, dtype="<i4").reshape(2, -1)
-            total[kind, slot] += count
-        else:
-            total[0, k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(data, dtype=np.int64)
-    model = Model(total)
-    model.share = n.get(1, 0) / max(sum(n.values()), 1)
-    if n.get(1) and n.get(0):
-        got = texts.mapInArrow(_feature(sc.broadcast(model), known_to), "y int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas()
-        y = got["y"].to_numpy()
-        if 0 < y.sum() < len(y):
-            f = got.drop(columns="y").to_numpy()
-            weight = np.where(y == 1, n[1] / y.sum(), n[0] / (len(y) - y.sum()))
-            model.curve = fit_curve(f, y, weight * len(y) / weight.sum())
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(half), "doc_id"))  # at most `rows` ids
+    discard(known)
+    size = sample.groupBy("toxic", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("c"))
+    run = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)))
+    kept = size.withColumn("_run", F.sum("c").over(run)).filter(F.col("_run") <= chars // 2).select("doc_id")
+    curve = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
+    return sample.join(F.broadcast(kept), "doc_id").select("toxic", "text", curve.alias("curve")), n
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Learns from labels (doc_id, toxic) of rows whose fold is not 2."""
+    sc = docs.sparkSession.sparkContext
+    sample, n = chosen(docs, labels, rows, FIT_CHARS)
+    share = n.get(1, 0) / max(sum(n.values()), 1)
+    if not n.get(1) or not n.get(0):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, share)
+    mine = sample.select("toxic", "text", "curve").mapInArrow(_labelled, "kind int, pair long, word long")
+    kinds = {"t": (1, 3), "o": (0, 2), "t0": (1,), "o0": (0,)}
+    mine = mine.groupBy("pair", "word").agg(*[F.max(F.col("kind").isin(*k).cast("int")).alias(c) for c, k in kinds.items()])
+    counts = mine.groupBy("word").agg(*[F.sum(c).alias(c) for c in kinds]).toPandas()  # a row for each word of the labelled documents
+    order = np.argsort(counts["word"].to_numpy().view(np.uint64))
+    keys = counts["word"].to_numpy().view(np.uint64)[order]
+    c = {k: counts[k].to_numpy(np.float64)[order] for k in kinds}
+    texts = docs.select("text").filter("text is not null")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    p = parts(texts, size, PART_CHARS)
+    dealt = materialize(texts.mapInArrow(_dealt(sc.broadcast(keys), p * BUCKETS), "bucket long, place binary, pair binary"))
+    shared = dealt.filter("bucket >= 0").repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "place int, n long")
+    shared = shared.groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # of the same words
+    c_all = np.zeros(len(keys))
+    c_all[shared["place"].to_numpy()] = shared["n"].to_numpy()
+    total = _number(dealt)
+    discard(dealt)
+    model = Model(keys, *ratios(c["t"], c["o"], c_all, total), share)
+    others = Model(keys, *ratios(c["t0"], c["o0"], c_all, total), share)
+    got = sample.select("toxic", "text", "curve").mapInArrow(_evidence(sc.broadcast(others)), "toxic int, curve boolean, x double").toPandas()
+    if got[got["curve"]]["toxic"].nunique() == 2:  # else, with very few labels, all of them
+        got = got[got["curve"]]
+    y = got["toxic"].to_numpy()
+    if 0 < y.sum() < len(y):
+        weight = np.where(y == 1, n[1] / y.sum(), n[0] / (len(y) - y.sum()))
+        model.curve = fit_curve(got["x"].to_numpy(), y, weight * len(y) / weight.sum())
     return model
 
 
+def _number(dealt: DataFrame) -> float:
+    """How many different pairs there are, from the least of their hashes."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.zeros(0, np.uint64)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                low = np.unique(np.r_[low, np.frombuffer(data, np.uint64)])[:SKETCH]
+        yield pa.RecordBatch.from_arrays([pa.array((low >> np.uint64(1)).view(np.int64))], ["pair"])
+
+    low = dealt.filter("bucket < 0").select("pair").mapInArrow(least, "pair long").distinct().orderBy("pair").limit(SKETCH)
+    n, top = low.agg(F.count("*"), F.max("pair")).first()
+    return float(n) if n < SKETCH else (SKETCH - 1) * float(1 << 63) / top
+
+
 def scored(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, score) for every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
