@@ -7,21 +7,24 @@ the places that the deep nodes of a text's suffixes cover in a row are its maxim
 1. Prune. Every window has an anchor, the least of its 5-word hashes, so that equal windows have
    equal anchors and neighbours mostly share theirs. Anchors that occur in one document only lie in
    no repeat across documents; their suffixes are leaves and are never sent.
-2. Partition. A suffix is sent as its first 13 words, 64 bits each in the order of their bytes. The
-   suffixes are counted and cut into ranges of their words of GROUP suffixes or so: a range is a set
-   of prefixes, each as long as is needed to part it from the next range. Suffixes with the same 13
-   words are never parted.
-3. Build. Sorted, a range is the leaves of its subtree from left to right, and the lengths of the
-   prefixes that neighbours share are the depths of its internal nodes: those of 13 words and more
-   are found by one walk that remembers no more than the leaf before. The same is done first within
-   each task, before anything is sent: there all but the first document of a node are settled at
-   once, and only that first one goes on, with all its places in one record. So a passage that a
-   third of all documents share costs one record a task.
+2. Partition. The tree is sparse: its suffixes begin at the remaining anchors, about a fifth of all
+   places. A suffix is sent as its 13 words, 64 bits each in the order of their bytes, with the 8
+   words before it, as a window has its anchor 0 to 8 words after its start. Suffixes are counted and
+   cut into ranges of GROUP of them or so by their first 5 words.
+3. Build. Sorted, a range is the leaves of its subtree from left to right, and the numbers of words
+   that neighbours share are the depths of its internal nodes. A window whose anchor is its word o
+   repeats where its suffix lies below a node of depth 13 - o with another one of equal o words
+   before it: right depth and left extension of 13 words together. A prefix of 5 words with over
+   BLOCK suffixes is lengthened to the windows' own 13 words: these are sent on by themselves, and
+   their sorted range is walked with no more memory than the leaf before. The same is done first
+   within each task, before anything is sent: there all but the first document of a window are
+   settled at once, and only that first one goes on, with all its places in one record. So a passage
+   that a third of all documents share costs its suffixes once a task.
 4. Cut. Places of settled windows come back by row and their words are removed.
 
 Memory: a worker holds CHUNK words of texts (or one longer text) and the records that they give, a
-bucket of anchors (the number of buckets follows the size of all texts), or one Arrow batch of sorted
-suffixes; none grows with the input.
+bucket of anchors (the number of buckets follows the size of all texts), or BLOCK sorted suffixes;
+none grows with the input.
 
 Nulls and edges: a null text has no words; texts under 13 words lose nothing; rows with a null doc_id
 lose nothing and take nothing from others; rows of equal doc_id take nothing from one another, and
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +49,11 @@ from .common import discard, materialize, parts
 
 WINDOW = 13
 ANCHOR = 5
-#: Suffixes that a group is to have.
-GROUP = 500_000
+#: Words before its anchor that a window may have.
+LEFT = WINDOW - ANCHOR
+#: Suffixes that a group is to have, and that a task holds.
+GROUP = 200_000
+BLOCK = 100_000
 #: Documents of one task's chunk that may share an anchor before one of them stands for all.
 LOCAL_HOT = 8
 #: Words that a task holds before it sends what it has.
@@ -204,71 +211,88 @@ def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-NAMES = ["words", "doc_id", "t", "places"]
-SUFFIX = "words binary, doc_id long, t long, places binary"
+NAMES = ["right", "left", "offsets", "doc_id", "t", "places"]
+SUFFIX = "right binary, left binary, offsets int, doc_id long, t long, places binary"
+
+
+def _records(right, left, offsets, doc, t, places) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([right, left, pa.array(offsets, pa.int32()), pa.array(doc, pa.int64()), pa.array(t, pa.int64()), places], NAMES)
+
+
+def equal_neighbours(at: np.ndarray, h: np.ndarray, ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Which places in `at` (sorted by the hash h) have the same words from lo to hi about them as the
+    place before."""
+    same = np.flatnonzero(h[1:] == h[:-1])
+    for k in range(lo, hi):
+        same = same[ids[at[same] + k] == ids[at[same + 1] + k]]
+    out = np.zeros(len(at), dtype=bool)
+    out[same + 1] = True
+    return out
 
 
 class Chunk:
-    """Texts of a task whose suffixes are settled among themselves before the rest is sent."""
+    """Texts of a task whose windows are settled among themselves before the rest is sent."""
 
     def __init__(self):
-        self.held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
-    def add(self, doc: int, t: int, ids: np.ndarray, starts: np.ndarray) -> None:
-        self.held.append((doc, t, ids, starts))
+    def add(self, doc: int, t: int, ids: np.ndarray, starts: np.ndarray, anchor: np.ndarray) -> None:
+        self.held.append((doc, t, ids, starts, anchor))
         self.n += len(ids)
 
     def send(self) -> Iterator[pa.RecordBatch]:
-        """Records without words: settled places of a row; records with words: an open suffix, all
-        its places in a row."""
+        """Records without words: settled places of a row; records with words: a suffix with open
+        windows, the offsets of its anchor in them as bits, and its places in a row."""
         self.held.sort(key=lambda x: x[:2])
         size = np.array([len(x[2]) for x in self.held])
-        base = np.cumsum(size) - size
+        base = np.cumsum(size) - size + LEFT
         count = np.array([len(x[3]) for x in self.held])
         doc, t = np.array([x[0] for x in self.held]), np.array([x[1] for x in self.held])
-        ids = np.concatenate([x[2] for x in self.held])
+        ids = np.concatenate([np.zeros(LEFT, np.uint64), *[x[2] for x in self.held], np.zeros(WINDOW, np.uint64)])
         row = np.repeat(np.arange(len(count)), count)
-        pos = np.concatenate([x[3] for x in self.held]).astype(np.int64)
+        pos, anchor = (np.concatenate([x[k] for x in self.held]).astype(np.int64) for k in (3, 4))
         self.held, self.n = [], 0
-        # leaves in the order of their words' hash, then of row and place; neighbours are held against each other
+        # windows in the order of their words' hash, then of row and place
         at = base[row] + pos
         h = gram(ids, WINDOW)[at]
         order = np.argsort(h, kind="stable")
-        at, row, pos, h = at[order], row[order], pos[order], h[order]
-        same = np.flatnonzero(h[1:] == h[:-1])
-        for k in range(WINDOW):
-            same = same[ids[at[same] + k] == ids[at[same + 1] + k]]
-        new = np.ones(len(at), dtype=bool)
-        new[same + 1] = False
-        first = doc[row][np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = doc[row] > first
+        new = ~equal_neighbours(at[order], h[order], ids, 0, WINDOW)
+        first = doc[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone = np.zeros(len(at), dtype=bool)
+        gone[order] = doc[row[order]] > first
         if gone.any():
-            back = np.flatnonzero(gone)
-            back = back[np.argsort(row[back], kind="stable")]
-            cut = np.flatnonzero(np.r_[True, row[back[1:]] != row[back[:-1]]])
-            who = row[back[cut]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(cut), pa.binary()), pa.array(doc[who]), pa.array(t[who]), _packed(pos[back].astype("<i4"), np.r_[cut, len(back)])], NAMES
-            )
-        new[1:] |= row[1:] != row[:-1]
-        at, row, pos, new = at[~gone], row[~gone], pos[~gone], new[~gone]
-        cut = np.r_[np.flatnonzero(new), len(at)]
+            who, what = row[gone], pos[gone]
+            cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            none = pa.nulls(len(cut), pa.binary())
+            yield _records(none, none, np.zeros(len(cut)), doc[who[cut]], t[who[cut]], _packed(what.astype("<i4"), np.r_[cut, len(what)]))
+        row, pos, anchor = row[~gone], pos[~gone], anchor[~gone]
+        if not len(row):
+            return
+        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])])
+        offsets = np.bitwise_or.reduceat(1 << (anchor - pos), cut)
+        row, anchor = row[cut], anchor[cut]
+        # equal suffixes of a row are one record with several places
+        at = base[row] + anchor
+        h = mix(gram(ids, WINDOW)[at] * M2 + gram(ids, LEFT)[at - LEFT] + offsets.astype(np.uint64)) + row.astype(np.uint64) * M1
+        order = np.argsort(h, kind="stable")
+        at, row, anchor, offsets, h = at[order], row[order], anchor[order], offsets[order], h[order]
+        same = equal_neighbours(at, h, ids, -LEFT, WINDOW)
+        same[1:] &= (row[1:] == row[:-1]) & (offsets[1:] == offsets[:-1])
+        cut = np.r_[np.flatnonzero(~same), len(at)]
         for s in range(0, len(cut) - 1, SEND):
             part = cut[s : s + SEND + 1]
-            who, n = row[part[:-1]], len(part) - 1
-            words = ids[at[part[:-1], None] + np.arange(WINDOW)].astype(">u8")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _packed(words.reshape(-1), np.arange(n + 1) * WINDOW), pa.array(doc[who]), pa.array(t[who]),
-                    _packed(pos[part[0] : part[-1]].astype("<i4"), part - part[0]),
-                ],
-                NAMES,
+            head, n = part[:-1], len(part) - 1
+            right = ids[at[head, None] + np.arange(WINDOW)].astype(">u8")
+            left = ids[at[head, None] - 1 - np.arange(LEFT)].astype(">u8")
+            yield _records(
+                _packed(right.reshape(-1), np.arange(n + 1) * WINDOW), _packed(left.reshape(-1), np.arange(n + 1) * LEFT), offsets[head],
+                doc[row[head]], t[row[head]], _packed(anchor[part[0] : part[-1]].astype("<i4"), part - part[0]),
             )
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose window has a shared anchor, settled within the task as far as that goes."""
+    """Suffixes at shared anchors, settled within the task as far as that goes."""
     chunk = Chunk()
     for doc, text, t, flags in _texts(batches):
         ids = word_ids(text)
@@ -279,7 +303,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = h[at]
         starts = np.flatnonzero(want[np.minimum(np.searchsorted(want, mine), len(want) - 1)] == mine)
         if len(starts):
-            chunk.add(doc, t, ids, starts)
+            chunk.add(doc, t, ids, starts, at[starts])
         if chunk.n >= CHUNK:
             yield from chunk.send()
     if chunk.held:
@@ -295,21 +319,101 @@ def shared_words(words: np.ndarray, before: np.ndarray | None) -> np.ndarray:
     return depth
 
 
-def _subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks the leaves of a group's subtree (words, doc_id, t, places; sorted): a leaf that shares 13
-    words with the one before is below the same deep node, whose first leaf has the least doc_id."""
+class Suffixes:
+    """A run of sorted suffixes as arrays."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        b = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        self.n = len(b)
+        self.right = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").reshape(-1, WINDOW)
+        self.left = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").reshape(-1, LEFT)
+        self.offsets, self.doc, self.t = (b.column(k).to_numpy() for k in (2, 3, 4))
+        self.places = b.column(5)
+
+    def settled(self) -> pa.RecordBatch:
+        """Places of the windows that a smaller document has, in whole groups of one prefix."""
+        depth = shared_words(self.right, None)
+        before = np.zeros(self.n, dtype=np.int64)  # number of the words before a suffix, as many as o
+        gone = np.zeros(self.n, dtype=np.int64)
+        for o in range(LEFT + 1):
+            if o:
+                word = np.unique(self.left[:, o - 1], return_inverse=True)[1]
+                before = np.unique(before * self.n + word, return_inverse=True)[1]
+            node = np.cumsum(depth < WINDOW - o)
+            rows = np.flatnonzero(self.offsets >> o & 1)
+            if not len(rows):
+                continue
+            same = np.unique(node[rows] * self.n + before[rows], return_inverse=True)[1]
+            low = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, same, self.doc[rows])
+            gone[rows] |= (self.doc[rows] > low[same]).astype(np.int64) << o
+        rows = np.flatnonzero(gone)
+        places = []
+        for g, p in zip(gone[rows].tolist(), self.places.take(pa.array(rows)).to_pylist(), strict=True):
+            back = np.array([o for o in range(LEFT + 1) if g >> o & 1], dtype="<i4")
+            places.append((np.frombuffer(p, "<i4")[:, None] - back).astype("<i4").tobytes())
+        none = pa.nulls(len(rows), pa.binary())
+        return _records(none, none, np.zeros(len(rows)), self.doc[rows], self.t[rows], pa.array(places, pa.binary()))
+
+    def windows(self) -> Iterator[pa.RecordBatch]:
+        """The windows by themselves, with their places and 13 words."""
+        for o in range(LEFT + 1):
+            rows = np.flatnonzero(self.offsets >> o & 1)
+            if len(rows):
+                words = np.concatenate([self.left[rows, :o][:, ::-1], self.right[rows, : WINDOW - o]], axis=1)
+                places = [(np.frombuffer(p, "<i4") - o).astype("<i4").tobytes() for p in self.places.take(pa.array(rows)).to_pylist()]
+                yield _records(_packed(words.reshape(-1), np.arange(len(rows) + 1) * WINDOW), pa.nulls(len(rows), pa.binary()), np.ones(len(rows)), self.doc[rows], self.t[rows], pa.array(places, pa.binary()))
+
+
+def _subtrees(block: int):
+    """Settles a range of sorted suffixes, whole prefixes of 5 words at a time. A prefix with over
+    `block` suffixes leaves as windows."""
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, large, last = 0, False, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                x = Suffixes(held)
+                if large:
+                    yield from x.windows()
+                else:
+                    yield x.settled()
+
+        for whole in batches:
+            prefix = [r[: 8 * ANCHOR] for r in whole.column(0).to_pylist()]
+            cuts = [k for k in range(len(prefix)) if prefix[k] != (prefix[k - 1] if k else last)]
+            for s, e in zip([0, *cuts], [*cuts, len(prefix)], strict=True):
+                if s in cuts and (large or rows >= block):  # a new prefix: what is held is whole
+                    yield from close()
+                    held, rows, large = [], 0, False
+                if e > s:
+                    held.append(whole.slice(s, e - s))
+                    rows += e - s
+                    if rows >= block and prefix[s] == held[0].column(0)[0].as_py()[: 8 * ANCHOR]:  # all of one prefix
+                        large = True
+                        yield from close()
+                        held, rows = [], 0
+            last = prefix[-1] if prefix else last
+        yield from close()
+
+    return subtrees
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows (right, doc_id, t, places): one that shares 13 words with the one before is below
+    the same deep node, whose first leaf has the least doc_id."""
     before, first = None, 0
     for b in batches:
         if not len(b):
             continue
         words = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").reshape(-1, WINDOW)
         doc = b.column(1).to_numpy()
-        node = shared_words(words, before) < WINDOW
-        lead = np.where(node, np.arange(len(doc)), -1)
-        lead = np.maximum.accumulate(lead)
+        lead = np.maximum.accumulate(np.where(shared_words(words, before) < WINDOW, np.arange(len(doc)), -1))
         low = np.where(lead < 0, first, doc[np.maximum(lead, 0)])
         before, first = words[-1:], int(low[-1])
-        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3)], NAMES[1:]).filter(pa.array(doc > low))
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3)], NAMES[3:]).filter(pa.array(doc > low))
 
 
 def removal(n: int, data: bytes | None) -> np.ndarray:
@@ -323,7 +427,7 @@ def removal(n: int, data: bytes | None) -> np.ndarray:
     return np.cumsum(hit)[:n] > 0
 
 
-def repeats(docs: DataFrame, group: int = GROUP, local_hot: int = LOCAL_HOT) -> DataFrame:
+def repeats(docs: DataFrame, group: int = GROUP, local_hot: int = LOCAL_HOT, block: int = BLOCK) -> DataFrame:
     """(doc_id, t, data): places of the windows of a row (doc_id, text of hash t) that a smaller doc_id
     has, as packed 32-bit integers; rows without any do not appear."""
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
@@ -336,12 +440,17 @@ def repeats(docs: DataFrame, group: int = GROUP, local_hot: int = LOCAL_HOT) ->
     both = texts.join(flags, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("t"), "flags")
     out = materialize(both.mapInArrow(_suffixes, SUFFIX))
     discard(flags)
-    leaves = out.filter("words is not null")
-    leaves = leaves.repartitionByRange(parts(leaves, leaves.count(), group), "words").sortWithinPartitions("words", "doc_id")
-    found = leaves.mapInArrow(_subtree, "doc_id long, t long, places binary")
-    found = out.filter("words is null").select("doc_id", "t", "places").unionByName(found)
-    found = materialize(found.groupBy("doc_id", "t").agg(F.collect_list("places").alias("data")))
-    discard(out)
+    leaves = out.filter("right is not null")
+    leaves = leaves.repartitionByRange(parts(leaves, leaves.count(), group), F.substring("right", 1, 8 * ANCHOR)).sortWithinPartitions("right")
+    deep = materialize(leaves.mapInArrow(_subtrees(block), SUFFIX))
+    found = [x.filter("right is null").select("doc_id", "t", "places") for x in (out, deep)]
+    large = deep.filter("right is not null").select("right", "doc_id", "t", "places")
+    left = large.count()
+    if left:
+        large = large.repartitionByRange(parts(large, left, group), "right").sortWithinPartitions("right", "doc_id")
+        found.append(large.mapInArrow(_walk, "doc_id long, t long, places binary"))
+    found = materialize(reduce(DataFrame.unionByName, found).groupBy("doc_id", "t").agg(F.collect_list("places").alias("data")))
+    discard(out, deep)
     return found
 
 

@@ -126,15 +126,15 @@ def test_substring_rows_of_equal_id_lose_only_their_own(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _data int, left int, row int").repartition(3)
     want = [(None, 40, 0), (0, 30, 0), (1, 23, 0), (2, 23, 20), (2, 40, 0), (2, 40, 0), (3, 61, 60), (4, 200, 0), (5, 80, 80), (6, 0, 0), (7, 0, 0)]
     by = lambda rs: sorted(rs, key=lambda r: tuple(-1 if x is None else x for x in r))
-    for group, hot in ((substring.GROUP, substring.LOCAL_HOT), (3, 1)):
-        old = substring.GROUP, substring.LOCAL_HOT, substring.repeats.__defaults__
-        substring.repeats.__defaults__ = (group, hot)
+    for group, hot, block in ((substring.GROUP, substring.LOCAL_HOT, substring.BLOCK), (8, 1, 1)):
+        old = substring.repeats.__defaults__
+        substring.repeats.__defaults__ = (group, hot, block)
         try:
             got = substring.op9_substring_dedup(df).collect()
             left = substring.without_repeats(df)
             kept = left.collect()
         finally:
-            substring.repeats.__defaults__ = old[2]
+            substring.repeats.__defaults__ = old
         assert by((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == by(want)
         assert left.columns == df.columns and len(kept) == len(rows) - 1
     spans = {(r["doc_id"], r["start"], r["length"]) for r in substring.passages(df).collect()}
@@ -151,7 +151,7 @@ def test_subtree_walk_equals_counting():
     least = {}
     for w, d in zip(words, doc, strict=True):
         least[w.tobytes()] = min(d, least.get(w.tobytes(), d))
-    table = pa.table({"words": [w.tobytes() for w in words], "doc_id": doc, "t": np.arange(400), "places": [b""] * 400})
+    table = pa.table({"right": [w.tobytes() for w in words], "doc_id": doc, "t": np.arange(400), "places": [b""] * 400})
     for size in (400, 7, 1):
-        got = [t for b in substring._subtree(iter(table.to_batches(size))) for t in b.column(1).to_pylist()]
+        got = [t for b in substring._walk(iter(table.to_batches(size))) for t in b.column(1).to_pylist()]
         assert got == [k for k in range(400) if doc[k] > least[words[k].tobytes()]]
