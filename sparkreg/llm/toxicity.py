@@ -13,13 +13,15 @@ likelihoods, normalised by length: the power mean of order POWER of P_toxic(w) /
 its words, whose logarithm one logistic curve turns into a score. (The plain mean of logarithms is the
 limit of order 0; there a few insults vanish among a hundred ordinary words.)
 
-All counts are keyed aggregates by the word's 64-bit hash, without tables of fixed size:
-- class counts, from at most FIT_ROWS labelled documents with at most FIT_CHARS characters together,
-  chosen by a hash of doc_id, half of them toxic at most;
-- shared counts, from all documents: every different pair (word before, word) whose word is in the
-  labelled documents is dealt by its own hash, counted once, and summed by word, so that a word that
-  follows all others is no one's burden. C_all, the number of all different pairs, is estimated from
-  the SKETCH least of their hashes.
+All counts are keyed aggregates by word, without tables of fixed size, in one pass over all documents:
+every different pair (word before, word) whose word is in the labelled documents is dealt by its own
+hash, so that a word that follows all others is no one's burden, counted once, and summed by word. A
+pair carries its word, 40 bits of the hash of the word before (so that of a million of a word's
+contexts one pair coincides at most) and the classes of labelled documents that have it.
+- Class counts rest on at most FIT_ROWS labelled documents with at most FIT_CHARS characters together,
+  chosen by a hash of doc_id, half of them toxic at most.
+- Shared counts rest on all documents. C_all, the number of all different pairs, is estimated from the
+  SKETCH least of their hashes.
 The curve is fitted to a fifth of the labelled documents, scored by counts of the others alone; the
 counts that score are those of all of them.
 
@@ -35,6 +37,7 @@ long texts are scored whole. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -103,83 +106,111 @@ def _texts(b: pa.RecordBatch, at: int) -> list[bytes | None]:
     return pc.cast(b.column(at), pa.binary()).to_pylist()
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different pairs of labelled documents: class (plus 2 where the curve rests on the document), pair, word."""
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of a task's documents."""
+    found: set[int] = set()
     for b in batches:
-        for toxic, text, curve in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist(), strict=True):
-            h = words().hashes(text)
-            pair, at = np.unique(pairs(h), return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(pair), toxic + 2 * curve, np.int32)), pa.array(pair.view(np.int64)), pa.array(h[at].view(np.int64))], ["kind", "pair", "word"]
-            )
+        for text in _texts(b, 0):
+            found.update(words().hashes(text).tolist())
+    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64))], ["word"])
 
 
 def _dealt(vocabulary, buckets: int):
-    """Different pairs of a task whose word is in the vocabulary, as its place there and the pair, by
-    bucket of the pair; bucket -1: the least pairs of all."""
+    """Different pairs of a task's documents (text, kind) whose word is in the vocabulary, by bucket of
+    the pair: sorted places in the vocabulary (as steps), 40 bits of the pair, kinds of the documents.
+    Bucket -1: the least pairs of all."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        held: list[np.ndarray] = []
-        follow: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
         n = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            pair, at = np.unique(np.concatenate(held), return_index=True)
-            yield _packed([(-1, b"", pair[:SKETCH].tobytes())])
-            h = np.concatenate(follow)[at]
-            place = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-            hit = vocab[place] == h if len(vocab) else np.zeros(len(h), bool)
-            place, pair = place[hit].astype("<i4"), pair[hit]
+            pair, at = np.concatenate([pairs(h) for h, _ in held]), np.concatenate([h for h, _ in held])
+            kind = np.repeat(np.array([k for _, k in held], np.uint8), [len(h) for h, _ in held])
+            order = np.argsort(pair)
+            pair, at, kind = pair[order], at[order], kind[order]
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            pair, at, kind = pair[first], at[first], np.bitwise_or.reduceat(kind, first)
+            yield _packed([(-1, b"", pair[:SKETCH].tobytes(), b"")])
+            place = np.minimum(np.searchsorted(vocab, at), len(vocab) - 1)
+            hit = vocab[place] == at
+            place, pair, kind = place[hit].astype("<i4"), pair[hit], kind[hit]
             bucket = (pair % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place, pair, bucket = place[order], pair[order], bucket[order]
+            order = np.lexsort((place, bucket))
+            place, pair, kind, bucket = place[order], pair[order], kind[order], bucket[order]
             cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
-            yield _packed([(int(bucket[s]), place[s:e].tobytes(), pair[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)])
+            low = np.ascontiguousarray((pair // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :5])
+            yield _packed([
+                (int(bucket[s]), zlib.compress(np.diff(place[s:e], prepend=np.int32(0)).tobytes(), 1), low[s:e].tobytes(), zlib.compress(kind[s:e].tobytes(), 1))
+                for s, e in zip(cut[:-1], cut[1:], strict=True)
+            ])
 
         for b in batches:
-            for text in _texts(b, 0):
+            for text, kind in zip(_texts(b, 0), b.column(1).to_pylist(), strict=True):
                 h = words().hashes(text)
                 if not len(h):
                     continue
-                held.append(pairs(h))
-                follow.append(h)
+                held.append((h, kind or 0))
                 n += len(h)
                 if n >= CHUNK:
                     yield from send()
-                    held, follow, n = [], [], 0
+                    held, n = [], 0
         if held:
             yield from send()
 
     return dealt
 
 
-def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "place", "pair"])
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "place", "pair", "kind"])
+
+
+#: Kinds of documents, as bits: toxic and ordinary ones; those that the curve does not rest on.
+KINDS = {"t": 1, "o": 2, "t0": 4, "o0": 8}
+COUNTED = "place int, least long, n long, " + ", ".join(f"{k} long" for k in KINDS)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> how many different pairs of the bucket each word has."""
+    """Rows sorted by bucket -> how many different pairs of the bucket each word has, in all and by
+    kind; of bucket -1 the least pairs, as rows of place -1."""
     last, held = None, []
 
     def count() -> pa.RecordBatch:
-        pair, at = np.unique(np.frombuffer(b"".join(p for _, p in held), np.uint64), return_index=True)
-        place = np.frombuffer(b"".join(w for w, _ in held), "<i4")[at]
-        word, n = np.unique(place, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["place", "n"])
+        if last < 0:
+            low = np.unique(np.frombuffer(b"".join(x for _, x, _ in held), np.uint64))[:SKETCH]
+            least, n = (low >> np.uint64(1)).view(np.int64), np.zeros(len(low), np.int64)
+            return _counts(np.full(len(low), -1), least, n, [n] * len(KINDS))
+        place = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), "<i4")) for x, _, _ in held])
+        five = np.frombuffer(b"".join(x for _, x, _ in held), np.uint8).reshape(-1, 5)
+        pair = np.zeros((len(five), 8), np.uint8)
+        pair[:, :5] = five
+        kind = np.frombuffer(b"".join(zlib.decompress(x) for _, _, x in held), np.uint8)
+        pair = pair.view(np.uint64).ravel()
+        order = np.lexsort((pair, place))
+        place, pair, kind = place[order], pair[order], kind[order]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (pair[1:] != pair[:-1])])
+        place, kind = place[first], np.bitwise_or.reduceat(kind, first)
+        cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        add = lambda x: np.add.reduceat(x.astype(np.int64), cut)
+        return _counts(place[cut], np.zeros(len(cut), np.int64), add(np.ones(len(place))), [add(kind & bit > 0) for bit in KINDS.values()])
 
     for b in batches:
-        for bucket, place, pair in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+        for bucket, *data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             if bucket != last and held:
                 yield count()
                 held = []
             last = bucket
-            held.append((place, pair))
+            held.append(data)
     if held:
         yield count()
 
 
+def _counts(place, least, n, kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *map(pa.array, (least, n, *kinds))], ["place", "least", "n", *KINDS])
+
+
 class Model:
     """log(P_toxic / P_ordinary) by word hash (sorted), of words not among them, and the curve."""
 
@@ -256,20 +287,21 @@ def fold(doc_id):
 
 
 def chosen(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> tuple[DataFrame, dict]:
-    """(toxic, text, curve) of the labelled documents to learn from, and how many of each class there are."""
+    """(doc_id, toxic, curve) of the labelled documents to learn from, and how many of each class there are."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 2)
     known = materialize(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     n = dict(known.groupBy("toxic").count().collect())
     half = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(rows // 2).unionByName(
         known.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(rows - rows // 2)
     )
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(half), "doc_id"))  # at most `rows` ids
-    discard(known)
-    size = sample.groupBy("toxic", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("c"))
+    size = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("c")).join(F.broadcast(half), "doc_id")  # at most `rows` ids
+    size = size.groupBy("toxic", "doc_id").agg(F.sum("c").alias("c"))
     run = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)))
-    kept = size.withColumn("_run", F.sum("c").over(run)).filter(F.col("_run") <= chars // 2).select("doc_id")
+    kept = size.withColumn("_run", F.sum("c").over(run)).filter(F.col("_run") <= chars // 2)
     curve = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
-    return sample.join(F.broadcast(kept), "doc_id").select("toxic", "text", curve.alias("curve")), n
+    out = materialize(kept.select("doc_id", "toxic", curve.alias("curve")))
+    discard(known)
+    return out, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -277,28 +309,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sc = docs.sparkSession.sparkContext
     sample, n = chosen(docs, labels, rows, FIT_CHARS)
     share = n.get(1, 0) / max(sum(n.values()), 1)
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, share)
     if not n.get(1) or not n.get(0):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, share)
-    mine = sample.select("toxic", "text", "curve").mapInArrow(_labelled, "kind int, pair long, word long")
-    kinds = {"t": (1, 3), "o": (0, 2), "t0": (1,), "o0": (0,)}
-    mine = mine.groupBy("pair", "word").agg(*[F.max(F.col("kind").isin(*k).cast("int")).alias(c) for c, k in kinds.items()])
-    counts = mine.groupBy("word").agg(*[F.sum(c).alias(c) for c in kinds]).toPandas()  # a row for each word of the labelled documents
-    order = np.argsort(counts["word"].to_numpy().view(np.uint64))
-    keys = counts["word"].to_numpy().view(np.uint64)[order]
-    c = {k: counts[k].to_numpy(np.float64)[order] for k in kinds}
-    texts = docs.select("text").filter("text is not null")
+        return nothing
+    texts = docs.select("doc_id", "text").filter("text is not null")
+    known = texts.join(F.broadcast(sample), "doc_id")
+    keys = known.select("text").mapInArrow(_vocabulary, "word long").distinct().toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    keys = np.sort(keys)  # the words of the labelled documents
+    if not len(keys):
+        return nothing
+    bits = F.when(F.col("toxic") == 1, F.lit(KINDS["t"])).otherwise(F.lit(KINDS["o"]))
+    sample = sample.withColumn("kind", F.when(F.col("curve"), bits).otherwise(bits * 5))  # 5: the bit and that of t0 or o0
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     p = parts(texts, size, PART_CHARS)
-    dealt = materialize(texts.mapInArrow(_dealt(sc.broadcast(keys), p * BUCKETS), "bucket long, place binary, pair binary"))
-    shared = dealt.filter("bucket >= 0").repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "place int, n long")
-    shared = shared.groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # of the same words
-    c_all = np.zeros(len(keys))
-    c_all[shared["place"].to_numpy()] = shared["n"].to_numpy()
-    total = _number(dealt)
-    discard(dealt)
-    model = Model(keys, *ratios(c["t"], c["o"], c_all, total), share)
-    others = Model(keys, *ratios(c["t0"], c["o0"], c_all, total), share)
-    got = sample.select("toxic", "text", "curve").mapInArrow(_evidence(sc.broadcast(others)), "toxic int, curve boolean, x double").toPandas()
+    dealt = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "kind")
+    dealt = dealt.mapInArrow(_dealt(sc.broadcast(keys), p * BUCKETS), "bucket long, place binary, pair binary, kind binary")
+    counts = dealt.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, COUNTED)
+    counts = counts.groupBy("place", "least").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)]).toPandas()  # a row for each word, and SKETCH ones a partition
+    low = np.unique(counts.loc[counts["place"] < 0, "least"].to_numpy())[:SKETCH]
+    total = float(len(low)) if len(low) < SKETCH else (SKETCH - 1) * float(1 << 63) / float(low[-1])
+    counts = counts[counts["place"] >= 0]
+    c = {k: np.zeros(len(keys)) for k in ("n", *KINDS)}
+    for k, x in c.items():
+        x[counts["place"].to_numpy()] = counts[k].to_numpy()
+    model = Model(keys, *ratios(c["t"], c["o"], c["n"], total), share)
+    others = Model(keys, *ratios(c["t0"], c["o0"], c["n"], total), share)
+    got = known.select("toxic", "text", "curve").mapInArrow(_evidence(sc.broadcast(others)), "toxic int, curve boolean, x double").toPandas()
     if got[got["curve"]]["toxic"].nunique() == 2:  # else, with very few labels, all of them
         got = got[got["curve"]]
     y = got["toxic"].to_numpy()
@@ -308,21 +344,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def _number(dealt: DataFrame) -> float:
-    """How many different pairs there are, from the least of their hashes."""
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.zeros(0, np.uint64)
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                low = np.unique(np.r_[low, np.frombuffer(data, np.uint64)])[:SKETCH]
-        yield pa.RecordBatch.from_arrays([pa.array((low >> np.uint64(1)).view(np.int64))], ["pair"])
-
-    low = dealt.filter("bucket < 0").select("pair").mapInArrow(least, "pair long").distinct().orderBy("pair").limit(SKETCH)
-    n, top = low.agg(F.count("*"), F.max("pair")).first()
-    return float(n) if n < SKETCH else (SKETCH - 1) * float(1 << 63) / top
-
-
 def scored(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, score) for every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))

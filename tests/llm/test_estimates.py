@@ -81,7 +81,7 @@ def test_toxicity_equals_plain_counting(spark):
     more = spark.createDataFrame([(-1, None), (-2, ""), (-3, " 12 "), (7, None), (None, "the of and")], "doc_id long, text string")
     docs = d.select("doc_id", "text").unionByName(more).withColumn("toxic", F.lit(1))
     got = toxicity.op8_toxicity(docs, labels).collect()
-    sample = toxicity.chosen(docs, labels, toxicity.FIT_ROWS, toxicity.FIT_CHARS)[0].collect()
+    sample = docs.drop("toxic").join(toxicity.chosen(docs, labels, toxicity.FIT_ROWS, toxicity.FIT_CHARS)[0], "doc_id").collect()
     split = lambda t: toxicity.TOKEN.findall((t or "").lower())
     before = [set(), set()]
     for r in sample:
@@ -128,13 +128,20 @@ def test_pairs_are_counted_once_however_dealt(monkeypatch):
         value = vocab
 
     rows = []
-    for b in toxicity._dealt(Sent, 3)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+    kinds = [None, 5, 1, 10, None] * 6
+    for b in toxicity._dealt(Sent, 3)(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(kinds, pa.int32())], ["text", "kind"])])):
         rows += b.to_pylist()
-    rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
-    total = collections.Counter()
-    for b in toxicity._counted(iter([pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("place", pa.binary()), ("pair", pa.binary())]))])):
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    total, least = collections.Counter(), 0
+    schema = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("place", "pair", "kind")]])
+    for b in toxicity._counted(iter([pa.RecordBatch.from_pylist(rows, schema)])):
         for r in b.to_pylist():
-            total[int(vocab[r["place"]])] += r["n"]
-    want = {(v, w) for t in texts for v, w in zip([None, *t.split()], t.split())}
-    for w in ("aa", "bb", "cc"):
-        assert total[int(toxicity.words().hashes(w.encode())[0])] == sum(x[1] == w for x in want)
+            least += r["place"] < 0
+            for c in ("n", *toxicity.KINDS):
+                total[int(vocab[r["place"]]), c] += r[c]
+    pairs = lambda of: {(v, w) for t, k in zip(texts, kinds, strict=True) if of(k or 0) for v, w in zip([None, *t.split()], t.split())}
+    assert least == len(pairs(lambda k: True))
+    for c, bit in (("n", None), *toxicity.KINDS.items()):
+        want = pairs(lambda k: bit is None or k & bit)  # noqa: B023
+        for w in ("aa", "bb", "cc"):
+            assert total[int(toxicity.words().hashes(w.encode())[0]), c] == sum(x[1] == w for x in want)
