@@ -46,6 +46,13 @@ def process(df: DataFrame, columns: list[str], action: str = "omit") -> DataFram
     return df.filter(~na_row(columns))
 
 
+def expanded(df: DataFrame, columns: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with values where all of columns are present and NULL elsewhere: what a fit that left rows out
+    says of them (fitted values, residuals, standard errors), in the place of every row."""
+    whole = ~na_row(columns)
+    return df.withColumns({name: F.when(whole, v) for name, v in values.items()})
+
+
 def require_rows(n: int, n_all: int | None = None) -> None:
     if n == 0 and n_all:
         raise AllNa("every row has a missing value")

@@ -43,35 +43,35 @@ def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.avg((y == 0).cast("double")).alias("zero_share"), F.max((y != F.round(y)).cast("int")).alias("fractional"),
         F.max((y <= 0).cast("int")).alias("has_non_positive"), F.sum(pos).alias("sum_log"), F.sum(pos * pos).alias("sum_log2"), F.avg(pos).alias("mean_log"),
         F.sum(lgamma_col(F.greatest(F.round(y), F.lit(0.0)) + 1)).alias("sum_lgamma1"),
+        F.sum((y > 0).cast("double")).alias("_m"), F.sum(F.when(y > 0, y).otherwise(0.0)).alias("_a"), F.sum(F.when(y > 0, y * y).otherwise(0.0)).alias("_b"),
     )
 
 
-def rectified_normal(df: DataFrame, s: DataFrame, keys: list[str], value: str, steps: int = 40) -> DataFrame:
-    """keys, rn_mu, rn_sigma, rn_ll: a constant mean with mass at zero, by maximum likelihood. With z
-    zeros and the positive part's n, sum and squares the likelihood has a closed form, so that each
-    series needs only its row: Newton steps of its two parameters run as one fold over an array."""
-    y = F.col(value).cast("double")
-    pos = df.filter(y > 0).groupBy(*keys).agg(F.count("*").alias("m"), F.sum(y).alias("a"), F.sum(y * y).alias("b"))
-    x = s.join(pos, keys, "left").select(*keys, F.col("n").cast("double").alias("n"), F.coalesce("m", F.lit(0)).cast("double").alias("m"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"), "mean", "variance")
+def rectified_normal(s: DataFrame, where: Column, steps: int = 40) -> DataFrame:
+    """s (of statistics()) with rn_mu, rn_sigma, rn_ll, null but for rows where: a constant mean with
+    mass at zero, by maximum likelihood. With z zeros and the positive part's n, sum and squares the
+    likelihood has a closed form, so that each series needs only its row: EM steps of its two
+    parameters run as one fold over an array."""
+    x = s
     # EM: zeros are censored draws below zero, with mean mu - sigma h and second moment from h = pdf / cdf
     def step(acc, _):
         mu, sd = acc["mu"], F.greatest(acc["sd"], F.lit(1e-6))
         t = -mu / sd
         h = F.exp(-t * t / 2) / math.sqrt(2 * math.pi) / F.greatest(norm_cdf_col(t), F.lit(1e-300))
-        z = F.col("n") - F.col("m")
+        z = F.col("n") - F.col("_m")
         e1 = mu - sd * h
         e2 = mu * mu + sd * sd - sd * h * (mu)  # E[v^2 | v < 0]
-        new = (F.col("a") + z * e1) / F.col("n")
-        var = (F.col("b") + z * e2) / F.col("n") - new * new
+        new = (F.col("_a") + z * e1) / F.col("n")
+        var = (F.col("_b") + z * e2) / F.col("n") - new * new
         return F.struct(new.alias("mu"), F.sqrt(F.greatest(var, F.lit(1e-12))).alias("sd"))
 
     start = F.struct(F.col("mean").alias("mu"), F.sqrt(F.greatest("variance", F.lit(1e-6))).alias("sd"))
-    x = x.withColumn("_p", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
+    x = x.withColumn("_p", F.when(where, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)))
     x = x.withColumn("rn_mu", F.col("_p.mu")).withColumn("rn_sigma", F.col("_p.sd"))
     mu, sd = F.col("rn_mu"), F.col("rn_sigma")
-    ll = -F.col("m") * (0.5 * math.log(2 * math.pi) + F.ln(sd)) - (F.col("b") - 2 * mu * F.col("a") + F.col("m") * mu * mu) / (2 * sd * sd)
-    ll = ll + (F.col("n") - F.col("m")) * F.ln(F.greatest(norm_cdf_col(-mu / sd), F.lit(1e-300)))
-    return x.select(*keys, "rn_mu", "rn_sigma", ll.alias("rn_ll"))
+    ll = -F.col("_m") * (0.5 * math.log(2 * math.pi) + F.ln(sd)) - (F.col("_b") - 2 * mu * F.col("_a") + F.col("_m") * mu * mu) / (2 * sd * sd)
+    ll = ll + (F.col("n") - F.col("_m")) * F.ln(F.greatest(norm_cdf_col(-mu / sd), F.lit(1e-300)))
+    return x.withColumn("rn_ll", ll).drop("_p")
 
 
 def classify(df: DataFrame, keys: list[str], value: str, threshold: float = 0.3, ic: str = "aicc", rectified: bool = True) -> DataFrame:
@@ -84,11 +84,12 @@ def classify(df: DataFrame, keys: list[str], value: str, threshold: float = 0.3,
     size = F.when((var > mu) & (mu > 0), mu * mu / (var - mu)).otherwise(F.lit(1.0))
     s = s.withColumn("nb_size", size)
     y = F.col(value).cast("double")
-    hist = df.select(*keys, F.greatest(F.round(y), F.lit(0.0)).alias("k")).filter("k is not null and not isnan(k)").groupBy(*keys, "k").agg(F.count("*").alias("c"))
-    nb = hist.join(s.select(*keys, "nb_size"), keys).groupBy(*keys).agg(F.sum(F.col("c") * lgamma_col(F.col("k") + F.col("nb_size"))).alias("sum_lgamma_size"))
+    # only whole series have the negative binomial for a candidate
+    hist = df.select(*keys, F.greatest(F.round(y), F.lit(0.0)).alias("_k")).filter("_k is not null and not isnan(_k)").groupBy(*keys, "_k").agg(F.count("*").alias("_c"))
+    nb = hist.join(s.filter("fractional = 0").select(*keys, "nb_size"), keys).groupBy(*keys).agg(F.sum(F.col("_c") * lgamma_col(F.col("_k") + F.col("nb_size"))).alias("sum_lgamma_size"))
     s = s.join(nb, keys, "left")
     if rectified:
-        s = s.join(rectified_normal(df, s, keys, value), keys, "left")
+        s = rectified_normal(s, (F.col("zero_share") > threshold) & (F.col("fractional") == 1))
     else:
         s = s.withColumns({"rn_mu": F.lit(None).cast("double"), "rn_sigma": F.lit(None).cast("double"), "rn_ll": F.lit(None).cast("double")})
     lam = F.greatest(mu, F.lit(1e-10))
@@ -168,4 +169,10 @@ def anomaly_counts(x: DataFrame, keys: list[str], column: str = "anomaly") -> Da
     )
 
 
-__all__ = ["CANDIDATES", "anomalies", "anomaly_counts", "classify", "criterion", "rectified_normal", "statistics"]
+def profile(df: DataFrame, keys: list[str], value: str, order_by: list[str], detect_anomalies: bool = True, **options) -> DataFrame:
+    """classify() with the series' anomaly counts beside it, unless detect_anomalies is off."""
+    kinds = classify(df, keys, value, **options)
+    return kinds.join(anomaly_counts(anomalies(df, keys, value, order_by), keys), keys) if detect_anomalies else kinds
+
+
+__all__ = ["CANDIDATES", "anomalies", "anomaly_counts", "classify", "criterion", "profile", "rectified_normal", "statistics"]

@@ -224,6 +224,11 @@ class GLMModel:
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         return df.withColumn(output, self.predict(self.offset))
 
+    def overdispersion_ratio(self, df: DataFrame) -> float:
+        """Variance over mean at the mean fitted value of df: 1 + mean / theta for a negative binomial."""
+        mean = df.agg(F.avg(self.predict(self.offset))).first()[0]
+        return df.sparkSession.range(1).select(self.family.variance(F.lit(float(mean))) / F.lit(float(mean))).first()[0]
+
     def augment(self, df: DataFrame) -> DataFrame:
         """df with fitted, leverage and response, Pearson, deviance, working and standardised residuals."""
         df = df.withColumn("_eta", self.eta(self.offset)).withColumn("fitted", self.family.bound(self.link.inverse(F.col("_eta"))))

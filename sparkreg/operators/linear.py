@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from .. import na
 from ..errors import InsufficientObservations, InvalidOptions, InvalidWeights, NumericalError
 from ..plans.moments import Moments, moments
+from ..plans.ordering import numbered, release
 from ..plans.solve import least_squares, spd_inverse
 from .base import Fit, GramEstimator, Model
 
@@ -105,6 +106,8 @@ class Ridge(GramEstimator):
 
 #: Initial covariance of the recursion; its inverse is a tiny ridge that fades with forgetting.
 RLS_START = 1e6
+#: Rows that the last rows with a weight may be for one task to number them.
+RLS_TOP = 100_000
 
 
 class RLS(GramEstimator):
@@ -125,11 +128,16 @@ class RLS(GramEstimator):
         self.check(whole)
         if o.forgetting < 1:
             # the newest row has age 0: ages beyond where the weight underflows need no exact number
-            age = F.row_number().over(Window.orderBy(*[F.col(c).desc() for c in self.order_by])) - 1
             reach = int(-745 / np.log(o.forgetting)) + 1
-            recent = x.orderBy(*[F.col(c).desc() for c in self.order_by]).limit(reach)
-            aged = recent.withColumn("_w", F.pow(F.lit(o.forgetting), age.cast("double")))
+            if reach <= RLS_TOP:
+                age = F.row_number().over(Window.orderBy(*[F.col(c).desc() for c in self.order_by])) - 1
+                x_aged = x.orderBy(*[F.col(c).desc() for c in self.order_by]).limit(reach)
+            else:  # too many rows still count for one task to hold: number all of them
+                x_aged = numbered(x, self.order_by, "_number")
+                age = F.lit(whole.n - 1) - F.col("_number")
+            aged = x_aged.withColumn("_w", F.pow(F.lit(o.forgetting), age.cast("double")))
             m = moments(aged, self.features, self.label, "_w", shift=np.zeros(len(self.features) + 1))
+            release(x_aged)
         else:
             m = moments(x, self.features, self.label, shift=np.zeros(len(self.features) + 1))
         return Model(self.closed(m, whole), self.features, self.label)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .. import na
 from ..errors import InsufficientObservations, InvalidOptions
+from ..functions.special import t_ppf
 from ..plans.moments import Moments, moments
+from ..plans.solve import spd_inverse
 from .alm import ALM
-from .base import number
+from .base import number, total
 from .linear import OLS
 from .robust import lowess_weights
 
@@ -67,6 +69,20 @@ class LmDynamicModel:
         v = [*([F.lit(1.0)] if self.est.intercept else []), *map(number, self.est.features)]
         return sum((c * F.lit(float(b)) for c, b in zip(v, self.average, strict=True)), F.lit(0.0))
 
+    def transform(self, df: DataFrame, interval: str | None = None, level: float = 0.95, output: str = "prediction") -> DataFrame:
+        """df with the prediction by average coefficients, and with _lower, _upper and _se for interval
+        'confidence' or 'prediction': t intervals from the full design and the dynamic fit's residuals."""
+        df = df.withColumn(output, self.predict())
+        if interval is None:
+            return df
+        if self.cov is None:
+            return df.withColumns({f"{output}_{c}": F.lit(None).cast("double") for c in ("se", "lower", "upper")})
+        v = [*([F.lit(1.0)] if self.est.intercept else []), *map(number, self.est.features)]
+        h = total([v[i] * v[j] * F.lit(float(self.cov[i, j] * (1 if i == j else 2))) for i in range(len(v)) for j in range(i, len(v))])
+        se = F.sqrt(F.greatest((h + 1 if interval == "prediction" else h) * F.lit(float(self.mse)), F.lit(0.0)))
+        half = F.col(f"{output}_se") * F.lit(t_ppf(0.5 + level / 2, self.df))
+        return df.withColumn(f"{output}_se", se).withColumns({f"{output}_lower": F.col(output) - half, f"{output}_upper": F.col(output) + half})
+
     def coefficient_at(self, x: DataFrame, position: Column) -> DataFrame:
         return x.filter(position).select(*[f"c{j}" for j in range(self.betas.shape[1])])
 
@@ -117,4 +133,12 @@ class LmDynamic:
             params.append(len(s) + at)
         model = LmDynamicModel(self, specs, betas, scales, lls, n, params)
         model.average_coefficients(x)
+        k = len(self.features) + at
+        model.df, model.cov = n - k, None
+        rss = model.augment(x).agg(F.sum((number(self.label) - F.col("fitted")) ** 2)).first()[0]
+        if model.df > 0 and rss == rss:
+            whole = m or moments(x, self.features, self.label)
+            gram = whole.augmented() if self.intercept else whole.raw()[0]
+            if np.linalg.matrix_rank(gram / np.sqrt(np.outer(np.diag(gram), np.diag(gram)))) == k:
+                model.cov, model.mse = spd_inverse(gram), rss / model.df
         return model

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from .. import na
 from ..errors import InsufficientObservations, InvalidOptions, SingularMatrix
 from ..plans.irls import Base, normal_equations, solve
-from ..plans.ordering import median, numbered, quantile
-from ..plans.solve import pava, spatial_median
+from ..plans.ordering import median, numbered, quantile, release
+from ..plans.solve import spatial_median
 from .base import number
 from .linear import OLS
 
@@ -147,8 +147,9 @@ class IsotonicModel:
 
 class Isotonic:
     """Monotone regression. Rows of equal x are averaged by an aggregation; each range of x is pooled
-    where it lies, and only the pooled blocks meet on the driver, where pooling them again gives the
-    same fit as pooling all rows."""
+    where it lies; while neighbouring ranges are out of order, their blocks are dealt to half as many
+    ranges and pooled again, which gives the same fit as pooling all rows. The model's knots, one for
+    each block, end on the driver, as they are the model."""
 
     def __init__(self, feature: str, label: str, weight: str | None = None, increasing: bool = True, out_of_bounds: str = "clip"):
         if out_of_bounds not in ("clip", "nan", "extrapolate"):
@@ -162,11 +163,11 @@ class Isotonic:
         sign = 1 if self.increasing else -1
 
         def pool(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # blocks of a stream of rows by x: (first x, last x, mean, weight)
+            # pools a stream of blocks by lo: (first x, last x, mean, weight)
             lo, hi, val, wt = [], [], [], []
             for pdf in parts:
-                for a, u, v in zip(pdf["x"].tolist(), pdf["w"].tolist(), pdf["y"].tolist(), strict=True):
-                    v, first = sign * v, a
+                for a, end, v, u in zip(*(pdf[c].tolist() for c in ("lo", "hi", "v", "w")), strict=True):
+                    first = a
                     while val and val[-1] > v:
                         total = wt[-1] + u
                         v = (val.pop() * wt[-1] + v * u) / total
@@ -174,17 +175,28 @@ class Isotonic:
                         wt.pop()
                         hi.pop()
                     lo.append(first)
-                    hi.append(a)
+                    hi.append(end)
                     val.append(v)
                     wt.append(u)
             if val:
                 yield pd.DataFrame({"lo": lo, "hi": hi, "v": val, "w": wt})
 
-        blocks = x.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(pool, "lo double, hi double, v double, w double")
+        blocks = x.select(F.col("x").alias("lo"), F.col("x").alias("hi"), (F.lit(sign) * F.col("y")).alias("v"), "w")
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        while True:
+            pooled = blocks.repartitionByRange(ranges, "lo").sortWithinPartitions("lo").mapInPandas(pool, "lo double, hi double, v double, w double").persist()
+            ends = pooled.groupBy(F.spark_partition_id().alias("part")).agg(F.min_by("v", "lo").alias("first"), F.max_by("v", "lo").alias("last"), F.min("lo").alias("lo"))
+            ends = sorted(ends.collect(), key=lambda r: r["lo"])  # a row for each range
+            blocks.unpersist()
+            blocks = pooled
+            if ranges == 1 or all(a["last"] <= b["first"] for a, b in itertools.pairwise(ends)):
+                break
+            ranges = max(1, ranges // 2)
         b = blocks.toPandas().sort_values("lo")
+        blocks.unpersist()
         if b.empty:
             raise InsufficientObservations("no rows")
-        fit = sign * pava(b["v"].to_numpy(), b["w"].to_numpy())
+        fit = sign * b["v"].to_numpy()
         knots = np.r_[b["lo"].to_numpy(), b["hi"].to_numpy()[-1:]]
         return IsotonicModel(knots, np.r_[fit, fit[-1:]], self.increasing, self.out_of_bounds)
 
@@ -239,6 +251,7 @@ class TheilSen:
         else:
             subsets = _sample(n, k, self.max_subpopulation, self.seed)
         rows = _rows_by_number(x, set(itertools.chain.from_iterable(subsets)), [*self.features, self.label])
+        release(x)
         points = []
         for s in subsets:
             z = np.array([rows[i] for i in s])
@@ -296,6 +309,7 @@ class Ransac:
                 need = 1 if share >= 1 else self.max_trials if share <= 0 else min(self.max_trials, math.ceil(math.log(1 - self.confidence) / math.log(1 - share)))
         inlier = F.abs(y - best.predict()) <= F.lit(float(limit))
         final = OLS(self.features, self.label, intercept=self.intercept).fit(x.filter(inlier))
+        release(x)
         return RansacModel(self.features, self.label, final.intercept, np.nan_to_num(final.coefficients), threshold=limit, n_inliers=best_n, trials=done, candidate=best, n=n)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch
 
 NARROW = 8
+#: Tasks that add up the rows of a wide design's tasks.
+TREE = 64
 
 
 @dataclass
@@ -140,6 +142,17 @@ def _wide(k: int, weighted: bool, shift: np.ndarray, keys: int):
     return wide
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the arrays of a partition."""
+    total = None
+    for b in batches:
+        for row in b.column(0):
+            x = row.values.to_numpy(zero_copy_only=False)
+            total = x.copy() if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["_flat"])
+
+
 def _unflat(flat: np.ndarray, k: int, shift: np.ndarray) -> Moments:
     return Moments(int(flat[0]), int(flat[1]), float(flat[2]), flat[3 : 3 + k], flat[3 + k :].reshape(k, k), shift)
 
@@ -157,8 +170,10 @@ def moments(df: DataFrame, features: list[str], label: str, weight: str | None =
     row = flat.agg(*[F.sum(F.col("_flat")[i]) for i in range(size)]).first() if size <= 200 else None
     if row is not None:
         return _unflat(np.array([0.0 if v is None else v for v in row]), k, shift)
+    # one row a task, added up in a second stage of TREE tasks at most, so that few reach the driver
+    tree = flat.repartition(min(TREE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_add, "_flat array<double>")
     total = np.zeros(size)
-    for r in flat.toLocalIterator():  # one short row a task
+    for r in tree.toLocalIterator():
         total += np.array(r[0])
     return _unflat(total, k, shift)
 
