@@ -427,17 +427,21 @@ def removal(n: int, data: bytes | None) -> np.ndarray:
     return np.cumsum(hit)[:n] > 0
 
 
+def text_parts(docs: DataFrame) -> int:
+    """Partitions for as much text as docs have."""
+    return parts(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
+
+
 def repeats(docs: DataFrame, group: int = GROUP, local_hot: int = LOCAL_HOT, block: int = BLOCK) -> DataFrame:
     """(doc_id, t, data): places of the windows of a row (doc_id, text of hash t) that a smaller doc_id
     has, as packed 32-bit integers; rows without any do not appear."""
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = parts(texts, size, PART_BYTES)
+    n = text_parts(texts)
     buckets = n * BUCKETS
     seen = texts.mapInArrow(_seen(buckets, local_hot), "bucket long, data binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     flags = seen.mapInArrow(_shared(buckets), "doc_id long, data binary")
     flags = materialize(flags.groupBy("doc_id").agg(F.collect_list("data").alias("flags")))
-    both = texts.join(flags, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("t"), "flags")
+    both = texts.repartition(n, "doc_id").join(flags, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("t"), "flags")
     out = materialize(both.mapInArrow(_suffixes, SUFFIX))
     discard(flags)
     leaves = out.filter("right is not null")
@@ -492,7 +496,7 @@ def _cut(full: bool):
 
 
 def op9_substring_dedup(docs: DataFrame) -> DataFrame:
-    texts = docs.select("doc_id", "text").withColumn("t", F.xxhash64("text"))
+    texts = docs.select("doc_id", "text").withColumn("t", F.xxhash64("text")).repartition(text_parts(docs), "doc_id", "t")
     both = texts.join(repeats(docs), ["doc_id", "t"], "left").select("doc_id", "text", "data")
     return both.mapInArrow(_cut(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -502,7 +506,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     single spaces, untouched texts stay as they are, and texts of which nothing is left go. A column of
     any name passes through."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    both = rows.join(repeats(docs), ["doc_id", "t"], "left")
+    both = rows.repartition(text_parts(docs), "doc_id", "t").join(repeats(docs), ["doc_id", "t"], "left")
     text = F.col("row")["text"]
     left = F.when(F.col("data").isNull(), text).otherwise(F.pandas_udf(_cut_text, "string")(text, F.col("data")))
     both = both.select("row", "data", left.alias("left")).filter("data is null or left <> ''")
