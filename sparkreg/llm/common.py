@@ -4,15 +4,38 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import math
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
+def released(run):
+    """run (batches -> batches), giving what it freed back to the system when it ends: workers are kept
+    for later tasks, and what an idle one holds counts against its executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> list[pa.RecordBatch]:
+    """A batch in parts, so that few of its texts are Python objects at once."""
+    return [batch.slice(k, rows) for k in range(0, len(batch), rows)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it. Only where that is unset
     (tests in local mode) one of our own is made and set."""

@@ -120,7 +120,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """docs as mixed: a row for each time it is taken; where a source's target ends within a
     document, its last copy ends there. Rows taken 0 times go."""
     cols = docs.columns
-    whole = docs.select("*")
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
     key = F.expr(f"coalesce(-ln({UNIFORM}) / ({QUALITY}), 0.0e0)")
     p = plan(materialize(_keyed(docs))).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "epochs", "cut", "share")])
     size = F.expr(SIZE)
@@ -134,7 +134,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     x = x.filter("_mix_size > 0").withColumn("_mix_take", F.explode(F.concat(F.array_repeat(F.lit(-1), times), part)))
     words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?!{SPACE})")
     cut = F.rtrim(F.array_join(F.slice(words, 1, F.greatest("_mix_take", F.lit(1))), ""))
-    return x.withColumn("text", F.when(F.col("_mix_take") < 0, F.col("text")).otherwise(cut)).select(*[F.col(f"`{c}`") for c in cols])
+    left = F.when(F.col("_mix_take") < 0, F.col("text")).otherwise(cut)
+    return x.select(*[left.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in cols])
 
 
 ORACLE = """

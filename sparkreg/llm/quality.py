@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, released, slices
 
 MIN_WORDS = 50
 MAX_REPEAT = 50
@@ -126,7 +126,7 @@ def vector(x: np.ndarray, shout: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 1024)):
         texts = [t or b"" for t in pc.cast(b.column(3), pa.binary()).to_pylist()]
         x = np.array([statistics(t) for t in texts], dtype=np.int64).reshape(-1, len(BASE))
         shout = np.array([len(t) - len(t.translate(None, SHOUT)) for t in texts], dtype=np.int64)
@@ -140,7 +140,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame, kind: str = "long") -> DataFrame:
     """doc_id of that kind, lang, source, the base statistics and the transformed vector v0, v1, ..."""
     schema = f"doc_id {kind}, lang string, source string, " + ", ".join([f"{c} long" for c in BASE] + [f"{c} double" for c in V])
-    return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(_measure, schema)
+    return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(released(_measure), schema)
 
 
 def chi2_quantile(p: float, df: int) -> float:
@@ -432,5 +432,6 @@ def accepted(docs: DataFrame) -> DataFrame:
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source"))
     text = F.coalesce("text", F.lit(""))
     row = F.unhex(F.md5(F.concat_ws("\x01", F.length(lang), F.length(source), lang, source, text)))
-    good = judged(docs.withColumn("doc_id", row), "binary").filter("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(good, "_row", "left_semi").select(*docs.columns)
+    good = judged(docs.withColumn("doc_id", row), "binary").filter("kept").select(F.col("doc_id").alias("hash")).distinct()
+    rows = docs.select(row.alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(good, "hash", "left_semi").select("row.*")

@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import numbered
-from .common import materialize, parts
+from ..plans.ordering import numbered, release
+from .common import materialize, parts, released, slices
 from .graph import components, local_components
 
 SHINGLE = 3
@@ -268,7 +268,7 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 def _bands(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             keys = []
             for t in pc.cast(b.column(1), pa.binary()).to_pylist():
                 h = np.unique(shingles(t or b"", shingle))
@@ -281,7 +281,7 @@ def _bands(shingle: int):
 def _confirmed(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             left, right = (pc.cast(b.column(k), pa.binary()).to_pylist() for k in (2, 3))
             ok = []
             for x, y in zip(left, right, strict=True):
@@ -298,7 +298,7 @@ def _confirmed(shingle: int, similarity: float):
 def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """nodes (_k, text), ids (_k, n) -> (node, component) as of components(), over links of a shingle
     Jaccard of at least similarity."""
-    met = nodes.select("_k", "text").mapInArrow(_bands(shingle), "_k binary, keys array<long>")
+    met = nodes.select("_k", "text").mapInArrow(released(_bands(shingle)), "_k binary, keys array<long>")
     met = materialize(met.filter("keys is not null"))
     entries = met.join(ids, "_k").select("n", F.explode("keys").alias("b"))
     blocks = entries.groupBy("b").agg(F.count("*").alias("c"), F.min("n").alias("u")).filter("c > 1")
@@ -308,7 +308,7 @@ def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -
         text = ids.join(nodes.select("_k", "text"), "_k").select("n", "text")
         x = pairs.join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v")
         x = x.join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
-        return materialize(x.select("u", "v", "x", "y").mapInArrow(_confirmed(shingle, similarity), "u long, v long"))
+        return materialize(x.select("u", "v", "x", "y").mapInArrow(released(_confirmed(shingle, similarity)), "u long, v long"))
 
     stars = materialize(entries.filter("n <> u").select("u", F.col("n").alias("v")).distinct())
     links = confirmed(stars)
@@ -334,13 +334,16 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, simi
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.trim(F.regexp_replace(lower, r"[ \t\n\x0B\f\r]+", " "))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), text)
-    rows = docs.withColumn("_k", F.unhex(F.md5(words))).groupBy("_k").agg(F.min_by(F.struct(*cols), order).alias("_row"))
-    one = materialize(rows.select("_k", *[F.col("_row")[c].alias(c) for c in cols]))
-    ids = one.select("_k", F.col("doc_id").isNull().alias("_none"), "doc_id")
-    ids = materialize(numbered(ids, ["_none", "doc_id", "_k"], "n").select("_k", "n"))
+    rows = docs.select(F.unhex(F.md5(words)).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), order.alias("order"))
+    rows = rows.groupBy("_k").agg(F.min_by("row", "order").alias("row"))
+    kept = materialize(rows.select("_k", "row"))
+    one = kept.select("_k", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"))
+    ids = numbered(one.select("_k", F.col("doc_id").isNull().alias("_none"), "doc_id"), ["_none", "doc_id", "_k"], "n")
+    held, ids = ids, materialize(ids.select("_k", "n"))
+    release(held)
     if similarity is None:
         found = near_duplicates(one.join(ids, "_k").select(F.col("n").alias("doc_id"), "text"), radius, shingle=shingle)
         gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("n"))
     else:
         gone = similar(one, ids, shingle, similarity).filter("node <> component").select(F.col("node").alias("n"))
-    return one.join(ids.join(gone, "n", "left_semi"), "_k", "left_anti").select(*cols)
+    return kept.join(ids.join(gone, "n", "left_semi"), "_k", "left_anti").select("row.*")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, parts
+from .common import discard, materialize, parts, released, slices
 
 WINDOW = 13
 ANCHOR = 5
@@ -57,7 +57,7 @@ BLOCK = 100_000
 #: Documents of one task's chunk that may share an anchor before one of them stands for all.
 LOCAL_HOT = 8
 #: Words that a task holds before it sends what it has.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Records in a batch that a task sends.
 SEND = 1 << 14
 #: Anchors are dealt by hash to so many buckets for each partition, and a partition is for so many bytes of text.
@@ -122,7 +122,7 @@ def _batch(rows: list[tuple[int, bytes]], name: str = "bucket") -> pa.RecordBatc
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(doc_id, text, ...) of rows with both; texts as bytes."""
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         extra = [b.column(k).to_pylist() for k in range(2, b.num_columns)]
         for doc, text, *x in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary()).to_pylist(), *extra, strict=True):
             if doc is not None and text:
@@ -438,15 +438,15 @@ def repeats(docs: DataFrame, group: int = GROUP, local_hot: int = LOCAL_HOT, blo
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     n = text_parts(texts)
     buckets = n * BUCKETS
-    seen = texts.mapInArrow(_seen(buckets, local_hot), "bucket long, data binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    flags = seen.mapInArrow(_shared(buckets), "doc_id long, data binary")
+    seen = texts.mapInArrow(released(_seen(buckets, local_hot)), "bucket long, data binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    flags = seen.mapInArrow(released(_shared(buckets)), "doc_id long, data binary")
     flags = materialize(flags.groupBy("doc_id").agg(F.collect_list("data").alias("flags")))
     both = texts.repartition(n, "doc_id").join(flags, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("t"), "flags")
-    out = materialize(both.mapInArrow(_suffixes, SUFFIX))
+    out = materialize(both.mapInArrow(released(_suffixes), SUFFIX))
     discard(flags)
     leaves = out.filter("right is not null")
     leaves = leaves.repartitionByRange(parts(leaves, leaves.count(), group), F.substring("right", 1, 8 * ANCHOR)).sortWithinPartitions("right")
-    deep = materialize(leaves.mapInArrow(_subtrees(block), SUFFIX))
+    deep = materialize(leaves.mapInArrow(released(_subtrees(block)), SUFFIX))
     found = [x.filter("right is null").select("doc_id", "t", "places") for x in (out, deep)]
     large = deep.filter("right is not null").select("right", "doc_id", "t", "places")
     left = large.count()

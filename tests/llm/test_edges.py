@@ -155,3 +155,50 @@ def test_subtree_walk_equals_counting():
     for size in (400, 7, 1):
         got = [t for b in substring._walk(iter(table.to_batches(size))) for t in b.column(1).to_pylist()]
         assert got == [k for k in range(400) if doc[k] > least[words[k].tobytes()]]
+
+
+def test_stages_pass_columns_of_any_name_through(spark):
+    import corpus_pipeline
+    from sparkreg.llm import chat, mixing
+
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(rng.choice([f"w{k}" for k in range(900)], 120))
+    names = ["_k", "row", "left", "data", "n", "key", "g", "t", "hash", "order", "_mix_size", "cut"]
+    rows = [(i if i % 9 else None, text(), "en", f"s{i % 2}", *[i] * len(names)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in names)).repartition(3)
+    by = {r["text"]: r["n"] for r in df.collect()}
+    x = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        x = spark.createDataFrame(stage(spark, x, "").collect(), df.schema)
+        assert x.columns == df.columns and x.count() >= 85, name
+        for r in x.collect():
+            assert len({r[c] for c in names}) == 1 and (name == "source_mixing" or by[r["text"]] == r["n"])
+    assert mixing.op4_source_mixing(df).count() == 90
+    turns = [(None, 0, "u", "lost", 1), (1, None, "u", "first", 1), (1, 0, None, None, 1), (1, 0, None, None, 1), (2, None, "u", "first", 1)]
+    got = chat.op1_chat_formatting(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, block int")).collect()
+    assert [(r["conv_id"], r["n_turns"], r["text"].count("<|im_start|>")) for r in got] == [(1, 3, 3)]
+
+
+def test_null_ids_are_scanned_one_by_one(spark):
+    df = spark.createDataFrame([(None, "MIT License"), (None, None), (3, "MIT License"), (3, "x")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["labels"]) for r in licenses.op6_license_scan(df).collect())
+    assert got == [(0, ""), (0, "mit"), (3, ""), (3, "mit")]
+    packed = packing.op2_bestfit_packing(df).collect()
+    assert len(packed) == 4 and sorted(r["length"] for r in packed if r["doc_id"] is None)[0] == 1
+
+
+def test_the_pipeline_packs_what_its_stages_leave(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
+    s = got.sort_values(["sequence_id", "offset"])
+    assert len(got) > 100 and ((s.groupby("sequence_id")["length"].cumsum() - s["length"]) == s["offset"]).all()
+    assert s.groupby("sequence_id")["length"].sum().max() <= 1024
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    lib = plain("byte_bpe_50k.json")
+    want = sorted((r["doc_id"], len(lib.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in docs.select("doc_id", "text").collect())
+    # a document that is taken twice has its pieces twice
+    sizes = got.groupby("doc_id")["length"].sum()
+    assert sum(n for _, n in want) == sizes.sum() and {d for d, _ in want} == set(sizes.index)
