@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, mixing, packing, quality, simhash, substring, tokenfile, toxicity
+from . import chat, embeddings, licenses, mixing, packing, quality, repair, simhash, substring, tokenfile, toxicity
 from .common import documents
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     ),
     "op9_substring_dedup": lambda spark, sf_dir: substring.op9_substring_dedup(documents(spark, sf_dir)),
     "op10_simhash_neardup": lambda spark, sf_dir: simhash.op10_simhash_neardup(documents(spark, sf_dir)),
+    "op11_conversation_repair": lambda spark, sf_dir: repair.op11_conversation_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
 }
 
-ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op4_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op4_source_mixing": mixing.ORACLE, "op11_conversation_repair": repair.ORACLE}
