@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, lines, mixing, packing, quality, repair, simhash, substring, tokenfile, toxicity
+from . import chat, divergence, embeddings, licenses, lines, mixing, packing, quality, repair, simhash, substring, tokenfile, toxicity
 from .common import documents
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_simhash_neardup": lambda spark, sf_dir: simhash.op10_simhash_neardup(documents(spark, sf_dir)),
     "op11_conversation_repair": lambda spark, sf_dir: repair.op11_conversation_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "op12_line_dedup": lambda spark, sf_dir: lines.op12_line_dedup(documents(spark, sf_dir)),
+    "op13_source_divergence": lambda spark, sf_dir: divergence.op13_source_divergence(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op4_source_mixing": mixing.ORACLE, "op11_conversation_repair": repair.ORACLE, "op12_line_dedup": lines.ORACLE}
+ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op4_source_mixing": mixing.ORACLE, "op11_conversation_repair": repair.ORACLE, "op12_line_dedup": lines.ORACLE, "op13_source_divergence": divergence.ORACLE}
