@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import math
 import shutil
 import tempfile
@@ -86,6 +87,13 @@ def discard(*tables: DataFrame | None) -> None:
             delete(df.sparkSession, path)
 
 
+def shuffles_go(spark: SparkSession) -> None:
+    """Shuffle files of a finished job leave the executors' disks when the driver's JVM collects its
+    garbage; this asks for it once what they were for is written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts(df: DataFrame, rows: int, rows_each: int) -> int:
     """Shuffle partitions for so many rows: at least what the session is set to, more as data grow."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_each))

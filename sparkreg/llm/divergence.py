@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, parts, released, slices
+from .common import discard, materialize, parts, released, shuffles_go, slices
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
@@ -123,12 +123,20 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def term_counts(counts: DataFrame, rows: int) -> DataFrame:
-    """lang, source, term, n, docs: 1, 2 or 3 for more, of so many rows of chunk counts."""
+def term_rows(counts: DataFrame, rows: int) -> DataFrame:
+    """lang, source, term, n, docs (3 for more), low, high: terms of chunks beside the counts of the
+    chunks, of which there are so many rows."""
     n = parts(counts, rows, ROWS)
     chunks = counts.select("chunk").filter("chunk <> ''").distinct()
     terms = chunks.select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
-    joined = counts.repartition(n, "chunk").join(terms.hint("shuffle_hash"), "chunk")
+    few = F.when(F.col("docs") <= 2, F.lit(True))
+    # numbers count only where they are all of a chunk's
+    told = counts.select("lang", "source", "chunk", "n", F.least("docs", F.lit(3)).alias("docs"), *[F.when(few, F.col(c)).alias(c) for c in ("low", "high")])
+    return told.repartition(n, "chunk").join(terms.hint("shuffle_hash"), "chunk").drop("chunk")
+
+
+def term_counts(joined: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs: 1, 2 or 3 for more."""
     few = F.col("docs") <= 2
     x, y = (F.col(c).cast("decimal(19,0)") for c in ("low", "high"))
     two = F.col("docs") == 2
@@ -217,14 +225,21 @@ def _compared(top: int):
 def divergences(docs: DataFrame, min_docs: int = 3, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank. part `pair`: how far the source is from another one of
     its language; `term`: the terms that set it apart from its language most."""
+    spark = docs.sparkSession
     counts = materialize(chunk_counts(docs))
-    kept = materialize(kept_terms(term_counts(counts, counts.count()), min_docs))
-    names = counts.filter("chunk = ''").select("lang", "source")
+    names = materialize(counts.filter("chunk = ''").select("lang", "source"))
+    shuffles_go(spark)
+    joined = materialize(term_rows(counts, counts.count()))
+    discard(counts)
+    shuffles_go(spark)
+    kept = materialize(kept_terms(term_counts(joined), min_docs))
+    discard(joined)
+    shuffles_go(spark)
     words = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     terms = kept.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.count("*").alias("rows"))
     groups = names.join(words, ["lang", "source"], "left").join(terms, "lang", "left")
     groups = materialize(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "rows")]))
-    discard(counts)
+    discard(names)
     buckets = groups.groupBy("lang").agg((1 + F.floor(F.max("rows") / BUCKET)).cast("long").alias("buckets"))
     left = kept.join(buckets, "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), "buckets")).drop("buckets")
     right = groups.join(buckets, "lang").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"))
