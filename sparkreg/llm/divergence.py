@@ -232,12 +232,15 @@ def divergences(docs: DataFrame, min_docs: int = 3, top: int = TOP) -> DataFrame
     joined = materialize(term_rows(counts, counts.count()))
     discard(counts)
     shuffles_go(spark)
-    kept = materialize(kept_terms(term_counts(joined), min_docs))
+    terms = materialize(term_counts(joined))
     discard(joined)
     shuffles_go(spark)
+    kept = materialize(kept_terms(terms, min_docs))
+    discard(terms)
+    shuffles_go(spark)
     words = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    terms = kept.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.count("*").alias("rows"))
-    groups = names.join(words, ["lang", "source"], "left").join(terms, "lang", "left")
+    sizes = kept.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.count("*").alias("rows"))
+    groups = names.join(words, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = materialize(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "rows")]))
     discard(names)
     buckets = groups.groupBy("lang").agg((1 + F.floor(F.max("rows") / BUCKET)).cast("long").alias("buckets"))
