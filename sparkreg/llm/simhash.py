@@ -8,12 +8,12 @@ stored vertically (one 64-lane word per bit plane), distances of 64 fingerprints
 once by carry-save adders, and a word is abandoned once all its lanes exceed the radius.
 
 keep_one() also takes a shingle length and a similarity. At a shingle Jaccard of 0.8 fingerprints
-differ by about 10 of 64 bits, and often by 16, too many for tables of whole parts; candidates then
-come from BANDS bands of ROWS minima of hashed shingles, and every link is confirmed by the Jaccard of
-its shingles (64-bit hashes). A pair at 0.8 exactly meets in no band with probability 5e-6, a closer
-one with less. First a block's members are compared with its least, then, in blocks that this leaves
-in several components, all pairs between those; a large block of texts that are alike below the
-similarity is compared pair by pair.
+differ by about 10 of 64 bits, too many for tables of whole parts; blocks then come from BANDS bands of
+ROWS minima of hashed shingles (a pair at 0.8 meets in none of them with probability 5e-6, a closer one
+with less). A block's members are first compared with its least. Blocks that this leaves in several
+groups, those of equal members once, are cut into parts of PART members that meet pair by pair: there
+fingerprints are compared bit-sliced within FAR bits, and what is left by the exact Jaccard of shingle
+sets, as bit rows. No pair of texts is a row, whatever a block's size.
 
 Nulls and edges: a null or blank text has fingerprint zero, which links like any other; rows with
 a null doc_id link like others but give a component its id only where it has no other (null then);
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import numbered, release
-from .common import materialize, parts, released, slices
+from .common import discard, materialize, parts, released, slices
 from .graph import components, local_components
 
 SHINGLE = 3
@@ -48,6 +48,10 @@ BLOCK = 4096
 FLUSH = 200_000
 #: Words (64 lanes each) compared at once.
 SLICE = 1 << 19
+#: With a similarity: bits that fingerprints of similar texts may differ in (8 to 11 of 64 are usual at
+#: 0.8, with a deviation of 3), members and bytes of text of a part of a block, cells of a bit matrix,
+#: and pairs compared at once.
+FAR, PART, PART_BYTES, BITS, PAIRS = 24, 512, 16 << 20, 1 << 26, 1 << 12
 #: Minima of hashed shingles: bands, and minima a band.
 BANDS, ROWS = 40, 6
 MULTIPLY, SHIFT = (
@@ -72,7 +76,10 @@ def shingles(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarra
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Signed 64-bit SimHash of A-Z-lowered word shingles, each counted as often as it occurs."""
-    h = shingles(text, shingle, seed)
+    return _of(shingles(text, shingle, seed))
+
+
+def _of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -295,6 +302,71 @@ def _confirmed(shingle: int, similarity: float):
     return run
 
 
+def alike(sets: list[np.ndarray], fp: np.ndarray, group: np.ndarray, similarity: float, radius: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+    """Links p, q between sets of hashes that are in different groups: fingerprints within the radius,
+    compared bit-sliced, and then a Jaccard of at least similarity, of sets as bit rows over the hashes
+    that two of them have."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*within(fp, np.zeros(n, np.int64), np.full(n, n), radius), strict=True)) if n > 1 else (np.zeros(0, np.int64),) * 2
+    small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+    live = (group[p] != group[q]) & (small >= similarity * large - 1e-9)
+    p, q = p[live], q[live]
+    if not len(p):
+        return p, q
+    hashes = np.concatenate(sets)
+    doc = np.repeat(np.arange(n), size)
+    order = np.argsort(hashes, kind="stable")
+    cut = np.r_[True, np.diff(hashes[order]) != 0]
+    column = np.cumsum(cut) - 1
+    shared = np.bincount(column)[column] > 1
+    doc, column = doc[order][shared], column[shared]
+    column = np.cumsum(np.r_[True, np.diff(column) != 0]) - 1 if len(column) else column
+    both = np.zeros(len(p), np.int64)
+    width = max(64, BITS // n // 64 * 64)
+    for s in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [s, s + width])
+        bits = np.zeros((n, width // 8), np.uint8)
+        at = column[lo:hi] - s
+        # a set has a hash once: no two of these meet in one bit
+        np.add.at(bits, (doc[lo:hi], at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+        words = bits.view(np.uint64)
+        for k in range(0, len(p), PAIRS):
+            both[k : k + PAIRS] += np.bitwise_count(words[p[k : k + PAIRS]] & words[q[k : k + PAIRS]]).sum(axis=1, dtype=np.int64)
+    found = both >= similarity * (size[p] + size[q] - both) - 1e-9
+    return p[found], q[found]
+
+
+def _within_blocks(shingle: int, similarity: float):
+    """Rows (b, n, group, text) sorted by b -> links (u, v) between groups, a forest for each b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[tuple]) -> pa.RecordBatch:
+            ids, group = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
+            first, group = np.unique(group, return_inverse=True)
+            p, q = alike([r[3] for r in held], np.array([r[2] for r in held], np.int64).view(np.uint64), group, similarity)
+            label = local_components(len(first), group[p], group[q])
+            # of links between the same two groups one is enough
+            key = np.minimum(group[p], group[q]) * len(first) + np.maximum(group[p], group[q])
+            one = np.unique(key, return_index=True)[1]
+            return pa.RecordBatch.from_arrays([pa.array(ids[p[one]]), pa.array(ids[q[one]])], ["u", "v"]) if len(label) else None
+
+        last, held = None, []
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = pc.cast(batch.column(3), pa.binary()).to_pylist()
+            for b, n, group, text in zip(*(batch.column(k).to_pylist() for k in range(3)), texts, strict=True):
+                if b != last and held:
+                    yield links(held)
+                    held = []
+                last = b
+                h = shingles(text, shingle)
+                held.append((n, group, _of(h), np.unique(h)))
+        if held:
+            yield links(held)
+
+    return run
+
+
 def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """nodes (_k, text), ids (_k, n) -> (node, component) as of components(), over links of a shingle
     Jaccard of at least similarity."""
@@ -303,23 +375,32 @@ def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -
     entries = met.join(ids, "_k").select("n", F.explode("keys").alias("b"))
     blocks = entries.groupBy("b").agg(F.count("*").alias("c"), F.min("n").alias("u")).filter("c > 1")
     entries = materialize(entries.join(blocks, "b").select("b", "n", "u"))
+    discard(met)
+    in_blocks = entries.select("n").distinct()
+    text = materialize(ids.join(in_blocks, "n", "left_semi").join(nodes.select("_k", "text"), "_k").select("n", "text"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        text = ids.join(nodes.select("_k", "text"), "_k").select("n", "text")
-        x = pairs.join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v")
-        x = x.join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
-        return materialize(x.select("u", "v", "x", "y").mapInArrow(released(_confirmed(shingle, similarity)), "u long, v long"))
+    # a block's members and its least one
+    stars = entries.filter("n <> u").select("u", F.col("n").alias("v")).distinct()
+    x = stars.join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v").join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
+    links = materialize(x.select("u", "v", "x", "y").mapInArrow(released(_confirmed(shingle, similarity)), "u long, v long"))
 
-    stars = materialize(entries.filter("n <> u").select("u", F.col("n").alias("v")).distinct())
-    links = confirmed(stars)
+    # blocks that this leaves in several groups, each set of members once, in parts that meet pair by pair
     comp = components(links)
-    placed = entries.join(comp, entries.n == comp.node, "left").select("b", "n", F.coalesce("component", "n").alias("c"))
-    mixed = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("b")
-    placed = materialize(placed.join(mixed, "b"))
-    other = placed.select("b", F.col("n").alias("v"), F.col("c").alias("d"))
-    rest = placed.join(other, "b").filter("n < v and c <> d").select(F.col("n").alias("u"), "v").distinct()
-    rest = materialize(rest.join(stars, ["u", "v"], "left_anti"))
-    return components(links.unionByName(confirmed(rest)))
+    placed = entries.join(comp, entries.n == comp.node, "left").select("b", "n", F.coalesce("component", "n").alias("group"))
+    placed = materialize(placed.join(text.select("n", F.octet_length("text").alias("size")), "n"))
+    discard(entries)
+    blocks = placed.groupBy("b").agg(
+        F.count("*").alias("c"), F.expr("bit_xor(xxhash64(n))").alias("members"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.sum("size").alias("bytes")
+    ).filter("lo < hi")
+    blocks = blocks.groupBy("c", "members", "bytes").agg(F.min("b").alias("b"))
+    cuts = F.ceil(F.greatest(F.col("c") / F.lit(PART), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
+    parted = placed.join(blocks.select("b", cuts.alias("cuts")), "b").withColumns({"r": F.pmod(F.xxhash64("n", "b"), F.col("cuts").cast("long")).cast("int")})
+    parted = parted.select("b", "n", "group", "r", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("s"))
+    parted = parted.select(F.xxhash64("b", F.least("r", "s"), F.greatest("r", "s")).alias("b"), "n", "group")
+    dealt = parted.join(text, "n").select("b", "n", "group", "text").repartition("b").sortWithinPartitions("b")
+    more = materialize(dealt.mapInArrow(released(_within_blocks(shingle, similarity)), "u long, v long"))
+    discard(placed, text)
+    return components(links.unionByName(more))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
