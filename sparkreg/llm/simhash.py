@@ -308,7 +308,9 @@ def alike(sets: list[np.ndarray], fp: np.ndarray, group: np.ndarray, similarity:
     that two of them have."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
-    p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*within(fp, np.zeros(n, np.int64), np.full(n, n), radius), strict=True)) if n > 1 else (np.zeros(0, np.int64),) * 2
+    none = np.zeros(0, np.int64)
+    near = list(within(fp, np.zeros(n, np.int64), np.full(n, n), radius))
+    p, q = (np.concatenate([none, *(x[k] for x in near)]) for k in (0, 1))
     small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
     live = (group[p] != group[q]) & (small >= similarity * large - 1e-9)
     p, q = p[live], q[live]
@@ -338,18 +340,17 @@ def alike(sets: list[np.ndarray], fp: np.ndarray, group: np.ndarray, similarity:
 
 
 def _within_blocks(shingle: int, similarity: float):
-    """Rows (b, n, group, text) sorted by b -> links (u, v) between groups, a forest for each b."""
+    """Rows (b, n, group, text) sorted by b -> links (u, v) between groups, one for two groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: list[tuple]) -> pa.RecordBatch:
             ids, group = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
             first, group = np.unique(group, return_inverse=True)
             p, q = alike([r[3] for r in held], np.array([r[2] for r in held], np.int64).view(np.uint64), group, similarity)
-            label = local_components(len(first), group[p], group[q])
             # of links between the same two groups one is enough
             key = np.minimum(group[p], group[q]) * len(first) + np.maximum(group[p], group[q])
             one = np.unique(key, return_index=True)[1]
-            return pa.RecordBatch.from_arrays([pa.array(ids[p[one]]), pa.array(ids[q[one]])], ["u", "v"]) if len(label) else None
+            return pa.RecordBatch.from_arrays([pa.array(ids[p[one]]), pa.array(ids[q[one]])], ["u", "v"])
 
         last, held = None, []
         for batch in (part for whole in batches for part in slices(whole)):

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkreg.llm import divergence, lines, repair
+from sparkreg.llm import divergence, lines, repair, simhash
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -270,3 +270,31 @@ def test_shares_are_exact():
     for total in (1, 3, 999_999_937, 8 * 10**15 + 3):
         held = counts[counts < total]
         assert divergence.shares(held, total).tolist() == [1 + 10**9 * (int(c) + 1) // total for c in held]
+
+
+# members of a block
+
+
+def test_members_of_a_block_are_compared_exactly():
+    rng = np.random.default_rng(4)
+    vocab = [f"w{k}" for k in range(4000)]
+    base = rng.choice(vocab, 200)
+    docs = []
+    for _ in range(120):
+        x = base.copy()
+        k = int(rng.integers(0, 20))
+        x[rng.integers(0, 200, k)] = rng.choice(vocab, k)
+        docs.append(" ".join(x).encode())
+    docs += [" ".join(rng.choice(vocab, 150)).encode() for _ in range(30)] + [b"", b"one two"]
+    h = [simhash.shingles(d, 5) for d in docs]
+    sets, fp = [np.unique(x) for x in h], np.array([simhash._of(x) for x in h], np.int64).view(np.uint64)
+    group = np.arange(len(docs)) // 2
+    want = set()
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if group[i] != group[j] and len(sets[i]) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            want.add((i, j))
+    got = {(int(i), int(j)) for i, j in zip(*simhash.alike(sets, fp, group, 0.8)) if len(sets[i])}
+    assert got == want and len(want) > 50
+    for few in ([0], [125, 126], []):  # one member, two unlike ones, none
+        assert len(simhash.alike([sets[k] for k in few], fp[few], np.arange(len(few)), 0.8)[0]) == 0
