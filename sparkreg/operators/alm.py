@@ -1,27 +1,28 @@
 """Augmented linear models: 25 distributions, each maximising its stated log-likelihood.
 
-Where the score has an exact reweighted form the fit is a least-squares, GLM or quantile fit; the
-others maximise the likelihood over coefficients and log scale by BFGS, each step of which is one
-aggregation for all finite differences. Scales are then estimated as the distribution's own formula
-says, and the reported log-likelihood is taken at that scale.
+Where the score has an exact reweighted form the fit is a least-squares, GLM or quantile fit, whose
+scale is the distribution's own formula. The others maximise the likelihood over coefficients and log
+scale by limited-memory BFGS from several starts: a step is one aggregation of likelihoods and
+gradients (derivatives of the densities as Columns) at all step lengths of all starts, and the scale
+is the one at the optimum. loss is what a reweighted fit watches to stop, as compute_loss() has it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import na
 from ..errors import InsufficientObservations, InvalidOptions, RegressionError
-from ..functions.special import lgamma_col, norm_cdf_col
-from ..plans.irls import Base, maximise
+from ..functions.special import digamma_col, lgamma_col, norm_cdf_col
+from ..plans.climb import climb
+from ..plans.many import Ask, Direct, View, fit_together, together
 from ..plans.ordering import order_statistics
-from ..plans.solve import spd_inverse
+from ..plans.solve import least_squares, spd_inverse
 from .base import number
 from .glm import LINKS
 
@@ -138,6 +139,80 @@ def _bernoulli(y, m, s, e):
     return y * F.ln(_unit(m)) + (1 - y) * F.ln(1 - _unit(m))
 
 
+# Derivatives of a row's log-likelihood by mu and by log scale, of the same arguments.
+
+
+def _sign_power(z: Column, power: float) -> Column:
+    """sign(z) |z|^power; where that is infinite at zero, a large value."""
+    return F.signum(z) * F.pow(F.greatest(F.abs(z), F.lit(1e-12)), F.lit(float(power)))
+
+
+def _scores_of_z(slope: Callable[[Column, float], Column]):
+    """Of a location-scale density with d log f / dz = -slope."""
+    return lambda y, m, s, e: (slope((y - m) / s, e) / s, slope((y - m) / s, e) * (y - m) / s - 1)
+
+
+def _scores_on_log(scores):
+    def out(y, m, s, e):
+        by_m, by_s = scores(F.ln(y), F.ln(m), s, e)
+        return by_m / m, by_s
+
+    return out
+
+
+def _scores_s(y, m, s, e):
+    return _sign_power(y - m, -0.5) / (2 * s), F.sqrt(F.abs(y - m)) / s - 2
+
+
+def _scores_log_s(y, m, s, e):
+    d = F.ln(y) - F.ln(m)
+    return _sign_power(d, -0.5) / (2 * F.sqrt(F.lit(1.0) * s) * m), 0.5 * F.sqrt(F.abs(d) / s) - 1
+
+
+def _scores_folded(y, m, s, e):
+    a, b = (y - m) / s, (y + m) / s
+    p = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), (a * a - b * b) / 2))))
+    return (p * a - (1 - p) * b) / s, p * a * a + (1 - p) * b * b - 1
+
+
+def _scores_rectified(y, m, s, e):
+    a, u = (y - m) / s, -m / s
+    hazard = F.when(u < -30, -u).otherwise(F.exp(-u * u / 2 - HALF_LOG_2PI) / F.greatest(norm_cdf_col(u), F.lit(1e-300)))
+    return F.when(y > 0, a).otherwise(-hazard) / s, F.when(y > 0, a * a - 1).otherwise(-u * hazard)
+
+
+def _scores_box_cox(y, m, s, e):
+    t = (lambda v: F.ln(_pos(v))) if abs(e) < 1e-10 else (lambda v: (F.pow(_pos(v), F.lit(e)) - 1) / e)
+    q = (t(y) - t(m)) / s
+    return F.when(m > 1e-10, q / s * F.pow(_pos(m), F.lit(e - 1.0))).otherwise(0.0), q * q - 1
+
+
+def _scores_beta(y, m, s, e):
+    a, b = m * s, (1 - m) * s
+    da, db = digamma_col(a), digamma_col(b)
+    odds = F.ln(y) - F.ln(1 - y)
+    return s * (db - da + odds), s * (digamma_col(a + b) - m * da - (1 - m) * db + m * F.ln(y) + (1 - m) * F.ln(1 - y))
+
+
+_NORMAL = _scores_of_z(lambda z, e: z)
+_LAPLACE = _scores_of_z(lambda z, e: F.signum(z))
+_GENERAL = _scores_of_z(lambda z, e: e * _sign_power(z, e - 1.0))
+SCORES = {
+    "normal": _NORMAL, "laplace": _LAPLACE, "student_t": _scores_of_z(lambda z, e: (e + 1) * z / (e + z * z)), "logistic": _scores_of_z(lambda z, e: F.tanh(z / 2)),
+    "asymmetric_laplace": _scores_of_z(lambda z, e: F.when(z >= 0, F.lit(e)).otherwise(e - 1)), "generalised_normal": _GENERAL, "s": _scores_s,
+    "log_normal": _scores_on_log(_NORMAL), "log_laplace": _scores_on_log(_LAPLACE), "log_s": _scores_log_s, "log_generalised_normal": _scores_on_log(_GENERAL),
+    "folded_normal": _scores_folded, "rectified_normal": _scores_rectified, "box_cox_normal": _scores_box_cox, "beta": _scores_beta,
+    "logit_normal": lambda y, m, s, e: _NORMAL(F.ln(y / (1 - y)), m, s, e),
+    "gamma": lambda y, m, s, e: (e * (y - m) / (m * m), None), "inverse_gaussian": lambda y, m, s, e: (e * (y - m) / F.pow(m, F.lit(3.0)), None),
+    "exponential": lambda y, m, s, e: ((y - m) / (m * m), None), "poisson": lambda y, m, s, e: (_count(y) / _pos(m) - 1, None),
+    "negative_binomial": lambda y, m, s, e: (_count(y) / _pos(m) - (_count(y) + e) / (e + _pos(m)), None),
+    "binomial": lambda y, m, s, e: ((F.least(_count(y * e), F.lit(float(e))) - e * _unit(m)) / (_unit(m) * (1 - _unit(m))), None),
+    "geometric": lambda y, m, s, e: (_count(y) / _pos(m) - (_count(y) + 1) / (1 + _pos(m)), None),
+    "cumulative_logistic": lambda y, m, s, e: ((y - _unit(m)) / (_unit(m) * (1 - _unit(m))), None),
+    "cumulative_normal": lambda y, m, s, e: ((y - _unit(m)) / (_unit(m) * (1 - _unit(m))), None),
+}
+
+
 @dataclass(frozen=True)
 class Distribution:
     name: str
@@ -146,7 +221,7 @@ class Distribution:
     scaled: bool  # has a scale parameter of its own
     extra: float | None = None
     need: str = "any"  # any, positive, nonnegative, unit, share, binary
-    way: str = "ml"  # ols, ols_log, ols_logit, glm, quantile, quantile_log, ml
+    way: str = "ml"  # ols, ols_log, ols_logit, glm, quantile, quantile_log, vertex, vertex_log, ml
 
 
 DISTRIBUTIONS = {
@@ -158,10 +233,10 @@ DISTRIBUTIONS = {
         Distribution("logistic", "identity", _logistic, True),
         Distribution("asymmetric_laplace", "identity", _asymmetric, True, 0.5, way="quantile"),
         Distribution("generalised_normal", "identity", _general, True, 2.0),
-        Distribution("s", "identity", _s, True),
+        Distribution("s", "identity", _s, True, way="vertex"),
         Distribution("log_normal", "log", _on_log(_normal), True, need="positive", way="ols_log"),
         Distribution("log_laplace", "log", _on_log(_laplace), True, need="positive", way="quantile_log"),
-        Distribution("log_s", "log", _log_s, True, need="positive"),
+        Distribution("log_s", "log", _log_s, True, need="positive", way="vertex_log"),
         Distribution("log_generalised_normal", "log", _on_log(_general), True, 2.0, need="positive"),
         Distribution("folded_normal", "identity", _folded, True, need="nonnegative"),
         Distribution("rectified_normal", "identity", _rectified, True, need="nonnegative"),
@@ -180,6 +255,8 @@ DISTRIBUTIONS = {
     )
 }
 
+#: Likelihoods that may have several maxima: these are climbed from a wider scale too.
+MANY_TOPS = ("student_t", "folded_normal", "box_cox_normal")
 LOSSES = ("likelihood", "mse", "mae", "ham", "role")
 
 
@@ -194,44 +271,62 @@ def log_likelihood(df: DataFrame, y: Column, mu: Column, distribution: str, scal
     return df.agg(F.sum(d.loglik(y, mu, F.lit(float(scale)), d.extra if extra is None else extra))).first()[0]
 
 
-def estimate_scale(df: DataFrame, y: Column, mu: Column, distribution: str, dof: float, extra: float | None = None) -> float:
+def scale_steps(view: View, mu: Column, distribution: str, dof: float, extra: float | None = None) -> Generator:
     """The distribution's scale from fitted values; 1 where it has none."""
-    x = df.select(y.cast("double").alias("y"), mu.cast("double").alias("m"))
-    y, m = F.col("y"), F.col("m")
-    n = x.count()
-    mean = lambda c: x.agg(F.avg(c)).first()[0]
-    sum_ = lambda c: x.agg(F.sum(c)).first()[0]
-    mid = lambda c: order_statistics(x, c, [n // 2])[0] / 0.6745
+    y, m = view.y, mu
+
+    def mean(c: Column) -> Generator:
+        s = yield from view.ask(sum=c, n=F.lit(1.0))
+        return s["sum"] / s["n"]
+
+    def root(c: Column) -> Generator:
+        return math.sqrt((yield from view.ask(sum=c))["sum"] / dof)
+
+    def middle(c: Column) -> Generator:
+        def run(df: DataFrame) -> list[float]:
+            x = view.rows(df)
+            return order_statistics(x, c, [x.count() // 2])
+
+        (value,) = yield Direct(run)
+        return value / 0.6745
+
+    on_log = F.ln(y) - F.ln(m)
     if distribution in ("normal", "rectified_normal"):
-        return math.sqrt(sum_((y - m) ** 2) / dof)
+        return (yield from root((y - m) ** 2))
     if distribution == "log_normal":
-        return math.sqrt(sum_((F.ln(y) - F.ln(m)) ** 2) / dof)
+        return (yield from root(on_log**2))
     if distribution == "logit_normal":
         yy = F.greatest(F.lit(0.001), F.least(F.lit(0.999), y))
-        return math.sqrt(sum_((F.ln(yy / (1 - yy)) - m) ** 2) / dof)
+        return (yield from root((F.ln(yy / (1 - yy)) - m) ** 2))
     if distribution == "laplace":
-        return mean(F.abs(y - m))
+        return (yield from mean(F.abs(y - m)))
     if distribution == "log_laplace":
-        return mean(F.abs(F.ln(y) - F.ln(m)))
+        return (yield from mean(F.abs(on_log)))
     if distribution in ("student_t", "logistic", "generalised_normal", "box_cox_normal"):
-        return mid(F.abs(y - m))
+        return (yield from middle(F.abs(y - m)))
     if distribution == "log_generalised_normal":
-        return mid(F.abs(F.ln(y) - F.ln(m)))
+        return (yield from middle(F.abs(on_log)))
     if distribution == "s":
-        return max(mean(F.sqrt(F.abs(y - m))) / 2, 1e-10)
+        return max((yield from mean(F.sqrt(F.abs(y - m)))) / 2, 1e-10)
     if distribution == "log_s":
-        return max(mean(F.sqrt(F.abs(F.ln(y) - F.ln(m)))) / 2, 1e-10)
+        return max((yield from mean(F.sqrt(F.abs(on_log)))) / 2, 1e-10)
     if distribution == "asymmetric_laplace":
         a = DISTRIBUTIONS[distribution].extra if extra is None else extra
-        return max(mean(F.when(y >= m, a * (y - m)).otherwise((1 - a) * (m - y))), 1e-10)
+        return max((yield from mean(F.when(y >= m, a * (y - m)).otherwise((1 - a) * (m - y)))), 1e-10)
     if distribution == "folded_normal":
-        return math.sqrt(max(mean(y * y) - mean(m * m), 0.01))
+        return math.sqrt(max((yield from mean(y * y - m * m)), 0.01))
     if distribution == "beta":
         mm = F.greatest(F.lit(0.01), F.least(F.lit(0.99), m))
-        return max(mean(mm * (1 - mm)) / max(sum_((y - m) ** 2) / max(dof, 1.0), 1e-10) - 1, 1.0)
+        s = yield from view.ask(v=mm * (1 - mm), n=F.lit(1.0), r=(y - m) ** 2)
+        return max(s["v"] / s["n"] / max(s["r"] / max(dof, 1.0), 1e-10) - 1, 1.0)
     return 1.0
 
 
+def estimate_scale(df: DataFrame, y: Column, mu: Column, distribution: str, dof: float, extra: float | None = None) -> float:
+    x = df.select(y.cast("double").alias("y"), mu.cast("double").alias("m"))
+    return together(x, [scale_steps(View([], F.col("y")), F.col("m"), distribution, dof, extra)])[0]
+
+
 def compute_loss(df: DataFrame, y: Column, mu: Column, loss: str, distribution: str = "normal", scale: float = 1.0, extra: float | None = None, trim: float = 0.05) -> float:
     """To be minimised. role: minus the sum of row log-likelihoods without the share trim of worst rows."""
     if loss not in LOSSES:
@@ -302,36 +397,43 @@ class ALM:
         self.extra = self.dist.extra if extra is None else extra
         self.loss, self.trim, self.max_iter, self.tol = loss, trim, max_iter, tol
 
+    def inputs(self) -> tuple:
+        return self.features, self.label, None, None
+
     def fit(self, df: DataFrame) -> ALMModel:
-        df = na.process(df, [*self.features, self.label])
-        base = Base(df, self.features, self.label)
-        try:
-            n, bad = base.df.agg(F.count("*"), F.sum((~_valid(self.dist.need, F.col("y"))).cast("int"))).first()
-            k = len(self.features) + (1 if self.intercept else 0)
-            if n < k + 1:
-                raise InsufficientObservations(f"{n} rows for {k} coefficients")
-            if bad:
-                raise RegressionError(f"{bad} responses are outside the range of {self.dist.name}")
-            b, converged = self.coefficients(base, n)
-            mu = LINKS[self.link].inverse(base.eta(b, self.intercept))
-            scale = estimate_scale(base.df, F.col("y"), mu, self.dist.name, n - k, self.extra)
-            ll = log_likelihood(base.df, F.col("y"), mu, self.dist.name, max(scale, 1e-12), self.extra)
-            se = None
-            if self.inference and n > k:
-                m, more = base.sums(F.col("y"), F.lit(1.0), {"_r": (F.col("y") - mu) ** 2})
-                gram = m.augmented() if self.intercept else m.raw()[0]
-                se = np.sqrt(np.maximum(np.diag(spd_inverse(gram)), 0) * more["_r"] / (n - k))
-            return ALMModel(self, b, scale, ll, n, se, converged)
-        finally:
-            base.close()
-
-    def coefficients(self, base: Base, n: int) -> tuple[np.ndarray, bool]:
+        return fit_together(df, [self])[0]
+
+    def steps(self, view: View) -> Generator:
+        y = view.y
+        found = yield from view.ask(n=F.lit(1.0), bad=(~_valid(self.dist.need, y)).cast("int"))
+        n, bad = int(found["n"] or 0), found["bad"]
+        k = len(self.features) + (1 if self.intercept else 0)
+        if n < k + 1:
+            raise InsufficientObservations(f"{n} rows for {k} coefficients")
+        if bad:
+            raise RegressionError(f"{bad} responses are outside the range of {self.dist.name}")
+        b, converged, scale, ll = yield from self.coefficients(view, n)
+        mu = LINKS[self.link].inverse(view.eta(b, self.intercept))
+        if scale is None:
+            scale = yield from scale_steps(view, mu, self.dist.name, n - k, self.extra)
+        if ll is None:
+            ll = (yield from view.ask(ll=self.dist.loglik(y, mu, F.lit(float(max(scale, 1e-12))), self.extra)))["ll"]
+        se = None
+        if self.inference and n > k:
+            m, more = yield from view.moments(y, F.lit(1.0), r=(y - mu) ** 2)
+            gram = m.augmented() if self.intercept else m.raw()[0]
+            se = np.sqrt(np.maximum(np.diag(spd_inverse(gram)), 0) * more["r"] / (n - k))
+        return ALMModel(self, b, scale, ll, n, se, converged)
+
+    def coefficients(self, view: View, n: int) -> Generator:
+        """Coefficients, whether they converged, and scale and log-likelihood where the way gives them."""
         from .glm import GLM, binomial, negative_binomial, poisson, tweedie
-        from .linear import OLS
         from .robust import Quantile
 
         way = self.dist.way if self.link == self.dist.link else ("glm" if self.dist.way == "glm" else "ml")
-        y = F.col("y")
+        y = view.y
+        k = len(self.features) + (1 if self.intercept else 0)
+        watched = self.loss != "likelihood"
         if way == "glm":
             family = {
                 "gamma": lambda: tweedie(2.0), "exponential": lambda: tweedie(2.0), "inverse_gaussian": lambda: tweedie(3.0), "poisson": poisson,
@@ -340,51 +442,127 @@ class ALM:
             if self.dist.name == "exponential":
                 family.valid = lambda v: v >= 0
                 family.deviance = lambda v, m: 2 * (v / m - 1 + F.ln(m))
-            mean = base.df.agg(F.avg("y")).first()[0]
-            g = GLM(base.names, "y", family, self.link, intercept=self.intercept, max_iter=self.max_iter)
-            return g.loop(base, n, mean, family).b, True
-        response = {"ols_log": F.ln(y), "quantile_log": F.ln(y), "ols_logit": F.ln(y / (1 - y))}.get(way, y)
+            mean = (yield from view.ask(sum=y))["sum"] / n
+            g = GLM(self.features, self.label, family, self.link, intercept=self.intercept, max_iter=self.max_iter, **({"tol": self.tol} if watched else {}))
+            loss = {"mse": lambda m: (y - m) ** 2 / n, "mae": lambda m: F.abs(y - m) / n, "ham": lambda m: F.sqrt(F.abs(y - m)) / n}.get(self.loss)
+            watch = (lambda b: self.trimmed(view, b, n, n - k)) if self.loss == "role" else None
+            model = yield from g.loop(view, n, mean, family, loss=loss, watch=watch)
+            return model.b, True, None, None
+        response = {"ols_log": F.ln(y), "quantile_log": F.ln(y), "vertex_log": F.ln(y), "ols_logit": F.ln(y / (1 - y))}.get(way, y)
         if way.startswith("quantile"):
             tau = self.extra if self.dist.name == "asymmetric_laplace" else 0.5
-            q = Quantile(base.names, "y", tau, intercept=self.intercept, max_iter=self.max_iter).fit(base.df.withColumn("y", response))
-            return np.r_[[q.intercept] if self.intercept else [], q.coefficients], q.converged
-        start = self.start(base, response if way != "ml" else None, OLS)
+            q = Quantile(self.features, self.label, tau, intercept=self.intercept, max_iter=self.max_iter, tol=self.tol)
+            q = yield from q.steps(view.of(response), (lambda b: self.watched(view, b, n, n - k)) if watched else None)
+            return np.r_[[q.intercept] if self.intercept else [], q.coefficients], q.converged, None, None
+        if way.startswith("vertex"):
+            # sums of roots have their minima at lines through rows, as sums of absolute values have
+            q = Quantile(self.features, self.label, 0.5, intercept=self.intercept, max_iter=self.max_iter)
+            shown = view.of(response)
+            found = yield from q.steps(shown)
+            b = np.r_[[found.intercept] if self.intercept else [], found.coefficients]
+            root = lambda v: F.sqrt(F.abs(response - view.eta(v, self.intercept)))
+            done = False
+            for _ in range(10):
+                b, lost, done = yield from q.vertices(shown, b, root)
+                if done:
+                    break
+            return b, done, max((lost / n / 2) ** (2 if way == "vertex_log" else 1), 1e-10), None
+        start, middle, spread = yield from self.start(view, response if way != "ml" else None)
         if way.startswith("ols"):
-            return start, True
-        s0 = self.first_scale(base, start)
-        point = np.r_[start, math.log(s0)] if self.dist.scaled else start
-        starts = [point]
-        if self.dist.name == "folded_normal":
-            starts.append(np.r_[-start, math.log(s0)])
-        best = max((maximise(lambda ps: self.values(base, ps), s, self.max_iter, self.tol) for s in starts), key=lambda r: r[1])
-        b = best[0][:-1] if self.dist.scaled else best[0]
+            return start, True, None, None
+        scaled = self.dist.scaled
+        s0 = 1.0
+        if scaled:
+            mu = LINKS[self.link].inverse(view.eta(start, self.intercept))
+            s0 = max((yield from scale_steps(view, mu, self.dist.name, max(n - len(start), 1), self.extra)), 1e-3)
+        # features are climbed about their means in units of their spread, the scale by its logarithm;
+        # the first steps are those of a normal density of that scale
+        at = 1 if self.intercept else 0
+        unit = np.r_[np.ones(at), spread]
+
+        def inward(b: np.ndarray) -> np.ndarray:
+            return np.r_[[b[0] + b[at:] @ middle] if at else [], b[at:] * spread]
+
+        def outward(b: np.ndarray) -> np.ndarray:
+            b = b / unit
+            return np.r_[[b[0] - b[at:] @ middle] if at else [], b[at:]]
+
+        starts = [start, *([-start] if self.dist.name == "folded_normal" else [])]
+        points = [np.r_[inward(b), math.log(s0 * f)] if scaled else inward(b) for b in starts for f in ((1.0, 3.0) if self.dist.name in MANY_TOPS else (1.0,))]
+        first = np.r_[np.full(len(start), s0 * s0), [0.5] if scaled else []]
+        columns = [*([F.lit(1.0)] if at else []), *[(x - F.lit(float(m))) / F.lit(float(d)) for x, m, d in zip(view.x, middle, spread, strict=True)]]
+
+        def heights(points: list[np.ndarray]) -> Generator:
+            k = len(start)
+            found = yield from self.heights(view, [np.r_[outward(p[:k]), p[k:]] for p in points], columns)
+            return [(f / n, g / n) for f, g in found]
+
+        best = yield from climb(heights, points, first, self.max_iter, self.tol)
+        best.x, best.f = np.r_[outward(best.x[: len(start)]), best.x[len(start) :]], best.f * n
+        b, scale = (best.x[:-1], math.exp(best.x[-1])) if scaled else (best.x, None)
         if self.dist.name == "folded_normal" and b[0] < 0:
             b = -b  # the likelihood is the same for both signs
-        return b, best[2]
-
-    def start(self, base: Base, response: Column | None, OLS) -> np.ndarray:
-        y = F.col("y")
+        return b, best.converged, scale, best.f
+
+    def trimmed(self, view: View, b: np.ndarray, n: int, dof: float) -> Generator:
+        """The loss 'role' at coefficients."""
+        mu = LINKS[self.link].inverse(view.eta(b, self.intercept))
+        scale = yield from scale_steps(view, mu, self.dist.name, dof, self.extra)
+        (value,) = yield Direct(lambda df: [compute_loss(view.rows(df), view.y, mu, "role", self.dist.name, scale, self.extra, self.trim)])
+        return value
+
+    def watched(self, view: View, b: np.ndarray, n: int, dof: float) -> Generator:
+        """Any loss at coefficients."""
+        if self.loss == "role":
+            return (yield from self.trimmed(view, b, n, dof))
+        d = F.abs(view.y - LINKS[self.link].inverse(view.eta(b, self.intercept)))
+        row = {"mse": d * d, "mae": d, "ham": F.sqrt(d)}[self.loss]
+        return (yield from view.ask(loss=row))["loss"] / n
+
+    def start(self, view: View, response: Column | None) -> Generator:
+        """Least squares of the response on its link's scale, and the features' means and spreads."""
+        y = view.y
         if response is None:
             response = {
                 "log": F.ln(_pos(y)), "logit": F.ln(_unit(y) / (1 - _unit(y))), "sqrt": F.sqrt(y), "inverse": 1 / _pos(y),
                 "probit": LINKS["probit"].g(_unit(y)), "cloglog": F.ln(-F.ln(1 - _unit(y))),
             }.get(self.link, y)
-        m = OLS(base.names, "r", intercept=self.intercept, inference=False).fit(base.df.withColumn("r", response))
-        return np.nan_to_num(np.r_[[m.intercept] if self.intercept else [], m.coefficients])
-
-    def first_scale(self, base: Base, b: np.ndarray) -> float:
-        if not self.dist.scaled:
-            return 1.0
-        mu = LINKS[self.link].inverse(base.eta(b, self.intercept))
-        n = base.df.count()
-        return max(estimate_scale(base.df, F.col("y"), mu, self.dist.name, max(n - len(b), 1), self.extra), 1e-3)
-
-    def values(self, base: Base, points: list[np.ndarray]) -> list[float]:
-        """Log-likelihood at each point, all in one aggregation."""
-        out = []
-        for p in points:
+        centre = yield from view.ask(n=F.lit(1.0), y=response, **{f"x{j}": c for j, c in enumerate(view.x)})
+        middle = [centre[f"x{j}"] / centre["n"] for j in range(view.p)] if self.intercept else [0.0] * view.p
+        level = centre["y"] / centre["n"] if self.intercept else 0.0
+        about = View([c - F.lit(float(a)) for c, a in zip(view.x, middle, strict=True)], view.y, own=view.own)
+        m, _ = yield from about.moments(response - F.lit(float(level)), F.lit(1.0))
+        gram, right, _ = m.raw()
+        beta = np.nan_to_num(least_squares(gram, right)[0])
+        spread = np.sqrt(np.maximum(np.diag(gram), 0) / max(centre["n"], 1.0))
+        b = np.r_[[level - float(np.dot(beta, middle))] if self.intercept else [], beta]
+        return b, np.array(middle, dtype=float), np.where(spread > 0, spread, 1.0)
+
+    def heights(self, view: View, points: list[np.ndarray], design: list[Column]) -> Generator:
+        """Log-likelihood at each point and its derivatives by the coefficients of the design's columns
+        and by the log scale, all in one aggregation."""
+        link, base, at = LINKS[self.link], {}, []
+        for i, p in enumerate(points):
             b, s = (p[:-1], math.exp(min(max(p[-1], -30), 30))) if self.dist.scaled else (p, 1.0)
-            mu = LINKS[self.link].inverse(base.eta(b, self.intercept))
-            out.append(F.sum(self.dist.loglik(F.col("y"), mu, F.lit(float(s)), self.extra)))
-        row = base.df.agg(*[c.alias(f"v{i}") for i, c in enumerate(out)]).first()
-        return [-math.inf if v is None or not math.isfinite(v) else v for v in row]
+            eta = view.eta(b, self.intercept)
+            base |= {f"mu{i}": link.inverse(eta), f"slope{i}": link.slope(eta)}
+            at.append(F.lit(float(s)))
+
+        def rows(r: dict[str, Column]) -> dict[str, Column]:
+            out = {}
+            for i, s in enumerate(at):
+                by_mu, by_scale = SCORES[self.dist.name](view.y, r[f"mu{i}"], s, self.extra)
+                out |= {f"f{i}": self.dist.loglik(view.y, r[f"mu{i}"], s, self.extra), f"m{i}": by_mu * r[f"slope{i}"]}
+                if self.dist.scaled:
+                    out[f"s{i}"] = by_scale
+            return {k: view.mine(c) for k, c in out.items()}
+
+        def sums(r: dict[str, Column]) -> list[Column]:
+            out = []
+            for i in range(len(points)):
+                out += [F.sum(r[f"f{i}"]), *[F.sum(r[f"m{i}"] * x) for x in design], *([F.sum(r[f"s{i}"])] if self.dist.scaled else [])]
+            return out
+
+        values = yield Ask(rows, sums, base)
+        table = np.array([math.nan if v is None else v for v in values], dtype=float).reshape(len(points), -1)
+        return [(row[0] if np.isfinite(row).all() else -math.inf, row[1:]) for row in table]

@@ -12,6 +12,7 @@ from .. import na
 from ..errors import InsufficientObservations
 from ..functions.special import t_ppf, t_sf2
 from ..plans.moments import moments
+from ..plans.qr import singular_values
 from ..plans.solve import spd_inverse
 from .base import Model, number
 
@@ -95,17 +96,15 @@ def classify_condition(kappa: float) -> str:
 
 def condition_diagnostic(df: DataFrame, features: list[str], intercept: bool = True) -> dict:
     """Condition number of the raw design, its singular values, condition indices and variance
-    decomposition proportions, from the eigenvalues of [1 X]'[1 X]."""
-    m = moments(na.process(df, features), features, features[0])
-    gram = m.augmented() if intercept else m.raw()[0]
-    eig, v = np.linalg.eigh(gram)
-    eig, v = np.maximum(eig[::-1], 0), v[:, ::-1]
-    sv = np.sqrt(eig)
-    kappa = float(sv[0] / sv[-1]) if sv[-1] > 0 else math.inf
+    decomposition proportions, from its triangular factor: nothing is squared."""
+    sv, v = singular_values(na.process(df, features), [*([F.lit(1.0)] if intercept else []), *map(number, features)])
+    low = sv[sv > 0].min() if (sv > 0).any() else 0.0
+    kappa = float(sv[0] / low) if low > 0 else math.inf
     with np.errstate(divide="ignore", invalid="ignore"):
-        phi = v**2 / eig
+        phi = (v / sv) ** 2
         share = phi / phi.sum(axis=1, keepdims=True)
-    return {"condition_number": kappa, "singular_values": sv, "condition_indices": sv[0] / np.maximum(sv, 1e-300), "severity": classify_condition(kappa), "variance_proportions": share.T}
+        indices = np.where(sv > 0, sv[0] / sv, np.inf)
+    return {"condition_number": kappa, "singular_values": sv, "condition_indices": indices, "severity": classify_condition(kappa), "variance_proportions": share.T}
 
 
 def condition_number(df: DataFrame, features: list[str], intercept: bool = True) -> float:
@@ -182,14 +181,19 @@ def check_binary_separation(df: DataFrame, features: list[str], label: str) -> d
 
 
 def check_count_sparsity(df: DataFrame, features: list[str], label: str) -> dict[str, bool]:
-    """Features that are mostly zero, take three values at most, and whose active rows all count zero."""
+    """Where over nine tenths of the responses are zero: features of at most three values (told apart
+    to a thousandth) whose active rows all have a zero response. Other responses have none."""
     x = na.process(df, [*features, label])
-    aggs = []
+    y = number(label)
+    aggs = [F.avg((y < 1e-10).cast("double")).alias("zeros")]
     for i, f in enumerate(features):
         v = number(f)
-        aggs += [F.avg((v == 0).cast("double")).alias(f"z{i}"), F.count_distinct(v).alias(f"d{i}"), F.max(F.when(v != 0, number(label))).alias(f"m{i}")]
+        active = F.abs(v) > 1e-10
+        value = F.greatest(F.least(v * 1000, F.lit(9e18)), F.lit(-9e18)).cast("long")
+        aggs += [F.count_distinct(value).alias(f"d{i}"), F.count_if(active).alias(f"a{i}"), F.count_if(active & (y > 1e-10)).alias(f"y{i}")]
     r = x.agg(*aggs).first()
-    return {f: bool(r[f"z{i}"] is not None and r[f"z{i}"] > 0.9 and r[f"d{i}"] <= 3 and r[f"m{i}"] == 0) for i, f in enumerate(features)}
+    sparse = r["zeros"] is not None and r["zeros"] > 0.9
+    return {f: sparse and r[f"d{i}"] <= 3 and r[f"a{i}"] > 0 and r[f"y{i}"] == 0 for i, f in enumerate(features)}
 
 
 def glm_dispersion(x: DataFrame, kind: str, k: int) -> float:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Generator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import na
 from ..errors import ConvergenceFailed, InsufficientObservations, InvalidOptions, NumericalError, RegressionError
 from ..functions.special import digamma, digamma_col, lgamma_col, norm_cdf_col, norm_pdf_col, norm_ppf, norm_sf2, trigamma, trigamma_col
-from ..plans.irls import Base, normal_equations, solve
+from ..plans.irls import normal_equations, solve
+from ..plans.many import Ask, View, fit_together
 from ..plans.solve import spd_inverse
 from .base import number
 
@@ -263,75 +264,81 @@ class GLM:
         self.link = LINKS[link] if isinstance(link, str) else link
         self.lam, self.max_iter, self.tol, self.na_action = lam, max_iter, tol, na_action
 
-    def base(self, df: DataFrame) -> tuple[Base, int, float]:
-        cols = [*self.features, self.label, *([self.offset] if self.offset else [])]
-        base = Base(na.process(df, cols, self.na_action), self.features, self.label, self.offset)
-        y = F.col("y")
-        n, mean, bad = base.df.agg(F.count("*"), F.avg("y"), F.sum((~self.family.valid(y)).cast("int"))).first()
+    def inputs(self) -> tuple:
+        return self.features, self.label, self.offset, None
+
+    def fit(self, df: DataFrame) -> GLMModel:
+        return fit_together(df, [self])[0]
+
+    def checked(self, view: View) -> Generator:
+        """Rows, mean and variance of the response."""
+        values = yield Ask({"y": view.mine(view.y), "bad": view.mine((~self.family.valid(view.y)).cast("int"))}, lambda r: [F.count(r["y"]), F.avg(r["y"]), F.var_samp(r["y"]), F.sum(r["bad"])])
+        n, mean, var, bad = values
         need = len(self.features) + (1 if self.intercept else 0)
         if n < max(2, need):
-            base.close()
             raise InsufficientObservations(f"{n} rows for {need} parameters")
         if bad:
-            base.close()
             raise RegressionError(f"{bad} responses are outside the range of {self.family.name}")
-        return base, n, mean
+        return n, mean, var
 
-    def fit(self, df: DataFrame) -> GLMModel:
-        base, n, mean = self.base(df)
-        try:
-            return self.loop(base, n, mean, self.family)
-        finally:
-            base.close()
+    def steps(self, view: View) -> Generator:
+        n, mean, _ = yield from self.checked(view)
+        return (yield from self.loop(view, n, mean, self.family))
 
-    def loop(self, base: Base, n: int, mean: float, family: Family, start: np.ndarray | None = None, theta=None) -> GLMModel:
-        y, o, link = F.col("y"), F.col("o"), self.link
+    def loop(self, view: View, n: int, mean: float, family: Family, start: np.ndarray | None = None, theta=None,
+             loss: Callable[[Column], Column] | None = None, watch: Callable[[np.ndarray], Generator] | None = None) -> Generator:
+        """Steps until the deviance or the coefficients stand; with a loss (of a row, by its mean) or
+        watch (the loss of all rows, by the coefficients) until that stands, relative to one more."""
+        y, o, link = view.y, view.o, self.link
 
-        def step(b: np.ndarray | None):
+        def step(b: np.ndarray | None) -> Generator:
             """Sums at b: the next step's normal equations and the deviance at b."""
             if b is None:
                 mu = family.start(y, F.lit(float(mean)))
                 eta = link.g(family.bound(mu))
             else:
-                eta = base.eta(b, self.intercept) + o
+                eta = view.eta(b, self.intercept) + o
                 mu = link.inverse(eta)
             mu = family.bound(mu)
             slope = link.slope(eta)
             w = slope * slope / F.greatest(family.variance(mu), F.lit(1e-14))
             w = F.when(F.abs(slope) < 1e-14, F.lit(1e-10)).otherwise(w)
             z = eta - o + (y - mu) / F.when(F.abs(slope) < 1e-14, F.lit(1e-14)).otherwise(slope)
-            m, more = base.sums(z, w, {"_dev": family.deviance(y, mu), "_chi": (y - mu) ** 2 / family.variance(mu)})
-            return m, more["_dev"], more["_chi"]
+            m, more = yield from view.moments(z, w, dev=family.deviance(y, mu), chi=(y - mu) ** 2 / family.variance(mu), **({"loss": loss(mu)} if loss else {}))
+            return m, more["dev"], more["chi"], more.get("loss")
 
         def penalised(b: np.ndarray | None, dev: float) -> float:
             """What a step is to lower: the deviance, and the ridge on the slopes."""
             return dev if b is None or not self.lam else dev + self.lam * float((b[1:] if self.intercept else b) @ (b[1:] if self.intercept else b))
 
-        b, (m, dev, chi) = start, step(start)
+        b, (m, dev, chi, lost) = start, (yield from step(start))
         done = False
         for k in range(1, self.max_iter + 1):
             a, r = normal_equations(m, self.intercept, self.lam)
             new = solve(a, r)
             if not np.isfinite(new).all():
                 raise NumericalError("a step left the finite numbers")
-            m2, dev2, chi2 = step(new)
+            m2, dev2, chi2, lost2 = yield from step(new)
             for _ in range(10):
                 old = penalised(b, dev)
                 if b is None or (dev2 is not None and math.isfinite(dev2) and penalised(new, dev2) <= old + 1e-7 * abs(old)):
                     break
                 new = (new + b) / 2
-                m2, dev2, chi2 = step(new)
+                m2, dev2, chi2, lost2 = yield from step(new)
             moved = np.inf if b is None else abs(new - b).max()
             change = abs(penalised(new, dev2) - penalised(b, dev)) / (0.1 + abs(dev2)) if b is not None else np.inf
-            b, m, dev, chi = new, m2, dev2, chi2
-            if change < self.tol or moved < self.tol:
+            if watch:
+                lost2 = yield from watch(new)
+            stands = lost is not None and abs(lost2 - lost) < self.tol * (1 + abs(lost)) if loss or watch else change < self.tol or moved < self.tol
+            b, m, dev, chi, lost = new, m2, dev2, chi2, lost2
+            if stands:
                 done = True
                 break
         if not done:
             raise ConvergenceFailed(f"no convergence in {self.max_iter} steps")
         a, _ = normal_equations(m, self.intercept, self.lam)
         mu0 = family.bound(F.lit(float(mean)))
-        null = base.df.agg(F.sum(family.deviance(y, mu0))).first()[0] if self.intercept else None
+        null = (yield from view.ask(null=family.deviance(y, mu0)))["null"] if self.intercept else None
         return GLMModel(self, b, spd_inverse(a), n, dev, null, chi, family, link, k, theta)
 
 
@@ -372,17 +379,16 @@ class NegativeBinomial(GLM):
         super().__init__(features, label, negative_binomial(theta or 1.0), "log", **kw)
         self.theta = theta
 
-    def theta_step(self, base: Base, b: np.ndarray, theta: float, n: int) -> float:
+    def theta_step(self, view: View, b: np.ndarray, theta: float, n: int) -> Generator:
         """Newton steps on log theta for the profile likelihood."""
-        mu = F.exp(base.eta(b, self.intercept) + F.col("o"))
+        y, mu = view.y, F.exp(view.eta(b, self.intercept) + view.o)
         for _ in range(50):
             t = F.lit(theta)
-            s1, s2, s3, h2, tri = base.df.select("y", mu.alias("m")).agg(
-                F.sum(digamma_col(F.col("y") + t)), F.sum(F.ln(t + F.col("m"))), F.sum((F.col("y") + t) / (t + F.col("m"))),
-                F.sum(2 / (t + F.col("m")) - (F.col("y") + t) / (t + F.col("m")) ** 2), F.sum(trigamma_col(F.col("y") + t)),
-            ).first()
-            score = s1 - n * float(digamma(theta)) + n * math.log(theta) + n - s2 - s3
-            slope = tri - n * float(trigamma(theta)) + n / theta - h2
+            s = yield from view.ask(
+                digamma=digamma_col(y + t), log=F.ln(t + mu), ratio=(y + t) / (t + mu), curve=2 / (t + mu) - (y + t) / (t + mu) ** 2, trigamma=trigamma_col(y + t)
+            )
+            score = s["digamma"] - n * float(digamma(theta)) + n * math.log(theta) + n - s["log"] - s["ratio"]
+            slope = s["trigamma"] - n * float(trigamma(theta)) + n / theta - s["curve"]
             curve = slope * theta**2 + score * theta
             move = -score * theta / curve if curve < 0 else math.copysign(0.5, score)
             move = max(-2.0, min(2.0, move))
@@ -391,24 +397,20 @@ class NegativeBinomial(GLM):
                 break
         return theta
 
-    def fit(self, df: DataFrame) -> GLMModel:
-        base, n, mean = self.base(df)
-        try:
-            if self.theta is not None:
-                return self.loop(base, n, mean, negative_binomial(self.theta), theta=self.theta)
-            var = base.df.agg(F.var_samp("y")).first()[0] or 0.0
-            theta = mean**2 / (var - mean) if var > mean else 100.0
-            b = None
-            for _ in range(25):
-                model = self.loop(base, n, mean, negative_binomial(theta), start=b, theta=theta)
-                b = model.b
-                new = self.theta_step(base, b, theta, n)
-                if abs(new - theta) < 1e-7 * (1 + theta):
-                    break
-                theta = new
-            return self.loop(base, n, mean, negative_binomial(theta), start=b, theta=theta)
-        finally:
-            base.close()
+    def steps(self, view: View) -> Generator:
+        n, mean, var = yield from self.checked(view)
+        if self.theta is not None:
+            return (yield from self.loop(view, n, mean, negative_binomial(self.theta), theta=self.theta))
+        theta = mean**2 / (var - mean) if var and var > mean else 100.0
+        b = None
+        for _ in range(25):
+            model = yield from self.loop(view, n, mean, negative_binomial(theta), start=b, theta=theta)
+            b = model.b
+            new = yield from self.theta_step(view, b, theta, n)
+            if abs(new - theta) < 1e-7 * (1 + theta):
+                break
+            theta = new
+        return (yield from self.loop(view, n, mean, negative_binomial(theta), start=b, theta=theta))
 
 
 class LogisticModel:

@@ -11,8 +11,9 @@ from .. import na
 from ..errors import InsufficientObservations, InvalidOptions, InvalidWeights, NumericalError
 from ..plans.moments import Moments, moments
 from ..plans.ordering import numbered, release
+from ..plans.qr import upper, independent, r_factor
 from ..plans.solve import least_squares, spd_inverse
-from .base import Fit, GramEstimator, Model
+from .base import Fit, GramEstimator, Model, number
 
 
 def gram_of(m: Moments, intercept: bool) -> tuple[np.ndarray, np.ndarray, float]:
@@ -45,9 +46,19 @@ def centred_tss(m: Moments) -> float:
     return max(m.centred()[2], 0.0)
 
 
+#: Least eigenvalue of the correlation matrix of the design below which moments have lost the digits
+#: that a fit needs and the rows are factored.
+GRAM_DIGITS = 1e-7
+
+
 class OLS(GramEstimator):
     """Ordinary least squares. Aliased columns get NaN; the total sum of squares is about the mean
-    also without an intercept."""
+    also without an intercept.
+
+    Moments carry a fit as long as the design is not near collinear. Where it is, fit() factors the
+    rows (tall-skinny QR): columns count as aliased as the pivoted triangle's diagonal falls to
+    rank_tolerance or to rounding. solver 'svd' always factors and solves by singular values over
+    rank_tolerance of the largest one; 'cholesky' never does."""
 
     def solve(self, m: Moments) -> Fit:
         o = self.options
@@ -60,6 +71,56 @@ class OLS(GramEstimator):
         mse = rss / (m.n - k) if m.n > k else np.nan
         return Fit(beta, with_intercept(m, beta, o.intercept), m.n, k, rss, centred_tss(m), mse, full_cov(m, kept, inv, o.intercept), kept, o).describe()
 
+    def carried(self, m: Moments) -> bool:
+        """Whether the moments have the digits."""
+        o = self.options
+        if type(self).solve is not OLS.solve or o.solver == "cholesky":
+            return True
+        gram = gram_of(m, o.intercept)[0]
+        d = np.sqrt(np.maximum(np.diag(gram), 0))
+        live = d > o.rank_tolerance
+        scaled = gram[np.ix_(live, live)] / np.outer(d[live], d[live])
+        return o.solver != "svd" and (not len(scaled) or np.linalg.eigvalsh(scaled)[0] > GRAM_DIGITS)
+
+    def solve_rows(self, df: DataFrame, m: Moments) -> Fit:
+        """From the triangle of (x, y), about their means with an intercept."""
+        o, p = self.options, m.p
+        mx, my = m.means() if o.intercept else (np.zeros(p), 0.0)
+        root = F.sqrt(number(self.weight)) if self.weight else F.lit(1.0)
+        columns = [(number(c) - F.lit(float(a))) * root for c, a in zip([*self.features, self.label], [*mx, my], strict=True)]
+        r = r_factor(df, columns)
+        constant = np.linalg.norm(r[:, :p], axis=0) <= o.rank_tolerance
+        kept = [j for j in independent(r[:, :p], o.rank_tolerance) if not constant[j]]
+        beta, inv = np.full(p, np.nan), np.zeros((len(kept), len(kept)))
+        if kept and o.solver == "svd":
+            live = np.flatnonzero(~constant)
+            u, s, vt = np.linalg.svd(r[:, live], full_matrices=False)
+            many = s > o.rank_tolerance * s[0]
+            beta[live] = vt[many].T @ ((u.T @ r[:, p])[many] / s[many])
+            kept, inv = live.tolist(), (vt[many].T / s[many] ** 2) @ vt[many]
+            rank = int(many.sum())
+        else:
+            t = upper(r[:, [*kept, p]])
+            rank = len(kept)
+            if kept:
+                back = np.linalg.solve(t[:rank, :rank], np.eye(rank))
+                beta[kept], inv = back @ t[:rank, rank], back @ back.T
+        if (np.abs(np.nan_to_num(beta)) > 1e120).any():
+            raise NumericalError("coefficients out of range")
+        rss = float(np.sum((r[:, p] - r[:, :p] @ np.nan_to_num(beta)) ** 2))
+        k = rank + (1 if o.intercept else 0)
+        mse = rss / (m.n - k) if m.n > k else np.nan
+        return Fit(beta, with_intercept(m, beta, o.intercept), m.n, k, rss, centred_tss(m), mse, full_cov(m, kept, inv, o.intercept), kept, o).describe()
+
+    def fit(self, df: DataFrame) -> Model:
+        x = self.prepared(df)
+        m = moments(x, self.features, self.label, self.weight)
+        if m.n == 0 and not df.isEmpty():
+            na.require_rows(0, 1)
+        self.check(m)
+        fit = self.solve(m) if self.carried(m) else self.solve_rows(x, m)
+        return self.model(fit, self.features, self.label, self.weight)
+
 
 class WLS(OLS):
     """Weighted least squares; rows with weight 0 count in the degrees of freedom."""
@@ -178,7 +239,6 @@ def center_columns(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[s
 
 
 def is_full_rank(df: DataFrame, columns: list[str], tolerance: float = 1e-10) -> bool:
-    from ..plans.solve import pivoted
-
-    m = moments(na.process(df, columns), columns, columns[0])
-    return len(pivoted(m.raw()[0], tolerance)) == len(columns)
+    """Whether no diagonal element of the pivoted triangle is within tolerance, or within rounding."""
+    r = r_factor(na.process(df, columns), [number(c) for c in columns])
+    return len(independent(r, tolerance)) == len(columns)

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from .. import na
 from ..errors import InsufficientObservations, InvalidOptions
 from ..functions.special import t_ppf
+from ..plans.many import fit_together
 from ..plans.moments import Moments, moments
 from ..plans.solve import spd_inverse
 from .alm import ALM
 from .base import number, total
 from .linear import OLS
-from .robust import lowess_weights
+from .smoothing import lowess_weights
 
 MOST = 64
 
@@ -111,6 +112,9 @@ class LmDynamic:
         betas = np.zeros((len(specs), len(self.features) + at))
         scales, lls, params = [], [], []
         m = moments(x, self.features, self.label) if self.distribution == "normal" else None
+        names = [[self.features[j] for j in s] for s in specs]
+        # all subsets advance by the same aggregations
+        alms = [] if m is not None else fit_together(x, [ALM(c, self.label, self.distribution, intercept=self.intercept, inference=False) for c in names])
         for i, s in enumerate(specs):
             cols = [self.features[j] for j in s]
             if m is not None:
@@ -123,7 +127,7 @@ class LmDynamic:
                     mu = mu + number(c) * F.lit(float(b))
                 ll = -0.5 * math.log(2 * math.pi * sd * sd) - (number(self.label) - mu) ** 2 / (2 * sd * sd)
             else:
-                f = ALM(cols, self.label, self.distribution, intercept=self.intercept, inference=False).fit(x)
+                f = alms[i]
                 coef, a, sd, ll = f.coefficients, f.intercept, f.scale, f.pointwise()
             if self.intercept:
                 betas[i, 0] = a

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from .. import na
 from ..errors import InsufficientObservations, InvalidOptions, SingularMatrix
-from ..plans.irls import Base, normal_equations, solve
+from ..plans.irls import normal_equations, solve
+from ..plans.many import Direct, View, fit_together
 from ..plans.ordering import median, numbered, quantile, release
 from ..plans.solve import spatial_median
 from .base import number
@@ -55,31 +56,34 @@ class Huber:
         self.features, self.label, self.epsilon, self.alpha = list(features), label, epsilon, alpha
         self.max_iter, self.tol, self.intercept = max_iter, tol, intercept
 
+    def inputs(self) -> tuple:
+        return self.features, self.label, None, None
+
     def fit(self, df: DataFrame) -> LinearModel:
-        base = Base(na.process(df, [*self.features, self.label]), self.features, self.label)
-        try:
-            n = base.df.count()
-            if n < len(self.features) + (2 if self.intercept else 1):
-                raise InsufficientObservations(f"{n} rows")
-            y = F.col("y")
-            m, _ = base.sums(y, F.lit(1.0), {})
-            b = solve(*normal_equations(m, self.intercept))
-            converged, sigma = False, 0.0
-            for step in range(1, self.max_iter + 1):  # noqa: B007
-                r = y - base.eta(b, self.intercept)
-                sigma = max(median(base.df, F.abs(r)) / 0.6745, 1e-10)
-                u = F.abs(r / F.lit(sigma))
-                m, _ = base.sums(y, F.when(u <= self.epsilon, F.lit(1.0)).otherwise(self.epsilon / u), {})
-                new = solve(*normal_equations(m, self.intercept, self.alpha))
-                moved = abs(new - b).max()
-                b = new
-                if moved < self.tol:
-                    converged = True
-                    break
-            a, c = _split(b, self.intercept)
-            return HuberModel(self.features, self.label, a, c, scale=sigma, epsilon=self.epsilon, converged=converged, iterations=step, n=n)
-        finally:
-            base.close()
+        return fit_together(df, [self])[0]
+
+    def steps(self, view: View) -> Generator:
+        y = view.y
+        m, _ = yield from view.moments(y, F.lit(1.0))
+        n = m.n
+        if n < len(self.features) + (2 if self.intercept else 1):
+            raise InsufficientObservations(f"{n} rows")
+        b = solve(*normal_equations(m, self.intercept))
+        converged, sigma = False, 0.0
+        for step in range(1, self.max_iter + 1):  # noqa: B007
+            r = y - view.eta(b, self.intercept)
+            (middle,) = yield Direct(lambda df, r=r: [median(view.rows(df), F.abs(r))])
+            sigma = max(middle / 0.6745, 1e-10)
+            u = F.abs(r / F.lit(sigma))
+            m, _ = yield from view.moments(y, F.when(u <= self.epsilon, F.lit(1.0)).otherwise(self.epsilon / u))
+            new = solve(*normal_equations(m, self.intercept, self.alpha))
+            moved = abs(new - b).max()
+            b = new
+            if moved < self.tol:
+                converged = True
+                break
+        a, c = _split(b, self.intercept)
+        return HuberModel(self.features, self.label, a, c, scale=sigma, epsilon=self.epsilon, converged=converged, iterations=step, n=n)
 
 
 class HuberModel(LinearModel):
@@ -87,8 +91,16 @@ class HuberModel(LinearModel):
         return self.augment(df).withColumn("outlier", F.abs("residual") > self.epsilon * self.scale)
 
 
+#: Rows nearest to the line among which vertices are looked for, and vertices that are tried at once.
+NEAREST, VERTICES = 24, 300
+
+
 class Quantile:
-    """Quantile regression by reweighting: weights tau or 1 - tau over the absolute residual."""
+    """Quantile regression: reweighting by tau or 1 - tau over the absolute residual, and then vertices.
+
+    An optimum passes through as many rows as it has coefficients. Reweighting comes near it and no
+    further; so the lines through rows that are nearest to what it gives are compared by their loss, in
+    one aggregation, until none is better."""
 
     def __init__(self, features, label, tau: float = 0.5, weight: str | None = None, max_iter: int = 100, tol: float = 1e-6, epsilon: float = 1e-6, intercept: bool = True):
         if not 0 < tau < 1:
@@ -96,34 +108,77 @@ class Quantile:
         self.features, self.label, self.tau, self.weight = list(features), label, tau, weight
         self.max_iter, self.tol, self.epsilon, self.intercept = max_iter, tol, epsilon, intercept
 
+    def inputs(self) -> tuple:
+        return self.features, self.label, None, self.weight
+
     def fit(self, df: DataFrame) -> LinearModel:
-        cols = [*self.features, self.label, *([self.weight] if self.weight else [])]
-        base = Base(na.process(df, cols), self.features, self.label, weight=self.weight)
-        try:
-            n = base.df.count()
-            if n < max(2, len(self.features) + (1 if self.intercept else 0)):
-                raise InsufficientObservations(f"{n} rows")
-            y, c = F.col("y"), F.col("c")
-            m, _ = base.sums(y, c, {})
-            b = solve(*normal_equations(m, self.intercept))
-            converged = False
-            for _ in range(self.max_iter):
-                r = y - base.eta(b, self.intercept)
-                side = F.when(r >= 0, F.lit(self.tau)).otherwise(F.lit(1 - self.tau))
-                m, _ = base.sums(y, c * side / F.greatest(F.abs(r), F.lit(self.epsilon)), {})
-                new = solve(*normal_equations(m, self.intercept))
-                moved = abs(new - b).max()
-                b = new
-                if moved < self.tol:
-                    converged = True
+        return fit_together(df, [self])[0]
+
+    def check(self, view: View, b: np.ndarray) -> Column:
+        r = view.y - view.eta(b, self.intercept)
+        return view.c * F.when(r >= 0, self.tau * r).otherwise((self.tau - 1) * r)
+
+    def vertices(self, view: View, b: np.ndarray, check: Callable[[np.ndarray], Column] | None = None) -> Generator:
+        """The best of b and of lines through rows near it, its loss (of a row: check), and whether
+        that is b."""
+        check = check or (lambda v: self.check(view, v))
+        k = len(b)
+        r = F.abs(view.y - view.eta(b, self.intercept))
+        rows_of = lambda df: view.rows(df).select(*view.x, view.y, r.alias("_r"))
+        near = yield Direct(lambda df: rows_of(df).orderBy("_r").limit(20 * NEAREST).collect())
+        if len(set(near)) < min(len(near), k + 2):  # the same few rows again and again
+            near = yield Direct(lambda df: rows_of(df).distinct().orderBy("_r").limit(NEAREST).collect())
+        points = list(dict.fromkeys(tuple(row)[:-1] for row in near))[:NEAREST]
+        lines = [b]
+        for rows in itertools.islice(itertools.combinations(points, k), VERTICES):
+            z = np.array(rows)
+            x = np.column_stack([np.ones(k), z[:, :-1]]) if self.intercept else z[:, :-1]
+            if np.linalg.matrix_rank(x) == k:
+                lines.append(np.linalg.solve(x, z[:, -1]))
+        lines = list({tuple(np.round(v, 12)): v for v in lines}.values())
+        found = yield from view.ask(**{f"l{i}": check(v) for i, v in enumerate(lines)})
+        loss = np.array([found[f"l{i}"] for i in range(len(lines))])
+        at = int(np.argmin(loss))
+        stays = loss[at] >= loss[0] - 1e-12 * max(1.0, abs(loss[0]))
+        return (b, loss[0], True) if stays else (lines[at], loss[at], False)
+
+    def steps(self, view: View, loss: Callable[[np.ndarray], Generator] | None = None) -> Generator:
+        y, c = view.y, view.c
+        m, _ = yield from view.moments(y, c)
+        n = m.n
+        if n < max(2, len(self.features) + (1 if self.intercept else 0)):
+            raise InsufficientObservations(f"{n} rows")
+        b = solve(*normal_equations(m, self.intercept))
+        before, near = None, False
+        for _ in range(self.max_iter):
+            r = y - view.eta(b, self.intercept)
+            side = F.when(r >= 0, F.lit(self.tau)).otherwise(F.lit(1 - self.tau))
+            m, more = yield from view.moments(y, c * side / F.greatest(F.abs(r), F.lit(self.epsilon)), check=self.check(view, b))
+            new = solve(*normal_equations(m, self.intercept))
+            moved = abs(new - b).max()
+            if loss:
+                now = yield from loss(new)
+                near = before is not None and abs(now - before) < self.tol * (1 + abs(before))
+                before = now
+            else:
+                # vertices are looked for as soon as the loss hardly falls
+                near = moved < self.tol or (before is not None and before - more["check"] < 1e-5 * abs(before))
+                before = more["check"]
+            b = new
+            if near:
+                break
+        converged = near if loss else False
+        if not loss:
+            for _ in range(30):
+                b, lost, converged = yield from self.vertices(view, b)
+                if converged:
                     break
-            check = lambda r: F.sum(c * F.when(r >= 0, self.tau * r).otherwise((self.tau - 1) * r))
-            null = quantile(base.df, y, self.tau, n)
-            loss, loss0 = base.df.agg(check(y - base.eta(b, self.intercept)), check(y - F.lit(null))).first()
-            a, coef = _split(b, self.intercept)
-            return LinearModel(self.features, self.label, a, coef, tau=self.tau, loss=loss, pseudo_r_squared=1 - loss / loss0 if loss0 else math.nan, converged=converged, n=n)
-        finally:
-            base.close()
+        (null,) = yield Direct(lambda df: [quantile(view.rows(df), y, self.tau, n)])
+        found = yield from view.ask(loss=self.check(view, b), null=view.c * F.when(y >= null, self.tau * (y - null)).otherwise((self.tau - 1) * (y - null)))
+        a, coef = _split(b, self.intercept)
+        return LinearModel(
+            self.features, self.label, a, coef, tau=self.tau, loss=found["loss"], pseudo_r_squared=1 - found["loss"] / found["null"] if found["null"] else math.nan, converged=converged, n=n
+        )
 
 
 class IsotonicModel:
@@ -384,42 +439,3 @@ class PassiveAggressive:
         """The whole frame as one sequence, which one task works through: for many series use fit_by()."""
         r = self.fit_by(df.withColumn("_one", F.lit(1)), ["_one"]).first()
         return LinearModel(self.features, self.label, r["intercept"], np.array(r["coefficients"]), epochs=r["epochs"])
-
-
-def lowess_span(n: int, span: float) -> int:
-    return min(max(math.floor(n * span), 2), n)
-
-
-def lowess(df: DataFrame, value: str, order_by: list[str], span: float = 0.3, keys: list[str] | None = None, output: str = "smoothed") -> DataFrame:
-    """Local constant smoothing over the row order of each series, tricube weights on the nearest k
-    rows by index. Closed form: with half-width h = max(k // 2, k - 1 - i, k - 1 - (n - 1 - i)) a row
-    j has weight (1 - (|i - j| / h)^3)^3; one window frame holds all rows that can count. keys part the
-    series; a frame's arrays have up to 2k - 1 values."""
-    part = keys or []
-    n = F.count("*").over(Window.partitionBy(*part))
-    i = F.row_number().over(Window.partitionBy(*part).orderBy(*order_by)) - 1
-    x = df.withColumns({"_n": n, "_i": i})
-    k = F.least(F.greatest(F.floor(F.col("_n") * span), F.lit(2)), F.col("_n")).cast("int")
-    x = x.withColumn("_k", k)
-    h = F.greatest(F.floor(F.col("_k") / 2), F.col("_k") - 1 - F.col("_i"), F.col("_k") - F.col("_n") + F.col("_i"), F.lit(1)).cast("double")
-    x = x.withColumn("_h", h)
-    reach = x.agg(F.max("_k")).first()[0] or 1
-    near = Window.partitionBy(*part).orderBy(*order_by).rowsBetween(-int(reach) + 1, int(reach) - 1)
-    x = x.withColumn("_near", F.collect_list(F.struct(F.col("_i").alias("j"), number(value).alias("v"))).over(near))
-    w = "pow(1 - pow(abs(e.j - _i) / _h, 3), 3)"
-    sums = F.expr(
-        f"aggregate(_near, named_struct('w', 0D, 's', 0D), (a, e) -> if(abs(e.j - _i) < _h or e.j = _i, named_struct('w', a.w + {w}, 's', a.s + {w} * e.v), a))"
-    )
-    x = x.withColumn("_s", sums)
-    return x.withColumn(output, F.when(F.col("_s.w") > 1e-10, F.col("_s.s") / F.col("_s.w")).otherwise(number(value))).drop("_n", "_i", "_k", "_h", "_near", "_s")
-
-
-def lowess_weights(df: DataFrame, columns: list[str], order_by: list[str], span: float = 0.3, keys: list[str] | None = None) -> DataFrame:
-    """Smooths each weight column, clips at zero and rescales rows to one (uniform where all vanish)."""
-    for c in columns:
-        df = lowess(df, c, order_by, span, keys, output=f"_sm_{c}")
-    total = sum((F.greatest(F.col(f"_sm_{c}"), F.lit(0.0)) for c in columns), F.lit(0.0))
-    df = df.withColumn("_total", total)
-    even = F.lit(1.0 / len(columns))
-    df = df.withColumns({c: F.when(F.col("_total") > 1e-10, F.greatest(F.col(f"_sm_{c}"), F.lit(0.0)) / F.col("_total")).otherwise(even) for c in columns})
-    return df.drop("_total", *[f"_sm_{c}" for c in columns])

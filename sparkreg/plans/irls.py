@@ -1,49 +1,10 @@
-"""Iteratively reweighted least squares: each step is one aggregation over the same base frame."""
+"""Normal equations of a reweighting step."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .moments import NARROW, Moments, aggregates, from_row, moments
-
-
-class Base:
-    """Features x0.., response y, offset o (0 without) and case weight c of complete rows, kept in
-    memory or on disk between steps, so that every step's plan starts from the same short scan."""
-
-    def __init__(self, df: DataFrame, features: list[str], label: str, offset: str | None = None, weight: str | None = None):
-        self.p = len(features)
-        num = lambda c: F.col(c).cast("double")
-        cols = [num(f).alias(f"x{j}") for j, f in enumerate(features)] + [num(label).alias("y")]
-        cols += [num(offset).alias("o") if offset else F.lit(0.0).alias("o"), num(weight).alias("c") if weight else F.lit(1.0).alias("c")]
-        self.df = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-        self.names = [f"x{j}" for j in range(self.p)]
 
-    def eta(self, b: np.ndarray, intercept: bool) -> Column:
-        """Linear predictor without the offset."""
-        out = F.lit(float(b[0])) if intercept else F.lit(0.0)
-        for v, name in zip(b[1:] if intercept else b, self.names, strict=True):
-            out = out + F.col(name) * F.lit(float(v))
-        return out
-
-    def close(self) -> None:
-        self.df.unpersist()
-
-    def sums(self, z: Column, w: Column, more: dict[str, Column]) -> tuple[Moments, dict]:
-        """Moments of (x, z) with weight w, and further sums, in one aggregation where it is narrow."""
-        frame = self.df.select(*self.names, z.alias("_z"), w.alias("_w"), *[c.alias(k) for k, c in more.items()])
-        shift = np.zeros(self.p + 1)
-        extra = [F.sum(k).alias(k) for k in more]
-        if self.p <= NARROW:
-            row = frame.agg(*aggregates([*self.names, "_z"], "_w", shift), *extra).first().asDict()
-            return from_row(row, self.p + 1, shift), {k: row[k] for k in more}
-        m = moments(frame, self.names, "_z", "_w", shift=shift)
-        return m, frame.agg(*extra).first().asDict() if more else {}
+from .moments import Moments
 
 
 def normal_equations(m: Moments, intercept: bool, ridge: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -66,44 +27,3 @@ def solve(a: np.ndarray, r: np.ndarray) -> np.ndarray:
         return np.linalg.solve(s, r / d) / d
     except np.linalg.LinAlgError:
         return np.linalg.lstsq(s, r / d, rcond=None)[0] / d
-
-
-def maximise(value: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, steps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float, bool]:
-    """BFGS with central differences. value takes many points at once (one aggregation for all), so
-    that a step costs a job for the gradient and one for the line search."""
-    n = len(start)
-    x = np.array(start, dtype=float)
-    fx = value([x])[0]
-    h = np.eye(n)
-    g = None
-    for k in range(steps):
-        eps = 1e-5 * np.maximum(1.0, abs(x))
-        points = [x + s * eps[j] * np.eye(n)[j] for j in range(n) for s in (1, -1)]
-        v = np.array(value(points)).reshape(n, 2)
-        new_g = -(v[:, 0] - v[:, 1]) / (2 * eps)
-        if g is not None:
-            s, y = step, new_g - g  # noqa: F821
-            sy = s @ y
-            if sy > 1e-12:
-                rho = 1 / sy
-                left = np.eye(n) - rho * np.outer(s, y)
-                h = (left @ h @ left.T if k > 1 else left @ (np.eye(n) * sy / (y @ y)) @ left.T) + rho * np.outer(s, s)
-        g = new_g
-        if not np.isfinite(g).all() or abs(g).max() < 1e-7 * max(1.0, abs(fx)):
-            return x, fx, bool(np.isfinite(g).all())
-        d = -h @ g
-        if d @ g >= 0:
-            h, d = np.eye(n), -g
-        scale = 1.0 if k else min(1.0, 1.0 / max(abs(g).max(), 1e-12))
-        sizes = [scale * t for t in (2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4, 1e-6)]
-        tries = value([x + t * d for t in sizes])
-        tries = [-np.inf if not np.isfinite(t) else t for t in tries]
-        at = int(np.argmax(tries))
-        if tries[at] <= fx + tol * 1e-3 * max(1.0, abs(fx)) * 1e-3:
-            return x, fx, True
-        step = sizes[at] * d
-        gain = tries[at] - fx
-        x, fx = x + step, tries[at]
-        if gain < tol * max(1.0, abs(fx)) and abs(step).max() < 1e-6:
-            return x, fx, True
-    return x, fx, False

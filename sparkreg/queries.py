@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -18,8 +19,10 @@ from .operators.glm import Binomial, Gamma, Logistic, NegativeBinomial, Poisson,
 from .operators.alm import DISTRIBUTIONS, compute_loss
 from .operators.linear import OLS, RLS, WLS, Ridge, center_columns, detect_constant_columns, is_full_rank
 from .operators.lm_dynamic import LmDynamic
-from .operators.robust import Huber, Isotonic, PassiveAggressive, Quantile, Ransac, TheilSen, lowess, lowess_weights
+from .operators.robust import Huber, Isotonic, PassiveAggressive, Quantile, Ransac, TheilSen
+from .operators.smoothing import lowess, lowess_weights
 from .operators.shrinkage import ARD, BLS, LARS, NNLS, PLS, BayesianRidge, ElasticNet, Lasso, LassoLars, PSpline
+from .plans.many import fit_together
 from .plans.moments import grouped_moments, moments
 from .plans.ordering import quantile
 from .sources.io import from_vectors, table
@@ -220,10 +223,8 @@ def glm_families(spark, d):
         "negative_binomial": NegativeBinomial(["r"], "k", theta=3.0), "tweedie": Tweedie(["r"], "k", 1.5, 0.0), "gamma": Gamma(["r"], Y),
         "logit": Binomial(["r"], "t"), "cloglog": Binomial(["r"], "t", "cloglog"),
     }
-    data = []
-    for name, e in models.items():
-        m = e.fit(x)
-        data.append((name, round(float(m.b[0]), 5), round(float(m.b[1]), 5)))
+    fits = zip(models, fit_together(x, list(models.values())), strict=True)
+    data = [(name, round(float(m.b[0]), 5), round(float(m.b[1]), 5)) for name, m in fits]
     return spark.createDataFrame(data, "family string, intercept double, slope double")
 
 
@@ -296,16 +297,17 @@ def isotonic_fit(spark, d):
 @query(
     """WITH s AS (SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS v FROM orders GROUP BY 1),
 t AS (SELECT v, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM s),
-k AS (SELECT *, least(greatest(floor(n * 0.3), 2), n) AS k FROM t),
-h AS (SELECT *, greatest(floor(k / 2), k - 1 - i, k - n + i, 1) AS h FROM k),
-w AS (SELECT a.i, b.v, pow(1 - pow(abs(a.i - b.i) / a.h, 3), 3) AS w FROM h a JOIN h b ON abs(a.i - b.i) < a.h)
-SELECT CAST(i AS BIGINT) AS i, round(sum(w * v) / sum(w), 3) AS smoothed FROM w GROUP BY i"""
+-- the nearest k by index, and weights by the distance of the k-th
+d AS (SELECT a.i, b.v, a.v AS own, abs(a.i - b.i) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.i - b.i)) AS place, least(greatest(ceil(a.n * 0.27), 2), a.n) AS k FROM t a, t b),
+w AS (SELECT i, v, own, d, max(d) FILTER (place = k) OVER (PARTITION BY i) AS h FROM d),
+u AS (SELECT i, own, v, CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM w)
+SELECT CAST(i AS BIGINT) AS i, round(sum(w * v) / sum(w), 3) AS smoothed FROM u GROUP BY i"""
 )
 def lowess_monthly(spark, d):
     s = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("v"))
     from pyspark.sql.window import Window
 
-    out = lowess(s, "v", ["month"], 0.3)
+    out = lowess(s, "v", ["month"], 0.27)
     return out.select((F.row_number().over(Window.orderBy("month")) - 1).cast("long").alias("i"), F.round("smoothed", 3).alias("smoothed"))
 
 
@@ -405,6 +407,24 @@ def collinearity(spark, d):
     return spark.createDataFrame([(round(v, 6), round(k / 1000, 4))], "vif double, condition double")
 
 
+@query(
+    """WITH g AS (SELECT sum(CAST(a AS HUGEINT) * a) AS aa, sum(CAST(a AS HUGEINT) * b) AS ab, sum(CAST(b AS HUGEINT) * b) AS bb
+  FROM (SELECT CAST(l_quantity AS BIGINT) * 30000000000 AS a, CAST(l_quantity AS BIGINT) * 30000000000 + l_linenumber AS b FROM lineitem)),
+-- sizes of a 2 x 2 Gram matrix: the product of its eigenvalues is the determinant, an exact integer
+e AS (SELECT (CAST(aa AS DOUBLE) + CAST(bb AS DOUBLE)) / 2 + sqrt(pow((CAST(aa AS DOUBLE) - CAST(bb AS DOUBLE)) / 2, 2) + pow(CAST(ab AS DOUBLE), 2)) AS top, s.det FROM g,
+  (SELECT CAST(sum(CAST(q AS HUGEINT) * q) * sum(CAST(l AS HUGEINT) * l) - sum(CAST(q AS HUGEINT) * l) * sum(CAST(q AS HUGEINT) * l) AS DOUBLE) * 30000000000.0 * 30000000000.0 AS det FROM (SELECT CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS l FROM lineitem)) s)
+SELECT round(log10(top / sqrt(det)), 6) AS log_condition, 3.0 + 2 AS slopes, false AS aliased FROM e"""
+)
+def near_collinear(spark, d):
+    a = F.col(X1) * 3e10
+    x = lineitem(spark, d).select(a.alias("a"), (a + F.col("l_linenumber")).alias("b")).withColumn("y", 3 * (F.col("a") / 1e10) + 2 * (F.col("b") - F.col("a")))
+    kappa = dg.condition_number(x, ["a", "b"], intercept=False)
+    m = OLS(["a", "b"], "y").fit(x)
+    # y = (3e-10 - 2) a + 2 b
+    slopes = round(float((m.coefficients[0] + m.coefficients[1]) * 1e10 + m.coefficients[1]), 2)
+    return spark.createDataFrame([(round(math.log10(kappa), 6), slopes, bool(np.isnan(m.coefficients).any()))], "log_condition double, slopes double, aliased boolean")
+
+
 @query(
     """WITH x AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS a, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS b FROM lineitem)
 SELECT count(*) FILTER (a IS NULL) AS a, count(*) FILTER (b IS NULL) AS b, count(*) FILTER (a IS NULL OR b IS NULL) AS na_rows, count(*) AS n_rows, round(regr_slope(b, a), 6) AS slope FROM x"""
@@ -555,20 +575,16 @@ def _planted(spark, d):
 
 
 @query("WITH " + _PLANTED + """, c AS (SELECT regr_intercept(y, q) AS a, regr_slope(y, q) AS b, count(*) AS n FROM x WHERE clean)
-SELECT m AS model, round(a, 3) AS intercept, round(b, 3) AS slope FROM c, (SELECT unnest(['ransac', 'theil_sen', 'median', 'laplace', 'asymmetric_laplace']) AS m)""")
+SELECT m AS model, round(a, 3) AS intercept, round(b, 3) AS slope FROM c, (SELECT unnest(['ransac', 'theil_sen', 'median', 'laplace', 'asymmetric_laplace', 's']) AS m)""")
 def planted_line(spark, d):
     """Consensus, spatial median and median regression all find a line that most rows lie on."""
     x = _planted(spark, d).persist()
     order = ["l_orderkey", "l_linenumber"]
-    out = []
-    for name, e in (("ransac", Ransac(["q"], "y", order, threshold=0.5)), ("theil_sen", TheilSen(["q"], "y", order)), ("median", Quantile(["q"], "y", 0.5))):
-        m = e.fit(x)
-        out.append((name, round(float(m.intercept), 3), round(float(m.coefficients[0]), 3)))
-    for name in ("laplace", "asymmetric_laplace"):
-        m = ALM(["q"], "y", name, inference=False).fit(x)
-        out.append((name, round(float(m.b[0]), 3), round(float(m.b[1]), 3)))
+    fits = {"ransac": Ransac(["q"], "y", order, threshold=0.5).fit(x), "theil_sen": TheilSen(["q"], "y", order).fit(x)}
+    lines = {"median": Quantile(["q"], "y", 0.5), **{n: ALM(["q"], "y", n, inference=False) for n in ("laplace", "asymmetric_laplace", "s")}}
+    fits |= dict(zip(lines, fit_together(x, list(lines.values())), strict=True))
     x.unpersist()
-    return spark.createDataFrame(out, "model string, intercept double, slope double")
+    return spark.createDataFrame([(n, round(float(m.intercept), 3), round(float(m.coefficients[0]), 3)) for n, m in fits.items()], "model string, intercept double, slope double")
 
 
 @query("WITH " + _PLANTED + """ SELECT count(*) FILTER (abs(y - 3 - 2 * q) <= 0.5) AS inliers, count(*) AS n FROM x""")
@@ -702,15 +718,24 @@ def centred_columns(spark, d):
 
 
 @query(
-    "WITH x AS (SELECT " + _T + """ AS t, l_quantity AS q, l_quantity + 1000 * (""" + _T + """) AS c, CASE WHEN l_quantity = 1 THEN 1.0 ELSE 0.0 END AS z, CASE WHEN l_quantity = 1 THEN 0.0 ELSE l_linenumber END AS k FROM lineitem),
-y AS (SELECT max(c) FILTER (t = 0) < min(c) FILTER (t = 1) AS c, max(q) FILTER (t = 0) < min(q) FILTER (t = 1) AS q, avg(CASE WHEN z = 0 THEN 1.0 ELSE 0.0 END) > 0.9 AND max(k) FILTER (z <> 0) = 0 AS z FROM x)
-SELECT CASE WHEN c THEN 'complete' ELSE 'none' END AS shifted, CASE WHEN q THEN 'complete' ELSE 'none' END AS quantity, z AS sparse, false AS dense FROM y"""
+    "WITH x AS (SELECT " + _T + """ AS t, l_quantity AS q, l_quantity + 1000 * (""" + _T + """) AS c, CASE WHEN l_quantity <= 25 THEN 1.0 ELSE 0.0 END AS low, CASE WHEN l_quantity >= 25 THEN 1.0 ELSE 0.0 END AS high,
+  CASE WHEN l_quantity = 50 THEN l_linenumber ELSE 0 END AS rare, CASE WHEN l_quantity <= 25 THEN 0 ELSE l_linenumber END AS common FROM lineitem),
+y AS (SELECT max(c) FILTER (t = 0) < min(c) FILTER (t = 1) AS c, max(q) FILTER (t = 0) < min(q) FILTER (t = 1) AS q,
+  avg(CASE WHEN rare = 0 THEN 1.0 ELSE 0.0 END) > 0.9 AS sparse, avg(CASE WHEN common = 0 THEN 1.0 ELSE 0.0 END) > 0.9 AS usual,
+  count(DISTINCT trunc(1000 * low)) <= 3 AND count(*) FILTER (low <> 0) > 0 AND count(*) FILTER (low <> 0 AND rare > 0) = 0 AS low_rare,
+  count(DISTINCT trunc(1000 * high)) <= 3 AND count(*) FILTER (high <> 0) > 0 AND count(*) FILTER (high <> 0 AND rare > 0) = 0 AS high_rare,
+  count(DISTINCT trunc(1000 * q)) <= 3 AND count(*) FILTER (q <> 0) > 0 AND count(*) FILTER (q <> 0 AND rare > 0) = 0 AS q_rare,
+  count(DISTINCT trunc(1000 * low)) <= 3 AND count(*) FILTER (low <> 0) > 0 AND count(*) FILTER (low <> 0 AND common > 0) = 0 AS low_common FROM x)
+SELECT CASE WHEN c THEN 'complete' ELSE 'none' END AS shifted, CASE WHEN q THEN 'complete' ELSE 'none' END AS quantity,
+  sparse AND low_rare AS low, sparse AND high_rare AS high, sparse AND q_rare AS dense, usual AND low_common AS common FROM y"""
 )
 def separation(spark, d):
     x = lineitem(spark, d).withColumn("t", (F.col("l_tax") > 0.04).cast("double"))
-    x = x.withColumns({"c": F.col(X1) + 1000 * F.col("t"), "z": (F.col(X1) == 1).cast("double"), "k": F.when(F.col(X1) == 1, 0.0).otherwise(F.col("l_linenumber").cast("double"))})
-    s, z = dg.check_binary_separation(x, ["c", X1], "t"), dg.check_count_sparsity(x, ["z", X1], "k")
-    return spark.createDataFrame([(s["c"], s[X1], z["z"], z[X1])], "shifted string, quantity string, sparse boolean, dense boolean")
+    low, number = F.col(X1) <= 25, F.col("l_linenumber").cast("double")
+    x = x.withColumns({"c": F.col(X1) + 1000 * F.col("t"), "low": low.cast("double"), "high": (F.col(X1) >= 25).cast("double"), "rare": F.when(F.col(X1) == 50, number).otherwise(0.0), "common": F.when(low, 0.0).otherwise(number)})
+    s, z = dg.check_binary_separation(x, ["c", X1], "t"), dg.check_count_sparsity(x, ["low", "high", X1], "rare")
+    common = dg.check_count_sparsity(x, ["low"], "common")["low"]
+    return spark.createDataFrame([(s["c"], s[X1], z["low"], z["high"], z[X1], common)], "shifted string, quantity string, low boolean, high boolean, dense boolean, common boolean")
 
 
 @query(
@@ -731,9 +756,9 @@ def aid_fractional(spark, d):
 @query(
     """WITH s AS (SELECT date_trunc('month', o_orderdate) AS month, avg(CASE WHEN o_custkey % 3 = 0 THEN 1.0 ELSE 0.0 END) AS v FROM orders GROUP BY 1),
 t AS (SELECT v, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM s),
-k AS (SELECT *, least(greatest(floor(n * 0.2), 2), n) AS k FROM t),
-h AS (SELECT *, greatest(floor(k / 2), k - 1 - i, k - n + i, 1) AS h FROM k),
-w AS (SELECT a.i, b.v, pow(1 - pow(abs(a.i - b.i) / a.h, 3), 3) AS w FROM h a JOIN h b ON abs(a.i - b.i) < a.h),
+d AS (SELECT a.i, b.v, abs(a.i - b.i) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.i - b.i)) AS place, least(greatest(ceil(a.n * 0.23), 2), a.n) AS k FROM t a, t b),
+h AS (SELECT i, v, d, max(d) FILTER (place = k) OVER (PARTITION BY i) AS h FROM d),
+w AS (SELECT i, v, CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM h),
 m AS (SELECT i, sum(w * v) / sum(w) AS a, sum(w * (1 - v)) / sum(w) AS b FROM w GROUP BY i)
 SELECT CAST(i AS BIGINT) AS i, round(a / (a + b), 6) AS a, round(b / (a + b), 6) AS b FROM m"""
 )
@@ -741,7 +766,7 @@ def lowess_shares(spark, d):
     from pyspark.sql.window import Window
 
     s = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(F.avg((F.col("o_custkey") % 3 == 0).cast("double")).alias("a"))
-    out = lowess_weights(s.withColumn("b", 1 - F.col("a")), ["a", "b"], ["month"], 0.2)
+    out = lowess_weights(s.withColumn("b", 1 - F.col("a")), ["a", "b"], ["month"], 0.23)
     return out.select((F.row_number().over(Window.orderBy("month")) - 1).cast("long").alias("i"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
@@ -839,8 +864,31 @@ def probit_tax(spark, d):
 def alm_likelihood_fits(spark, d):
     x = lineitem(spark, d).withColumn("z", F.col(Y) / 10000)
     out = []
-    for name in ("student_t", "logistic", "generalised_normal", "laplace"):
-        m = ALM([X1], "z", name, inference=False).fit(x)
+    names = ("student_t", "logistic", "generalised_normal", "laplace")
+    for name, m in zip(names, fit_together(x, [ALM([X1], "z", n, inference=False) for n in names]), strict=True):
         out.append((name, m.b[0], m.b[1], m.scale, m.log_likelihood, m.converged))
     return rows(spark, "distribution string, intercept double, slope double, scale double, loglik double, converged boolean", out)
 
+
+@query(
+    """WITH x AS (SELECT l_quantity AS q, l_linenumber AS e, s FROM lineitem, (SELECT unnest([1, -1]) AS s)),
+y AS (SELECT q, e, 100 + 2 * q + s * e AS level, 1 + 0.02 * q + s * e / 10.0 AS logs, 0.5 + s * e / 20.0 AS share FROM x),
+f AS (SELECT regr_intercept(level, q) AS a, regr_slope(level, q) AS b, sqrt(avg(e * e)) AS sd, regr_intercept(logs, q) AS la, regr_slope(logs, q) AS lb, sqrt(avg(e * e)) / 10 AS lsd,
+  regr_intercept(ln(share / (1 - share)), q) AS sa, regr_slope(ln(share / (1 - share)), q) AS sb FROM y),
+-- the errors come in pairs of either sign, so that a symmetric density has the middle line as its optimum
+r AS (SELECT 'student_t' AS distribution, a, b, NULL AS scale FROM f UNION ALL SELECT 'logistic', a, b, NULL FROM f UNION ALL SELECT 'generalised_normal', a, b, sd * sqrt(2) FROM f
+  UNION ALL SELECT 'box_cox_normal', a, b, sd FROM f UNION ALL SELECT 'rectified_normal', a, b, sd FROM f UNION ALL SELECT 'folded_normal', a, b, sd FROM f
+  UNION ALL SELECT 'log_generalised_normal', la, lb, lsd * sqrt(2) FROM f UNION ALL SELECT 'beta', sa, sb, NULL FROM f)
+SELECT distribution, round(a, 3) + 0.0 AS intercept, round(b, 4) + 0.0 AS slope, round(scale, 3) AS scale, true AS converged FROM r"""
+)
+def alm_symmetric_fits(spark, d):
+    """Fits by climbing whose optimum is known: errors in pairs of either sign about a line."""
+    x = lineitem(spark, d).select(F.col(X1).alias("q"), F.col("l_linenumber").cast("double").alias("e"), F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("s"))
+    off = F.col("s") * F.col("e")
+    x = x.select("q", (100 + 2 * F.col("q") + off).alias("level"), F.exp(1 + 0.02 * F.col("q") + off / 10).alias("logs"), (0.5 + off / 20).alias("share"))
+    label = {"log_generalised_normal": "logs", "beta": "share"}
+    names = ["student_t", "logistic", "generalised_normal", "box_cox_normal", "rectified_normal", "folded_normal", "log_generalised_normal", "beta"]
+    fits = fit_together(x, [ALM(["q"], label.get(n, "level"), n, inference=False) for n in names])
+    closed = {"generalised_normal", "box_cox_normal", "rectified_normal", "folded_normal", "log_generalised_normal"}
+    out = [(n, round(float(m.b[0]), 3) + 0.0, round(float(m.b[1]), 4) + 0.0, round(m.scale, 3) if n in closed else None, m.converged) for n, m in zip(names, fits, strict=True)]
+    return spark.createDataFrame(out, "distribution string, intercept double, slope double, scale double, converged boolean")
