@@ -51,7 +51,7 @@ SLICE = 1 << 19
 #: With a similarity: bits that fingerprints of similar texts may differ in (8 to 11 of 64 are usual at
 #: 0.8, with a deviation of 3), members and bytes of text of a part of a block, cells of a bit matrix,
 #: and pairs compared at once.
-FAR, PART, PART_BYTES, BITS, PAIRS = 24, 512, 16 << 20, 1 << 26, 1 << 12
+FAR, PART, PART_BYTES, BITS, PAIRS = 24, 512, 8 << 20, 1 << 24, 1 << 10
 #: Minima of hashed shingles: bands, and minima a band.
 BANDS, ROWS = 40, 6
 MULTIPLY, SHIFT = (
@@ -308,12 +308,12 @@ def alike(sets: list[np.ndarray], fp: np.ndarray, group: np.ndarray, similarity:
     that two of them have."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
-    none = np.zeros(0, np.int64)
-    near = list(within(fp, np.zeros(n, np.int64), np.full(n, n), radius))
-    p, q = (np.concatenate([none, *(x[k] for x in near)]) for k in (0, 1))
-    small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
-    live = (group[p] != group[q]) & (small >= similarity * large - 1e-9)
-    p, q = p[live], q[live]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for p, q in within(fp, np.zeros(n, np.int64), np.full(n, n), radius):
+        small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+        live = (group[p] != group[q]) & (small >= similarity * large - 1e-9)
+        found.append((p[live], q[live]))
+    p, q = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(p):
         return p, q
     hashes = np.concatenate(sets)
