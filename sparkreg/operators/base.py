@@ -280,6 +280,23 @@ class GramEstimator:
     def fit_by(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """keys and a result row for each group; a group that fails has NULLs and an error."""
         rows, shift = grouped_moments(self.prepared(df), keys, self.features, self.label, self.weight)
+        return self.solved(rows, keys, shift)
+
+    def fit_sets(self, df: DataFrame, sets: list[list[str]]) -> DataFrame:
+        """Fits at several levels of keys at once, as GROUPING SETS has them: the keys (NULL where a set
+        lacks one), grouping (the bits of the missing keys, the last key lowest) and a result row. The rows
+        are read for the finest level only; coarser moments are sums of finer ones."""
+        keys = list(dict.fromkeys(k for s in sets for k in s))
+        fine, shift = grouped_moments(self.prepared(df), keys, self.features, self.label, self.weight)
+        sums = [c for c in fine.columns if c not in keys]
+        if not keys:
+            return self.solved(fine, [], shift)
+        columns = [[F.col(k) for k in s] for s in sets]
+        rows = fine.groupingSets(columns, *[F.col(k) for k in keys]).agg(F.grouping_id().cast("long").alias("grouping"), *[F.sum(c).alias(c) for c in sums])
+        return self.solved(rows, [*keys, "grouping"], shift)
+
+    def solved(self, rows: DataFrame, keys: list[str], shift: np.ndarray) -> DataFrame:
+        """A row of sums -> its keys and result."""
         schema = T.StructType([*[rows.schema[k] for k in keys], *RESULT])
         k = len(self.features) + 1
 

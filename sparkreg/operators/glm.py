@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Generator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import na
 from ..errors import ConvergenceFailed, InsufficientObservations, InvalidOptions, NumericalError, RegressionError
 from ..functions.special import digamma, digamma_col, lgamma_col, norm_cdf_col, norm_pdf_col, norm_ppf, norm_sf2, trigamma, trigamma_col
 from ..plans.irls import normal_equations, solve
+from ..plans.keyed import Key, fit_keys, moments_of, sums_of
 from ..plans.many import Ask, View, fit_together
 from ..plans.solve import spd_inverse
 from .base import number
@@ -270,6 +275,84 @@ class GLM:
     def fit(self, df: DataFrame) -> GLMModel:
         return fit_together(df, [self])[0]
 
+    def fit_by(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, coefficients, intercept, std_errors, intercept_std_error, deviance, dispersion, n,
+        iterations, error: a fit for each group by steps that all groups take together. A group that
+        fails has its error and NULLs. As fit(), without a null deviance."""
+        family, link, p, at = self.family, self.link, len(self.features), 1 if self.intercept else 0
+        cols = [*self.features, self.label, *([self.offset] if self.offset else [])]
+        x = na.process(df, cols, self.na_action)
+        own = [number(c).alias(f"_x{j}") for j, c in enumerate(self.features)]
+        rows = x.select(*keys, *own, number(self.label).alias("_y"), (number(self.offset) if self.offset else F.lit(0.0)).alias("_o"))
+        means = rows.groupBy(*keys).agg(F.avg("_y").alias("_mean"))
+        same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys])
+        rows = rows.alias("r").join(means.alias("m"), same).select("r.*", "m._mean")
+        y, o, features = F.col("_y"), F.col("_o"), [F.col(f"_x{j}") for j in range(p)]
+
+        def ask(b: Column, start: Column) -> list[Column]:
+            linear = (b[0] if at else F.lit(0.0)) + sum((v * b[j + at] for j, v in enumerate(features)), F.lit(0.0)) + o
+            first = link.g(family.bound(family.start(y, F.col("_mean"))))
+            eta = F.when(start, first).otherwise(linear)
+            mu = family.bound(F.when(start, family.start(y, F.col("_mean"))).otherwise(link.inverse(linear)))
+            slope = link.slope(eta)
+            w = F.when(F.abs(slope) < 1e-14, F.lit(1e-10)).otherwise(slope * slope / F.greatest(family.variance(mu), F.lit(1e-14)))
+            z = eta - o + (y - mu) / F.when(F.abs(slope) < 1e-14, F.lit(1e-14)).otherwise(slope)
+            return sums_of(features, z, w, [family.deviance(y, mu), (y - mu) ** 2 / family.variance(mu), (~family.valid(y)).cast("double")])
+
+        intercept, lam, tol, most = self.intercept, self.lam, self.tol, self.max_iter
+        need, name = p + at, family.name
+
+        def update(key: Key) -> None:
+            m, (dev, chi, bad) = moments_of(key.now, p)
+            if m.n < max(2, need):
+                raise InsufficientObservations(f"{m.n} rows for {need} parameters")
+            if bad:
+                raise RegressionError(f"{int(bad)} responses are outside the range of {name}")
+            ridge = lambda b: lam * float(b[at:] @ b[at:]) if lam else 0.0
+            change = moved = np.inf
+            if key.candidate is not None and key.b is not None:
+                before = moments_of(key.sums, p)[1][0] + ridge(key.b)
+                better = math.isfinite(dev) and dev + ridge(key.candidate) <= before + 1e-7 * abs(before)
+                if not better and key.halved < 10:
+                    key.candidate, key.halved = (key.candidate + key.b) / 2, key.halved + 1
+                    return
+                moved = abs(key.candidate - key.b).max()
+                change = abs(dev + ridge(key.candidate) - before) / (0.1 + abs(dev))
+            key.b, key.sums, key.halved = key.candidate, key.now, 0
+            if change < tol or moved < tol:
+                key.status = ""
+                return
+            if key.steps >= most:
+                raise ConvergenceFailed(f"no convergence in {most} steps")
+            new = solve(*normal_equations(m, intercept, lam))
+            if not np.isfinite(new).all():
+                raise NumericalError("a step left the finite numbers")
+            key.candidate, key.steps = new, key.steps + 1
+
+        state = fit_keys(rows, keys, ask, update, 11 * (most + 2))
+        out = "coefficients array<double>, intercept double, std_errors array<double>, intercept_std_error double, deviance double, dispersion double, n long, iterations int, error string"
+        schema = T.StructType([*[state.schema[c] for c in keys], *T.StructType.fromDDL(out)])
+        scale = family.dispersion
+
+        def described(frames):
+            for pdf in frames:
+                found = []
+                for r in pdf.to_dict("records"):
+                    own = [r[c] for c in keys]
+                    if r["status"]:
+                        found.append((*own, None, None, None, None, None, None, None, int(r["steps"]), r["status"]))
+                        continue
+                    m, (dev, chi, _) = moments_of(np.array(r["sums"], dtype=float), p)
+                    df_ = m.n - need
+                    phi = {"fixed": 1.0, "pearson_least_1": max(chi / df_, 1.0) if df_ > 0 else 1.0, "deviance": dev / df_ if df_ > 0 else 1.0}[scale]
+                    se = np.sqrt(np.maximum(np.diag(spd_inverse(normal_equations(m, intercept, lam)[0])) * phi, 0))
+                    b = np.array(r["b"], dtype=float)
+                    head = (float(b[0]), float(se[0])) if at else (None, None)
+                    found.append((*own, b[at:].tolist(), head[0], se[at:].tolist(), head[1], dev, phi, m.n, int(r["steps"]), None))
+                yield pd.DataFrame(found, columns=schema.names)
+
+        return state.mapInPandas(described, schema)
+
     def checked(self, view: View) -> Generator:
         """Rows, mean and variance of the response."""
         values = yield Ask({"y": view.mine(view.y), "bad": view.mine((~self.family.valid(view.y)).cast("int"))}, lambda r: [F.count(r["y"]), F.avg(r["y"]), F.var_samp(r["y"]), F.sum(r["bad"])])

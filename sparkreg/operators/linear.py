@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -167,6 +168,8 @@ class Ridge(GramEstimator):
 
 #: Initial covariance of the recursion; its inverse is a tiny ridge that fades with forgetting.
 RLS_START = 1e6
+#: Rows of a path that a task runs through.
+PATH_BLOCK = 1 << 17
 #: Rows that the last rows with a weight may be for one task to number them.
 RLS_TOP = 100_000
 
@@ -226,6 +229,54 @@ class RLS(GramEstimator):
         fit.options = o.with_(inference=False)
         return fit.describe()
 
+    def path(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        """df with the prediction made before each row was learnt (_error: what it missed by) and the
+        coefficients after it (_coefficients, the intercept first): the recursion row by row, as a scan.
+
+        (information, vector) pairs add up with decay, so that a block of PATH_BLOCK rows is known by its
+        own sums and length; blocks' sums meet on the driver, one short row each, which gives each block
+        the state it begins with, and blocks then run beside each other. Incomplete rows are left out."""
+        o, k = self.options, len(self.features) + (1 if self.options.intercept else 0)
+        x = numbered(self.prepared(df), self.order_by, "_i")
+        x = x.withColumn("_block", F.floor(F.col("_i") / PATH_BLOCK))
+        v = [*([F.lit(1.0)] if o.intercept else []), *map(number, self.features)]
+        y = number(self.label)
+        # a row's weight at the end of its block, were that full; shorter ones are brought back by their length
+        w = F.pow(F.lit(float(o.forgetting)), (F.col("_block") + 1) * PATH_BLOCK - 1 - F.col("_i"))
+        sums = [F.sum(w * v[i] * v[j]) for i in range(k) for j in range(i, k)] + [F.sum(w * c * y) for c in v]
+        blocks = x.groupBy("_block").agg(F.count("*").alias("n"), *[c.alias(f"s{i}") for i, c in enumerate(sums)]).orderBy("_block").collect()
+        a, r, starts = np.eye(k) / RLS_START, np.zeros(k), []
+        for b in blocks:
+            starts.append((b["_block"], a.ravel().tolist(), r.tolist()))
+            s = np.array(list(b)[2:], dtype=float)
+            own = np.zeros((k, k))
+            own[np.triu_indices(k)] = s[: k * (k + 1) // 2]
+            own = own + np.triu(own, 1).T
+            # only the last block is short, and nothing follows it
+            a, r = o.forgetting ** b["n"] * a + own, o.forgetting ** b["n"] * r + s[k * (k + 1) // 2 :]
+        states = df.sparkSession.createDataFrame(starts, "_block long, _a array<double>, _r array<double>")
+        rows = x.select("_block", "_i", *[c.alias(f"_v{i}") for i, c in enumerate(v)], y.alias("_y"))
+        forgetting = o.forgetting
+
+        def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("_i")
+            a, r = np.array(state["_a"].iloc[0], dtype=float).reshape(k, k), np.array(state["_r"].iloc[0], dtype=float)
+            z, target = rows[[f"_v{i}" for i in range(k)]].to_numpy(dtype=float), rows["_y"].to_numpy(dtype=float)
+            before, after = np.empty(len(z)), []
+            # information and vector, not the gain: with forgetting the gain form loses its digits over thousands of rows
+            b = np.linalg.solve(a, r)
+            for j, u in enumerate(z):
+                before[j] = u @ b
+                a, r = forgetting * a + np.outer(u, u), forgetting * r + u * target[j]
+                b = np.linalg.solve(a, r)
+                after.append(b.tolist())
+            return pd.DataFrame({"_i": rows["_i"], output: before, f"{output}_error": target - before, f"{output}_coefficients": after})
+
+        found = rows.groupBy("_block").cogroup(states.groupBy("_block")).applyInPandas(run, f"_i long, `{output}` double, `{output}_error` double, `{output}_coefficients` array<double>")
+        out = x.join(found, "_i").drop("_i", "_block")
+        out._held = x._held if hasattr(x, "_held") else None
+        return out
+
 
 def detect_constant_columns(df: DataFrame, columns: list[str], tolerance: float = 1e-10) -> dict[str, bool]:
     row = df.agg(*[(F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double"))).alias(c) for c in columns]).first()

@@ -24,9 +24,9 @@ from .operators.smoothing import lowess, lowess_weights
 from .operators.shrinkage import ARD, BLS, LARS, NNLS, PLS, BayesianRidge, ElasticNet, Lasso, LassoLars, PSpline
 from .plans.many import fit_together
 from .plans.moments import grouped_moments, moments
-from .plans.ordering import quantile
+from .plans.ordering import quantile, release
 from .sources.io import from_vectors, table
-from .streaming.online import streaming_moments
+from .streaming.online import streaming_moments, window_moments
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -892,3 +892,72 @@ def alm_symmetric_fits(spark, d):
     closed = {"generalised_normal", "box_cox_normal", "rectified_normal", "folded_normal", "log_generalised_normal"}
     out = [(n, round(float(m.b[0]), 3) + 0.0, round(float(m.b[1]), 4) + 0.0, round(m.scale, 3) if n in closed else None, m.converged) for n, m in zip(names, fits, strict=True)]
     return spark.createDataFrame(out, "distribution string, intercept double, slope double, scale double, converged boolean")
+
+
+@query(
+    """WITH g AS (SELECT l_suppkey AS s, avg(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS m1, avg(CASE WHEN l_returnflag <> 'R' THEN l_linenumber END) AS m0,
+  count(*) AS n, sum(CASE WHEN l_returnflag <> 'R' THEN l_linenumber END) AS s0, sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS s1 FROM lineitem GROUP BY 1),
+d AS (SELECT l_suppkey AS s, sum(pow(l_linenumber - m, 2) / m) AS chi, sum(2 * (l_linenumber * ln(l_linenumber / m) - (l_linenumber - m))) AS dev
+  FROM (SELECT l_suppkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN m1 ELSE m0 END AS m FROM lineitem JOIN g ON g.s = l_suppkey) GROUP BY 1)
+SELECT g.s, n, round(ln(m0), 6) AS intercept, round(ln(m1 / m0), 6) AS slope, round(dev, 4) AS deviance, round(sqrt(greatest(chi / (n - 2), 1) * (1.0 / s0 + 1.0 / s1)), 6) AS se
+FROM g JOIN d ON d.s = g.s WHERE m0 IS NOT NULL AND m1 IS NOT NULL AND n > 2"""
+)
+def poisson_by_supplier(spark, d):
+    """A model for each supplier, all taking their steps together."""
+    m = Poisson(["r"], "k").fit_by(lineitem(spark, d).withColumn("k", F.col("l_linenumber").cast("double")), ["l_suppkey"])
+    # without rows of both groups a slope is not determined
+    both = lineitem(spark, d).groupBy("l_suppkey").agg(F.count_distinct("r").alias("c")).filter("c = 2").select("l_suppkey")
+    m = m.filter("error is null and n > 2").join(both, "l_suppkey")
+    return m.select(
+        F.col("l_suppkey").alias("s"), "n", F.round("intercept", 6).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("deviance", 4).alias("deviance"),
+        F.round(F.col("std_errors")[0], 6).alias("se"),
+    )
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag, l_linestatus) AS BIGINT) AS grouping, count(*) AS n, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+  round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 8) AS r_squared
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())"""
+)
+def ols_levels(spark, d):
+    """Fits at all levels of two keys from one scan."""
+    m = OLS([X1], Y).fit_sets(table(spark, d, "lineitem"), [["l_returnflag", "l_linestatus"], ["l_returnflag"], ["l_linestatus"], []])
+    return m.select(
+        "l_returnflag", "l_linestatus", "grouping", F.col("n_observations").alias("n"), F.round("intercept", 4).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("r_squared", 8).alias("r_squared")
+    )
+
+
+@query(
+    """WITH x AS (SELECT o_orderpriority AS g, row_number() OVER (ORDER BY o_orderkey) AS i, CAST(o_custkey % 10 + 1 AS DOUBLE) AS x, o_totalprice / 1000 AS y FROM orders),
+s AS (SELECT *, coalesce(sum(x * y * pow(0.97, -i)) OVER w, 0) AS v, coalesce(sum(x * x * pow(0.97, -i)) OVER w, 0) AS a FROM x WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT g, count(*) AS n, round(sum(x * v / (a + 1e-6)), 3) AS predicted, round(sqrt(avg(pow(y - x * v / (a + 1e-6), 2))), 5) AS rmse FROM s GROUP BY g"""
+)
+def rls_path(spark, d):
+    """One-step-ahead predictions of recursive least squares over a whole sequence."""
+    x = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("g"), (F.col("o_custkey") % 10 + 1).cast("double").alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    p = RLS(["x"], "y", ["o_orderkey"], forgetting=0.97, intercept=False).path(x)
+    out = p.groupBy("g").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 3).alias("predicted"), F.round(F.sqrt(F.avg(F.col("prediction_error") ** 2)), 5).alias("rmse"))
+    out = spark.createDataFrame(out.collect(), out.schema)  # a row for each priority
+    release(p)
+    return out
+
+
+@query(
+    """WITH x AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start, event_type, value FROM events),
+m AS (SELECT max(ts) - INTERVAL '10 days' AS mark FROM events)
+SELECT epoch_ms(start) AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS sum, round(sum(value * value), 4) AS squares
+FROM x, m WHERE start + INTERVAL '7 days' <= mark GROUP BY 1, 2"""
+)
+def event_windows(spark, d):
+    """Weekly moments of a stream by event time: windows that the watermark has closed."""
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("one", F.lit(1.0))
+    name = "stream_" + uuid.uuid4().hex
+    q = window_moments(stream, "ts", "7 days", ["value"], "one", "10 days", keys=["event_type"]).writeStream.outputMode("append").format("memory").queryName(name).start()
+    q.processAllAvailable()
+    q.stop()
+    out = spark.table(name).select((F.unix_timestamp("start") * 1000).alias("start_ms"), "event_type", F.col("_n").alias("n"), F.round("_s0", 4).alias("sum"), F.round("_q0_0", 4).alias("squares"))
+    found = spark.createDataFrame(out.collect(), out.schema)  # a row for each week and type
+    spark.catalog.dropTempView(name)
+    return found

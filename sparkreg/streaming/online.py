@@ -10,8 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..errors import InvalidOptions
 from ..operators.base import number
 from ..operators.robust import pa_step
 from ..plans.moments import Moments, aggregates, from_row
@@ -26,6 +28,23 @@ def streaming_moments(stream: DataFrame, keys: list, features: list[str], label:
     return stream.groupBy(*keys).agg(*aggregates([*features, label], weight, shift))
 
 
+def window_moments(stream: DataFrame, time: str, width: str, features: list[str], label: str, late: str, slide: str | None = None, keys: list[str] | None = None, session: bool = False) -> DataFrame:
+    """Moments by event-time window (tumbling, sliding by slide, or a session that ends after a gap of
+    width) and keys, for append mode: a window comes out once, when no row within `late` of the newest
+    one can fall into it, and its state goes. Rows that come later than that are not counted into any
+    window; dropped_late() tells how many they were."""
+    if session and slide:
+        raise InvalidOptions("a session window has no slide")
+    window = F.session_window(time, width) if session else F.window(time, width, slide) if slide else F.window(time, width)
+    out = streaming_moments(stream.withWatermark(time, late), [window.alias("span"), *(keys or [])], features, label)
+    return out.withColumns({"start": F.col("span.start"), "end": F.col("span.end")}).drop("span")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators left out as later than its watermark, so far."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def moments_of(row, p: int, shift: np.ndarray | None = None) -> Moments:
     """Moments of a collected row of streaming_moments()."""
     d = row.asDict() if hasattr(row, "asDict") else row
