@@ -370,33 +370,45 @@ def _subtrees(block: int):
     `block` suffixes leaves as windows."""
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, large, last = 0, False, None
-
-        def close() -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # whole prefixes
+        own: list[pa.RecordBatch] = []  # the prefix that may go on
+        large, last = False, None
+        rows = lambda parts: sum(map(len, parts))
+
+        def end() -> Iterator[pa.RecordBatch]:
+            """The prefix is whole."""
+            nonlocal large
+            if large and own:
+                yield from Suffixes(own).windows()
+            elif own:
+                held.extend(own)
+            own.clear()
+            large = False
+
+        def settle() -> Iterator[pa.RecordBatch]:
             if held:
-                x = Suffixes(held)
-                if large:
-                    yield from x.windows()
-                else:
-                    yield x.settled()
+                yield Suffixes(held).settled()
+                held.clear()
 
         for whole in batches:
             prefix = [r[: 8 * ANCHOR] for r in whole.column(0).to_pylist()]
             cuts = [k for k in range(len(prefix)) if prefix[k] != (prefix[k - 1] if k else last)]
             for s, e in zip([0, *cuts], [*cuts, len(prefix)], strict=True):
-                if s in cuts and (large or rows >= block):  # a new prefix: what is held is whole
-                    yield from close()
-                    held, rows, large = [], 0, False
+                if s in cuts:
+                    yield from end()
+                    if rows(held) >= block:
+                        yield from settle()
                 if e > s:
-                    held.append(whole.slice(s, e - s))
-                    rows += e - s
-                    if rows >= block and prefix[s] == held[0].column(0)[0].as_py()[: 8 * ANCHOR]:  # all of one prefix
+                    own.append(whole.slice(s, e - s))
+                    if rows(held) + rows(own) >= block:  # smaller prefixes don't wait for this one
+                        yield from settle()
+                    if rows(own) >= block:
                         large = True
-                        yield from close()
-                        held, rows = [], 0
+                        yield from Suffixes(own).windows()
+                        own.clear()
             last = prefix[-1] if prefix else last
-        yield from close()
+        yield from end()
+        yield from settle()
 
     return subtrees
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkreg.llm import divergence, lines, repair, simhash
+from sparkreg.llm import divergence, lines, repair, simhash, substring
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -246,7 +246,7 @@ def corpus():
     docs += [("rare words here", "xx", "a"), ("rare words there", "xx", "b"), ("solo solo", "yy", "a"), ("solo", "yy", "a"), ("solo,", "yy", "a")]
     docs += [(None, "en", "empty"), ("", "zz", None), ("12 34", "zz", "t")]
     # one, two and three documents behind chunks of one document each
-    docs += [("hid hid1 hid2", "hh", "a"), ("hid3 two2", "hh", "a"), ("hid4 two3 two4", "hh", "a"), ("one1 one2 one3", "hh", "a"), ("other", "hh", "b")]
+    docs += [("hid hid1 hid2", "hh", "a"), ("hid3 two2", "hh", "a"), ("hid4 two3 two4", "hh", "a"), ("one1 one2 one3", "hh", "a"), ("other", "hh", "b"), ("other", "hh", "b"), ("other", "hh", "b")]
     docs += [docs[0], docs[0]]
     return docs
 
@@ -254,7 +254,7 @@ def corpus():
 def test_divergence_equals_brute_force(spark, corpus, monkeypatch):
     df = spark.createDataFrame([(k // 2, t, lang, s, 3) for k, (t, lang, s) in enumerate(corpus)], "doc_id long, text string, lang string, source string, n int").repartition(5)
     want = brute_divergence(corpus)
-    assert {"hid"} == {x[3] for x in want if x[0] == "hh" and x[2] == "term"}
+    assert {"hid", "other"} == {x[3] for x in want if x[0] == "hh" and x[2] == "term"}
     assert {tuple(r) for r in divergence.op13_source_divergence(df).collect()} == want
     pdf = pd.DataFrame(corpus, columns=["text", "lang", "source"])
     assert {tuple(r) for r in sql(divergence.ORACLE, documents=pdf).itertuples(index=False)} == want
@@ -298,3 +298,32 @@ def test_members_of_a_block_are_compared_exactly():
     assert got == want and len(want) > 50
     for few in ([0], [125, 126], []):  # one member, two unlike ones, none
         assert len(simhash.alike([sets[k] for k in few], fp[few], np.arange(len(few)), 0.8)[0]) == 0
+
+
+# suffix trees
+
+
+def test_a_large_prefix_after_small_ones_is_not_held(monkeypatch):
+    seen = []
+
+    class Counted:
+        def __init__(self, parts):
+            seen.append(sum(map(len, parts)))
+            self.parts = parts
+
+        def settled(self):
+            return ("settled", sum(map(len, self.parts)))
+
+        def windows(self):
+            yield ("windows", sum(map(len, self.parts)))
+
+    monkeypatch.setattr(substring, "Suffixes", Counted)
+
+    def batches(*runs):
+        rights = [bytes([p]) * 8 * substring.WINDOW for p, n in runs for _ in range(n)]
+        for k in range(0, len(rights), 50):
+            yield substring.pa.RecordBatch.from_arrays([substring.pa.array(rights[k : k + 50], substring.pa.binary())], ["right"])
+
+    out = list(substring._subtrees(200)(batches((1, 5), (2, 3000), (3, 5), (4, 150), (5, 150), (6, 10))))
+    assert max(seen) <= 250 and sum(n for _, n in out) == 3320
+    assert sum(n for kind, n in out if kind == "windows") == 3000
