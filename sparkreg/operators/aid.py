@@ -79,6 +79,7 @@ def classify(df: DataFrame, keys: list[str], value: str, threshold: float = 0.3,
     mean, variance, zero_share, shape and scale."""
     if ic not in CRITERIA:
         raise InvalidOptions(f"ic must be one of {CRITERIA}")
+    threshold = min(max(threshold, 0.0), 1.0)
     s = statistics(df, keys, value)
     mu, var, n = F.col("mean"), F.col("variance"), F.col("n").cast("double")
     size = F.when((var > mu) & (mu > 0), mu * mu / (var - mu)).otherwise(F.lit(1.0))
@@ -169,9 +170,11 @@ def anomaly_counts(x: DataFrame, keys: list[str], column: str = "anomaly") -> Da
     )
 
 
-def profile(df: DataFrame, keys: list[str], value: str, order_by: list[str], detect_anomalies: bool = True, **options) -> DataFrame:
-    """classify() with the series' anomaly counts beside it, unless detect_anomalies is off."""
-    kinds = classify(df, keys, value, **options)
+def profile(df: DataFrame, keys: list[str], value: str, order_by: list[str], detect_anomalies: bool = True, anomaly_alpha: float = 0.05, **options) -> DataFrame:
+    """classify() with the series' anomaly counts beside it, unless detect_anomalies is off.
+    anomaly_alpha is taken into 0.001 to 0.5 and put beside them; the limits of anomalies() are fixed
+    numbers of deviations, which it does not move."""
+    kinds = classify(df, keys, value, **options).withColumn("anomaly_alpha", F.lit(float(min(max(anomaly_alpha, 0.001), 0.5))))
     return kinds.join(anomaly_counts(anomalies(df, keys, value, order_by), keys), keys) if detect_anomalies else kinds
 
 

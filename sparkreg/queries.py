@@ -836,7 +836,7 @@ def passive_aggressive_by_supplier(spark, d):
 @query()
 def pspline_price(spark, d):
     x = lineitem(spark, d)
-    m = PSpline(X1, Y, n_basis=10).fit(x)
+    m = PSpline(X1, Y).fit(x)
     return m.transform(x.select(X1).distinct(), "fit", 0.95).select(X1, F.round("fit", 4).alias("fit"), F.round("fit_se", 4).alias("fit_se"))
 
 
@@ -961,3 +961,23 @@ def event_windows(spark, d):
     found = spark.createDataFrame(out.collect(), out.schema)  # a row for each week and type
     spark.catalog.dropTempView(name)
     return found
+
+
+@query(
+    """WITH x AS (SELECT l_quantity AS u, l_quantity + 10 * l_linenumber AS v, l_extendedprice AS y FROM lineitem),
+g AS (SELECT covar_pop(u, u) * count(*) AS a, covar_pop(u, v) * count(*) AS c, covar_pop(v, v) * count(*) AS b, covar_pop(u, y) * count(*) AS r, covar_pop(v, y) * count(*) AS s FROM x),
+p AS (SELECT *, lam * alpha / 2 AS h, lam * (1 - alpha) AS k FROM g, (VALUES ('elastic_net', 2e7, 0.5), ('lasso', 2e6, 1.0), ('lasso_strong', 5e8, 1.0), ('lasso_all', 4e9, 1.0)) AS t(model, lam, alpha)),
+-- every pattern of signs, of which the optimality conditions leave one
+e AS (SELECT p.*, i.e1, j.e2 FROM p, (VALUES (-1), (0), (1)) AS i(e1), (VALUES (-1), (0), (1)) AS j(e2)),
+f AS (SELECT *, CASE WHEN e1 = 0 THEN 0 WHEN e2 = 0 THEN (r - e1 * h) / (a + k) ELSE ((r - e1 * h) * (b + k) - (s - e2 * h) * c) / ((a + k) * (b + k) - c * c) END AS b1,
+  CASE WHEN e2 = 0 THEN 0 WHEN e1 = 0 THEN (s - e2 * h) / (b + k) ELSE ((s - e2 * h) * (a + k) - (r - e1 * h) * c) / ((a + k) * (b + k) - c * c) END AS b2 FROM e)
+SELECT model, round(b1, 4) + 0.0 AS b1, round(b2, 4) + 0.0 AS b2 FROM f
+WHERE sign(b1) = e1 AND sign(b2) = e2 AND (e1 <> 0 OR abs(r - c * b2) <= h) AND (e2 <> 0 OR abs(s - c * b1) <= h)"""
+)
+def elastic_net_two(spark, d):
+    """Two correlated features under penalties that keep both, one and none of them."""
+    x = lineitem(spark, d).withColumn("v", F.col(X1) + 10 * F.col("l_linenumber"))
+    m = moments(x, [X1, "v"], Y)
+    models = {"elastic_net": ElasticNet([X1, "v"], Y, 2e7, 0.5), "lasso": Lasso([X1, "v"], Y, 2e6), "lasso_strong": Lasso([X1, "v"], Y, 5e8), "lasso_all": Lasso([X1, "v"], Y, 4e9)}
+    fits = {k: e.fit_moments(m).coefficients for k, e in models.items()}
+    return spark.createDataFrame([(k, round(float(b[0]), 4) + 0.0, round(float(b[1]), 4) + 0.0) for k, b in fits.items()], "model string, b1 double, b2 double")

@@ -191,4 +191,6 @@ def test_overdispersion_expansion_and_profile(spark):
     s = pd.DataFrame([("a", t, float(v)) for t, v in enumerate([0, 0, 3, 4, 0, 5, 3, 4, 0, 0, 0, 2])], columns=["k", "t", "y"])
     frame = spark.createDataFrame(s)
     whole, bare = aid.profile(frame, ["k"], "y", ["t"]), aid.profile(frame, ["k"], "y", ["t"], detect_anomalies=False, ic="bic")
+    odd = aid.profile(frame, ["k"], "y", ["t"], anomaly_alpha=3.0, threshold=-1.0).first()
+    assert odd["anomaly_alpha"] == 0.5 and odd["demand_type"] == "intermittent" and whole.first()["anomaly_alpha"] == 0.05
     assert "stockout" in whole.columns and whole.first()["stockout"] == 4 and "stockout" not in bare.columns
