@@ -18,6 +18,7 @@ from ..plans.irls import normal_equations, solve
 from ..plans.many import Direct, View, fit_together
 from ..plans.ordering import median, numbered, quantile, release
 from ..plans.solve import spatial_median
+from .asof import asof_join
 from .base import number
 from .linear import OLS
 
@@ -200,6 +201,23 @@ class IsotonicModel:
         return df.withColumn(output, step(number(feature)))
 
 
+    def steps(self, df: DataFrame, feature: str, output: str = "prediction") -> DataFrame:
+        """As transform(), by an as-of join with a table of the knots: nothing of the model goes to every
+        task, and rows meet their knots by range."""
+        knots = df.sparkSession.createDataFrame(pd.DataFrame({"_x": self.x, output: self.y}))
+        at = number(feature)
+        rows = df.withColumn("_x", F.when(~F.isnan(at), at))
+        out = asof_join(rows, knots, "_x", [output])
+        held, low, high = out._held, float(self.x[0]), float(self.x[-1])
+        none, clips = F.lit(None).cast("double"), self.out_of_bounds != "nan"
+        value = F.when(F.col("_x").isNull(), none).when(F.col("_x") < low, F.lit(float(self.y[0])) if clips else none)
+        if not clips:
+            value = value.when(F.col("_x") > high, none)
+        out = out.withColumn(output, value.otherwise(F.col(output))).drop("_x")
+        out._held = held
+        return out
+
+
 class Isotonic:
     """Monotone regression. Rows of equal x are averaged by an aggregation; each range of x is pooled
     where it lies; while neighbouring ranges are out of order, their blocks are dealt to half as many

@@ -189,12 +189,12 @@ def lowess(df: DataFrame, value: str | list[str], order_by: list[str], span: flo
         return df.withColumns({o: F.lit(None).cast("double") for o in names})
     held = None
     if widest <= NUMBERED:
-        x = x.withColumn("_i", F.row_number().over(Window.partitionBy("_series").orderBy(*order_by)).cast("long") - 1)
+        own = Window.partitionBy("_series")
+        x = x.withColumns({"_i": F.row_number().over(own.orderBy(*order_by)).cast("long") - 1, "_n": F.count("*").over(own)})
     else:
         x = held = numbered(x, ["_series", *order_by], "_i")
         sizes = sizes.join(x.groupBy("_series").agg(F.min("_i").alias("_first")), "_series")
-    x = x.join(sizes if part else F.broadcast(sizes), "_series")
-    if held is not None:
+        x = x.join(sizes if part else F.broadcast(sizes), "_series")
         x = x.withColumn("_i", F.col("_i") - F.col("_first")).drop("_first")
     k = F.least(F.greatest(F.ceil(F.col("_n") * F.lit(float(min(max(span, 0.0), 1.0)))), F.lit(2)), F.col("_n")).cast("long")
     x = x.withColumn("_k", k)

@@ -14,6 +14,7 @@ from .functions import metrics
 from .operators import aid
 from .operators import diagnostics as dg
 from .operators.alm import ALM
+from .operators.asof import asof_join
 from .operators.base import score_by
 from .operators.glm import Binomial, Gamma, Logistic, NegativeBinomial, Poisson, Tweedie
 from .operators.alm import DISTRIBUTIONS, compute_loss
@@ -981,3 +982,19 @@ def elastic_net_two(spark, d):
     models = {"elastic_net": ElasticNet([X1, "v"], Y, 2e7, 0.5), "lasso": Lasso([X1, "v"], Y, 2e6), "lasso_strong": Lasso([X1, "v"], Y, 5e8), "lasso_all": Lasso([X1, "v"], Y, 4e9)}
     fits = {k: e.fit_moments(m).coefficients for k, e in models.items()}
     return spark.createDataFrame([(k, round(float(b[0]), 4) + 0.0, round(float(b[1]), 4) + 0.0) for k, b in fits.items()], "model string, b1 double, b2 double")
+
+
+@query(
+    """WITH big AS (SELECT user_id, ts, max(value) AS latest FROM events WHERE value > 50 GROUP BY 1, 2)
+SELECT event_type, count(*) AS n, count(latest) AS matched, round(sum(latest), 3) AS total FROM (
+  SELECT e.event_type, (SELECT arg_max(b.latest, b.ts) FROM big b WHERE b.user_id = e.user_id AND b.ts <= e.ts) AS latest FROM events e)
+GROUP BY event_type"""
+)
+def asof_events(spark, d):
+    """Each event with its user's latest value over 50, itself included."""
+    x = table(spark, d, "events").select("user_id", "ts", "event_type", "value")
+    out = asof_join(x, x.filter("value > 50").withColumnRenamed("value", "latest"), "ts", ["latest"], by=["user_id"])
+    found = out.groupBy("event_type").agg(F.count("*").alias("n"), F.count("latest").alias("matched"), F.round(F.sum("latest"), 3).alias("total"))
+    found = spark.createDataFrame(found.collect(), found.schema)  # a row for each type
+    release(out)
+    return found

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkreg.operators import linear
+from sparkreg.operators.asof import asof_join
 from sparkreg.operators.glm import Binomial, NegativeBinomial, Poisson
 from sparkreg.operators.linear import OLS, RLS
+from sparkreg.operators.robust import Isotonic
 from sparkreg.plans.ordering import release
 from sparkreg.streaming.online import RlsState, dropped_late, window_moments
 
@@ -101,3 +103,27 @@ def test_windows_close_by_watermark_and_late_rows_are_counted(spark, tmp_path):
     finally:
         q.stop()
         spark.catalog.dropTempView(name)
+
+
+def test_asof_join_equals_a_search(spark):
+    left = [(int(k), float(t), f"r{i}") for i, (k, t) in enumerate(zip(RNG.choice([1, 1, 1, 2, 3], 400), RNG.integers(0, 60, 400)))] + [(None, 5.0, "x"), (1, None, "y"), (9, 5.0, "z")]
+    right = [(int(k), float(t), float(v)) for k, t, v in zip(RNG.choice([1, 1, 2, 4], 120), RNG.integers(5, 60, 120), RNG.normal(size=120))] + [(None, 1.0, 7.0), (1, None, 8.0)]
+    a, b = spark.createDataFrame(left, "k int, t double, name string"), spark.createDataFrame(right, "k int, t double, v double")
+    out = asof_join(a.repartition(4), b.repartition(3), "t", ["v"], ["k"])
+    got = {r["name"]: r["v"] for r in out.collect()}
+    release(out)
+    want = {n: max(((u, v) for j, u, v in right if j == k and u is not None and u <= t), default=(0, None))[1] if k is not None and t is not None else None for k, t, n in left}
+    assert got == want and sum(v is not None for v in want.values()) > 100
+    plain = asof_join(a.filter("k = 1"), b.filter("k = 2").drop("k"), "t", ["v"])
+    assert plain.filter("v is not null").count() > 0 and asof_join(a, b.filter("k = 99"), "t", ["v"], ["k"]).filter("v is not null").count() == 0
+
+
+def test_isotonic_steps_by_join(spark):
+    x = RNG.integers(0, 40, 300).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": x / 10 + RNG.normal(size=300)}))
+    more = spark.createDataFrame([(v, str(v)) for v in (-3.0, 0.0, 7.5, 39.0, 99.0, None, float("nan"))], "x double, s string")
+    for bounds in ("clip", "nan"):
+        m = Isotonic("x", "y", out_of_bounds=bounds).fit(df)
+        a = {r["s"]: r["p"] for r in m.transform(more, "x", "p").collect()}
+        b = {r["s"]: r["p"] for r in m.steps(more, "x", "p").collect()}
+        assert {k: str(v) for k, v in a.items()} == {k: str(v) for k, v in b.items()}
