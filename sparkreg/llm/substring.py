@@ -372,40 +372,45 @@ def _subtrees(block: int):
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole prefixes
         own: list[pa.RecordBatch] = []  # the prefix that may go on
-        large, last = False, None
-        rows = lambda parts: sum(map(len, parts))
+        n_held, n_own, large, last = 0, 0, False, None
 
         def end() -> Iterator[pa.RecordBatch]:
             """The prefix is whole."""
-            nonlocal large
+            nonlocal n_held, n_own, large
             if large and own:
                 yield from Suffixes(own).windows()
-            elif own:
+            else:
                 held.extend(own)
+                n_held += n_own
             own.clear()
-            large = False
+            n_own, large = 0, False
 
         def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal n_held
             if held:
                 yield Suffixes(held).settled()
                 held.clear()
+                n_held = 0
 
         for whole in batches:
             prefix = [r[: 8 * ANCHOR] for r in whole.column(0).to_pylist()]
             cuts = [k for k in range(len(prefix)) if prefix[k] != (prefix[k - 1] if k else last)]
+            starts = set(cuts)
             for s, e in zip([0, *cuts], [*cuts, len(prefix)], strict=True):
-                if s in cuts:
+                if s in starts:
                     yield from end()
-                    if rows(held) >= block:
+                    if n_held >= block:
                         yield from settle()
                 if e > s:
                     own.append(whole.slice(s, e - s))
-                    if rows(held) + rows(own) >= block:  # smaller prefixes don't wait for this one
+                    n_own += e - s
+                    if n_held + n_own >= block:  # smaller prefixes don't wait for this one
                         yield from settle()
-                    if rows(own) >= block:
+                    if n_own >= block:
                         large = True
                         yield from Suffixes(own).windows()
                         own.clear()
+                        n_own = 0
             last = prefix[-1] if prefix else last
         yield from end()
         yield from settle()
