@@ -79,15 +79,20 @@ def order_statistics(df: DataFrame, value: Column, ranks: list[int]) -> list[flo
         x.unpersist()
 
 
-def quantile(df: DataFrame, value: Column, q: float, n: int | None = None) -> float:
-    """Type 7 quantile, exact."""
+def quantiles(df: DataFrame, value: Column, qs: list[float], n: int | None = None) -> list[float]:
+    """Type 7 quantiles, exact, from one search for all of them."""
     n = df.filter(value.isNotNull() & ~F.isnan(value.cast("double"))).count() if n is None else n
     if not n:
-        return math.nan
-    at = q * (n - 1)
-    k = math.floor(at)
-    lo, hi = order_statistics(df, value, [k, min(k + 1, n - 1)])
-    return lo + (at - k) * (hi - lo)
+        return [math.nan] * len(qs)
+    at = [q * (n - 1) for q in qs]
+    low = [math.floor(a) for a in at]
+    ranks = sorted({r for k in low for r in (k, min(k + 1, n - 1))})
+    found = dict(zip(ranks, order_statistics(df, value, ranks), strict=True))
+    return [found[k] + (a - k) * (found[min(k + 1, n - 1)] - found[k]) for a, k in zip(at, low, strict=True)]
+
+
+def quantile(df: DataFrame, value: Column, q: float, n: int | None = None) -> float:
+    return quantiles(df, value, [q], n)[0]
 
 
 def median(df: DataFrame, value: Column) -> float:

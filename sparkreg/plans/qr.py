@@ -24,6 +24,8 @@ TREE = 64
 #: Rows that are folded at once.
 FOLD = 4096
 EPS = np.finfo(float).eps
+#: What rounding leaves of a column that depends on others, at most, in epsilons of its norm (seen: 500).
+ROUNDING = 2000
 
 
 def upper(x: np.ndarray) -> np.ndarray:
@@ -41,27 +43,42 @@ def _flat(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.float64()))], ["flat"])
 
 
-def _fold(p: int):
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = None
-        for b in batches:
-            x = _matrix(b)
-            for s in range(0, len(x), FOLD):
-                part = x[s : s + FOLD]
-                r = upper(part if r is None else np.vstack([r, part]))
-        if r is not None:
-            yield _flat(r)
+class _Pairs:
+    """Triangles folded two of a height at a time, so that rounding grows with the height, not their number."""
 
-    return fold
+    def __init__(self):
+        self.by_height: dict[int, np.ndarray] = {}
+
+    def add(self, r: np.ndarray) -> None:
+        h = 0
+        while h in self.by_height:
+            r = upper(np.vstack([self.by_height.pop(h), r]))
+            h += 1
+        self.by_height[h] = r
+
+    def one(self) -> np.ndarray | None:
+        rest = [self.by_height[h] for h in sorted(self.by_height)]
+        return upper(np.vstack(rest)) if rest else None
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = _Pairs()
+    for b in batches:
+        x = _matrix(b)
+        for s in range(0, len(x), FOLD):
+            pairs.add(upper(x[s : s + FOLD]))
+    r = pairs.one()
+    if r is not None:
+        yield _flat(r)
 
 
 def _fold_triangles(p: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = None
+        pairs = _Pairs()
         for b in batches:
             for row in b.column(0):
-                part = row.values.to_numpy(zero_copy_only=False).reshape(p, p)
-                r = part if r is None else upper(np.vstack([r, part]))
+                pairs.add(row.values.to_numpy(zero_copy_only=False).reshape(p, p))
+        r = pairs.one()
         if r is not None:
             yield _flat(r)
 
@@ -72,13 +89,14 @@ def r_factor(df: DataFrame, columns: list[Column]) -> np.ndarray:
     """R of the QR factorization of the columns, in their order; zeros for an empty frame."""
     p = len(columns)
     rows = df.select(*[c.cast("double").alias(f"q{i}") for i, c in enumerate(columns)])
-    level = rows.mapInArrow(_fold(p), "flat array<double>")
+    level = rows.mapInArrow(_fold, "flat array<double>")
     few = min(TREE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     level = level.repartition(few).mapInArrow(_fold_triangles(p), "flat array<double>")
-    r = np.zeros((p, p))
+    pairs = _Pairs()
     for row in level.toLocalIterator():
-        r = upper(np.vstack([r, np.array(row[0]).reshape(p, p)]))
-    return r
+        pairs.add(np.array(row[0]).reshape(p, p))
+    r = pairs.one()
+    return np.zeros((p, p)) if r is None else r
 
 
 def pivoted_r(r: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -105,7 +123,7 @@ def independent(r: np.ndarray, tolerance: float) -> list[int]:
     """Columns of full rank: pivoting ends at the first diagonal element within the tolerance, or
     within what rounding leaves of a column that depends on others."""
     t, order = pivoted_r(r)
-    floor = 100 * EPS * np.linalg.norm(r, axis=0)
+    floor = ROUNDING * EPS * np.linalg.norm(r, axis=0)
     rank = 0
     for k, j in enumerate(order):
         if abs(t[k, k]) <= max(tolerance, floor[j]):

@@ -25,7 +25,7 @@ from .operators.smoothing import lowess, lowess_weights
 from .operators.shrinkage import ARD, BLS, LARS, NNLS, PLS, BayesianRidge, ElasticNet, Lasso, LassoLars, PSpline
 from .plans.many import fit_together
 from .plans.moments import grouped_moments, moments
-from .plans.ordering import quantile, release
+from .plans.ordering import quantiles, release
 from .sources.io import from_vectors, table
 from .streaming.online import streaming_moments, window_moments
 
@@ -264,13 +264,12 @@ SELECT 'inverse_gaussian', round(ln(m0), 4), round(ln(m1 / m0), 5) FROM e"""
 )
 def alm_closed_forms(spark, d):
     x = lineitem(spark, d).withColumn("k", (F.col("l_linenumber") - 1).cast("double")).withColumn("u", F.col("l_discount") * 5 + 0.1)
-    out = []
-    for name, f, y in (
+    models = (
         ("normal", X1, Y), ("log_normal", X1, Y), ("logit_normal", X1, "u"), ("poisson", "r", "k"), ("geometric", "r", "k"), ("negative_binomial", "r", "k"),
         ("exponential", "r", Y), ("gamma", "r", Y), ("inverse_gaussian", "r", Y),
-    ):
-        m = ALM([f], y, name, inference=False).fit(x)
-        out.append((name, round(float(m.b[0]), 4), round(float(m.b[1]), 5)))
+    )
+    fits = fit_together(x, [ALM([f], y, name, inference=False) for name, f, y in models])
+    out = [(name, round(float(m.b[0]), 4), round(float(m.b[1]), 5)) for (name, _, _), m in zip(models, fits, strict=True)]
     return spark.createDataFrame(out, "distribution string, intercept double, slope double")
 
 
@@ -279,7 +278,8 @@ def alm_closed_forms(spark, d):
        .replace("q AS tau", "CAST(q AS DOUBLE) AS tau"))
 def exact_quantiles(spark, d):
     x = lineitem(spark, d)
-    return rows(spark, "tau double, value double", [(q, quantile(x, F.col(Y), q)) for q in (0.05, 0.25, 0.5, 0.9)])
+    qs = [0.05, 0.25, 0.5, 0.9]
+    return rows(spark, "tau double, value double", list(zip(qs, quantiles(x, F.col(Y), qs), strict=True)))
 
 
 @query(
@@ -414,7 +414,7 @@ def collinearity(spark, d):
 -- sizes of a 2 x 2 Gram matrix: the product of its eigenvalues is the determinant, an exact integer
 e AS (SELECT (CAST(aa AS DOUBLE) + CAST(bb AS DOUBLE)) / 2 + sqrt(pow((CAST(aa AS DOUBLE) - CAST(bb AS DOUBLE)) / 2, 2) + pow(CAST(ab AS DOUBLE), 2)) AS top, s.det FROM g,
   (SELECT CAST(sum(CAST(q AS HUGEINT) * q) * sum(CAST(l AS HUGEINT) * l) - sum(CAST(q AS HUGEINT) * l) * sum(CAST(q AS HUGEINT) * l) AS DOUBLE) * 30000000000.0 * 30000000000.0 AS det FROM (SELECT CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS l FROM lineitem)) s)
-SELECT round(log10(top / sqrt(det)), 6) AS log_condition, 3.0 + 2 AS slopes, false AS aliased FROM e"""
+SELECT round(log10(top / sqrt(det)), 6) AS log_condition, CAST(3 + 2 AS DOUBLE) AS slopes, false AS aliased FROM e"""
 )
 def near_collinear(spark, d):
     a = F.col(X1) * 3e10
