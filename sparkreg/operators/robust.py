@@ -93,7 +93,7 @@ class HuberModel(LinearModel):
 
 
 #: Rows nearest to the line among which vertices are looked for, and vertices that are tried at once.
-NEAREST, VERTICES = 24, 300
+NEAREST, VERTICES = 14, 91
 
 
 class Quantile:
@@ -170,7 +170,7 @@ class Quantile:
                 break
         converged = near if loss else False
         if not loss:
-            for _ in range(30):
+            for _ in range(12):
                 b, lost, converged = yield from self.vertices(view, b)
                 if converged:
                     break
