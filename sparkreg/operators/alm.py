@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import InsufficientObservations, InvalidOptions, RegressionError
 from ..functions.special import digamma_col, lgamma_col, norm_cdf_col
 from ..plans.climb import climb
-from ..plans.many import Ask, Direct, View, fit_together, together
+from ..plans.many import Direct, View, at_points, fit_together, together
 from ..plans.ordering import order_statistics
 from ..plans.solve import least_squares, spd_inverse
 from .base import number
@@ -460,7 +460,7 @@ class ALM:
             shown = view.of(response)
             found = yield from q.steps(shown)
             b = np.r_[[found.intercept] if self.intercept else [], found.coefficients]
-            root = lambda v: F.sqrt(F.abs(response - view.eta(v, self.intercept)))
+            root = lambda r: F.sqrt(F.abs(r))
             done = False
             for _ in range(10):
                 b, lost, done = yield from q.vertices(shown, b, root)
@@ -541,28 +541,24 @@ class ALM:
     def heights(self, view: View, points: list[np.ndarray], design: list[Column]) -> Generator:
         """Log-likelihood at each point and its derivatives by the coefficients of the design's columns
         and by the log scale, all in one aggregation."""
-        link, base, at = LINKS[self.link], {}, []
-        for i, p in enumerate(points):
-            b, s = (p[:-1], math.exp(min(max(p[-1], -30), 30))) if self.dist.scaled else (p, 1.0)
-            eta = view.eta(b, self.intercept)
-            base |= {f"mu{i}": link.inverse(eta), f"slope{i}": link.slope(eta)}
-            at.append(F.lit(float(s)))
-
-        def rows(r: dict[str, Column]) -> dict[str, Column]:
-            out = {}
-            for i, s in enumerate(at):
-                by_mu, by_scale = SCORES[self.dist.name](view.y, r[f"mu{i}"], s, self.extra)
-                out |= {f"f{i}": self.dist.loglik(view.y, r[f"mu{i}"], s, self.extra), f"m{i}": by_mu * r[f"slope{i}"]}
-                if self.dist.scaled:
-                    out[f"s{i}"] = by_scale
-            return {k: view.mine(c) for k, c in out.items()}
-
-        def sums(r: dict[str, Column]) -> list[Column]:
-            out = []
-            for i in range(len(points)):
-                out += [F.sum(r[f"f{i}"]), *[F.sum(r[f"m{i}"] * x) for x in design], *([F.sum(r[f"s{i}"])] if self.dist.scaled else [])]
-            return out
-
-        values = yield Ask(rows, sums, base)
-        table = np.array([math.nan if v is None else v for v in values], dtype=float).reshape(len(points), -1)
+        link, scaled = LINKS[self.link], self.dist.scaled
+        points = [np.r_[p[:-1], math.exp(min(max(p[-1], -30), 30))] if scaled else p for p in points]
+        mu, slope, by_mu, by_scale = (F.col(f"_h_{n}") for n in ("mu", "slope", "m", "s"))
+
+        def predicted(p: list[Column]) -> dict[str, Column]:
+            b = p[:-1] if scaled else p
+            eta = b[0] if self.intercept else F.lit(0.0)
+            for v, x in zip(b[1:] if self.intercept else b, view.x, strict=True):
+                eta = eta + x * v
+            return {"_h_mu": link.inverse(eta), "_h_slope": link.slope(eta)}
+
+        def rows(p: list[Column]) -> dict[str, Column]:
+            s = p[-1] if scaled else F.lit(1.0)
+            m, log_s = SCORES[self.dist.name](view.y, mu, s, self.extra)
+            return {"_h_f": self.dist.loglik(view.y, mu, s, self.extra), "_h_m": m * slope, **({"_h_s": log_s} if scaled else {})}
+
+        def sums(p: list[Column]) -> list[Column]:
+            return [F.sum("_h_f"), *[F.sum(by_mu * x) for x in design], *([F.sum(by_scale)] if scaled else [])]
+
+        table = yield Direct(lambda df: at_points(view.rows(df), points, sums, predicted, rows))
         return [(row[0] if np.isfinite(row).all() else -math.inf, row[1:]) for row in table]

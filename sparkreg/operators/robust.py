@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 from .. import na
 from ..errors import InsufficientObservations, InvalidOptions, SingularMatrix
 from ..plans.irls import normal_equations, solve
-from ..plans.many import Direct, View, fit_together
+from ..plans.moments import NARROW, _pairs
+from ..plans.many import Direct, View, at_points, fit_together, with_points
 from ..plans.ordering import median, numbered, quantile, release
-from ..plans.solve import spatial_median
+from ..plans.solve import least_check, spatial_median
 from .asof import asof_join
 from .base import number
 from .linear import OLS
@@ -94,14 +95,18 @@ class HuberModel(LinearModel):
 
 #: Rows nearest to the line among which vertices are looked for, and vertices that are tried at once.
 NEAREST, VERTICES = 14, 91
+#: Rows nearest to the line that the exact finish has on the driver at once.
+BAND = 4096
 
 
 class Quantile:
-    """Quantile regression: reweighting by tau or 1 - tau over the absolute residual, and then vertices.
+    """Quantile regression: reweighting by tau or 1 - tau over the absolute residual, and then an exact
+    finish.
 
-    An optimum passes through as many rows as it has coefficients. Reweighting comes near it and no
-    further; so the lines through rows that are nearest to what it gives are compared by their loss, in
-    one aggregation, until none is better."""
+    Reweighting comes near the optimum and no further. The finish takes the rows nearest to the line as
+    they are and all others by the side on which they lie, as their summed gradient. That is never above
+    the loss and equal to it at the line; its optimum, found on few rows, is the next line, or a part of
+    the way where the loss of all rows rises again. Where it is no better than the line, no line is."""
 
     def __init__(self, features, label, tau: float = 0.5, weight: str | None = None, max_iter: int = 100, tol: float = 1e-6, epsilon: float = 1e-6, intercept: bool = True):
         if not 0 < tau < 1:
@@ -115,34 +120,109 @@ class Quantile:
     def fit(self, df: DataFrame) -> LinearModel:
         return fit_together(df, [self])[0]
 
+    def row(self, r: Column) -> Column:
+        """Check loss of a residual."""
+        return F.when(r >= 0, self.tau * r).otherwise((self.tau - 1) * r)
+
     def check(self, view: View, b: np.ndarray) -> Column:
-        r = view.y - view.eta(b, self.intercept)
-        return view.c * F.when(r >= 0, self.tau * r).otherwise((self.tau - 1) * r)
+        return view.c * self.row(view.y - view.eta(b, self.intercept))
+
+    def design(self, view: View) -> list[Column]:
+        return [*([F.lit(1.0)] if self.intercept else []), *view.x]
+
+    def residual(self, view: View) -> Callable[[list[Column]], dict[str, Column]]:
+        """Of the line whose coefficients are a point's numbers."""
+
+        def named(p: list[Column]) -> dict[str, Column]:
+            r = view.y
+            for v, x in zip(p, self.design(view), strict=False):
+                r = r - x * v
+            return {"_r": r}
+
+        return named
+
+    def losses(self, view: View, lines: list[np.ndarray], row: Callable[[Column], Column] | None = None) -> Generator:
+        """The loss (of a residual: row) of all rows at each line."""
+        one = (row or self.row)(F.col("_r"))
+        found = yield Direct(lambda df: at_points(view.rows(df), lines, lambda p: [F.sum(view.c * one)], self.residual(view)))
+        return found[:, 0]
+
+    def nearest(self, view: View, b: np.ndarray, most: int, distinct: bool) -> Generator:
+        """Rows (design, y, weight, absolute residual) nearest to the line; distinct ones with their weights summed."""
 
-    def vertices(self, view: View, b: np.ndarray, check: Callable[[np.ndarray], Column] | None = None) -> Generator:
-        """The best of b and of lines through rows near it, its loss (of a row: check), and whether
+        def run(df: DataFrame) -> list:
+            x, p = with_points(view.rows(df), [b])
+            d = [c.cast("double").alias(f"_d{j}") for j, c in enumerate([*self.design(view), view.y])]
+            x = x.select("*", *[c.alias(k) for k, c in self.residual(view)(p).items()]).select(*d, view.c.alias("_w"), F.abs("_r").alias("_far"))
+            if distinct:
+                x = x.groupBy(*[f"_d{j}" for j in range(len(d))]).agg(F.sum("_w").alias("_w"), F.max("_far").alias("_far"))
+            return [np.array([tuple(r) for r in x.orderBy("_far").limit(most).collect()], dtype=float)]
+
+        (rows,) = yield Direct(run)
+        return rows
+
+    def vertices(self, view: View, b: np.ndarray, row: Callable[[Column], Column]) -> Generator:
+        """The best of b and of lines through rows near it, its loss (of a residual: row), and whether
         that is b."""
-        check = check or (lambda v: self.check(view, v))
         k = len(b)
-        r = F.abs(view.y - view.eta(b, self.intercept))
-        rows_of = lambda df: view.rows(df).select(*view.x, view.y, r.alias("_r"))
-        near = yield Direct(lambda df: rows_of(df).orderBy("_r").limit(20 * NEAREST).collect())
-        if len(set(near)) < min(len(near), k + 2):  # the same few rows again and again
-            near = yield Direct(lambda df: rows_of(df).distinct().orderBy("_r").limit(NEAREST).collect())
-        points = list(dict.fromkeys(tuple(row)[:-1] for row in near))[:NEAREST]
+        near = yield from self.nearest(view, b, 20 * NEAREST, False)
+        if len({tuple(z) for z in near}) < min(len(near), k + 2):  # the same few rows again and again
+            near = yield from self.nearest(view, b, NEAREST, True)
+        points = list(dict.fromkeys(tuple(z[: k + 1]) for z in near))[:NEAREST]
         lines = [b]
         for rows in itertools.islice(itertools.combinations(points, k), VERTICES):
             z = np.array(rows)
-            x = np.column_stack([np.ones(k), z[:, :-1]]) if self.intercept else z[:, :-1]
-            if np.linalg.matrix_rank(x) == k:
-                lines.append(np.linalg.solve(x, z[:, -1]))
+            if np.linalg.matrix_rank(z[:, :-1]) == k:
+                lines.append(np.linalg.solve(z[:, :-1], z[:, -1]))
         lines = list({tuple(np.round(v, 12)): v for v in lines}.values())
-        found = yield from view.ask(**{f"l{i}": check(v) for i, v in enumerate(lines)})
-        loss = np.array([found[f"l{i}"] for i in range(len(lines))])
+        loss = yield from self.losses(view, lines, row)
         at = int(np.argmin(loss))
         stays = loss[at] >= loss[0] - 1e-12 * max(1.0, abs(loss[0]))
         return (b, loss[0], True) if stays else (lines[at], loss[at], False)
 
+    def finish(self, view: View, b: np.ndarray) -> Generator:
+        """The next line from b, and whether b is an optimum already."""
+        k, most = len(b), BAND
+        near = yield from self.nearest(view, b, most, False)
+        if len(near) == most and len(np.unique(near[near[:, -1] < near[-1, -1], : k + 1], axis=0)) <= k:
+            near = yield from self.nearest(view, b, most, True)
+        # rows at the last distance may be there in part only: they count as far ones
+        edge = near[-1, -1] if len(near) == most and near[-1, -1] > near[0, -1] else math.inf
+        far = F.abs("_r") >= F.col("_edge")
+        side = view.c * F.when(F.col("_r") >= 0, self.tau).otherwise(self.tau - 1)
+        sums = lambda p: [F.sum(view.c * self.row(F.col("_r"))), *[F.sum(F.when(far, side * x)) for x in self.design(view)]]
+        at_line = lambda p: self.residual(view)(p) | {"_edge": p[-1]}
+        (found,) = yield Direct(lambda df: [at_points(view.rows(df), [np.r_[b, edge]], sums, at_line)[0]])
+        loss, g = found[0], -np.nan_to_num(found[1:])
+        near = near[near[:, -1] < edge]
+        x, y, c = near[:, :k], near[:, k], near[:, k + 1]
+        model = lambda v: float(c @ np.maximum(self.tau * (y - x @ v), (self.tau - 1) * (y - x @ v)) + g @ (v - b))
+        new = least_check(x, y, c, self.tau, g, b)
+        if model(new) >= model(b) - 1e-12 * abs(loss):
+            return b, True
+        lines = [b + (new - b) * 0.5**i for i in range(16)]
+        at = yield from self.losses(view, lines)
+        best = int(np.argmin(at))
+        return (b, True) if at[best] >= loss - 1e-13 * abs(loss) else (lines[best], False)
+
+    def reweighted(self, view: View, b: np.ndarray) -> Generator:
+        """Coefficients of the next step, and the loss at b."""
+        if view.p > NARROW:
+            r = view.y - view.eta(b, self.intercept)
+            side = F.when(r >= 0, F.lit(self.tau)).otherwise(F.lit(1 - self.tau))
+            m, more = yield from view.moments(view.y, view.c * side / F.greatest(F.abs(r), F.lit(self.epsilon)), check=self.check(view, b))
+            return solve(*normal_equations(m, self.intercept)), more["check"]
+        k, r = len(b), F.col("_r")
+        weight = lambda p: {"_u": view.c * F.when(r >= 0, F.lit(self.tau)).otherwise(F.lit(1 - self.tau)) / F.greatest(F.abs(r), F.lit(self.epsilon))}
+        columns = [*self.design(view), view.y]
+        pairs = _pairs(k + 1)
+        sums = lambda p: [F.sum(view.c * self.row(r)), *[F.sum(columns[i] * columns[j] * F.col("_u")) for i, j in pairs]]
+        (found,) = yield Direct(lambda df: [at_points(view.rows(df), [b], sums, self.residual(view), weight)[0]])
+        q = np.zeros((k + 1, k + 1))
+        for (i, j), v in zip(pairs, found[1:], strict=True):
+            q[i, j] = q[j, i] = v
+        return solve(q[:k, :k], q[:k, k]), found[0]
+
     def steps(self, view: View, loss: Callable[[np.ndarray], Generator] | None = None) -> Generator:
         y, c = view.y, view.c
         m, _ = yield from view.moments(y, c)
@@ -150,28 +230,28 @@ class Quantile:
         if n < max(2, len(self.features) + (1 if self.intercept else 0)):
             raise InsufficientObservations(f"{n} rows")
         b = solve(*normal_equations(m, self.intercept))
+        if self.intercept and not loss:  # begin at the height of the quantile
+            (at,) = yield Direct(lambda df: view.rows(df).agg(F.percentile_approx(y - view.eta(b, True), self.tau)).first())
+            b = np.r_[b[0] + at, b[1:]]
         before, near = None, False
         for _ in range(self.max_iter):
-            r = y - view.eta(b, self.intercept)
-            side = F.when(r >= 0, F.lit(self.tau)).otherwise(F.lit(1 - self.tau))
-            m, more = yield from view.moments(y, c * side / F.greatest(F.abs(r), F.lit(self.epsilon)), check=self.check(view, b))
-            new = solve(*normal_equations(m, self.intercept))
+            new, check = yield from self.reweighted(view, b)
             moved = abs(new - b).max()
             if loss:
                 now = yield from loss(new)
                 near = before is not None and abs(now - before) < self.tol * (1 + abs(before))
                 before = now
             else:
-                # vertices are looked for as soon as the loss hardly falls
-                near = moved < self.tol or (before is not None and before - more["check"] < 1e-5 * abs(before))
-                before = more["check"]
+                # the finish begins as soon as the loss hardly falls
+                near = moved < self.tol or (before is not None and before - check < 1e-4 * abs(before))
+                before = check
             b = new
             if near:
                 break
         converged = near if loss else False
         if not loss:
-            for _ in range(12):
-                b, lost, converged = yield from self.vertices(view, b)
+            for _ in range(self.max_iter):
+                b, converged = yield from self.finish(view, b)
                 if converged:
                     break
         (null,) = yield Direct(lambda df: [quantile(view.rows(df), y, self.tau, n)])

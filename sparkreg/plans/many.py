@@ -9,6 +9,7 @@ steps of its slowest member, not their sum, and one fit alone is the same code.
 from __future__ import annotations
 
 from collections.abc import Callable, Generator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,6 +24,8 @@ from .moments import NARROW, Moments, _pairs, moments
 
 #: Row expressions and aggregates of one job: code that is much longer is not compiled by the JVM.
 MOST_ROWS, MOST_SUMS = 24, 120
+#: Jobs of different fits that run beside each other.
+JOBS = 8
 
 
 @dataclass
@@ -114,6 +117,24 @@ class View:
         return m, dict(zip(names, values[len(values) - len(names) :] if names else [], strict=True))
 
 
+def with_points(df: DataFrame, points: list[np.ndarray]) -> tuple[DataFrame, list[Column]]:
+    """df with each row once for each point (_point: its place), and the columns of a point's numbers.
+    Points are data, not code: what is computed of them is compiled once for all rounds of a fit."""
+    names = [f"_p{j}" for j in range(len(points[0]))]
+    cells = F.array(*[F.struct(F.lit(i).alias("_point"), *[F.lit(float(v)).alias(n) for n, v in zip(names, p, strict=True)]) for i, p in enumerate(points)])
+    x = df.select("*", F.explode(cells).alias("_at")).select("*", "_at.*").drop("_at")
+    return x, [F.col(n) for n in names]
+
+
+def at_points(df: DataFrame, points: list[np.ndarray], sums: Callable[[list[Column]], list[Column]], *steps: Callable[[list[Column]], dict[str, Column]]) -> np.ndarray:
+    """Sums at each point, a row for each. steps name row expressions, later ones by means of earlier ones."""
+    x, p = with_points(df, points)
+    for step in steps:
+        x = x.select("*", *[c.alias(k) for k, c in step(p).items()])
+    found = {r[0]: list(r)[1:] for r in x.groupBy("_point").agg(*[c.alias(f"v{j}") for j, c in enumerate(sums(p))]).collect()}
+    return np.array([[np.nan if v is None else v for v in found[i]] for i in range(len(points))], dtype=float)
+
+
 def together(df: DataFrame, fits: list[Generator], keep_errors: bool = False) -> list:
     """Results of the fits, in their order. A fit that raises ends alone: its error is its result with
     keep_errors, else raised once all have ended."""
@@ -132,7 +153,9 @@ def together(df: DataFrame, fits: list[Generator], keep_errors: bool = False) ->
     for i in range(len(fits)):
         advance(i, None)
     while live:
-        got: dict[int, list] = {i: a.run(df) for i, a in live.items() if isinstance(a, Direct)}
+        direct = [i for i, a in live.items() if isinstance(a, Direct)]
+        with ThreadPoolExecutor(JOBS) as pool:
+            got: dict[int, list] = dict(zip(direct, pool.map(lambda i: live[i].run(df), direct), strict=True))
         parts: list[list[tuple]] = [[]]
         for i, a in live.items():
             if isinstance(a, Ask):
