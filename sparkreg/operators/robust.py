@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Generator, Iterator
+from operator import mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -484,8 +486,13 @@ def pa_step(w: np.ndarray, b: float, x: np.ndarray, y: float, c: float, epsilon:
     return w, b, loss
 
 
+#: Groups from which passive-aggressive steps are taken together, and rows of groups that a task holds at once.
+FEW_GROUPS, HELD_ROWS = 20, 1 << 20
+
+
 class PassiveAggressive:
-    """Online regression over rows in a stated order: a sequential kernel for each key; pa1 or pa2.
+    """Online regression over rows in a stated order: a sequential kernel for each key; pa1 or pa2. A
+    task's groups take their steps beside each other, a row of each at once.
     State for streams is in the streaming package."""
 
     def __init__(self, features, label, order_by: list[str], c: float = 1.0, epsilon: float = 0.1, variant: str = "pa1", epochs: int = 1000, tol: float = 1e-3,
@@ -498,7 +505,8 @@ class PassiveAggressive:
 
     def kernel(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int]:
         n = len(y)
-        w, b, best, stale = np.zeros(x.shape[1]), 0.0, math.inf, 0
+        w, b, best, stale = [0.0] * x.shape[1], 0.0, math.inf, 0
+        x, y = x.tolist(), y.tolist()
         order = list(range(n))
         gen = splitmix64(self.seed)
         epoch = 0
@@ -507,31 +515,122 @@ class PassiveAggressive:
                 for i in range(n - 1, 0, -1):
                     j = next(gen) % (i + 1)
                     order[i], order[j] = order[j], order[i]
-            total = 0.0
-            for i in order:
-                w, b, loss = pa_step(w, b, x[i], y[i], self.c, self.epsilon, self.variant, self.intercept)
-                total += loss
+            w, b, total = self.once(w, b, [x[i] for i in order], [y[i] for i in order])
             if total < best - self.tol * n:
                 best, stale = total, 0
             else:
                 stale += 1
                 if stale >= 5:
                     break
-        return w, b, epoch
+        return np.array(w), b, epoch
+
+    def once(self, w: list[float], b: float, x: list[list[float]], y: list[float]) -> tuple[list[float], float, float]:
+        """pa_step() over rows in their order, of plain numbers: weights, intercept and the losses' sum."""
+        c, epsilon, first, total = self.c, self.epsilon, self.variant == "pa1", 0.0
+        for row, target in zip(x, y, strict=True):
+            error = target - (sum(map(mul, w, row)) + b)
+            loss = abs(error) - epsilon
+            if loss > 0:
+                total += loss
+                norm = sum(map(mul, row, row))
+                if first:
+                    tau = min(c, loss / norm) if norm > 0 else c
+                else:
+                    tau = loss / (norm + 1 / (2 * c))
+                move = tau if error > 0 else -tau
+                w = [v + move * u for v, u in zip(w, row, strict=True)]
+                if self.intercept:
+                    b += move
+        return w, b, total
+
+    def kernels(self, x: np.ndarray, y: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """kernel() for many groups, which begin at start in x and y: weights, intercepts and epochs."""
+        m, p = len(start), x.shape[1]
+        size = np.diff(np.r_[start, len(y)])
+        if self.shuffle or m < FEW_GROUPS:
+            found = [self.kernel(x[s : s + n], y[s : s + n]) for s, n in zip(start, size, strict=True)]
+            return np.array([w for w, _, _ in found]).reshape(m, p), np.array([b for _, b, _ in found]), np.array([e for _, _, e in found], dtype=int)
+        w, b, epochs = np.zeros((m, p)), np.zeros(m), np.zeros(m, dtype=int)
+        best, stale = np.full(m, np.inf), np.zeros(m, dtype=int)
+        live = np.argsort(-size, kind="stable")  # long groups first: those with a j-th row are the first ones
+        for epoch in range(1, self.epochs + 1):
+            wide = len(live) >= FEW_GROUPS
+            total = np.zeros(len(live))
+            n, at, wl, bl = size[live], start[live], w[live], b[live]
+            if wide:
+                count = np.searchsorted(-n, -np.arange(n[0]), "left")  # groups with more than j rows
+                for j, c in enumerate(count):
+                    rows = at[:c] + j
+                    self.step(wl[:c], bl[:c], x[rows], y[rows], total[:c])
+            else:  # few are left: each by itself
+                for g, (s, e) in enumerate(zip(at, at + n, strict=True)):
+                    wl[g], bl[g], total[g] = self.once(wl[g].tolist(), float(bl[g]), x[s:e].tolist(), y[s:e].tolist())
+            w[live], b[live], epochs[live] = wl, bl, epoch
+            better = total < best[live] - self.tol * n
+            best[live] = np.where(better, total, best[live])
+            stale[live] = np.where(better, 0, stale[live] + 1)
+            live = live[stale[live] < 5]
+            if not len(live):
+                break
+        return w, b, epochs
+
+    def step(self, w: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, total: np.ndarray) -> None:
+        """pa_step() of a row of each group, in place."""
+        dot = lambda u, v: u[:, 0] * v[:, 0] if u.shape[1] == 1 else np.einsum("ij,ij->i", u, v)
+        error = y - (dot(w, x) + b)
+        loss = np.maximum(np.abs(error) - self.epsilon, 0.0)
+        norm = dot(x, x)
+        if self.variant == "pa1":
+            tau = np.minimum(self.c, np.divide(loss, norm, out=np.full(len(norm), np.inf), where=norm > 0))
+        else:
+            tau = loss / (norm + 1 / (2 * self.c))
+        move = np.where(loss > 0, np.copysign(tau, error), 0.0)
+        w += move[:, None] * x
+        if self.intercept:
+            b += move
+        total += loss
 
     def fit_by(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """keys, coefficients, intercept, epochs: one sequential run a group."""
-        x = na.process(df, [*self.features, self.label]).select(*keys, *self.order_by, *[number(c).alias(f"_v{i}") for i, c in enumerate([*self.features, self.label])])
-        order, k, kernel = self.order_by, len(self.features), self.kernel
+        values = [f"_v{i}" for i in range(len(self.features) + 1)]
+        x = na.process(df, [*self.features, self.label]).select(*keys, *self.order_by, *[number(c).alias(v) for c, v in zip([*self.features, self.label], values, strict=True)])
+        kept = [F.col(k) for k in keys]
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        window = Window.partitionBy(*kept).orderBy(*[F.col(c).asc_nulls_last() for c in self.order_by])
+        # a group begins at its row of number 1
+        x = x.repartition(parts, *kept).withColumn("_n", F.row_number().over(window)).select(*keys, "_n", *values)
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name in keys] + ["coefficients array<double>", "intercept double", "epochs int"])
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order)
-            z = pdf[[f"_v{i}" for i in range(k + 1)]].to_numpy(dtype=float)
-            w, b, e = kernel(z[:, :-1], z[:, -1])
-            return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "coefficients": w.tolist(), "intercept": b, "epochs": e}])
-
-        return x.groupBy(*keys).applyInPandas(run, schema)
+        def fitted(names: pa.RecordBatch, z: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+            w, b, epochs = self.kernels(z[:, :-1], z[:, -1], start)
+            more = [pa.array(w.tolist(), pa.list_(pa.float64())), pa.array(b, pa.float64()), pa.array(epochs, pa.int32())]
+            return pa.RecordBatch.from_arrays([*names.columns, *more], [*keys, "coefficients", "intercept", "epochs"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, held, firsts, rows = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                whole = pa.Table.from_batches(names).combine_chunks().to_batches()[0]
+                return fitted(whole, np.concatenate(held), np.concatenate(firsts))
+
+            for batch in batches:
+                z = np.column_stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values]).astype(float)
+                first = np.flatnonzero(batch.column("_n").to_numpy() == 1)
+                if rows >= HELD_ROWS and len(first):  # all groups that are held end before the first new one
+                    cut = int(first[0])
+                    held.append(z[:cut])
+                    yield out()
+                    names, held, firsts, rows = [], [], [], 0
+                    batch, z, first = batch.slice(cut), z[cut:], first - cut
+                if len(first):
+                    names.append(batch.select(keys).take(pa.array(first)))
+                    firsts.append(first + rows)
+                held.append(z)
+                rows += len(z)
+            if rows:
+                yield out()
+
+        return x.mapInArrow(run, schema)
 
     def fit(self, df: DataFrame) -> LinearModel:
         """The whole frame as one sequence, which one task works through: for many series use fit_by()."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkreg.operators.alm import ALM
-from sparkreg.operators.robust import Quantile
+from sparkreg.operators.robust import PassiveAggressive, Quantile, pa_step
 
 
 def compiled(spark) -> int:
@@ -47,3 +47,47 @@ def test_climbing_compiles_no_code_a_round(spark, name):
     before = compiled(spark)
     m = ALM(["x"], "y", name, inference=False).fit(series(spark, 5000, 5))
     assert m.converged and compiled(spark) - before < 20
+
+
+@pytest.mark.parametrize("variant", ["pa1", "pa2"])
+def test_passive_aggressive_groups_step_together(spark, variant, monkeypatch):
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 40, 60)
+    x, y = rng.normal(size=(size.sum(), 2)), rng.normal(size=size.sum())
+    x[3] = 0.0
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    p = PassiveAggressive(["a", "b"], "y", ["i"], variant=variant, epochs=30)
+    steps = []
+    one = PassiveAggressive.step
+    monkeypatch.setattr(PassiveAggressive, "step", lambda self, *a: (steps.append(1), one(self, *a)))
+    w, b, epochs = p.kernels(x, y, start)
+    assert 0 < len(steps) <= size.max() * epochs.max()  # as of the longest group, not of their sum
+    for g, (s, n) in enumerate(zip(start, size, strict=True)):
+        v, c, best, stale = np.zeros(2), 0.0, np.inf, 0
+        for epoch in range(1, 31):
+            total = 0.0
+            for i in range(s, s + n):
+                v, c, loss = pa_step(v, c, x[i], y[i], 1.0, 0.1, variant)
+                total += loss
+            stale = 0 if total < best - 1e-3 * n else stale + 1
+            best = total if not stale else best
+            if stale >= 5:
+                break
+        assert epochs[g] == epoch and b[g] == pytest.approx(c, abs=1e-9) and w[g] == pytest.approx(v, abs=1e-9)
+
+
+def test_passive_aggressive_groups_across_batches_and_null_keys(spark, monkeypatch):
+    rows = [(None if k == 3 else k, i, float((i * 7 + k) % 11), float((i * 5 + k) % 13)) for k in range(30) for i in range(1 + k)]
+    df = spark.createDataFrame(rows, "k long, i long, x double, y double").repartition(7)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        p = PassiveAggressive(["x"], "y", ["i"], epochs=20)
+        got = {r["k"]: r for r in p.fit_by(df, ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert len(got) == 30
+    for k in {r[0] for r in rows}:
+        z = np.array([r[2:] for r in rows if r[0] == k])
+        w, b, epochs = p.kernel(z[:, :1], z[:, 1])
+        assert (got[k]["epochs"], got[k]["intercept"], got[k]["coefficients"]) == (epochs, pytest.approx(b), pytest.approx(w))
