@@ -257,6 +257,8 @@ DISTRIBUTIONS = {
 
 #: Likelihoods that may have several maxima: these are climbed from a wider scale too.
 MANY_TOPS = ("student_t", "folded_normal", "box_cox_normal")
+#: Rows to one distinct row from which a fit climbs over distinct rows and their numbers.
+REPEATED = 4
 LOSSES = ("likelihood", "mse", "mae", "ham", "role")
 
 
@@ -490,14 +492,19 @@ class ALM:
         starts = [start, *([-start] if self.dist.name == "folded_normal" else [])]
         points = [np.r_[inward(b), math.log(s0 * f)] if scaled else inward(b) for b in starts for f in ((1.0, 3.0) if self.dist.name in MANY_TOPS else (1.0,))]
         first = np.r_[np.full(len(start), s0 * s0), [0.5] if scaled else []]
-        columns = [*([F.lit(1.0)] if at else []), *[(x - F.lit(float(m))) / F.lit(float(d)) for x, m, d in zip(view.x, middle, spread, strict=True)]]
+        frame, shown = yield from self.once_each(view, n)
+        columns = [*([F.lit(1.0)] if at else []), *[(x - F.lit(float(m))) / F.lit(float(d)) for x, m, d in zip(shown.x, middle, spread, strict=True)]]
 
         def heights(points: list[np.ndarray]) -> Generator:
             k = len(start)
-            found = yield from self.heights(view, [np.r_[outward(p[:k]), p[k:]] for p in points], columns)
+            found = yield from self.heights(shown, [np.r_[outward(p[:k]), p[k:]] for p in points], columns, frame)
             return [(f / n, g / n) for f, g in found]
 
-        best = yield from climb(heights, points, first, self.max_iter, self.tol)
+        try:
+            best = yield from climb(heights, points, first, self.max_iter, self.tol)
+        finally:
+            if frame is not None:
+                frame.unpersist()
         best.x, best.f = np.r_[outward(best.x[: len(start)]), best.x[len(start) :]], best.f * n
         b, scale = (best.x[:-1], math.exp(best.x[-1])) if scaled else (best.x, None)
         if self.dist.name == "folded_normal" and b[0] < 0:
@@ -538,9 +545,23 @@ class ALM:
         b = np.r_[[level - float(np.dot(beta, middle))] if self.intercept else [], beta]
         return b, np.array(middle, dtype=float), np.where(spread > 0, spread, 1.0)
 
-    def heights(self, view: View, points: list[np.ndarray], design: list[Column]) -> Generator:
+    def once_each(self, view: View, n: int) -> Generator:
+        """Where rows are repeated a lot, a held frame that has equal ones once, and its view, whose case
+        weight is their number; else none and the view itself."""
+        values = {**{f"_x{j}": x for j, x in enumerate(view.x)}, "_y": view.y}
+
+        def run(df: DataFrame) -> list:
+            rows = view.rows(df).select(*[c.alias(k) for k, c in values.items()])
+            if rows.agg(F.approx_count_distinct(F.xxhash64(*values))).first()[0] > n / REPEATED:
+                return [None]
+            return [rows.groupBy(*values).agg(F.count("*").cast("double").alias("_c")).persist()]
+
+        (frame,) = yield Direct(run)
+        return frame, view if frame is None else View([F.col(k) for k in values if k != "_y"], F.col("_y"), c=F.col("_c"))
+
+    def heights(self, view: View, points: list[np.ndarray], design: list[Column], frame: DataFrame | None = None) -> Generator:
         """Log-likelihood at each point and its derivatives by the coefficients of the design's columns
-        and by the log scale, all in one aggregation."""
+        and by the log scale, all in one aggregation (over frame, if there is one)."""
         link, scaled = LINKS[self.link], self.dist.scaled
         points = [np.r_[p[:-1], math.exp(min(max(p[-1], -30), 30))] if scaled else p for p in points]
         mu, slope, by_mu, by_scale = (F.col(f"_h_{n}") for n in ("mu", "slope", "m", "s"))
@@ -558,7 +579,8 @@ class ALM:
             return {"_h_f": self.dist.loglik(view.y, mu, s, self.extra), "_h_m": m * slope, **({"_h_s": log_s} if scaled else {})}
 
         def sums(p: list[Column]) -> list[Column]:
-            return [F.sum("_h_f"), *[F.sum(by_mu * x) for x in design], *([F.sum(by_scale)] if scaled else [])]
+            c = view.c
+            return [F.sum(c * F.col("_h_f")), *[F.sum(c * by_mu * x) for x in design], *([F.sum(c * by_scale)] if scaled else [])]
 
-        table = yield Direct(lambda df: at_points(view.rows(df), points, sums, predicted, rows))
+        table = yield Direct(lambda df: at_points(view.rows(df if frame is None else frame), points, sums, predicted, rows))
         return [(row[0] if np.isfinite(row).all() else -math.inf, row[1:]) for row in table]

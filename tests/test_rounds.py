@@ -91,3 +91,11 @@ def test_passive_aggressive_groups_across_batches_and_null_keys(spark, monkeypat
         z = np.array([r[2:] for r in rows if r[0] == k])
         w, b, epochs = p.kernel(z[:, :1], z[:, 1])
         assert (got[k]["epochs"], got[k]["intercept"], got[k]["coefficients"]) == (epochs, pytest.approx(b), pytest.approx(w))
+
+
+def test_climbing_over_repeated_rows_counts_them(spark):
+    df = series(spark, 300, 7)
+    many = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    one, all_ = (ALM(["x"], "y", "logistic", inference=False).fit(d) for d in (df, many))
+    assert all_.n == 8 * one.n and all_.log_likelihood == pytest.approx(8 * one.log_likelihood, rel=1e-9)
+    assert all_.b == pytest.approx(one.b, rel=1e-4) and all_.scale == pytest.approx(one.scale, rel=1e-4)
