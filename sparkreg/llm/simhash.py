@@ -8,12 +8,16 @@ stored vertically (one 64-lane word per bit plane), distances of 64 fingerprints
 once by carry-save adders, and a word is abandoned once all its lanes exceed the radius.
 
 keep_one() also takes a shingle length and a similarity. At a shingle Jaccard of 0.8 fingerprints
-differ by about 10 of 64 bits, too many for tables of whole parts; blocks then come from BANDS bands of
-ROWS minima of hashed shingles (a pair at 0.8 meets in none of them with probability 5e-6, a closer one
-with less). A block's members are first compared with its least. Blocks that this leaves in several
-groups, those of equal members once, are cut into parts of PART members that meet pair by pair: there
-fingerprints are compared bit-sliced within FAR bits, and what is left by the exact Jaccard of shingle
-sets, as bit rows. No pair of texts is a row, whatever a block's size.
+differ by about 10 of 64 bits, too many for tables of whole parts. A text then has fingerprints of its
+distinct shingles under many seeds: SKETCH of them are compared, further ones are cut into keys of k bits,
+a table each. k grows with the logarithm of the number of texts, so that a key has SPREAD texts at most on
+the average, and so many tables are made that a pair at the similarity meets in none of them with
+probability MISS, a closer one with less. Within a key the first fingerprints are compared bit-sliced
+within FAR bits, what is left by all SKETCH of them within WIDE bits; texts that this connects are a block.
+A block's members are first compared with its least. Blocks that share members are then made one where
+that has no more pairs than they have; those that are left in several groups are cut into parts of PART members that meet pair by pair: there fingerprints are compared bit-sliced within FAR bits, and
+what is left by the exact Jaccard of shingle sets, as bit rows. No pair of texts is a row, whatever a
+block's size.
 
 Nulls and edges: a null or blank text has fingerprint zero, which links like any other; rows with
 a null doc_id link like others but give a component its id only where it has no other (null then);
@@ -26,6 +30,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import numbered, release
-from .common import discard, materialize, parts, released, slices
+from .common import discard, materialize, parts, released, shuffles_go, slices
 from .graph import components, local_components
 
 SHINGLE = 3
@@ -51,12 +56,16 @@ SLICE = 1 << 19
 #: With a similarity: bits that fingerprints of similar texts may differ in (8 to 11 of 64 are usual at
 #: 0.8, with a deviation of 3), members and bytes of text of a part of a block, cells of a bit matrix,
 #: and pairs compared at once.
-FAR, PART, PART_BYTES, BITS, PAIRS = 24, 512, 8 << 20, 1 << 24, 1 << 10
-#: Minima of hashed shingles: bands, and minima a band.
-BANDS, ROWS = 40, 6
-MULTIPLY, SHIFT = (
-    np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
-)
+FAR, PART, PART_BYTES, BITS, PAIRS = 27, 512, 8 << 20, 1 << 24, 1 << 10
+#: Fingerprints compared within a key, and the bits they may differ in together (31 of 192 are usual at
+#: 0.8, with a deviation of 5; 96 at chance).
+SKETCH, WIDE = 3, 62
+#: Texts that a key has on the average at most, probability that a similar pair meets in no table, and
+#: tables whose rows are on the disks at once.
+SPREAD, MISS, ROUND = 256, 5e-6, 64
+#: Bits differ most often in small sets, where half of a set is rarely exact: by 0.0097 above the angle
+#: of large ones at 0.8, and in sets of up to TINY hashes (4 of 5 are 0.8) by 0.0361.
+TINY, SMALL_SETS, TINY_SETS = 5, 0.0097, 0.0361
 
 
 def shingles(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -102,9 +111,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def within(fp: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions p < q < end[p] whose fingerprints differ in at most radius bits.
-    start/end: the bounds of each position's block; blocks are contiguous."""
+def within(fp: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int, words: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions p < q < end[p] whose fingerprints differ in at most radius bits, some words of
+    lanes at a time. start/end: the bounds of each position's block; blocks are contiguous."""
     n = len(fp)
     lanes = math.ceil(n / 64)
     padded = np.zeros(lanes * 64, dtype=np.uint64)
@@ -121,7 +130,7 @@ def within(fp: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int) -> I
     width = max(2, (radius + 1).bit_length())
     while lo < n:
         done = total[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(total, done + SLICE, "right")))
+        hi = max(lo + 1, int(np.searchsorted(total, done + words, "right")))
         c = count[lo:hi]
         q = np.repeat(pos[lo:hi], c)
         if len(q):
@@ -261,30 +270,114 @@ def op10_simhash_neardup(docs: DataFrame) -> DataFrame:
     )
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """Keys of the bands of minima of distinct shingle hashes h."""
-    x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(0, len(x), 512):
-        part = x[None, k : k + 512] * MULTIPLY[:, None]
-        part ^= SHIFT[:, None]
-        np.minimum(low, part.min(axis=1), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+def sketch(h: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of distinct shingle hashes h under so many seeds, the first of the hashes as they are."""
+    seeds = np.arange(1, words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(words * 64, np.int64)
+    for k in range(0, len(h), 255):  # what a byte can count
+        part = h[k : k + 255, None]
+        x = part + seeds
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(by)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(np.hstack([part, x]).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
 
 
-def _bands(shingle: int):
+def wide_tables(n: int, similarity: float) -> tuple[int, int, int]:
+    """For n texts: bits of a key, and tables for most texts and for those of TINY hashes at most."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / SPREAD)))
+    angle = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    meet = [(1 - angle - more) ** bits for more in (SMALL_SETS, TINY_SETS)]
+    most, tiny = (1 if x == 1 else math.ceil(math.log(MISS) / math.log1p(-x)) for x in meet)
+    return bits, most, tiny
+
+
+def table_keys(words: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The table's number and its bits, for each table; tables take bits of their own."""
+    t = np.arange(tables)
+    each = 64 // max(bits, 1)
+    at = words[SKETCH + t // each] >> (t % each * bits).astype(np.uint64)
+    return (t << bits | (at & np.uint64((1 << bits) - 1)).astype(np.int64)).astype(np.int64)
+
+
+def _sketched(shingle: int, bits: int, most: int, tiny: int):
+    each = 64 // max(bits, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole)):
-            keys = []
-            for t in pc.cast(b.column(1), pa.binary()).to_pylist():
+            keys, prints = [], np.zeros((len(b), SKETCH), np.int64)
+            for k, t in enumerate(pc.cast(b.column(1), pa.binary()).to_pylist()):
                 h = np.unique(shingles(t or b"", shingle))
-                keys.append(bands(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["_k", "keys"])
+                tables = tiny if len(h) <= TINY else most
+                words = sketch(h, SKETCH + -(-tables // each)) if len(h) else None
+                keys.append(None if words is None else table_keys(words, bits, tables))
+                if words is not None:
+                    prints[k] = words[:SKETCH].view(np.int64)
+            cols = [b.column(0), pa.array(keys, pa.list_(pa.int64())), *(pa.array(x) for x in prints.T)]
+            yield pa.RecordBatch.from_arrays(cols, ["_k", "keys", *PRINTS])
 
     return run
 
 
+PRINTS = [f"f{k}" for k in range(SKETCH)]
+
+
+def connected(block: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """For rows sorted by block: the first row that fingerprints (a row of SKETCH each) connect each with."""
+    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    size = np.diff(np.r_[cut, len(block)])
+    start, end = np.repeat(cut, size), np.repeat(cut + size, size)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def forest() -> np.ndarray:
+        a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *found, strict=True))
+        return local_components(len(block), a, b)
+
+    for p, q in within(np.ascontiguousarray(prints[:, 0]), start, end, FAR, SLICE >> 5):
+        near = np.bitwise_count(prints[p] ^ prints[q]).sum(axis=1, dtype=np.int64) <= WIDE
+        found.append((p[near], q[near]))
+        held += len(found[-1][0])
+        if held > 4 * SLICE:  # a spanning forest keeps what is linked
+            lab = forest()
+            a = np.flatnonzero(lab != np.arange(len(block)))
+            found, held = [(a, lab[a])], len(a)
+    return forest()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, f0, ...) sorted by key and n -> (b, n, u): blocks of two and more that fingerprints
+    connect within a key, named by their members, each with its least."""
+
+    def flush(key: np.ndarray, n: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
+        lab = connected(key, np.stack(prints, axis=1).view(np.uint64))
+        live = np.flatnonzero(np.bincount(lab, minlength=len(lab))[lab] > 1)
+        live = live[np.argsort(lab[live], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, lab[live][1:] != lab[live][:-1]]) if len(live) else live
+        size = np.diff(np.r_[cut, len(live)])
+        members = n[live]
+        names = [xxhash.xxh64_intdigest(members[c : c + m].tobytes()) for c, m in zip(cut.tolist(), size.tolist(), strict=True)]
+        b = np.repeat(np.array(names, np.uint64).view(np.int64), size)
+        return pa.RecordBatch.from_arrays([pa.array(b), pa.array(members), pa.array(n[lab[live]])], ["b", "n", "u"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += len(batch)
+        if rows < FLUSH:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        keep = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+        if keep:
+            yield flush(*(c[:keep] for c in cols))
+        held, rows = [[c[keep:] for c in cols]], len(cols[0]) - keep
+    if rows:
+        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def _confirmed(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
@@ -360,22 +453,49 @@ def _within_blocks(shingle: int, similarity: float):
                     yield links(held)
                     held = []
                 last = b
-                h = shingles(text, shingle)
-                held.append((n, group, _of(h), np.unique(h)))
+                h = np.unique(shingles(text, shingle))
+                held.append((n, group, _of(h), h))
         if held:
             yield links(held)
 
     return run
 
 
+def _met(met: DataFrame, ids: DataFrame, first: int) -> DataFrame:
+    """(b, n, u) of the blocks that ROUND tables from the first one on give, written."""
+    entries = met.select(F.explode(F.slice("keys", first + 1, ROUND)).alias("key"), "n", *PRINTS)
+    large = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK))
+    chunks = F.coalesce(F.ceil(F.col("c") / F.lit(BLOCK)), F.lit(1)).cast("int")
+    cut = entries.join(large, "key", "left").select("*", chunks.alias("chunks")).withColumn("r", F.pmod(F.xxhash64("n", "key"), F.col("chunks").cast("long")).cast("int"))
+    cut = cut.select("key", "n", *PRINTS, "r", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("s"))
+    dealt = cut.select(F.xxhash64("key", F.least("r", "s"), F.greatest("r", "s")).alias("key"), "n", *PRINTS)
+    dealt = dealt.repartition(parts(met, ids.count() * ROUND, FLUSH), "key").sortWithinPartitions("key", "n")
+    out = materialize(dealt.mapInArrow(released(_blocks), "b long, n long, u long").distinct())
+    discard(large)
+    shuffles_go(met.sparkSession)
+    return out
+
+
+def _merged(entries: DataFrame) -> DataFrame:
+    """(b, n, u) -> (b, n): blocks that share members are one, where that has no more pairs than they."""
+    whole = components(entries.select("n", "u").toDF("u", "v"))
+    of = entries.join(whole, entries.n == whole.node).select("b", "n", "component")
+    blocks = of.groupBy("b", "component").agg(F.count("*").alias("c"))
+    pairs = blocks.groupBy("component").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    size = whole.groupBy("component").agg(F.count("*").alias("m"))
+    once = size.join(pairs, "component").select("component", (F.col("m") * F.col("m") <= F.col("pairs")).alias("once"))
+    return of.join(once, "component").select(F.when(F.col("once"), F.xxhash64("component")).otherwise(F.col("b")).alias("b"), "n").distinct()
+
+
 def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """nodes (_k, text), ids (_k, n) -> (node, component) as of components(), over links of a shingle
     Jaccard of at least similarity."""
-    met = nodes.select("_k", "text").mapInArrow(released(_bands(shingle)), "_k binary, keys array<long>")
-    met = materialize(met.filter("keys is not null"))
-    entries = met.join(ids, "_k").select("n", F.explode("keys").alias("b"))
-    blocks = entries.groupBy("b").agg(F.count("*").alias("c"), F.min("n").alias("u")).filter("c > 1")
-    entries = materialize(entries.join(blocks, "b").select("b", "n", "u"))
+    bits, most, tiny = wide_tables(ids.count(), similarity)
+    schema = "_k binary, keys array<long>, " + ", ".join(f"{c} long" for c in PRINTS)
+    met = nodes.select("_k", "text").mapInArrow(released(_sketched(shingle, bits, most, tiny)), schema).filter("keys is not null")
+    met = materialize(met.join(ids, "_k").drop("_k"))
+    entries = reduce(DataFrame.unionByName, [_met(met, ids, k) for k in range(0, tiny, ROUND)])
+    entries = materialize(entries.distinct())
     discard(met)
     in_blocks = entries.select("n").distinct()
     text = materialize(ids.join(in_blocks, "n", "left_semi").join(nodes.select("_k", "text"), "_k").select("n", "text"))
@@ -385,15 +505,15 @@ def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -
     x = stars.join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v").join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
     links = materialize(x.select("u", "v", "x", "y").mapInArrow(released(_confirmed(shingle, similarity)), "u long, v long"))
 
-    # blocks that this leaves in several groups, each set of members once, in parts that meet pair by pair
+    # blocks that this leaves in several groups, in parts that meet pair by pair
     comp = components(links)
-    placed = entries.join(comp, entries.n == comp.node, "left").select("b", "n", F.coalesce("component", "n").alias("group"))
+    members = materialize(_merged(entries))
+    placed = members.join(comp, members.n == comp.node, "left").select("b", "n", F.coalesce("component", "n").alias("group"))
     placed = materialize(placed.join(text.select("n", F.octet_length("text").alias("size")), "n"))
-    discard(entries)
+    discard(entries, members)
     blocks = placed.groupBy("b").agg(
-        F.count("*").alias("c"), F.expr("bit_xor(xxhash64(n))").alias("members"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.sum("size").alias("bytes")
+        F.count("*").alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.sum("size").alias("bytes")
     ).filter("lo < hi")
-    blocks = blocks.groupBy("c", "members", "bytes").agg(F.min("b").alias("b"))
     cuts = F.ceil(F.greatest(F.col("c") / F.lit(PART), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
     parted = placed.join(blocks.select("b", cuts.alias("cuts")), "b").withColumns({"r": F.pmod(F.xxhash64("n", "b"), F.col("cuts").cast("long")).cast("int")})
     parted = parted.select("b", "n", "group", "r", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("s"))

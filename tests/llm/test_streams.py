@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from sparkreg.llm import divergence, lines, repair, simhash, substring
@@ -300,6 +301,96 @@ def test_members_of_a_block_are_compared_exactly():
         assert len(simhash.alike([sets[k] for k in few], fp[few], np.arange(len(few)), 0.8)[0]) == 0
 
 
+def test_members_that_repeat_a_passage_are_compared_by_their_sets():
+    rng = np.random.default_rng(5)
+    a = list(rng.choice([f"w{k}" for k in range(4000)], 400))
+    b = a + (a[:12] * 60)  # the same set of shingles but for those at the seams
+    rows = [(1, 10, 10, " ".join(a)), (1, 11, 11, " ".join(b))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["b", "n", "group", "text"])
+    links = [x for out in simhash._within_blocks(5, 0.8)(iter([batch])) for x in out.to_pylist()]
+    assert links == [{"u": 10, "v": 11}]
+
+
+def test_wide_tables_bring_similar_sets_together():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for m in (1, 4, 255, 256, 700):
+        h = draw(m)
+        words = simhash.sketch(h, 4)
+        assert int(words[0]) == simhash._of(h) & (1 << 64) - 1 and len(set(words.tolist())) == 4
+        assert (simhash.sketch(h, 2) == words[:2]).all()
+    assert simhash.wide_tables(simhash.SPREAD, 0.8) == (0, 1, 1)
+    for n in (600, 200_000, 12_000_000):
+        bits, most, tiny = simhash.wide_tables(n, 0.8)
+        assert n / simhash.SPREAD <= 2**bits < 2 * n / simhash.SPREAD and most < tiny
+        for shared, left, right in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (80, 10, 10), (200, 0, 50), (400, 50, 50)):
+            tables = tiny if shared + right <= simhash.TINY else most
+            for _ in range(20):  # pairs of a Jaccard of exactly 0.8
+                x, y, z = draw(shared), draw(left), draw(right)
+                a, b = (simhash.sketch(np.r_[x, w], simhash.SKETCH + -(-tables // (64 // bits))) for w in (y, z))
+                assert (simhash.table_keys(a, bits, tables) == simhash.table_keys(b, bits, tables)).any()
+                apart = np.bitwise_count(a ^ b)[: simhash.SKETCH]
+                assert apart[0] <= simhash.FAR and apart.sum() <= simhash.WIDE
+
+
+def test_fingerprints_connect_rows_of_a_key():
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 64, (300, simhash.SKETCH), dtype=np.uint64)
+    for k in range(120):  # up to 80 bits from another row
+        flips = rng.choice(64 * simhash.SKETCH, rng.integers(0, 80), replace=False)
+        prints[k + 150] = prints[k]
+        for f in flips.tolist():
+            prints[k + 150, f // 64] ^= np.uint64(1 << f % 64)
+    block = np.sort(rng.permutation(300) % 3)
+    order = rng.permutation(300)
+    prints = prints[order]
+    lab = list(range(300))
+    for i, j in itertools.combinations(range(300), 2):
+        apart = np.bitwise_count(prints[i] ^ prints[j])
+        if block[i] == block[j] and apart[0] <= simhash.FAR and apart.sum() <= simhash.WIDE:
+            lo, hi = sorted((lab[i], lab[j]))
+            lab = [lo if x == hi else x for x in lab]
+    got = simhash.connected(block, prints)
+    assert got.tolist() == lab and 10 < sum(x != k for k, x in enumerate(lab)) < 60
+
+
+def test_blocks_that_share_members_are_merged_unless_that_has_more_pairs(spark):
+    few = [(1, n, 0) for n in (0, 1, 2)] + [(2, n, 0) for n in (0, 2, 3)] + [(3, n, 1) for n in (1, 3)]  # 16 of 22
+    chain = [(10 + k, n, k + 100) for k in range(8) for n in (k + 100, k + 101)]  # 81 of 32
+    got = simhash._merged(spark.createDataFrame(few + chain, "b long, n long, u long")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["b"]].add(r["n"])
+    assert sorted(map(sorted, by.values())) == sorted([[0, 1, 2, 3], *([k + 100, k + 101] for k in range(8))])
+    assert len(got) == sum(map(len, by.values()))
+
+
+def test_near_copies_by_many_tables_in_rounds(spark, monkeypatch):
+    for name, value in (("SPREAD", 4), ("ROUND", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(9)
+    vocab = [f"w{k}" for k in range(4000)]
+    texts = []
+    for size in (9, 30, 200, 200, 60, 400) * 4:
+        base = list(rng.choice(vocab, size))
+        texts.append(base)
+        for k in range(12):
+            x = list(base)
+            for at in rng.integers(0, size, k // 2):
+                x[int(at)] = f"new{rng.integers(1 << 30)}"
+            texts.append(x + [f"end{k}"] * (k % 2))
+    texts += [["one"], ["two", "words"], []]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    want = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            lo, hi = sorted((want[i], want[j]))
+            want = [lo if x == hi else x for x in want]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.keep_one(docs, shingle=5, similarity=0.8).collect())
+    assert got == sorted(set(want)) and 30 < len(got) < len(texts) - 60
+
+
 # suffix trees
 
 
