@@ -14,7 +14,7 @@ a table each. k grows with the logarithm of the number of texts, so that a key h
 the average, and so many tables are made that a pair at the similarity meets in none of them with
 probability MISS, a closer one with less. Within a key the first fingerprints are compared bit-sliced
 within FAR bits, what is left by all SKETCH of them within WIDE bits; texts that this connects are a block.
-A block's members are first compared with its least. Blocks that share members are then made one where
+A member is first compared with the least members of two of its blocks. Blocks that share members are then made one where
 that has no more pairs than they have; those that are left in several groups are cut into parts of PART members that meet pair by pair: there fingerprints are compared bit-sliced within FAR bits, and
 what is left by the exact Jaccard of shingle sets, as bit rows. No pair of texts is a row, whatever a
 block's size.
@@ -433,17 +433,17 @@ def alike(sets: list[np.ndarray], fp: np.ndarray, group: np.ndarray, similarity:
 
 
 def _within_blocks(shingle: int, similarity: float):
-    """Rows (b, n, group, text) sorted by b -> links (u, v) between groups, one for two groups."""
+    """Rows (b, n, group, text) sorted by b -> links (u, v) of groups, fewer than a block has groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: list[tuple]) -> pa.RecordBatch:
             ids, group = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
             first, group = np.unique(group, return_inverse=True)
             p, q = alike([r[3] for r in held], np.array([r[2] for r in held], np.int64).view(np.uint64), group, similarity)
-            # of links between the same two groups one is enough
-            key = np.minimum(group[p], group[q]) * len(first) + np.maximum(group[p], group[q])
-            one = np.unique(key, return_index=True)[1]
-            return pa.RecordBatch.from_arrays([pa.array(ids[p[one]]), pa.array(ids[q[one]])], ["u", "v"])
+            # a spanning forest of the groups keeps what is linked
+            lab = local_components(len(first), group[p], group[q])
+            linked = np.flatnonzero(lab != np.arange(len(first)))
+            return pa.RecordBatch.from_arrays([pa.array(first[lab[linked]]), pa.array(first[linked])], ["u", "v"])
 
         last, held = None, []
         for batch in (part for whole in batches for part in slices(whole)):
@@ -477,14 +477,27 @@ def _met(met: DataFrame, ids: DataFrame, first: int) -> DataFrame:
 
 
 def _merged(entries: DataFrame) -> DataFrame:
-    """(b, n, u) -> (b, n): blocks that share members are one, where that has no more pairs than they."""
-    whole = components(entries.select("n", "u").toDF("u", "v"))
-    of = entries.join(whole, entries.n == whole.node).select("b", "n", "component")
-    blocks = of.groupBy("b", "component").agg(F.count("*").alias("c"))
-    pairs = blocks.groupBy("component").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    """(b, n, u) -> (b, n): blocks that share members are one, where that has no more pairs than they.
+
+    A member of many blocks has a row in each: they are brought together by one row a member, and
+    judged by one row a block. Only blocks that stay have their members joined."""
+    firsts = entries.groupBy("n").agg(F.collect_set("u").alias("us"))
+    whole = components(firsts.select(F.explode(F.array_union("us", F.array("n"))).alias("u"), F.array_min("us").alias("v")))
+    blocks = entries.groupBy("b").agg(F.count("*").alias("c"), F.min("u").alias("u"))
+    of = blocks.join(whole, blocks.u == whole.node).select("b", "c", "component")
+    pairs = of.groupBy("component").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
     size = whole.groupBy("component").agg(F.count("*").alias("m"))
     once = size.join(pairs, "component").select("component", (F.col("m") * F.col("m") <= F.col("pairs")).alias("once"))
-    return of.join(once, "component").select(F.when(F.col("once"), F.xxhash64("component")).otherwise(F.col("b")).alias("b"), "n").distinct()
+    one = whole.join(once.filter("once"), "component").select(F.xxhash64("component").alias("b"), F.col("node").alias("n"))
+    stay = of.join(once.filter("not once"), "component").select("b")
+    return one.unionByName(entries.select("b", "n").join(stay, "b", "left_semi").distinct())
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """(b, n, u) -> (u, v): each member v with the least and the greatest of its blocks' least members,
+    two rows at most whatever the number of its blocks."""
+    ends = entries.filter("n <> u").groupBy("n").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+    return ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("u"), F.col("n").alias("v"))
 
 
 def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -500,9 +513,8 @@ def similar(nodes: DataFrame, ids: DataFrame, shingle: int, similarity: float) -
     in_blocks = entries.select("n").distinct()
     text = materialize(ids.join(in_blocks, "n", "left_semi").join(nodes.select("_k", "text"), "_k").select("n", "text"))
 
-    # a block's members and its least one
-    stars = entries.filter("n <> u").select("u", F.col("n").alias("v")).distinct()
-    x = stars.join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v").join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
+    # members and least ones of their blocks
+    x = _stars(entries).join(text.select(F.col("n").alias("v"), F.col("text").alias("y")), "v").join(text.select(F.col("n").alias("u"), F.col("text").alias("x")), "u")
     links = materialize(x.select("u", "v", "x", "y").mapInArrow(released(_confirmed(shingle, similarity)), "u long, v long"))
 
     # blocks that this leaves in several groups, in parts that meet pair by pair

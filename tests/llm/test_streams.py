@@ -391,6 +391,31 @@ def test_near_copies_by_many_tables_in_rounds(spark, monkeypatch):
     assert got == sorted(set(want)) and 30 < len(got) < len(texts) - 60
 
 
+def test_links_of_a_block_are_fewer_than_its_members():
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, n, n, " ".join([*words, f"end{n}"])) for n in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["b", "n", "group", "text"])
+    links = [(x["u"], x["v"]) for out in simhash._within_blocks(5, 0.8)(iter([batch])) for x in out.to_pylist()]
+    assert len(links) == 59 and sorted(v for _, v in links) == list(range(1, 60)) and all(u < v for u, v in links)
+
+
+def test_a_group_of_near_copies_has_few_rows_a_member(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPREAD", 1)
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(120):  # two of them share 0.8 and more of their shingles
+        x = list(base)
+        for at in rng.integers(0, 200, 2):
+            x[int(at)] = f"new{rng.integers(1 << 30)}"
+        texts.append(" ".join(x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    edges, found = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda e: (edges.append(e.filter("u <> v").distinct().count()), found(e))[1])
+    assert [r["doc_id"] for r in simhash.keep_one(docs, shingle=5, similarity=0.8).collect()] == [0]
+    assert len(edges) == 3 and max(edges) <= 3 * len(texts), edges
+
+
 # suffix trees
 
 
